@@ -1,0 +1,35 @@
+"""Registry of queries and their oracle SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from calibra.plans import oracle
+from calibra.plans import queries as Q
+
+_NAMES = [
+    "curated_projection", "drop_null_target", "clip_columns", "inject_missing",
+    "missing_fraction", "impute_median", "impute_mode", "one_hot", "clean",
+    "split_hash", "split_exact", "split_balance", "scale_params", "standardize",
+    "anova_f", "anova_f_lineitem", "top_k_features",
+]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {n: getattr(Q, n) for n in _NAMES}
+
+
+def oracle_sql() -> dict[str, str]:
+    sql = oracle.oracle_sql()
+    return {n: sql[n] for n in _NAMES if n in sql}
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    df = Q.standardize(spark, sf)
+    return df.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 6).alias("positive_rate"),
+        F.round(F.avg("acctbal"), 6).alias("mean_acctbal_z"),
+        F.round(F.avg("price"), 6).alias("mean_price_z"))

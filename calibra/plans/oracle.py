@@ -1,0 +1,133 @@
+"""DuckDB oracle SQL for the registered queries (same column names, floats
+rounded to 6 digits)."""
+
+from __future__ import annotations
+
+# The encounter view (orders x customer, md5-marked missing values).
+ENC = """enc as (
+  select o_orderkey as id,
+         case when md5(cast(o_orderkey as varchar) || ':bal') < '08' then null else c_acctbal end as acctbal,
+         case when md5(cast(o_orderkey as varchar) || ':seg') < '08' then null else c_mktsegment end as seg,
+         o_totalprice as price, o_orderpriority as priority,
+         cast(o_orderstatus = 'F' as int) as y
+  from orders join customer on o_custkey = c_custkey)"""
+
+TOXIC = """toxic as (
+  select d.doc_id, d.n_chars,
+         cast(len(regexp_extract_all(d.text, '[^ \t\n\r]+')) as bigint) as words,
+         case when length(d.text) = 0 then 0.0 else length(regexp_replace(d.text, '[^0-9]', '', 'g')) / length(d.text) end as digit_ratio,
+         case when length(d.text) = 0 then 0.0 else length(regexp_replace(d.text, '[A-Za-z0-9 \t\n\r]', '', 'g')) / length(d.text) end as punct_ratio,
+         cast(length(d.text) - length(replace(d.text, chr(10), '')) + 1 as bigint) as lines,
+         d.lang, cast(l.quality as int) as quality, cast(l.toxic as int) as toxic
+  from documents d join labels l on d.doc_id = l.doc_id)"""
+
+
+def _median(col: str) -> str:
+    return f"(select median({col}) from enc)"
+
+
+ENC_CLEAN = ENC + """,
+mode_seg as (select seg m from (select seg, count(*) n from enc where seg is not null group by seg) order by n desc, seg limit 1),
+clean as (
+  select id,
+         coalesce(acctbal, (select median(acctbal) from enc)) as acctbal,
+         coalesce(price, (select median(price) from enc)) as price,
+         coalesce(seg, (select m from mode_seg)) as seg_f, priority, y
+  from enc),
+coded as (
+  select id, acctbal, price,
+         cast(seg_f = 'BUILDING' as int) as "seg_BUILDING",
+         cast(seg_f = 'FURNITURE' as int) as "seg_FURNITURE",
+         cast(seg_f = 'HOUSEHOLD' as int) as "seg_HOUSEHOLD",
+         cast(seg_f = 'MACHINERY' as int) as "seg_MACHINERY",
+         cast(priority = '2-HIGH' as int) as "priority_2-HIGH",
+         cast(priority = '3-MEDIUM' as int) as "priority_3-MEDIUM",
+         cast(priority = '4-NOT SPECIFIED' as int) as "priority_4-NOT SPECIFIED",
+         cast(priority = '5-LOW' as int) as "priority_5-LOW",
+         y
+  from clean)"""
+
+CODED_COLS = ["acctbal", "price", "seg_BUILDING", "seg_FURNITURE", "seg_HOUSEHOLD",
+              "seg_MACHINERY", "priority_2-HIGH", "priority_3-MEDIUM",
+              "priority_4-NOT SPECIFIED", "priority_5-LOW"]
+
+SPLIT = """case when md5(cast(id as varchar) || ':42') < '33333333' then 'test'
+            when md5(cast(id as varchar) || ':42') < '4ccccccc' then 'val' else 'train' end"""
+
+
+def _params_sql() -> str:
+    parts = []
+    for c in CODED_COLS:
+        parts.append(f"""select '{c}' as feature, avg(cast("{c}" as double)) as mean,
+            stddev_pop(cast("{c}" as double)) as std from sp where split = 'train'""")
+    return " union all ".join(parts)
+
+
+def _standardize_sql() -> str:
+    sel = []
+    for c in CODED_COLS:
+        sel.append(f"""round((cast(sp."{c}" as double) - (select mean from params where feature = '{c}'))
+          / (select case when std = 0 then 1.0 else std end from params where feature = '{c}'), 6) as "{c}" """)
+    return ("with " + ENC_CLEAN + f", sp as (select *, {SPLIT} as split from coded), params as ("
+            + _params_sql() + ") select id, " + ", ".join(sel) + ", y, split from sp")
+
+
+ANOVA = """a as (select f, y, count(*) n, avg(x) m, var_pop(x) v from u group by f, y),
+b as (select f, sum(n) nn, sum(n*m) sm, sum(n*m*m) q, sum(n*v) ssw, count(*) k from a group by f)"""
+
+
+def _anova_sql(src: str, cols: list[str], label: str) -> str:
+    u = " union all ".join(
+        f"select {label} as y, '{c}' as f, {i} as idx, cast({c} as double) as x from {src} where {c} is not null"
+        for i, c in enumerate(cols))
+    return f"""u as ({u}), {ANOVA},
+scores as (select f as feature, (select min(idx) from u where u.f = b.f) as idx,
+   ((q - sm*sm/nn) / (k-1)) / (ssw / (nn-k)) as f_score from b)"""
+
+
+TOXIC_NUM = ["n_chars", "words", "digit_ratio", "punct_ratio", "lines"]
+LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def oracle_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["curated_projection"] = f"with {ENC} select id, acctbal, price, seg, priority, y from enc"
+    q["drop_null_target"] = (f"with {ENC} select id, acctbal, price, seg, priority, cast(y as int) y "
+                             "from enc where y is not null")
+    q["clip_columns"] = ("select c_custkey, greatest(0.0, least(c_acctbal, 5000.0)) as acctbal_clipped "
+                         "from customer")
+    u = "('0x' || substr(md5(cast(id as varchar) || ':42:{c}'), 1, 13))::BIGINT / 4503599627370496.0"
+    q["inject_missing"] = (f"with {ENC} select id, case when {u.format(c='price')} < 0.03 then null else price end price, "
+                           f"case when {u.format(c='priority')} < 0.03 then null else priority end priority from enc")
+    q["missing_fraction"] = (f"with {ENC} " + " union all ".join(
+        f"select '{c}' as feature, round(avg(case when {c} is null then 1.0 else 0.0 end), 6) as missing_frac from enc"
+        for c in ["id", "acctbal", "seg", "price", "priority", "y"]))
+    q["impute_median"] = (f"with {ENC} select 'acctbal' as feature, round(median(acctbal), 6) as median from enc "
+                          "union all select 'price', round(median(price), 6) from enc")
+    q["impute_mode"] = (f"with {ENC}, c as (select 'seg' f, seg v, count(*) n from enc where seg is not null group by seg "
+                        "union all select 'priority', priority, count(*) from enc where priority is not null group by priority), "
+                        "r as (select f, v, row_number() over (partition by f order by n desc, v) rn from c) "
+                        "select f as feature, v as mode from r where rn = 1")
+    q["one_hot"] = ("with " + ENC_CLEAN + """ select id, "seg_BUILDING", "seg_FURNITURE", "seg_HOUSEHOLD",
+        "seg_MACHINERY", "priority_2-HIGH", "priority_3-MEDIUM", "priority_4-NOT SPECIFIED", "priority_5-LOW" from coded""")
+    q["clean"] = ("with " + ENC_CLEAN + " select id, round(acctbal, 6) acctbal, round(price, 6) price, "
+                  + ", ".join(f'"{c}"' for c in CODED_COLS[2:]) + ", y from coded")
+    q["split_hash"] = f"with {ENC} select id, y, {SPLIT} as split from enc"
+    q["split_exact"] = (f"with {ENC}, r as (select id, y, row_number() over (partition by y order by "
+                        "md5(cast(id as varchar) || ':42'), id) rn, count(*) over (partition by y) n from enc) "
+                        "select id, y, case when rn <= ceil(0.2*n) then 'test' when rn <= ceil(0.2*n) + ceil(0.1*n) "
+                        "then 'val' else 'train' end as split from r")
+    q["split_balance"] = (f"with {ENC} select split, count(*) as n, round(avg(y), 6) as positive_rate from "
+                          f"(select y, {SPLIT} as split from enc) group by split")
+    q["scale_params"] = ("with " + ENC_CLEAN + f", sp as (select *, {SPLIT} as split from coded), params as ("
+                         + _params_sql() + ") select feature, round(mean, 6) mean, round(std, 6) std from params")
+    q["standardize"] = _standardize_sql()
+    q["anova_f"] = (f"with {TOXIC}, " + _anova_sql("toxic", TOXIC_NUM, "toxic")
+                    + " select feature, idx, round(f_score, 6) f_score from scores")
+    q["anova_f_lineitem"] = ("with li as (select *, cast(l_returnflag = 'R' as int) y from lineitem), "
+                             + _anova_sql("li", LINE_FEATURES, "y")
+                             + " select feature, idx, round(f_score, 6) f_score from scores")
+    q["top_k_features"] = (f"with {TOXIC}, " + _anova_sql("toxic", TOXIC_NUM, "toxic")
+                           + ", r as (select *, row_number() over (order by f_score desc nulls last, idx desc) as rank from scores) "
+                           "select feature, idx, round(f_score, 6) f_score, rank from r where rank <= 3")
+    return q

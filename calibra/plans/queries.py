@@ -1,0 +1,128 @@
+"""Registered queries: each reads the given tables from ``sf_dir`` and returns a
+lazy DataFrame.  Floats are rounded to 6 digits so that the DuckDB oracle in
+``calibra.plans.oracle`` can be compared value by value."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from calibra.functions.scalar import clip, round6
+from calibra.operators import prepare as P
+from calibra.operators import scale as N
+from calibra.operators import split as E
+from calibra.operators.order_stats import medians
+from calibra.sources.tables import ENC_SPEC, TOXIC_SPEC, documents_labeled, encounters, read_table
+
+SEED = 42
+
+
+def _r6(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Round every floating column (not in ``keep``) to 6 digits."""
+    out = []
+    for f in df.schema.fields:
+        if f.dataType.typeName() in ("double", "float") and f.name not in keep:
+            out.append(round6(f.name).alias(f.name))
+        else:
+            out.append(F.col(f.name))
+    return df.select(*out)
+
+
+# ---------------------------------------------------------------- preparation
+def curated_projection(spark: SparkSession, sf: str) -> DataFrame:
+    return P.select_features(encounters(spark, sf), ENC_SPEC)
+
+
+def drop_null_target(spark: SparkSession, sf: str) -> DataFrame:
+    return P.drop_null_target(P.select_features(encounters(spark, sf), ENC_SPEC), ENC_SPEC)
+
+
+def clip_columns(spark: SparkSession, sf: str) -> DataFrame:
+    c = read_table(spark, sf, "customer")
+    return c.select("c_custkey", clip("c_acctbal", 0.0, 5000.0).alias("acctbal_clipped"))
+
+
+def inject_missing(spark: SparkSession, sf: str) -> DataFrame:
+    e = encounters(spark, sf).select("id", "price", "priority")
+    return P.inject_missing(e, ["price", "priority"], "id", rate=0.03, seed=SEED)
+
+
+def missing_fraction(spark: SparkSession, sf: str) -> DataFrame:
+    from calibra.operators.profile import missing_fraction as mf
+    return _r6(mf(encounters(spark, sf)))
+
+
+def impute_median(spark: SparkSession, sf: str) -> DataFrame:
+    return _r6(medians(encounters(spark, sf), ["acctbal", "price"]))
+
+
+def impute_mode(spark: SparkSession, sf: str) -> DataFrame:
+    counts = P.category_counts(encounters(spark, sf), ["seg", "priority"])
+    return P.modes_from_counts(counts)
+
+
+def one_hot(spark: SparkSession, sf: str) -> DataFrame:
+    enc = encounters(spark, sf)
+    params = P.fit_clean(enc, ENC_SPEC)
+    return P.one_hot(P.impute(enc, params), params).drop("acctbal", "price", "y")
+
+
+def clean(spark: SparkSession, sf: str) -> DataFrame:
+    return _r6(P.clean(encounters(spark, sf), ENC_SPEC))
+
+
+def split_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return E.split_hash(encounters(spark, sf).select("id", "y"), "id", seed=SEED)
+
+
+def split_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return E.split_exact(encounters(spark, sf).select("id", "y"), "id", "y", seed=SEED)
+
+
+def split_balance(spark: SparkSession, sf: str) -> DataFrame:
+    s = E.split_hash(encounters(spark, sf).select("id", "y"), "id", seed=SEED)
+    return _r6(s.groupBy("split").agg(F.count(F.lit(1)).alias("n"),
+                                      F.avg("y").alias("positive_rate")))
+
+
+def _prepared_enc(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
+    df, params = P.clean(encounters(spark, sf), ENC_SPEC, return_params=True)
+    df = E.split_hash(df, "id", seed=SEED)
+    return df, params.encoded_columns
+
+
+def scale_params(spark: SparkSession, sf: str) -> DataFrame:
+    df, cols = _prepared_enc(spark, sf)
+    return _r6(N.fit_scaler(df.where(F.col("split") == "train"), cols))
+
+
+def standardize(spark: SparkSession, sf: str) -> DataFrame:
+    df, cols = _prepared_enc(spark, sf)
+    return _r6(N.standardize(df, cols, fit_filter=F.col("split") == "train"))
+
+
+def _toxic(spark: SparkSession, sf: str) -> DataFrame:
+    return documents_labeled(spark, sf)
+
+
+def anova_f(spark: SparkSession, sf: str) -> DataFrame:
+    d = _toxic(spark, sf)
+    return _r6(N.anova_f(d, list(TOXIC_SPEC.numeric), "toxic"))
+
+
+LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _lineitem_labeled(spark: SparkSession, sf: str) -> DataFrame:
+    li = read_table(spark, sf, "lineitem")
+    return li.select(*LINE_FEATURES, (F.col("l_returnflag") == "R").cast("int").alias("y"))
+
+
+def anova_f_lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    return _r6(N.anova_f(_lineitem_labeled(spark, sf), LINE_FEATURES, "y"))
+
+
+def top_k_features(spark: SparkSession, sf: str) -> DataFrame:
+    d = _toxic(spark, sf)
+    sc = N.anova_f(d, list(TOXIC_SPEC.numeric), "toxic")
+    return _r6(N.top_k_features(sc, 3))
