@@ -15,6 +15,8 @@ _NAMES = [
     "missing_fraction", "impute_median", "impute_mode", "one_hot", "clean",
     "split_hash", "split_exact", "split_balance", "scale_params", "standardize",
     "anova_f", "anova_f_lineitem", "top_k_features",
+    "class_balance", "positive_rate", "corr_matrix", "class_kde", "confusion",
+    "binary_metrics", "roc_auc", "average_precision", "roc_curve", "pr_curve",
 ]
 
 

@@ -131,3 +131,95 @@ def oracle_sql() -> dict[str, str]:
                            + ", r as (select *, row_number() over (order by f_score desc nulls last, idx desc) as rank from scores) "
                            "select feature, idx, round(f_score, 6) f_score, rank from r where rank <= 3")
     return q
+
+
+SCORED_DOCS = TOXIC + """,
+scored as (
+  select 'punct' as model, doc_id, quality as label, cast(punct_ratio < 0.1 as int) as prediction, -punct_ratio as score from toxic
+  union all select 'length', doc_id, quality, cast(words > 300 as int), cast(words as double) from toxic
+  union all select 'digits', doc_id, quality, cast(digit_ratio > 0.001 as int), digit_ratio from toxic)"""
+
+SCORED_ENC = ENC + """,
+scored as (
+  select 'price' as model, id, y as label, cast(price > 250000.0 as int) as prediction, price as score from enc
+  union all select 'acctbal', id, y, cast(coalesce(acctbal, 0.0) > 4500.0 as int), coalesce(acctbal, 0.0) from enc)"""
+
+CONF = """conf as (select model,
+  cast(sum(case when label = 0 and prediction = 0 then 1 else 0 end) as bigint) tn,
+  cast(sum(case when label = 0 and prediction = 1 then 1 else 0 end) as bigint) fp,
+  cast(sum(case when label = 1 and prediction = 0 then 1 else 0 end) as bigint) fn,
+  cast(sum(case when label = 1 and prediction = 1 then 1 else 0 end) as bigint) tp from scored group by model)"""
+
+CURVE = """g as (select model, score, sum(label) p, count(*) - sum(label) n from scored where score is not null group by model, score),
+c as (select model, score, p, n,
+  sum(p) over (partition by model order by score desc rows between unbounded preceding and current row) cp,
+  sum(n) over (partition by model order by score desc rows between unbounded preceding and current row) cn,
+  row_number() over (partition by model order by score desc) idx,
+  count(*) over (partition by model) m,
+  sum(p) over (partition by model) tp_all, sum(n) over (partition by model) tn_all from g)"""
+
+
+def _sd(x: str, y: str) -> str:
+    return f"(case when ({y}) = 0 then 0.0 else ({x}) * 1.0 / ({y}) end)"
+
+
+def _more_sql(q: dict[str, str]) -> None:
+    q["class_balance"] = (f"with {ENC}, c as (select y, count(*) n from enc group by y) "
+                          "select y, n, round(n * 1.0 / sum(n) over (), 6) share from c")
+    q["positive_rate"] = f"with {TOXIC} select round(avg(cast(toxic as double)), 6) positive_rate from toxic"
+    cols = TOXIC_NUM + ["quality"]
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    q["corr_matrix"] = (f"with {TOXIC} " + " union all ".join(
+        f"select '{a}' a, '{b}' b, round(corr(cast({a} as double), cast({b} as double)), 6) as corr from toxic"
+        for a, b in pairs))
+    q["class_kde"] = (f"with {TOXIC}, d as (select quality label, punct_ratio x from toxic where punct_ratio is not null), "
+                      "st as (select label, count(*) n, stddev_samp(x) sd, min(x) lo, max(x) hi from d group by label), "
+                      "st2 as (select *, sd * pow(cast(n as double), -0.2) h from st), "
+                      "v as (select label, x, count(*) c from d group by label, x), "
+                      "gr as (select unnest(range(0, 200)) g), "
+                      "j as (select v.label, v.x, v.c, st2.n, st2.h, st2.lo, st2.hi, gr.g, "
+                      "  (st2.lo - 3.0 * st2.h) + gr.g * ((st2.hi - st2.lo + 2 * 3.0 * st2.h) / 199.0) gx "
+                      "  from v join st2 on v.label = st2.label cross join gr) "
+                      "select label, cast(g as int) g, round(min(gx), 6) grid_x, "
+                      "round(sum(c * exp(-0.5 * pow((gx - x) / h, 2)) / (n * h * sqrt(2 * pi()))), 6) density "
+                      "from j group by label, g")
+    q["confusion"] = f"with {SCORED_DOCS}, {CONF} select * from conf"
+    bal = (f"case when tp + fn > 0 and tn + fp > 0 then ({_sd('tp', 'tp + fn')} + {_sd('tn', 'tn + fp')}) / 2 "
+           f"when tp + fn > 0 then {_sd('tp', 'tp + fn')} else {_sd('tn', 'tn + fp')} end")
+    q["binary_metrics"] = (f"with {SCORED_DOCS}, {CONF}, {CURVE}, "
+                           "auc as (select model, sum(p * (cn2 - n * 0.5)) / (cast(sum(p) as double) * sum(n)) v, sum(p) pp, sum(n) nn from "
+                           "(select model, p, n, sum(n) over (partition by model order by score rows between unbounded preceding and current row) cn2 from g) group by model), "
+                           "ap as (select model, sum(p * cp / (cp + cn)) / sum(p) v, sum(p) pp, sum(n) nn from c group by model) "
+                           f"select model, 'accuracy' metric, round({_sd('tp + tn', 'tp + tn + fp + fn')}, 6) value from conf "
+                           f"union all select model, 'balanced_accuracy', round({bal}, 6) from conf "
+                           f"union all select model, 'precision', round({_sd('tp', 'tp + fp')}, 6) from conf "
+                           f"union all select model, 'recall', round({_sd('tp', 'tp + fn')}, 6) from conf "
+                           f"union all select model, 'f1', round({_sd('2 * tp', '2 * tp + fp + fn')}, 6) from conf "
+                           "union all select model, 'roc_auc', round(v, 6) from auc where pp > 0 and nn > 0 "
+                           "union all select model, 'pr_auc', round(v, 6) from ap where pp > 0 and nn > 0")
+    q["roc_auc"] = (f"with {SCORED_ENC}, g as (select model, score, sum(label) p, count(*) - sum(label) n from scored "
+                    "where score is not null group by model, score), "
+                    "w as (select model, p, n, sum(n) over (partition by model order by score rows between unbounded preceding and current row) cn from g) "
+                    "select model, round(sum(p * (cn - n * 0.5)) / (cast(sum(p) as double) * sum(n)), 6) roc_auc from w "
+                    "group by model having sum(p) > 0 and sum(n) > 0")
+    q["average_precision"] = (f"with {SCORED_ENC}, {CURVE} select model, round(sum(p * cp / (cp + cn)) / sum(p), 6) pr_auc "
+                              "from c group by model having sum(p) > 0 and sum(n) > 0")
+    q["roc_curve"] = (f"with {SCORED_ENC}, {CURVE}, "
+                      "d as (select *, lag(cp) over w cpp, lead(cp) over w cpn, lag(cn) over w cnp, lead(cn) over w cnn "
+                      "from c window w as (partition by model order by idx)) "
+                      "select model, round(cast(score as double), 6) threshold, round(cn / tn_all, 6) fpr, round(cp / tp_all, 6) tpr "
+                      "from d where tp_all > 0 and tn_all > 0 and (idx = 1 or idx = m or cpp - 2 * cp + cpn != 0 or cnp - 2 * cn + cnn != 0) "
+                      "union all select distinct model, cast(null as double), 0.0, 0.0 from c where tp_all > 0 and tn_all > 0")
+    q["pr_curve"] = (f"with {SCORED_ENC}, {CURVE} "
+                     "select model, round(cast(score as double), 6) threshold, round(cp / (cp + cn), 6) \"precision\", round(cp / tp_all, 6) recall "
+                     "from c where tp_all > 0 and tn_all > 0 "
+                     "union all select distinct model, cast(null as double), 1.0, 0.0 from c where tp_all > 0 and tn_all > 0")
+
+
+_base_oracle = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    q = _base_oracle()
+    _more_sql(q)
+    return q

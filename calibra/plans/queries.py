@@ -126,3 +126,79 @@ def top_k_features(spark: SparkSession, sf: str) -> DataFrame:
     d = _toxic(spark, sf)
     sc = N.anova_f(d, list(TOXIC_SPEC.numeric), "toxic")
     return _r6(N.top_k_features(sc, 3))
+
+
+# ------------------------------------------------------------ scored frames
+def scored_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Three text rules scored against ``quality`` -- one scan, rules exploded."""
+    d = _toxic(spark, sf)
+    rules = F.array(
+        F.struct(F.lit("punct").alias("model"), (-F.col("punct_ratio")).alias("score"),
+                 (F.col("punct_ratio") < 0.1).cast("int").alias("prediction")),
+        F.struct(F.lit("length").alias("model"), F.col("words").cast("double").alias("score"),
+                 (F.col("words") > 300).cast("int").alias("prediction")),
+        F.struct(F.lit("digits").alias("model"), F.col("digit_ratio").alias("score"),
+                 (F.col("digit_ratio") > 0.001).cast("int").alias("prediction")))
+    return d.select("doc_id", F.col("quality").alias("label"), F.explode(rules).alias("r")).select(
+        "r.model", "doc_id", "label", "r.prediction", "r.score")
+
+
+def scored_encounters(spark: SparkSession, sf: str) -> DataFrame:
+    e = encounters(spark, sf)
+    rules = F.array(
+        F.struct(F.lit("price").alias("model"), F.col("price").alias("score"),
+                 (F.col("price") > 250000.0).cast("int").alias("prediction")),
+        F.struct(F.lit("acctbal").alias("model"), F.coalesce(F.col("acctbal"), F.lit(0.0)).alias("score"),
+                 (F.coalesce(F.col("acctbal"), F.lit(0.0)) > 4500.0).cast("int").alias("prediction")))
+    return e.select("id", F.col("y").alias("label"), F.explode(rules).alias("r")).select(
+        "r.model", "id", "label", "r.prediction", "r.score")
+
+
+def class_balance(spark: SparkSession, sf: str) -> DataFrame:
+    from calibra.operators.profile import class_balance as cb
+    return _r6(cb(encounters(spark, sf), "y"))
+
+
+def positive_rate(spark: SparkSession, sf: str) -> DataFrame:
+    from calibra.operators.profile import positive_rate as pr
+    return _r6(pr(_toxic(spark, sf), "toxic"))
+
+
+def corr_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    from calibra.operators.profile import corr_matrix as cm
+    return _r6(cm(_toxic(spark, sf), list(TOXIC_SPEC.numeric) + ["quality"]))
+
+
+def class_kde(spark: SparkSession, sf: str) -> DataFrame:
+    from calibra.operators.profile import class_kde as kde
+    return _r6(kde(_toxic(spark, sf), "punct_ratio", "quality", grid=200))
+
+
+def confusion(spark: SparkSession, sf: str) -> DataFrame:
+    from calibra.operators.profile import confusion as cf
+    return cf(scored_documents(spark, sf))
+
+
+def binary_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    from calibra.operators.metrics import binary_metrics as bm
+    return _r6(bm(scored_documents(spark, sf)))
+
+
+def roc_auc(spark: SparkSession, sf: str) -> DataFrame:
+    from calibra.operators.metrics import roc_auc as ra
+    return _r6(ra(scored_encounters(spark, sf)))
+
+
+def average_precision(spark: SparkSession, sf: str) -> DataFrame:
+    from calibra.operators.metrics import average_precision as ap
+    return _r6(ap(scored_encounters(spark, sf)))
+
+
+def roc_curve(spark: SparkSession, sf: str) -> DataFrame:
+    from calibra.operators.metrics import roc_curve as rc
+    return _r6(rc(scored_encounters(spark, sf)))
+
+
+def pr_curve(spark: SparkSession, sf: str) -> DataFrame:
+    from calibra.operators.metrics import pr_curve as pc
+    return _r6(pc(scored_encounters(spark, sf)))
