@@ -17,6 +17,8 @@ _NAMES = [
     "anova_f", "anova_f_lineitem", "top_k_features",
     "class_balance", "positive_rate", "corr_matrix", "class_kde", "confusion",
     "binary_metrics", "roc_auc", "average_precision", "roc_curve", "pr_curve",
+    "rbf_gram", "kernel_stats", "kernel_blocks", "cos2_gram", "cross_gram", "kernel_sorted",
+    "phase_embed_zz", "phase_embed_custom", "fidelity_gram",
 ]
 
 

@@ -223,3 +223,42 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
     q = _base_oracle()
     _more_sql(q)
     return q
+
+
+VEC = "v as (select vec_id, cast(embedding as double[]) emb, label % 2 as cls from embeddings)"
+RBF = "exp(-0.1 * pow(list_distance(a.emb, b.emb), 2))"
+LM = "lm as (select * from v order by md5(cast(vec_id as varchar) || ':42'), vec_id limit {n})"
+
+
+def _vec6() -> str:
+    raw = ", ".join(f"cast(embedding[{i + 1}] as double) e{i + 1}" for i in range(6))
+    std = ", ".join(f"(e{i + 1} - avg(e{i + 1}) over ()) / case when stddev_pop(e{i + 1}) over () = 0 then 1 "
+                    f"else stddev_pop(e{i + 1}) over () end as e{i + 1}" for i in range(6))
+    return f"r6 as (select vec_id, label % 2 cls, {raw} from embeddings), s6 as (select vec_id, cls, {std} from r6)"
+
+
+def _kernel_sql(q: dict[str, str]) -> None:
+    q["rbf_gram"] = (f"with {VEC} select a.vec_id i, b.vec_id j, round({RBF}, 6) k "
+                     "from v a join v b on a.vec_id <= b.vec_id")
+    q["kernel_stats"] = (f"with {VEC}, p as (select a.vec_id i, b.vec_id j, {RBF} k from v a cross join v b) "
+                         "select cast(sum(case when i = j then 1 else 0 end) as bigint) n, "
+                         "round(sum(case when i != j then k else 0 end) / count(*), 6) offdiag_mean, "
+                         "round(avg(case when i = j then k end), 6) diag_mean from p")
+    q["kernel_blocks"] = (f"with {VEC} select a.cls label_i, b.cls label_j, round(avg({RBF}), 6) mean_k "
+                          "from v a cross join v b group by a.cls, b.cls")
+    cos = " * ".join(f"pow(cos(a.e{i + 1} - b.e{i + 1}), 2)" for i in range(6))
+    q["cos2_gram"] = (f"with {_vec6()} select a.vec_id i, b.vec_id j, round(least(1.0, greatest(0.0, {cos})), 6) k "
+                      "from s6 a join s6 b on a.vec_id <= b.vec_id")
+    q["cross_gram"] = (f"with {VEC}, {LM.format(n=64)} select a.vec_id i, b.vec_id j, round({RBF}, 6) k "
+                       "from v a cross join lm b")
+    q["kernel_sorted"] = (f"with {VEC}, {LM.format(n=60)}, s as (select *, row_number() over (order by cls, vec_id) - 1 pos from lm) "
+                          f"select a.pos pos_i, b.pos pos_j, round({RBF}, 6) k from s a cross join s b")
+
+
+_prev_oracle = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    q = _prev_oracle()
+    _kernel_sql(q)
+    return q

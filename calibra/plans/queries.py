@@ -202,3 +202,94 @@ def roc_curve(spark: SparkSession, sf: str) -> DataFrame:
 def pr_curve(spark: SparkSession, sf: str) -> DataFrame:
     from calibra.operators.metrics import pr_curve as pc
     return _r6(pc(scored_encounters(spark, sf)))
+
+
+# ------------------------------------------------------------------ kernels
+GAMMA = 0.1
+N_LANDMARKS = 64
+K_DIMS = 6
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    from calibra.sources.tables import vectors
+    return vectors(spark, sf)
+
+
+def vec_features(spark: SparkSession, sf: str, k: int = K_DIMS) -> tuple[DataFrame, list[str]]:
+    """First k embedding dims as columns, standardised over the table."""
+    v = _vectors(spark, sf)
+    cols = [f"e{i + 1}" for i in range(k)]
+    wide = v.select("vec_id", "cls", *[F.col("embedding")[i].alias(c) for i, c in enumerate(cols)])
+    return N.standardize(wide, cols), cols
+
+
+def rbf_gram(spark: SparkSession, sf: str) -> DataFrame:
+    from calibra.operators.kernels import gram, make_kernel
+    return _r6(gram(_vectors(spark, sf), "vec_id", "embedding", make_kernel("rbf", gamma=GAMMA)))
+
+
+def kernel_stats(spark: SparkSession, sf: str) -> DataFrame:
+    from calibra.operators import kernels as K
+    s = K.gram_summary(_vectors(spark, sf), "vec_id", "embedding",
+                       K.make_kernel("rbf", gamma=GAMMA), "cls")
+    return _r6(K.kernel_stats(s))
+
+
+def kernel_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    from calibra.operators import kernels as K
+    s = K.gram_summary(_vectors(spark, sf), "vec_id", "embedding",
+                       K.make_kernel("rbf", gamma=GAMMA), "cls")
+    return _r6(K.kernel_blocks(s))
+
+
+def _embedded(spark: SparkSession, sf: str, kind: str, reps: int) -> DataFrame:
+    from calibra.operators.kernels import phase_embed
+    df, cols = vec_features(spark, sf)
+    return phase_embed(df, cols, kind=kind, reps=reps)
+
+
+def cos2_gram(spark: SparkSession, sf: str) -> DataFrame:
+    """K2: custom map, one layer, as a fidelity Gram of embeddings (the SQL
+    oracle uses the closed form prod cos^2(x_i - y_i))."""
+    from calibra.operators.kernels import gram, make_kernel
+    e = _embedded(spark, sf, "custom", 1)
+    return _r6(gram(e, "vec_id", "embedding", make_kernel("fidelity")))
+
+
+def _landmarks(df: DataFrame, key: str, n: int) -> DataFrame:
+    return E.subsample(df, key, "cls", n, seed=SEED, balanced=False)
+
+
+def cross_gram(spark: SparkSession, sf: str) -> DataFrame:
+    from calibra.operators.kernels import cross_gram as cg, make_kernel
+    v = _vectors(spark, sf)
+    lm = _landmarks(v, "vec_id", N_LANDMARKS)
+    return _r6(cg(v, "vec_id", "embedding", lm, "vec_id", "embedding",
+                  make_kernel("rbf", gamma=GAMMA)))
+
+
+def kernel_sorted(spark: SparkSession, sf: str) -> DataFrame:
+    """K9: first 60 rows of the hash-shuffled table, class-sorted positions,
+    full 60 x 60 Gram."""
+    from calibra.operators import kernels as K
+    v = _vectors(spark, sf)
+    s = K.sorted_positions(_landmarks(v, "vec_id", 60), "vec_id", "cls")
+    g = K.cross_gram(s, "vec_id", "embedding", s, "vec_id", "embedding",
+                     K.make_kernel("rbf", gamma=GAMMA))
+    p = s.select("vec_id", "pos")
+    out = (g.join(p.withColumnRenamed("vec_id", "i").withColumnRenamed("pos", "pos_i"), "i")
+           .join(p.withColumnRenamed("vec_id", "j").withColumnRenamed("pos", "pos_j"), "j"))
+    return _r6(out.select("pos_i", "pos_j", "k"))
+
+
+def phase_embed_zz(spark: SparkSession, sf: str) -> DataFrame:
+    return _embedded(spark, sf, "zz", 2).select("vec_id", "embedding")
+
+
+def phase_embed_custom(spark: SparkSession, sf: str) -> DataFrame:
+    return _embedded(spark, sf, "custom", 2).select("vec_id", "embedding")
+
+
+def fidelity_gram(spark: SparkSession, sf: str) -> DataFrame:
+    from calibra.operators.kernels import gram, make_kernel
+    return _r6(gram(_embedded(spark, sf, "zz", 2), "vec_id", "embedding", make_kernel("fidelity")))
