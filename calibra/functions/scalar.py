@@ -32,10 +32,17 @@ def clip(x: Column | str, lo: float | None, hi: float | None) -> Column:
 
 
 def fmt_num(x: Column | str, digits: int = 3) -> Column:
-    """Fixed-point text; a missing value prints as ``nan``."""
-    c = _c(x)
-    return F.when(c.isNull(), F.lit("nan")).otherwise(
-        F.format_string(f"%.{digits}f", c.cast("double")))
+    """Fixed-point text, half-up at ``digits``; a missing value prints ``nan``.
+
+    Built from integer arithmetic rather than a printf so that the text is the
+    same in every engine (printf implementations round ties differently)."""
+    c = _c(x).cast("double")
+    p = 10 ** digits
+    scaled = F.floor(F.abs(c) * p + F.lit(0.5)).cast("long")
+    text = F.concat(F.when(c < 0, F.lit("-")).otherwise(F.lit("")),
+                    (scaled / p).cast("long").cast("string"), F.lit("."),
+                    F.lpad((scaled % p).cast("string"), digits, "0"))
+    return F.when(c.isNull() | F.isnan(c), F.lit("nan")).otherwise(text)
 
 
 def round6(x: Column | str) -> Column:

@@ -19,6 +19,10 @@ _NAMES = [
     "binary_metrics", "roc_auc", "average_precision", "roc_curve", "pr_curve",
     "rbf_gram", "kernel_stats", "kernel_blocks", "cos2_gram", "cross_gram", "kernel_sorted",
     "phase_embed_zz", "phase_embed_custom", "fidelity_gram",
+    "logreg_scores", "forest_scores", "svm_rbf_scores", "kernel_svm_scores",
+    "prob_classifier_scores", "loss_history", "benchmark_report",
+    "upsert_results", "flatten_results", "model_ranking", "metric_pivot", "metric_bars",
+    "readme_table", "results_json",
 ]
 
 

@@ -262,3 +262,82 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
     q = _prev_oracle()
     _kernel_sql(q)
     return q
+
+
+def _metrics_cte(src: str, name: str) -> str:
+    """Metrics (model, metric, value) of a scored CTE ``src``, unrounded."""
+    return f"""{name}_conf as (select model,
+  sum(case when label = 0 and prediction = 0 then 1 else 0 end) tn,
+  sum(case when label = 0 and prediction = 1 then 1 else 0 end) fp,
+  sum(case when label = 1 and prediction = 0 then 1 else 0 end) fn,
+  sum(case when label = 1 and prediction = 1 then 1 else 0 end) tp from {src} group by model),
+{name}_g as (select model, score, sum(label) p, count(*) - sum(label) n from {src} where score is not null group by model, score),
+{name}_c as (select model, p, n,
+  sum(p) over (partition by model order by score desc rows between unbounded preceding and current row) cp,
+  sum(n) over (partition by model order by score desc rows between unbounded preceding and current row) cn,
+  sum(n) over (partition by model order by score rows between unbounded preceding and current row) cna from {name}_g),
+{name}_m as (
+  select model, 'accuracy' metric, {_sd('tp + tn', 'tp + tn + fp + fn')} value from {name}_conf
+  union all select model, 'balanced_accuracy', case when tp + fn > 0 and tn + fp > 0 then ({_sd('tp', 'tp + fn')} + {_sd('tn', 'tn + fp')}) / 2
+     when tp + fn > 0 then {_sd('tp', 'tp + fn')} else {_sd('tn', 'tn + fp')} end from {name}_conf
+  union all select model, 'precision', {_sd('tp', 'tp + fp')} from {name}_conf
+  union all select model, 'recall', {_sd('tp', 'tp + fn')} from {name}_conf
+  union all select model, 'f1', {_sd('2 * tp', '2 * tp + fp + fn')} from {name}_conf
+  union all select model, 'roc_auc', sum(p * (cna - n * 0.5)) / (cast(sum(p) as double) * sum(n)) from {name}_c
+     group by model having sum(p) > 0 and sum(n) > 0
+  union all select model, 'pr_auc', sum(p * cp / (cp + cn)) / sum(p) from {name}_c
+     group by model having sum(p) > 0 and sum(n) > 0)"""
+
+
+RESULTS = (TOXIC + ", " + ENC + """,
+sd as (
+  select 'punct' as model, doc_id, quality as label, cast(punct_ratio < 0.1 as int) as prediction, -punct_ratio as score from toxic
+  union all select 'length', doc_id, quality, cast(words > 300 as int), cast(words as double) from toxic
+  union all select 'digits', doc_id, quality, cast(digit_ratio > 0.001 as int), digit_ratio from toxic),
+st as (select sd.model, sd.doc_id, t.toxic as label, sd.prediction, sd.score from sd join toxic t on sd.doc_id = t.doc_id),
+se as (
+  select 'price' as model, id, y as label, cast(price > 250000.0 as int) as prediction, price as score from enc
+  union all select 'acctbal', id, y, cast(coalesce(acctbal, 0.0) > 4500.0 as int), coalesce(acctbal, 0.0) from enc),
+""" + _metrics_cte("sd", "sd") + ",\n" + _metrics_cte("se", "se") + ",\n" + _metrics_cte("st", "st") + """,
+res as (select 'classical' block, model, metric, value from sd_m
+  union all select 'qsvm', model, metric, value from se_m
+  union all select 'bonus', model, metric, value from st_m),
+rk as (select *, case block when 'classical' then 1 when 'qsvm' then 2 when 'bonus' then 3 else 4 end r from res),
+flat as (select model, metric, value from rk where (r, block) = (select max((r2.r, r2.block)) from rk r2 where r2.model = rk.model)),
+auc as (select m.model, coalesce(a.value, 0.0) v from (select distinct model from flat) m
+  left join (select model, value from flat where metric = 'roc_auc') a on m.model = a.model),
+ranked as (select model, v as roc_auc, row_number() over (order by v desc, model) as rank from auc)""")
+
+PIVOT_METRICS = ["accuracy", "balanced_accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc"]
+
+
+def _fmt(x: str, d: int) -> str:
+    p = 10 ** d
+    sc = f"cast(floor(abs({x}) * {p} + 0.5) as bigint)"
+    return (f"(case when {x} is null or isnan({x}) then 'nan' else (case when {x} < 0 then '-' else '' end) "
+            f"|| cast({sc} // {p} as varchar) || '.' || lpad(cast({sc} % {p} as varchar), {d}, '0') end)")
+
+
+def _results_sql(q: dict[str, str]) -> None:
+    q["upsert_results"] = (f"with {RESULTS} select block, model, metric, round(value, 6) as value from res "
+                           "where block = 'qsvm' or (block = 'classical' and model = 'punct')")
+    q["flatten_results"] = f"with {RESULTS} select model, metric, round(value, 6) value from flat"
+    q["model_ranking"] = f"with {RESULTS} select model, round(roc_auc, 6) roc_auc, rank from ranked"
+    piv = ", ".join(f"round(max(case when metric = '{m}' then value end), 6) as {m}" for m in PIVOT_METRICS)
+    q["metric_pivot"] = f"with {RESULTS} select model, {piv} from flat group by model"
+    q["metric_bars"] = f"with {RESULTS} select model, round(value, 6) value from flat where metric = 'roc_auc'"
+    cells = " || ' | ' || ".join(
+        ["r.model"] + [_fmt(f"w.{m}", 3) for m in PIVOT_METRICS] + [_fmt("w.train_seconds", 2)])
+    wide = ", ".join(f"round(max(case when metric = '{m}' then value end), 6) as {m}"
+                     for m in PIVOT_METRICS + ["train_seconds"])
+    q["readme_table"] = (f"with {RESULTS}, w as (select model, {wide} from flat group by model) "
+                         f"select r.rank, '| ' || {cells} || ' |' as line from ranked r left join w on r.model = w.model")
+
+
+_prev2 = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    q = _prev2()
+    _results_sql(q)
+    return q

@@ -293,3 +293,109 @@ def phase_embed_custom(spark: SparkSession, sf: str) -> DataFrame:
 def fidelity_gram(spark: SparkSession, sf: str) -> DataFrame:
     from calibra.operators.kernels import gram, make_kernel
     return _r6(gram(_embedded(spark, sf, "zz", 2), "vec_id", "embedding", make_kernel("fidelity")))
+
+
+# ------------------------------------------------------------------- models
+def _bench(spark: SparkSession, sf: str):
+    from dataclasses import replace
+
+    from calibra.plans.benchmark import Benchmark
+    return Benchmark(spark, _toxic(spark, sf), replace(TOXIC_SPEC, target="quality"))
+
+
+def logreg_scores(spark: SparkSession, sf: str) -> DataFrame:
+    b = _bench(spark, sf)
+    b.baseline()
+    return b.scored["classical"].where(F.col("model") == "logreg")
+
+
+def forest_scores(spark: SparkSession, sf: str) -> DataFrame:
+    b = _bench(spark, sf)
+    b.baseline()
+    return b.scored["classical"].where(F.col("model") == "random_forest")
+
+
+def svm_rbf_scores(spark: SparkSession, sf: str) -> DataFrame:
+    b = _bench(spark, sf)
+    b.baseline()
+    return b.scored["classical"].where(F.col("model") == "svm_rbf")
+
+
+def kernel_svm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    b = _bench(spark, sf)
+    b.kernel_svm(("zz", "custom"))
+    return b.scored["qsvm"]
+
+
+def prob_classifier_scores(spark: SparkSession, sf: str) -> DataFrame:
+    b = _bench(spark, sf)
+    b.probabilistic()
+    return b.scored["bonus"]
+
+
+def loss_history(spark: SparkSession, sf: str) -> DataFrame:
+    b = _bench(spark, sf)
+    b.probabilistic()
+    return spark.createDataFrame(b.losses, "model string, iter int, loss double")
+
+
+def benchmark_report(spark: SparkSession, sf: str) -> DataFrame:
+    b = _bench(spark, sf)
+    return b.run_all()
+
+
+# ------------------------------------------------------------------ results
+def _results_blocks(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    from calibra.operators.metrics import binary_metrics as bm
+    from calibra.operators.results import as_results
+    docs = scored_documents(spark, sf)
+    tox = docs.drop("label").join(_toxic(spark, sf).select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    return {
+        "classical": as_results(bm(docs), "classical"),
+        "qsvm": as_results(bm(scored_encounters(spark, sf)), "qsvm"),
+        "bonus": as_results(bm(tox), "bonus"),
+    }
+
+
+def upsert_results(spark: SparkSession, sf: str) -> DataFrame:
+    from calibra.operators.results import upsert
+    b = _results_blocks(spark, sf)
+    old = b["classical"].unionByName(b["qsvm"])
+    new = b["classical"].where(F.col("model") == "punct")
+    return _r6(upsert(old, new))
+
+
+def _flat(spark: SparkSession, sf: str) -> DataFrame:
+    from calibra.operators.results import flatten
+    b = _results_blocks(spark, sf)
+    return flatten(b["classical"].unionByName(b["qsvm"]).unionByName(b["bonus"]))
+
+
+def flatten_results(spark: SparkSession, sf: str) -> DataFrame:
+    return _r6(_flat(spark, sf))
+
+
+def model_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    from calibra.operators.results import rank_models
+    return _r6(rank_models(_flat(spark, sf)))
+
+
+def metric_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    from calibra.operators.results import pivot_metrics
+    return _r6(pivot_metrics(_flat(spark, sf)))
+
+
+def metric_bars(spark: SparkSession, sf: str) -> DataFrame:
+    from calibra.operators.results import metric_bars as mb
+    return _r6(mb(_flat(spark, sf), "roc_auc"))
+
+
+def readme_table(spark: SparkSession, sf: str) -> DataFrame:
+    from calibra.operators.results import markdown_rows
+    return markdown_rows(_flat(spark, sf).select("model", "metric", F.round("value", 6).alias("value")))
+
+
+def results_json(spark: SparkSession, sf: str) -> DataFrame:
+    from calibra.operators.results import nested_json
+    b = _results_blocks(spark, sf)
+    return nested_json(b["classical"].unionByName(b["qsvm"]).unionByName(b["bonus"]))
