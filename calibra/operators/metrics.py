@@ -26,30 +26,40 @@ def score_counts(scored: DataFrame, label: str = "label", score: str = "score",
             .groupBy(by, score).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n")))
 
 
-def _cum(g: DataFrame, by: str, score: str, ascending: bool) -> DataFrame:
-    g = g.withColumn("one", F.lit(1.0))
-    return dist_cumsum(g, [by], [(score, ascending)], {"cp": "p", "cn": "n", "idx": "one"})
+def curve_counts(scored: DataFrame, label: str = "label", score: str = "score",
+                 by: str = "model") -> DataFrame:
+    """Distinct scores descending with running counts: (model, score, p, n,
+    cp, cn, idx) -- cp/cn = positives/negatives scoring >= score, idx = 1-based
+    position.  One ``dist_cumsum``; AUC, AP and both curves derive from it."""
+    g = score_counts(scored, label, score, by).withColumn("one", F.lit(1.0))
+    return dist_cumsum(g, [by], [(score, False)], {"cp": "p", "cn": "n", "idx": "one"})
+
+
+def _auc_ap(c: DataFrame, by: str) -> DataFrame:
+    """AUC (ties half credit) and step AP from the descending running counts.
+
+    For a positive at score s the negatives below s are N - cn, and the tied
+    negatives count half: credit = N - cn + n / 2."""
+    a = c.groupBy(by).agg(
+        F.sum("p").alias("pos_all"), F.sum("n").alias("neg_all"),
+        F.sum(F.col("p") * (F.col("n") * 0.5 - F.col("cn"))).alias("u"),
+        F.sum(F.col("p") * F.col("cp") / (F.col("cp") + F.col("cn"))).alias("ap_num"))
+    a = a.where((F.col("pos_all") > 0) & (F.col("neg_all") > 0))
+    auc = (F.col("u") + F.col("pos_all") * F.col("neg_all")) / (
+        F.col("pos_all").cast("double") * F.col("neg_all"))
+    return a.select(by, auc.alias("roc_auc"), (F.col("ap_num") / F.col("pos_all")).alias("pr_auc"))
 
 
 def roc_auc(scored: DataFrame, label: str = "label", score: str = "score",
             by: str = "model") -> DataFrame:
     """V2: area under ROC, tied scores count half (Mann-Whitney form)."""
-    g = _cum(score_counts(scored, label, score, by), by, score, True)
-    a = g.groupBy(by).agg(F.sum(F.col("p") * (F.col("cn") - F.col("n") * 0.5)).alias("num"),
-                          F.sum("p").alias("pos_all"), F.sum("n").alias("neg_all"))
-    return a.where((F.col("pos_all") > 0) & (F.col("neg_all") > 0)).select(
-        by, (F.col("num") / (F.col("pos_all").cast("double") * F.col("neg_all"))).alias("roc_auc"))
+    return _auc_ap(curve_counts(scored, label, score, by), by).select(by, "roc_auc")
 
 
 def average_precision(scored: DataFrame, label: str = "label", score: str = "score",
                       by: str = "model") -> DataFrame:
     """V3: step-wise average precision sum((R_n - R_n-1) * P_n), never trapezoid."""
-    g = _cum(score_counts(scored, label, score, by), by, score, False)
-    a = g.groupBy(by).agg(
-        F.sum(F.col("p") * F.col("cp") / (F.col("cp") + F.col("cn"))).alias("num"),
-        F.sum("p").alias("pos_all"), F.sum("n").alias("neg_all"))
-    return a.where((F.col("pos_all") > 0) & (F.col("neg_all") > 0)).select(
-        by, (F.col("num") / F.col("pos_all")).alias("pr_auc"))
+    return _auc_ap(curve_counts(scored, label, score, by), by).select(by, "pr_auc")
 
 
 def _neighbours(g: DataFrame, by: str) -> DataFrame:
@@ -64,7 +74,7 @@ def roc_curve(scored: DataFrame, label: str = "label", score: str = "score",
               by: str = "model", drop_intermediate: bool = True) -> DataFrame:
     """V4: (model, threshold, fpr, tpr), thresholds descending; collinear points
     dropped; the origin (threshold NULL) added.  Single-class models skipped."""
-    g = _cum(score_counts(scored, label, score, by), by, score, False)
+    g = curve_counts(scored, label, score, by)
     tot = g.groupBy(by).agg(F.sum("p").alias("pos_all"), F.sum("n").alias("neg_all"),
                             F.max("idx").alias("m"))
     tot = tot.where((F.col("pos_all") > 0) & (F.col("neg_all") > 0))
@@ -85,7 +95,7 @@ def pr_curve(scored: DataFrame, label: str = "label", score: str = "score",
              by: str = "model") -> DataFrame:
     """V5: (model, threshold, precision, recall) at every distinct score, plus
     the end point (recall 0, precision 1, threshold NULL)."""
-    g = _cum(score_counts(scored, label, score, by), by, score, False)
+    g = curve_counts(scored, label, score, by)
     tot = g.groupBy(by).agg(F.sum("p").alias("pos_all"), F.sum("n").alias("neg_all"))
     tot = tot.where((F.col("pos_all") > 0) & (F.col("neg_all") > 0))
     g = g.join(tot, by)
@@ -125,9 +135,8 @@ def binary_metrics(scored: DataFrame, label: str = "label", pred: str = "predict
     names = ["accuracy", "balanced_accuracy", "precision", "recall", "f1"]
     long = th.unpivot([by], names, "metric", "value")
     if score is not None:
-        auc = roc_auc(scored, label, score, by).unpivot([by], ["roc_auc"], "metric", "value")
-        ap = average_precision(scored, label, score, by).unpivot([by], ["pr_auc"], "metric", "value")
-        long = long.unionByName(auc).unionByName(ap)
+        both = _auc_ap(curve_counts(scored, label, score, by), by)
+        long = long.unionByName(both.unpivot([by], ["roc_auc", "pr_auc"], "metric", "value"))
     if runs is not None:
         long = long.unionByName(runs.select(by, F.lit("train_seconds").alias("metric"),
                                             F.col("train_seconds").cast("double").alias("value")))

@@ -42,7 +42,8 @@ def select_ranks(df: DataFrame, group_cols: list[str], value_col: str,
     ``value_col`` is numeric and defines the order (NULLs skipped); rows equal
     in it are ordered by ``order_col`` (default: the value itself) then
     ``tiebreak``.  ``ranks`` maps a tag to a function of the group size ``n``
-    giving a 1-based rank.  Returns ``group_cols + [tag, n, k, value, ...]``.
+    giving a 1-based rank.  Returns ``group_cols + [tag, group_n, rank, value,
+    order_col?, *tiebreak]``.
     """
     g = list(group_cols)
     extra = list(tiebreak)
@@ -60,7 +61,7 @@ def select_ranks(df: DataFrame, group_cols: list[str], value_col: str,
     lo, hi = _bracket(F.col("_q"), F.col("_k"), F.col("_n"), grid)
     t = tg.select(*g, "tag", "_n", "_k", lo.alias("_lo"), hi.alias("_hi"),
                   F.lit(0).cast("long").alias("_below"))
-    t = _recount(base, t, g).persist()
+    t = _materialize(_recount(base, t, g))
 
     plain = not order_col and not extra
     for _ in range(max_rounds):
@@ -75,24 +76,39 @@ def select_ranks(df: DataFrame, group_cols: list[str], value_col: str,
         t2 = t.join(sk2, g + ["tag"])
         lo, hi = _bracket(F.col("_q"), F.col("_k") - F.col("_below"), F.col("_in"), grid)
         t = t2.select(*g, "tag", "_n", "_k", lo.alias("_lo"), hi.alias("_hi"), "_below")
-        t = _recount(base, t, g).persist()
+        t = _materialize(_recount(base, t, g))
 
     done = None
     if plain:
         done = t.where(F.col("_lo") == F.col("_hi")).select(
-            *g, "tag", F.col("_n").alias("n"), F.col("_k").alias("k"), F.col("_lo").alias("value"))
+            *g, "tag", F.col("_n").alias("group_n"), F.col("_k").alias("rank"), F.col("_lo").alias("value"))
         t = t.where(F.col("_lo") != F.col("_hi"))
     cand = _in_bracket(base, t, g)
     order = [F.col("_v"), *([F.col("_o")] if order_col else []), *[F.col(c) for c in extra]]
     w = Window.partitionBy(*g, "tag").orderBy(*order)
     picked = (cand.withColumn("_rn", F.row_number().over(w) + F.col("_below"))
               .where(F.col("_rn") == F.col("_k")))
-    out = picked.select(*g, "tag", F.col("_n").alias("n"), F.col("_k").alias("k"),
+    out = picked.select(*g, "tag", F.col("_n").alias("group_n"), F.col("_k").alias("rank"),
                         F.col("_v").alias("value"),
                         *([F.col("_o").alias(order_col)] if order_col else []), *extra)
     return out.unionByName(done) if done is not None else out
 
 
+LOCAL_TARGETS = 100_000
+
+
+def _materialize(t: DataFrame) -> DataFrame:
+    """Cut the lineage of the (group, tag) target table between rounds.
+
+    It has one row per group and tag, so it is normally tiny and is rebuilt
+    from its rows; a large one goes through a reliable checkpoint instead."""
+    n = t.count()
+    if n <= LOCAL_TARGETS:
+        return t.sparkSession.createDataFrame(t.collect(), t.schema)
+    from calibra.session import cut_lineage
+    return cut_lineage(t)
+
+
 def _in_bracket(base: DataFrame, t: DataFrame, g: list[str]) -> DataFrame:
     small = t.select(*g, "tag", "_n", "_k", "_lo", "_hi", "_below")
     j = base.join(F.broadcast(small), g) if g else base.crossJoin(F.broadcast(small))
