@@ -294,3 +294,17 @@ def rbf_gamma_scale(df: DataFrame, vec: str) -> float:
     dim = df.select(F.size(vec).alias("d")).first()["d"]
     v = df.select(F.explode(vec).alias("x")).agg(F.var_pop("x").alias("v")).first()["v"]
     return 1.0 / (dim * v) if v else 1.0
+
+
+def eigen_range(landmarks: DataFrame, key: str, vec: str, kernel: Kernel) -> DataFrame:
+    """K8: smallest and largest eigenvalue of the Gram of a bounded landmark
+    set (size-checked; eigen-decomposed on the driver)."""
+    m = landmarks.count()
+    if m > MAX_LANDMARKS:
+        raise ValueError(f"{m} rows exceed the bound {MAX_LANDMARKS}")
+    rows = sorted(landmarks.select(key, vec).collect(), key=lambda r: r[0])
+    x = np.array([np.asarray(r[1], dtype=np.float64) for r in rows])
+    ev = np.linalg.eigvalsh(kernel.matrix(x, x)) if len(x) else np.array([np.nan])
+    spark = landmarks.sparkSession
+    return spark.createDataFrame([(int(m), float(ev.min()), float(ev.max()))],
+                                 "n long, eig_min double, eig_max double")

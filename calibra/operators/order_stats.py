@@ -35,7 +35,7 @@ def _bracket(q: Column, k: Column, n: Column, grid: int) -> tuple[Column, Column
 
 def select_ranks(df: DataFrame, group_cols: list[str], value_col: str,
                  ranks: dict[str, RankFn], tiebreak: tuple[str, ...] = (),
-                 order_col: str | None = None, grid: int = 200, accuracy: int = 100_000,
+                 order_col: str | None = None, grid: int = 1000, accuracy: int = 100_000,
                  max_bracket: int = 1_000_000, max_rounds: int = 8) -> DataFrame:
     """Rows at given ranks, per group.
 
@@ -61,22 +61,21 @@ def select_ranks(df: DataFrame, group_cols: list[str], value_col: str,
     lo, hi = _bracket(F.col("_q"), F.col("_k"), F.col("_n"), grid)
     t = tg.select(*g, "tag", "_n", "_k", lo.alias("_lo"), hi.alias("_hi"),
                   F.lit(0).cast("long").alias("_below"))
-    t = _materialize(_recount(base, t, g))
-
     plain = not order_col and not extra
+    # a bracket holding one repeated value is already answered when the value
+    # alone orders the rows (hot values never reach the window below)
+    t = t.withColumn("_keep_open", F.lit(not plain))
+    t, worst = _materialize(_recount(base, t, g))
+
     for _ in range(max_rounds):
-        # a bracket holding one repeated value is already answered (hot values
-        # never reach the window below)
-        open_t = t.where(F.col("_lo") != F.col("_hi")) if plain else t
-        worst = open_t.agg(F.max("_in").alias("m")).first()["m"]
         if worst is None or worst <= max_bracket:
             break
         cand = _in_bracket(base, t, g)
         sk2 = cand.groupBy(*g, "tag").agg(F.percentile_approx("_v", percs, accuracy).alias("_q"))
         t2 = t.join(sk2, g + ["tag"])
         lo, hi = _bracket(F.col("_q"), F.col("_k") - F.col("_below"), F.col("_in"), grid)
-        t = t2.select(*g, "tag", "_n", "_k", lo.alias("_lo"), hi.alias("_hi"), "_below")
-        t = _materialize(_recount(base, t, g))
+        t = t2.select(*g, "tag", "_n", "_k", lo.alias("_lo"), hi.alias("_hi"), "_below", "_keep_open")
+        t, worst = _materialize(_recount(base, t, g))
 
     done = None
     if plain:
@@ -97,16 +96,21 @@ def select_ranks(df: DataFrame, group_cols: list[str], value_col: str,
 LOCAL_TARGETS = 100_000
 
 
-def _materialize(t: DataFrame) -> DataFrame:
-    """Cut the lineage of the (group, tag) target table between rounds.
+def _materialize(t: DataFrame) -> tuple[DataFrame, int | None]:
+    """Cut the lineage of the (group, tag) target table between rounds and
+    return it with its largest open bracket.
 
     It has one row per group and tag, so it is normally tiny and is rebuilt
-    from its rows; a large one goes through a reliable checkpoint instead."""
-    n = t.count()
-    if n <= LOCAL_TARGETS:
-        return t.sparkSession.createDataFrame(t.collect(), t.schema)
+    from its rows (one job); a large one goes through a reliable checkpoint."""
+    rows = t.limit(LOCAL_TARGETS + 1).collect()
+    if len(rows) <= LOCAL_TARGETS:
+        open_in = [r["_in"] for r in rows if r["_lo"] != r["_hi"] or r["_keep_open"]]
+        return t.sparkSession.createDataFrame(rows, t.schema), max(open_in, default=None)
     from calibra.session import cut_lineage
-    return cut_lineage(t)
+    t = cut_lineage(t)
+    worst = t.where((F.col("_lo") != F.col("_hi")) | F.col("_keep_open")).agg(
+        F.max("_in")).first()[0]
+    return t, worst
 
 
 def _in_bracket(base: DataFrame, t: DataFrame, g: list[str]) -> DataFrame:
@@ -127,7 +131,7 @@ def _recount(base: DataFrame, t: DataFrame, g: list[str]) -> DataFrame:
         F.sum((F.col("_v") < F.col("_lo")).cast("long")).alias("_b"),
         F.sum(((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))).cast("long")).alias("_in"))
     out = t.join(cnt, g + ["tag"], "left")
-    return out.select(*g, "tag", "_n", "_k", "_lo", "_hi",
+    return out.select(*g, "tag", "_n", "_k", "_lo", "_hi", "_keep_open",
                       F.coalesce(F.col("_b"), F.lit(0)).alias("_below"),
                       F.coalesce(F.col("_in"), F.lit(0)).alias("_in"))
 

@@ -86,3 +86,17 @@ def confusion(scored: DataFrame, label: str = "label", pred: str = "prediction",
 def n_classes(scored: DataFrame, label: str = "label", by: tuple[str, ...] = ("model",)) -> DataFrame:
     """Distinct classes per model (AUC needs two)."""
     return scored.groupBy(*by).agg(F.countDistinct(label).alias("n_classes"))
+
+
+# Display names of the two classes in the confusion table.
+CLASS_NAMES = ("Survived", "Died")
+
+
+def confusion_long(scored: DataFrame, label: str = "label", pred: str = "prediction",
+                   by: str = "model", names: tuple[str, str] = CLASS_NAMES) -> DataFrame:
+    """V6: (model, actual, predicted, n) with all four cells present."""
+    c = confusion(scored, label, pred, (by,))
+    cells = F.array(*[F.struct(F.lit(names[a]).alias("actual"), F.lit(names[p]).alias("predicted"),
+                               F.col(col).alias("n"))
+                      for a, p, col in ((0, 0, "tn"), (0, 1, "fp"), (1, 0, "fn"), (1, 1, "tp"))])
+    return c.select(by, F.explode(cells).alias("c")).select(by, "c.actual", "c.predicted", "c.n")

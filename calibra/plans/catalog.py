@@ -23,6 +23,9 @@ _NAMES = [
     "prob_classifier_scores", "loss_history", "benchmark_report",
     "upsert_results", "flatten_results", "model_ranking", "metric_pivot", "metric_bars",
     "readme_table", "results_json",
+    "synthetic_table", "synthetic_label", "csv_roundtrip", "prepared_roundtrip",
+    "gather_rows", "balanced_subsample", "uniform_subsample", "table_shape",
+    "confusion_table", "kernel_eigen_range", "streaming_standardize",
 ]
 
 

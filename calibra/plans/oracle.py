@@ -341,3 +341,96 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
     q = _prev2()
     _results_sql(q)
     return q
+
+
+def _u(key: str, purpose: str) -> str:
+    return (f"(('0x' || substr(md5(cast({key} as varchar) || ':42:{purpose}'), 1, 13))::BIGINT "
+            "/ 4503599627370496.0)")
+
+
+def _normal(key: str, purpose: str, mean: float, sd: float) -> str:
+    return (f"({mean!r} + {sd!r} * (sqrt(-2.0 * ln(1.0 - {_u(key, purpose + ':a')})) "
+            f"* cos(6.283185307179586 * {_u(key, purpose + ':b')})))")
+
+
+def _synthetic_sql() -> str:
+    from calibra.sources import synthetic as S
+    k = "o_orderkey"
+    sel = [f"{k} as encounter_id", f"{k} as patient_id"]
+    for name, kind, par, (lo, hi) in S.CONTINUOUS:
+        if kind == "exp":
+            raw = f"(-{par[0]!r} * ln(1.0 - {_u(k, name)}))"
+        else:
+            raw = _normal(k, name, float(par[0]), float(par[1]))
+            if kind == "absnormal":
+                raw = f"abs({raw})"
+        sel.append(f"greatest({float(lo)!r}, least({raw}, {float(hi)!r})) as {name}")
+    for name, values, probs in S.CHOICES:
+        acc, parts = 0.0, []
+        for v, p in zip(values[:-1], probs[:-1]):
+            acc += p
+            lit = f"'{v}'" if isinstance(v, str) else str(v)
+            parts.append(f"when {_u(k, name)} < {acc!r} then {lit}")
+        last = f"'{values[-1]}'" if isinstance(values[-1], str) else str(values[-1])
+        sel.append(f"case {' '.join(parts)} else {last} end as {name}")
+    sev = " + ".join(
+        (f"abs({n} - {c!r}) * {w!r}" if n == "temp_apache" else f"({n} - {c!r}) * {w!r}")
+        for n, w, c in S.SEVERITY)
+    e = "encounter_id"
+    score = (f"greatest({S.SCORE_CLIP[0]!r}, least(1.0 / (1.0 + exp(-(sev - {S.SCORE_OFFSET!r}))) + "
+             f"{_normal(e, 'score_noise', 0.0, S.SCORE_NOISE)}, {S.SCORE_CLIP[1]!r}))")
+    pdeath = f"1.0 / (1.0 + exp(-(sev - {S.LABEL_OFFSET!r} + {_normal(e, 'label_noise', 0.0, S.LABEL_NOISE)})))"
+    miss = {c: f"case when {_u(e, 'missing:' + c)} < {S.MISSING_RATE!r} then null else {{v}} end"
+            for c in S.MISSING_COLUMNS}
+    cols = (["encounter_id", "patient_id"] + [c[0] for c in S.CONTINUOUS]
+            + ["gcs_eyes_apache", "gcs_motor_apache", "gcs_verbal_apache",
+               "apache_4a_hospital_death_prob", "gender", "ethnicity", "icu_type",
+               "elective_surgery", "hospital_death"])
+    final = []
+    for c in cols:
+        v = c
+        if c in miss:
+            v = miss[c].format(v=c)
+        if c in [x[0] for x in S.CONTINUOUS] or c == "apache_4a_hospital_death_prob":
+            v = f"round({v}, 6)"
+        final.append(f"{v} as {c}")
+    return (f"with b as (select {', '.join(sel)} from orders), "
+            f"s as (select *, {sev} as sev from b), "
+            f"l as (select *, {score} as apache_4a_hospital_death_prob, "
+            f"cast({_u(e, 'label')} < {pdeath} as int) as hospital_death from s) "
+            f"select {', '.join(final)} from l")
+
+
+def _misc_sql(q: dict[str, str]) -> None:
+    q["synthetic_table"] = _synthetic_sql()
+    q["synthetic_label"] = (f"with t as ({_synthetic_sql()}) "
+                            "select hospital_death, count(*) as n from t group by hospital_death")
+    q["csv_roundtrip"] = q["curated_projection"].replace(
+        "select id, acctbal, price, seg, priority, y from enc", "select * from enc")
+    q["prepared_roundtrip"] = q["standardize"]
+    q["streaming_standardize"] = q["standardize"]
+    q["gather_rows"] = (f"with {ENC} select l_orderkey, l_linenumber, l_quantity from lineitem "
+                        f"where l_orderkey in (select id from enc where {SPLIT} = 'test')")
+    q["balanced_subsample"] = (f"with {TOXIC}, c as (select count(*) filter (where toxic = 1) np, count(*) nt from toxic), "
+                               "r as (select doc_id, toxic, row_number() over (partition by toxic order by "
+                               "md5(cast(doc_id as varchar) || ':42'), doc_id) rn from toxic), "
+                               "q as (select least(50, np) a, nt from c) "
+                               "select doc_id, toxic from r, q where "
+                               "(q.nt <= 100) or (toxic = 1 and rn <= q.a) or (toxic = 0 and rn <= 100 - q.a)")
+    q["uniform_subsample"] = (f"with {TOXIC} select doc_id, toxic from toxic "
+                              "order by md5(cast(doc_id as varchar) || ':42'), doc_id limit 100")
+    q["table_shape"] = f"with {ENC} select count(*) as n_rows, 6 as n_cols from enc"
+    q["confusion_table"] = (f"with {SCORED_DOCS}, {CONF} "
+                            "select model, 'Survived' actual, 'Survived' predicted, tn n from conf "
+                            "union all select model, 'Survived', 'Died', fp from conf "
+                            "union all select model, 'Died', 'Survived', fn from conf "
+                            "union all select model, 'Died', 'Died', tp from conf")
+
+
+_prev3 = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    q = _prev3()
+    _misc_sql(q)
+    return q

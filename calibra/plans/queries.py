@@ -399,3 +399,98 @@ def results_json(spark: SparkSession, sf: str) -> DataFrame:
     from calibra.operators.results import nested_json
     b = _results_blocks(spark, sf)
     return nested_json(b["classical"].unionByName(b["qsvm"]).unionByName(b["bonus"]))
+
+
+# ------------------------------------------------------- sources and sinks
+def _scratch(spark: SparkSession, tag: str) -> str:
+    import uuid
+
+    from calibra.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def synthetic_table(spark: SparkSession, sf: str) -> DataFrame:
+    """One synthetic encounter per order key."""
+    from calibra.sources.synthetic import synthetic_encounters
+    keys = read_table(spark, sf, "orders").select("o_orderkey")
+    return _r6(synthetic_encounters(keys, "o_orderkey", seed=SEED))
+
+
+def synthetic_label(spark: SparkSession, sf: str) -> DataFrame:
+    from calibra.sources.synthetic import synthetic_encounters
+    keys = read_table(spark, sf, "orders").select("o_orderkey")
+    s = synthetic_encounters(keys, "o_orderkey", seed=SEED)
+    return s.groupBy("hospital_death").agg(F.count(F.lit(1)).alias("n"))
+
+
+def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Encounters -> header CSV with NA markers -> read with schema."""
+    from calibra.sources.files import read_csv, write_csv
+    enc = encounters(spark, sf)
+    path = _scratch(spark, "csv")
+    write_csv(enc, path)
+    return read_csv(spark, path, schema=enc.schema)
+
+
+def prepared_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """S3: standardised rows written partitioned by split, read back."""
+    from calibra.sources.files import read_prepared, write_prepared
+    path = _scratch(spark, "prepared")
+    write_prepared(standardize(spark, sf), path)
+    return read_prepared(spark, path)
+
+
+def gather_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Lineitem rows of the orders that fall in the test split (semi join)."""
+    test_keys = E.split_hash(encounters(spark, sf).select("id"), "id", seed=SEED).where(
+        F.col("split") == "test")
+    li = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return li.join(test_keys, li.l_orderkey == test_keys.id, "left_semi")
+
+
+def balanced_subsample(spark: SparkSession, sf: str) -> DataFrame:
+    """100 rows, half toxic, by hash order."""
+    d = _toxic(spark, sf).select("doc_id", "toxic")
+    return E.subsample(d, "doc_id", "toxic", 100, seed=SEED)
+
+
+def uniform_subsample(spark: SparkSession, sf: str) -> DataFrame:
+    d = _toxic(spark, sf).select("doc_id", "toxic")
+    return E.subsample(d, "doc_id", "toxic", 100, seed=SEED, balanced=False)
+
+
+def table_shape(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and columns of the encounter view."""
+    enc = encounters(spark, sf)
+    return enc.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_cols", F.lit(len(enc.columns)))
+
+
+def confusion_table(spark: SparkSession, sf: str) -> DataFrame:
+    """V6: 2x2 counts per model with class names as rows and columns."""
+    from calibra.operators.profile import confusion_long
+    return confusion_long(scored_documents(spark, sf))
+
+
+def kernel_eigen_range(spark: SparkSession, sf: str) -> DataFrame:
+    """K8: extreme eigenvalues of the landmark Gram (bounded, on the driver)."""
+    from calibra.operators import kernels as K
+    v = _vectors(spark, sf)
+    lm = _landmarks(v, "vec_id", N_LANDMARKS)
+    return K.eigen_range(lm, "vec_id", "embedding", K.make_kernel("rbf", gamma=GAMMA))
+
+
+def streaming_standardize(spark: SparkSession, sf: str) -> DataFrame:
+    """Batch-fitted preparation applied to orders arriving as a stream."""
+    from calibra.sources.tables import encounters_from
+    from calibra.streaming.scoring import prepare_stream, run_available_now
+    enc = encounters(spark, sf)
+    params = P.fit_clean(enc, ENC_SPEC)
+    fitted = E.split_hash(P.one_hot(P.impute(enc, params), params), "id", seed=SEED)
+    scaler = {r["feature"]: (r["mean"], r["std"]) for r in N.fit_scaler(
+        fitted.where(F.col("split") == "train"), params.encoded_columns).collect()}
+    orders = read_table(spark, sf, "orders")
+    stream = (spark.readStream.schema(orders.schema).option("pathGlobFilter", "orders.parquet")
+              .parquet(sf.rstrip("/")))
+    live = encounters_from(stream, read_table(spark, sf, "customer"))
+    path = run_available_now(prepare_stream(live, params, scaler, "id", SEED))
+    return _r6(spark.read.parquet(path))

@@ -41,9 +41,15 @@ def _blank(key: str, tag: str, value: str):
 
 def encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders ⋈ customer -> (id, acctbal, seg, price, priority, y)."""
-    o = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
-    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    return encounters_from(read_table(spark, sf_dir, "orders"),
+                           read_table(spark, sf_dir, "customer"))
+
+
+def encounters_from(orders: DataFrame, customer: DataFrame) -> DataFrame:
+    """The encounter view over given frames (``orders`` may be a stream:
+    a stream-static inner join)."""
+    o = orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
+    c = customer.select("c_custkey", "c_acctbal", "c_mktsegment")
     j = o.join(c, o.o_custkey == c.c_custkey, "inner")
     return j.select(
         F.col("o_orderkey").alias("id"),
