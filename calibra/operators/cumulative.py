@@ -8,8 +8,8 @@ everything.  ``dist_cumsum`` instead
 2. adds per-partition running sums with an Arrow batch function (narrow),
 3. aggregates per-(partition, group) totals -- at most partitions + groups
    rows -- and turns them into offsets with a small window,
-4. adds the offsets back with a join that AQE turns into a broadcast only
-   when the runtime size of the totals table is below the broadcast threshold.
+4. adds the offsets back with a join that is broadcast only when the totals
+   table is counted to be under ``BROADCAST_ROWS``.
 
 A hot group simply spans many range partitions, so skew costs nothing extra.
 """
@@ -22,6 +22,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+BROADCAST_ROWS = 200_000
+
+
 def _sort_cols(by: list[str], order: list[tuple[str, bool]]) -> list[Column]:
     return [F.col(b).asc() for b in by] + [
         F.col(c).asc() if asc else F.col(c).desc() for c, asc in order]
@@ -72,9 +75,11 @@ def dist_cumsum(df: DataFrame, by: list[str], order: list[tuple[str, bool]],
     w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select("_pid", *by, *[F.coalesce(F.sum(f"_t_{o}").over(w), F.lit(0.0)).alias(f"_o_{o}")
                                     for o in outs])
-    # the offsets table has at most (partitions + groups) rows; AQE measures it
-    # at runtime and broadcasts it only when it is actually small
-    j = loc.join(off, ["_pid", *by], "left")
+    # the offsets table has at most (partitions + groups) rows; it is counted
+    # (a cheap job over the persisted partials) and broadcast only under the
+    # bound, so the big side is never shuffled for this join
+    small = off.count() <= BROADCAST_ROWS
+    j = loc.join(F.broadcast(off) if small else off, ["_pid", *by], "left")
     res = j.select(*[F.col(c) for c in df.columns],
                    *[(F.col(f"_l_{o}") + F.col(f"_o_{o}")).alias(o) for o in outs])
     return res
