@@ -128,7 +128,7 @@ def oracle_sql() -> dict[str, str]:
                              + _anova_sql("li", LINE_FEATURES, "y")
                              + " select feature, idx, round(f_score, 6) f_score from scores")
     q["top_k_features"] = (f"with {TOXIC}, " + _anova_sql("toxic", TOXIC_NUM, "toxic")
-                           + ", r as (select *, row_number() over (order by f_score desc nulls last, idx desc) as rank from scores) "
+                           + ", r as (select *, cast(row_number() over (order by f_score desc nulls last, idx desc) as int) as rank from scores) "
                            "select feature, idx, round(f_score, 6) f_score, rank from r where rank <= 3")
     return q
 
@@ -251,7 +251,7 @@ def _kernel_sql(q: dict[str, str]) -> None:
                       "from s6 a join s6 b on a.vec_id <= b.vec_id")
     q["cross_gram"] = (f"with {VEC}, {LM.format(n=64)} select a.vec_id i, b.vec_id j, round({RBF}, 6) k "
                        "from v a cross join lm b")
-    q["kernel_sorted"] = (f"with {VEC}, {LM.format(n=60)}, s as (select *, row_number() over (order by cls, vec_id) - 1 pos from lm) "
+    q["kernel_sorted"] = (f"with {VEC}, {LM.format(n=60)}, s as (select *, cast(row_number() over (order by cls, vec_id) - 1 as int) pos from lm) "
                           f"select a.pos pos_i, b.pos pos_j, round({RBF}, 6) k from s a cross join s b")
 
 
@@ -306,7 +306,7 @@ rk as (select *, case block when 'classical' then 1 when 'qsvm' then 2 when 'bon
 flat as (select model, metric, value from rk where (r, block) = (select max((r2.r, r2.block)) from rk r2 where r2.model = rk.model)),
 auc as (select m.model, coalesce(a.value, 0.0) v from (select distinct model from flat) m
   left join (select model, value from flat where metric = 'roc_auc') a on m.model = a.model),
-ranked as (select model, v as roc_auc, row_number() over (order by v desc, model) as rank from auc)""")
+ranked as (select model, v as roc_auc, cast(row_number() over (order by v desc, model) as int) as rank from auc)""")
 
 PIVOT_METRICS = ["accuracy", "balanced_accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc"]
 

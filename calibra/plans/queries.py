@@ -305,20 +305,20 @@ def _bench(spark: SparkSession, sf: str):
 
 def logreg_scores(spark: SparkSession, sf: str) -> DataFrame:
     b = _bench(spark, sf)
-    b.baseline()
-    return b.scored["classical"].where(F.col("model") == "logreg")
+    b.baseline(("logreg",))
+    return b.scored["classical"]
 
 
 def forest_scores(spark: SparkSession, sf: str) -> DataFrame:
     b = _bench(spark, sf)
-    b.baseline()
-    return b.scored["classical"].where(F.col("model") == "random_forest")
+    b.baseline(("random_forest",))
+    return b.scored["classical"]
 
 
 def svm_rbf_scores(spark: SparkSession, sf: str) -> DataFrame:
     b = _bench(spark, sf)
-    b.baseline()
-    return b.scored["classical"].where(F.col("model") == "svm_rbf")
+    b.baseline(("svm_rbf",))
+    return b.scored["classical"]
 
 
 def kernel_svm_scores(spark: SparkSession, sf: str) -> DataFrame:
