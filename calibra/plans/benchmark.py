@@ -46,7 +46,9 @@ class Prepared:
 def prepare(df: DataFrame, spec: FeatureSpec, k: int = QUBITS, n: int = SUBSAMPLE,
             seed: int = SEED, split_mode: str = "hash", fit_scope: str = "all") -> Prepared:
     """P1 -> I5 -> E1 -> N1 -> N3 -> E3."""
-    df = P.drop_null_target(P.select_features(df, spec), spec)
+    # the curated projection is scanned by several fitting passes (medians,
+    # category counts, moments, scores): read / join the sources once
+    df = P.drop_null_target(P.select_features(df, spec), spec).persist(StorageLevel.MEMORY_AND_DISK)
     if fit_scope == "train":
         pre = E.split_hash(df, spec.key, seed) if split_mode == "hash" else \
             E.split_exact(df, spec.key, spec.target, seed)

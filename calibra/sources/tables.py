@@ -69,7 +69,7 @@ def text_features(text: str = "text"):
     punct = F.length(F.regexp_replace(t, "[A-Za-z0-9 \t\n\r]", ""))
     newlines = n - F.length(F.regexp_replace(t, "\n", ""))
     return {
-        "words": F.size(F.regexp_extract_all(t, F.lit(_WORD), 0)).cast("long"),
+        "words": F.regexp_count(t, F.lit(_WORD)).cast("long"),
         "digit_ratio": F.when(n == 0, F.lit(0.0)).otherwise(digits / n),
         "punct_ratio": F.when(n == 0, F.lit(0.0)).otherwise(punct / n),
         "lines": (newlines + 1).cast("long"),
