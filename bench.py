@@ -33,8 +33,10 @@ def main() -> None:
     spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=int(cpus))
     qs = catalog.queries()
     names = [n for n in only if n != "models"] or HEADLINE
-    # warm the JVM / Python workers outside the clock
+    # warm the JVM and the Python/Arrow workers outside the clock
     qs["clip_columns"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    spark.range(64).repartition(int(cpus)).mapInPandas(lambda it: it, "id long") \
+        .write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
     for name in names:
         t0 = time.perf_counter()

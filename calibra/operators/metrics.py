@@ -108,9 +108,9 @@ def pr_curve(scored: DataFrame, label: str = "label", score: str = "score",
 
 
 def threshold_metrics(scored: DataFrame, label: str = "label", pred: str = "prediction",
-                      by: str = "model") -> DataFrame:
+                      by: str = "model", weight: str | None = None) -> DataFrame:
     """V1: accuracy, balanced accuracy, precision, recall, F1 (zero_division=0)."""
-    c = confusion(scored, label, pred, (by,))
+    c = confusion(scored, label, pred, (by,), weight=weight)
     tp, tn, fp, fn = (F.col(x) for x in ("tp", "tn", "fp", "fn"))
     pos, neg = tp + fn, tn + fp
     rec_pos = safe_div(tp, pos)
@@ -126,16 +126,38 @@ def threshold_metrics(scored: DataFrame, label: str = "label", pred: str = "pred
         safe_div(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
+def compact(scored: DataFrame, label: str = "label", pred: str = "prediction",
+            score: str = "score", by: str = "model") -> DataFrame:
+    """One pass over the scored rows -> (model, score, prediction, p, n),
+    map-side combined and persisted; confusion counts and curves both derive
+    from it, so upstream work (feature extraction, model transforms) runs once."""
+    y = F.col(label).cast("long")
+    return (scored.groupBy(by, F.col(score).alias("score"), F.col(pred).alias("prediction"))
+            .agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n")).persist())
+
+
 def binary_metrics(scored: DataFrame, label: str = "label", pred: str = "prediction",
                    score: str | None = "score", by: str = "model",
                    runs: DataFrame | None = None) -> DataFrame:
     """V1-V3, V9, V10 as long rows (model, metric, value); a metric that does
     not apply (one class, no score, no timing) is simply absent."""
-    th = threshold_metrics(scored, label, pred, by)
     names = ["accuracy", "balanced_accuracy", "precision", "recall", "f1"]
-    long = th.unpivot([by], names, "metric", "value")
-    if score is not None:
-        both = _auc_ap(curve_counts(scored, label, score, by), by)
+    if score is None:
+        th = threshold_metrics(scored, label, pred, by)
+        long = th.unpivot([by], names, "metric", "value")
+    else:
+        c = compact(scored, label, pred, score, by)
+        cells = c.select(by, F.explode(F.array(
+            F.struct(F.lit(1).alias("label"), F.col("p").alias("w")),
+            F.struct(F.lit(0).alias("label"), F.col("n").alias("w")))).alias("e"), "prediction")
+        th = threshold_metrics(cells.select(by, "e.label", "prediction", "e.w"), "label",
+                               "prediction", by, weight="w")
+        long = th.unpivot([by], names, "metric", "value")
+        sc = (c.where(F.col("score").isNotNull()).groupBy(by, "score")
+              .agg(F.sum("p").alias("p"), F.sum("n").alias("n")))
+        g = dist_cumsum(sc.withColumn("one", F.lit(1.0)), [by], [("score", False)],
+                        {"cp": "p", "cn": "n", "idx": "one"})
+        both = _auc_ap(g, by)
         long = long.unionByName(both.unpivot([by], ["roc_auc", "pr_auc"], "metric", "value"))
     if runs is not None:
         long = long.unionByName(runs.select(by, F.lit("train_seconds").alias("metric"),

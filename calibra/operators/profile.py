@@ -73,14 +73,19 @@ def class_kde(df: DataFrame, col: str, label: str, grid: int = 200, cut: float =
 
 
 def confusion(scored: DataFrame, label: str = "label", pred: str = "prediction",
-              by: tuple[str, ...] = ("model",)) -> DataFrame:
-    """2x2 counts per model in one pass."""
+              by: tuple[str, ...] = ("model",), weight: str | None = None) -> DataFrame:
+    """2x2 counts per model in one pass (``weight``: pre-counted rows)."""
     y, p = F.col(label), F.col(pred)
+    w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+
+    def cell(cond):
+        return F.coalesce(F.sum(F.when(cond, w).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"))
+
     return scored.groupBy(*by).agg(
-        F.sum(((y == 0) & (p == 0)).cast("long")).alias("tn"),
-        F.sum(((y == 0) & (p == 1)).cast("long")).alias("fp"),
-        F.sum(((y == 1) & (p == 0)).cast("long")).alias("fn"),
-        F.sum(((y == 1) & (p == 1)).cast("long")).alias("tp"))
+        cell((y == 0) & (p == 0)).alias("tn"),
+        cell((y == 0) & (p == 1)).alias("fp"),
+        cell((y == 1) & (p == 0)).alias("fn"),
+        cell((y == 1) & (p == 1)).alias("tp"))
 
 
 def n_classes(scored: DataFrame, label: str = "label", by: tuple[str, ...] = ("model",)) -> DataFrame:
