@@ -100,11 +100,15 @@ def splice_table(text: str, table: str, begin: str, end: str) -> str:
 
 
 def nested_json(results: DataFrame) -> DataFrame:
-    """One row per block: ``{model: {metric: value}}`` as JSON text."""
+    """One row per block: ``{model: {metric: value}}`` as JSON text, keys
+    sorted.  Each collected list is bounded by the models / metrics count."""
     per_model = results.groupBy("block", "model").agg(
-        F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("m"))
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("m"))
     per_block = per_model.groupBy("block").agg(
-        F.map_from_entries(F.collect_list(F.struct("model", "m"))).alias("mm"))
+        F.map_from_entries(F.array_sort(
+            F.collect_list(F.struct("model", "m")),
+            lambda a, b: F.when(a["model"] < b["model"], -1).when(a["model"] > b["model"], 1)
+            .otherwise(0))).alias("mm"))
     return per_block.select("block", F.to_json("mm").alias("json"))
 
 
@@ -116,3 +120,39 @@ def write_results(results: DataFrame, path: str) -> None:
 def read_results(spark, path: str) -> DataFrame:
     """Read the store; a missing path raises ``AnalysisException``."""
     return spark.read.schema("block string, model string, metric string, value double").json(path)
+
+
+_RESULTS_SCHEMA = "block string, model string, metric string, value double"
+
+
+def _versions(spark, base: str) -> list[int]:
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(conf)
+    if not fs.exists(path):
+        return []
+    out = []
+    for st in fs.listStatus(path):
+        name = st.getPath().getName()
+        if name.startswith("v=") and name[2:].isdigit() and fs.exists(
+                jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            out.append(int(name[2:]))
+    return sorted(out)
+
+
+def load_store(spark, base: str) -> DataFrame | None:
+    """S9 on a versioned store: the latest complete version, or None."""
+    v = _versions(spark, base)
+    return read_results(spark, f"{base.rstrip('/')}/v={v[-1]}") if v else None
+
+
+def upsert_store(spark, base: str, updates: DataFrame) -> str:
+    """S10 on storage: read the latest version, replace the updated blocks,
+    write the result as the next version (never overwrite what is read; a
+    failed write leaves no ``_SUCCESS`` and is ignored).  Returns its path."""
+    v = _versions(spark, base)
+    merged = upsert(load_store(spark, base), updates)
+    out = f"{base.rstrip('/')}/v={(v[-1] + 1) if v else 0}"
+    write_results(merged, out)
+    return out

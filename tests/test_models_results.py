@@ -71,3 +71,22 @@ def test_markdown_splice():
     assert "new" in R.splice_table(text, "new", "<!-- B -->", "<!-- E -->")
     with pytest.raises(ValueError):
         R.splice_table("no markers", "x", "<!-- B -->", "<!-- E -->")
+
+
+def test_versioned_store(spark, tmp_path):
+    base = str(tmp_path / "store")
+    assert R.load_store(spark, base) is None
+    a = spark.createDataFrame([("classical", "logreg", "f1", 0.5), ("qsvm", "qsvm_zz", "f1", 0.4)],
+                              "block string, model string, metric string, value double")
+    R.upsert_store(spark, base, a)
+    b = spark.createDataFrame([("qsvm", "qsvm_custom", "f1", 0.7)], a.schema)
+    p = R.upsert_store(spark, base, b)
+    assert p.endswith("v=1")
+    got = sorted((r.block, r.model) for r in R.load_store(spark, base).collect())
+    assert got == [("classical", "logreg"), ("qsvm", "qsvm_custom")]
+
+
+def test_nested_json_sorted(spark):
+    df = spark.createDataFrame([("b", "z", "f1", 1.0), ("b", "a", "recall", 0.5), ("b", "a", "accuracy", 0.25)],
+                               "block string, model string, metric string, value double")
+    assert R.nested_json(df).first().json == '{"a":{"accuracy":0.25,"recall":0.5},"z":{"f1":1.0}}'
