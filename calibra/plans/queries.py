@@ -494,3 +494,21 @@ def streaming_standardize(spark: SparkSession, sf: str) -> DataFrame:
     live = encounters_from(stream, read_table(spark, sf, "customer"))
     path = run_available_now(prepare_stream(live, params, scaler, "id", SEED))
     return _r6(spark.read.parquet(path))
+
+
+def kernel_scale_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean off-diagonal fidelity per feature map and input scale: how close the
+    Gram is to the identity (near 1/2^k means the kernel cannot generalise)."""
+    from calibra.operators import kernels as K
+    df, cols = vec_features(spark, sf)
+    parts = []
+    for kind in ("zz", "custom"):
+        for scale in (1.0, 0.5, 0.25, 0.1):
+            e = K.phase_embed(df, cols, kind, 2, input_scale=scale)
+            s = K.kernel_stats(K.gram_summary(e, "vec_id", "embedding", K.make_kernel("fidelity"), "cls"))
+            parts.append(s.select(F.lit(kind).alias("kind"), F.lit(scale).alias("input_scale"),
+                                  F.round("offdiag_mean", 6).alias("offdiag_mean")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

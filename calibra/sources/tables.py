@@ -77,13 +77,18 @@ def text_features(text: str = "text"):
 
 
 def documents_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents ⋈ labels with text features; targets ``toxic`` and ``quality``."""
+    """documents ⋈ labels with text features; targets ``toxic`` and ``quality``.
+
+    Features are computed on the document side before the join (a narrow
+    projection), so only a handful of numbers per document reach the join's
+    shuffle -- the text itself never crosses the network."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    feats = text_features("text")
+    d = d.select("doc_id", "n_chars", *[v.alias(k) for k, v in feats.items()], "lang")
     lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     j = d.join(lab, "doc_id", "inner")
-    feats = text_features("text")
-    return j.select("doc_id", "n_chars", *[v.alias(k) for k, v in feats.items()],
-                    "lang", F.col("quality").cast("int").alias("quality"),
+    return j.select("doc_id", "n_chars", *feats.keys(), "lang",
+                    F.col("quality").cast("int").alias("quality"),
                     F.col("toxic").cast("int").alias("toxic"))
 
 
