@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -69,15 +70,21 @@ def make_kernel(kind: str, **params) -> Kernel:
 
 
 # ----------------------------------------------------------- phase embedding
+@lru_cache(maxsize=16)
 def _bits(k: int) -> np.ndarray:
     z = np.arange(2 ** k)
     return ((z[None, :] >> np.arange(k)[:, None]) & 1).astype(np.float64)  # k x 2^k
 
 
+@lru_cache(maxsize=16)
 def _walsh(k: int) -> np.ndarray:
-    z = np.arange(2 ** k)
-    pc = np.vectorize(lambda v: bin(v).count("1"))(z[:, None] & z[None, :])
-    return np.where(pc % 2 == 0, 1.0, -1.0) / math.sqrt(2 ** k)
+    """Normalised Walsh-Hadamard matrix, (-1)^popcount(z & z'), built once per
+    worker process by Kronecker products."""
+    w = np.ones((1, 1))
+    h = np.array([[1.0, 1.0], [1.0, -1.0]])
+    for _ in range(k):
+        w = np.kron(h, w)
+    return w / math.sqrt(2 ** k)
 
 
 def embed_numpy(x: np.ndarray, kind: str = "zz", reps: int = 2,
