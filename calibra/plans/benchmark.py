@@ -65,9 +65,10 @@ def prepare(df: DataFrame, spec: FeatureSpec, k: int = QUBITS, n: int = SUBSAMPL
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     scores = N.anova_f(data.where(is_train), feats, "label")
     selected = [r["feature"] for r in N.top_k_features(scores, k).collect()]
-    train_q = E.subsample(data.where(is_train), spec.key, "label", n, seed)
+    # the samples are bounded (n rows) and reused by every kernel stage
+    train_q = E.subsample(data.where(is_train), spec.key, "label", n, seed).persist()
     test = data.where(F.col("split") == "test")
-    test_q = E.subsample(test, spec.key, "label", E.test_sample_size(n), seed + 1)
+    test_q = E.subsample(test, spec.key, "label", E.test_sample_size(n), seed + 1).persist()
     return Prepared(data, feats, selected, spec.key, "label", train_q, test_q)
 
 
