@@ -346,15 +346,22 @@ def benchmark_report(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ results
 def _results_blocks(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Three blocks of rule-model metrics, computed in ONE metrics pass: the
+    scored frames are unioned with the block folded into the model name."""
     from calibra.operators.metrics import binary_metrics as bm
-    from calibra.operators.results import as_results
     docs = scored_documents(spark, sf)
     tox = docs.drop("label").join(_toxic(spark, sf).select("doc_id", F.col("toxic").alias("label")), "doc_id")
-    return {
-        "classical": as_results(bm(docs), "classical"),
-        "qsvm": as_results(bm(scored_encounters(spark, sf)), "qsvm"),
-        "bonus": as_results(bm(tox), "bonus"),
-    }
+    cols = ["model", "label", "prediction", "score"]
+
+    def tag(df: DataFrame, block: str) -> DataFrame:
+        return df.select(F.concat(F.lit(block + "/"), "model").alias("model"), *cols[1:])
+
+    allm = bm(tag(docs, "classical").unionByName(tag(scored_encounters(spark, sf), "qsvm"))
+              .unionByName(tag(tox, "bonus")))
+    parts = F.split(F.col("model"), "/", 2)
+    res = allm.select(parts[0].alias("block"), parts[1].alias("model"), "metric",
+                      F.col("value").cast("double").alias("value"))
+    return {b: res.where(F.col("block") == b) for b in ("classical", "qsvm", "bonus")}
 
 
 def upsert_results(spark: SparkSession, sf: str) -> DataFrame:
