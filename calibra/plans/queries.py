@@ -129,18 +129,29 @@ def top_k_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ------------------------------------------------------------ scored frames
-def scored_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Three text rules scored against ``quality`` -- one scan, rules exploded."""
+def _doc_rules():
+    return [
+        (F.lit("punct"), -F.col("punct_ratio"), (F.col("punct_ratio") < 0.1).cast("int")),
+        (F.lit("length"), F.col("words").cast("double"), (F.col("words") > 300).cast("int")),
+        (F.lit("digits"), F.col("digit_ratio"), (F.col("digit_ratio") > 0.001).cast("int")),
+    ]
+
+
+def scored_documents(spark: SparkSession, sf: str, labels: dict[str, str] | None = None) -> DataFrame:
+    """Three text rules scored against a label -- one scan, rules exploded.
+
+    ``labels`` maps a prefix to a label column to score several targets in
+    the same pass (model names become ``prefix/rule``)."""
     d = _toxic(spark, sf)
-    rules = F.array(
-        F.struct(F.lit("punct").alias("model"), (-F.col("punct_ratio")).alias("score"),
-                 (F.col("punct_ratio") < 0.1).cast("int").alias("prediction")),
-        F.struct(F.lit("length").alias("model"), F.col("words").cast("double").alias("score"),
-                 (F.col("words") > 300).cast("int").alias("prediction")),
-        F.struct(F.lit("digits").alias("model"), F.col("digit_ratio").alias("score"),
-                 (F.col("digit_ratio") > 0.001).cast("int").alias("prediction")))
-    return d.select("doc_id", F.col("quality").alias("label"), F.explode(rules).alias("r")).select(
-        "r.model", "doc_id", "label", "r.prediction", "r.score")
+    labels = labels or {"": "quality"}
+    rows = []
+    for prefix, lab in labels.items():
+        for name, score, pred in _doc_rules():
+            model = F.concat(F.lit(prefix + "/"), name) if prefix else name
+            rows.append(F.struct(model.alias("model"), F.col(lab).alias("label"),
+                                 pred.alias("prediction"), score.alias("score")))
+    return d.select("doc_id", F.explode(F.array(*rows)).alias("r")).select(
+        "r.model", "doc_id", "r.label", "r.prediction", "r.score")
 
 
 def scored_encounters(spark: SparkSession, sf: str) -> DataFrame:
@@ -346,18 +357,14 @@ def benchmark_report(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ results
 def _results_blocks(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """Three blocks of rule-model metrics, computed in ONE metrics pass: the
-    scored frames are unioned with the block folded into the model name."""
+    """Three blocks of rule-model metrics, computed in ONE metrics pass over
+    one document scan: the block is folded into the model name."""
     from calibra.operators.metrics import binary_metrics as bm
-    docs = scored_documents(spark, sf)
-    tox = docs.drop("label").join(_toxic(spark, sf).select("doc_id", F.col("toxic").alias("label")), "doc_id")
     cols = ["model", "label", "prediction", "score"]
-
-    def tag(df: DataFrame, block: str) -> DataFrame:
-        return df.select(F.concat(F.lit(block + "/"), "model").alias("model"), *cols[1:])
-
-    allm = bm(tag(docs, "classical").unionByName(tag(scored_encounters(spark, sf), "qsvm"))
-              .unionByName(tag(tox, "bonus")))
+    docs = scored_documents(spark, sf, {"classical": "quality", "bonus": "toxic"}).select(*cols)
+    enc = scored_encounters(spark, sf).select(
+        F.concat(F.lit("qsvm/"), "model").alias("model"), *cols[1:])
+    allm = bm(docs.unionByName(enc))
     parts = F.split(F.col("model"), "/", 2)
     res = allm.select(parts[0].alias("block"), parts[1].alias("model"), "metric",
                       F.col("value").cast("double").alias("value"))
