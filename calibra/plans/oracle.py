@@ -22,9 +22,6 @@ TOXIC = """toxic as (
   from documents d join labels l on d.doc_id = l.doc_id)"""
 
 
-def _median(col: str) -> str:
-    return f"(select median({col}) from enc)"
-
 
 ENC_CLEAN = ENC + """,
 mode_seg as (select seg m from (select seg, count(*) n from enc where seg is not null group by seg) order by n desc, seg limit 1),
@@ -89,8 +86,7 @@ TOXIC_NUM = ["n_chars", "words", "digit_ratio", "punct_ratio", "lines"]
 LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-def oracle_sql() -> dict[str, str]:
-    q: dict[str, str] = {}
+def _prepare_sql(q: dict[str, str]) -> None:
     q["curated_projection"] = f"with {ENC} select id, acctbal, price, seg, priority, y from enc"
     q["drop_null_target"] = (f"with {ENC} select id, acctbal, price, seg, priority, cast(y as int) y "
                              "from enc where y is not null")
@@ -130,7 +126,6 @@ def oracle_sql() -> dict[str, str]:
     q["top_k_features"] = (f"with {TOXIC}, " + _anova_sql("toxic", TOXIC_NUM, "toxic")
                            + ", r as (select *, cast(row_number() over (order by f_score desc nulls last, idx desc) as int) as rank from scores) "
                            "select feature, idx, round(f_score, 6) f_score, rank from r where rank <= 3")
-    return q
 
 
 SCORED_DOCS = TOXIC + """,
@@ -216,14 +211,6 @@ def _more_sql(q: dict[str, str]) -> None:
                      "union all select distinct model, cast(null as double), 1.0, 0.0 from c where tp_all > 0 and tn_all > 0")
 
 
-_base_oracle = oracle_sql
-
-
-def oracle_sql() -> dict[str, str]:  # noqa: F811
-    q = _base_oracle()
-    _more_sql(q)
-    return q
-
 
 VEC = "v as (select vec_id, cast(embedding as double[]) emb, label % 2 as cls from embeddings)"
 RBF = "exp(-0.1 * pow(list_distance(a.emb, b.emb), 2))"
@@ -255,14 +242,6 @@ def _kernel_sql(q: dict[str, str]) -> None:
                           f"select a.pos pos_i, b.pos pos_j, round({RBF}, 6) k from s a cross join s b")
 
 
-_prev_oracle = oracle_sql
-
-
-def oracle_sql() -> dict[str, str]:  # noqa: F811
-    q = _prev_oracle()
-    _kernel_sql(q)
-    return q
-
 
 def _metrics_cte(src: str, name: str) -> str:
     """Metrics (model, metric, value) of a scored CTE ``src``, unrounded."""
@@ -334,14 +313,6 @@ def _results_sql(q: dict[str, str]) -> None:
                          f"select r.rank, '| ' || {cells} || ' |' as line from ranked r left join w on r.model = w.model")
 
 
-_prev2 = oracle_sql
-
-
-def oracle_sql() -> dict[str, str]:  # noqa: F811
-    q = _prev2()
-    _results_sql(q)
-    return q
-
 
 def _u(key: str, purpose: str) -> str:
     return (f"(('0x' || substr(md5(cast({key} as varchar) || ':42:{purpose}'), 1, 13))::BIGINT "
@@ -427,10 +398,10 @@ def _misc_sql(q: dict[str, str]) -> None:
                             "union all select model, 'Died', 'Died', tp from conf")
 
 
-_prev3 = oracle_sql
-
 
-def oracle_sql() -> dict[str, str]:  # noqa: F811
-    q = _prev3()
-    _misc_sql(q)
+def oracle_sql() -> dict[str, str]:
+    """All oracle queries by name."""
+    q: dict[str, str] = {}
+    for section in (_prepare_sql, _more_sql, _kernel_sql, _results_sql, _misc_sql):
+        section(q)
     return q

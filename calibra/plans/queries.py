@@ -4,15 +4,28 @@ lazy DataFrame.  Floats are rounded to 6 digits so that the DuckDB oracle in
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calibra.functions.scalar import clip, round6
+from calibra.operators import kernels as K
+from calibra.operators import metrics as V
 from calibra.operators import prepare as P
+from calibra.operators import profile as G
+from calibra.operators import results as R
 from calibra.operators import scale as N
 from calibra.operators import split as E
 from calibra.operators.order_stats import medians
-from calibra.sources.tables import ENC_SPEC, TOXIC_SPEC, documents_labeled, encounters, read_table
+from calibra.plans.benchmark import Benchmark
+from calibra.session import checkpoint_dir
+from calibra.sources import files as S
+from calibra.sources import synthetic as SY
+from calibra.sources.tables import (ENC_SPEC, TOXIC_SPEC, documents_labeled, encounters,
+                                    encounters_from, read_table, vectors)
+from calibra.streaming.scoring import prepare_stream, run_available_now
 
 SEED = 42
 
@@ -48,8 +61,7 @@ def inject_missing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def missing_fraction(spark: SparkSession, sf: str) -> DataFrame:
-    from calibra.operators.profile import missing_fraction as mf
-    return _r6(mf(encounters(spark, sf)))
+    return _r6(G.missing_fraction(encounters(spark, sf)))
 
 
 def impute_median(spark: SparkSession, sf: str) -> DataFrame:
@@ -166,53 +178,43 @@ def scored_encounters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def class_balance(spark: SparkSession, sf: str) -> DataFrame:
-    from calibra.operators.profile import class_balance as cb
-    return _r6(cb(encounters(spark, sf), "y"))
+    return _r6(G.class_balance(encounters(spark, sf), "y"))
 
 
 def positive_rate(spark: SparkSession, sf: str) -> DataFrame:
-    from calibra.operators.profile import positive_rate as pr
-    return _r6(pr(_toxic(spark, sf), "toxic"))
+    return _r6(G.positive_rate(_toxic(spark, sf), "toxic"))
 
 
 def corr_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    from calibra.operators.profile import corr_matrix as cm
-    return _r6(cm(_toxic(spark, sf), list(TOXIC_SPEC.numeric) + ["quality"]))
+    return _r6(G.corr_matrix(_toxic(spark, sf), list(TOXIC_SPEC.numeric) + ["quality"]))
 
 
 def class_kde(spark: SparkSession, sf: str) -> DataFrame:
-    from calibra.operators.profile import class_kde as kde
-    return _r6(kde(_toxic(spark, sf), "punct_ratio", "quality", grid=200))
+    return _r6(G.class_kde(_toxic(spark, sf), "punct_ratio", "quality", grid=200))
 
 
 def confusion(spark: SparkSession, sf: str) -> DataFrame:
-    from calibra.operators.profile import confusion as cf
-    return cf(scored_documents(spark, sf))
+    return G.confusion(scored_documents(spark, sf))
 
 
 def binary_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    from calibra.operators.metrics import binary_metrics as bm
-    return _r6(bm(scored_documents(spark, sf)))
+    return _r6(V.binary_metrics(scored_documents(spark, sf)))
 
 
 def roc_auc(spark: SparkSession, sf: str) -> DataFrame:
-    from calibra.operators.metrics import roc_auc as ra
-    return _r6(ra(scored_encounters(spark, sf)))
+    return _r6(V.roc_auc(scored_encounters(spark, sf)))
 
 
 def average_precision(spark: SparkSession, sf: str) -> DataFrame:
-    from calibra.operators.metrics import average_precision as ap
-    return _r6(ap(scored_encounters(spark, sf)))
+    return _r6(V.average_precision(scored_encounters(spark, sf)))
 
 
 def roc_curve(spark: SparkSession, sf: str) -> DataFrame:
-    from calibra.operators.metrics import roc_curve as rc
-    return _r6(rc(scored_encounters(spark, sf)))
+    return _r6(V.roc_curve(scored_encounters(spark, sf)))
 
 
 def pr_curve(spark: SparkSession, sf: str) -> DataFrame:
-    from calibra.operators.metrics import pr_curve as pc
-    return _r6(pc(scored_encounters(spark, sf)))
+    return _r6(V.pr_curve(scored_encounters(spark, sf)))
 
 
 # ------------------------------------------------------------------ kernels
@@ -222,7 +224,6 @@ K_DIMS = 6
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
-    from calibra.sources.tables import vectors
     return vectors(spark, sf)
 
 
@@ -235,36 +236,31 @@ def vec_features(spark: SparkSession, sf: str, k: int = K_DIMS) -> tuple[DataFra
 
 
 def rbf_gram(spark: SparkSession, sf: str) -> DataFrame:
-    from calibra.operators.kernels import gram, make_kernel
-    return _r6(gram(_vectors(spark, sf), "vec_id", "embedding", make_kernel("rbf", gamma=GAMMA)))
+    return _r6(K.gram(_vectors(spark, sf), "vec_id", "embedding", K.make_kernel("rbf", gamma=GAMMA)))
 
 
 def kernel_stats(spark: SparkSession, sf: str) -> DataFrame:
-    from calibra.operators import kernels as K
     s = K.gram_summary(_vectors(spark, sf), "vec_id", "embedding",
                        K.make_kernel("rbf", gamma=GAMMA), "cls")
     return _r6(K.kernel_stats(s))
 
 
 def kernel_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    from calibra.operators import kernels as K
     s = K.gram_summary(_vectors(spark, sf), "vec_id", "embedding",
                        K.make_kernel("rbf", gamma=GAMMA), "cls")
     return _r6(K.kernel_blocks(s))
 
 
 def _embedded(spark: SparkSession, sf: str, kind: str, reps: int) -> DataFrame:
-    from calibra.operators.kernels import phase_embed
     df, cols = vec_features(spark, sf)
-    return phase_embed(df, cols, kind=kind, reps=reps)
+    return K.phase_embed(df, cols, kind=kind, reps=reps)
 
 
 def cos2_gram(spark: SparkSession, sf: str) -> DataFrame:
     """K2: custom map, one layer, as a fidelity Gram of embeddings (the SQL
     oracle uses the closed form prod cos^2(x_i - y_i))."""
-    from calibra.operators.kernels import gram, make_kernel
     e = _embedded(spark, sf, "custom", 1)
-    return _r6(gram(e, "vec_id", "embedding", make_kernel("fidelity")))
+    return _r6(K.gram(e, "vec_id", "embedding", K.make_kernel("fidelity")))
 
 
 def _landmarks(df: DataFrame, key: str, n: int) -> DataFrame:
@@ -272,17 +268,15 @@ def _landmarks(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def cross_gram(spark: SparkSession, sf: str) -> DataFrame:
-    from calibra.operators.kernels import cross_gram as cg, make_kernel
     v = _vectors(spark, sf)
     lm = _landmarks(v, "vec_id", N_LANDMARKS)
-    return _r6(cg(v, "vec_id", "embedding", lm, "vec_id", "embedding",
-                  make_kernel("rbf", gamma=GAMMA)))
+    return _r6(K.cross_gram(v, "vec_id", "embedding", lm, "vec_id", "embedding",
+                  K.make_kernel("rbf", gamma=GAMMA)))
 
 
 def kernel_sorted(spark: SparkSession, sf: str) -> DataFrame:
     """K9: first 60 rows of the hash-shuffled table, class-sorted positions,
     full 60 x 60 Gram."""
-    from calibra.operators import kernels as K
     v = _vectors(spark, sf)
     s = K.sorted_positions(_landmarks(v, "vec_id", 60), "vec_id", "cls")
     g = K.cross_gram(s, "vec_id", "embedding", s, "vec_id", "embedding",
@@ -302,15 +296,11 @@ def phase_embed_custom(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fidelity_gram(spark: SparkSession, sf: str) -> DataFrame:
-    from calibra.operators.kernels import gram, make_kernel
-    return _r6(gram(_embedded(spark, sf, "zz", 2), "vec_id", "embedding", make_kernel("fidelity")))
+    return _r6(K.gram(_embedded(spark, sf, "zz", 2), "vec_id", "embedding", K.make_kernel("fidelity")))
 
 
 # ------------------------------------------------------------------- models
 def _bench(spark: SparkSession, sf: str):
-    from dataclasses import replace
-
-    from calibra.plans.benchmark import Benchmark
     return Benchmark(spark, _toxic(spark, sf), replace(TOXIC_SPEC, target="quality"))
 
 
@@ -359,12 +349,11 @@ def benchmark_report(spark: SparkSession, sf: str) -> DataFrame:
 def _results_blocks(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Three blocks of rule-model metrics, computed in ONE metrics pass over
     one document scan: the block is folded into the model name."""
-    from calibra.operators.metrics import binary_metrics as bm
     cols = ["model", "label", "prediction", "score"]
     docs = scored_documents(spark, sf, {"classical": "quality", "bonus": "toxic"}).select(*cols)
     enc = scored_encounters(spark, sf).select(
         F.concat(F.lit("qsvm/"), "model").alias("model"), *cols[1:])
-    allm = bm(docs.unionByName(enc))
+    allm = V.binary_metrics(docs.unionByName(enc))
     parts = F.split(F.col("model"), "/", 2)
     res = allm.select(parts[0].alias("block"), parts[1].alias("model"), "metric",
                       F.col("value").cast("double").alias("value"))
@@ -372,17 +361,15 @@ def _results_blocks(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 
 
 def upsert_results(spark: SparkSession, sf: str) -> DataFrame:
-    from calibra.operators.results import upsert
     b = _results_blocks(spark, sf)
     old = b["classical"].unionByName(b["qsvm"])
     new = b["classical"].where(F.col("model") == "punct")
-    return _r6(upsert(old, new))
+    return _r6(R.upsert(old, new))
 
 
 def _flat(spark: SparkSession, sf: str) -> DataFrame:
-    from calibra.operators.results import flatten
     b = _results_blocks(spark, sf)
-    return flatten(b["classical"].unionByName(b["qsvm"]).unionByName(b["bonus"]))
+    return R.flatten(b["classical"].unionByName(b["qsvm"]).unionByName(b["bonus"]))
 
 
 def flatten_results(spark: SparkSession, sf: str) -> DataFrame:
@@ -390,68 +377,56 @@ def flatten_results(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def model_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    from calibra.operators.results import rank_models
-    return _r6(rank_models(_flat(spark, sf)))
+    return _r6(R.rank_models(_flat(spark, sf)))
 
 
 def metric_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    from calibra.operators.results import pivot_metrics
-    return _r6(pivot_metrics(_flat(spark, sf)))
+    return _r6(R.pivot_metrics(_flat(spark, sf)))
 
 
 def metric_bars(spark: SparkSession, sf: str) -> DataFrame:
-    from calibra.operators.results import metric_bars as mb
-    return _r6(mb(_flat(spark, sf), "roc_auc"))
+    return _r6(R.metric_bars(_flat(spark, sf), "roc_auc"))
 
 
 def readme_table(spark: SparkSession, sf: str) -> DataFrame:
-    from calibra.operators.results import markdown_rows
-    return markdown_rows(_flat(spark, sf).select("model", "metric", F.round("value", 6).alias("value")))
+    return R.markdown_rows(_flat(spark, sf).select("model", "metric", F.round("value", 6).alias("value")))
 
 
 def results_json(spark: SparkSession, sf: str) -> DataFrame:
-    from calibra.operators.results import nested_json
     b = _results_blocks(spark, sf)
-    return nested_json(b["classical"].unionByName(b["qsvm"]).unionByName(b["bonus"]))
+    return R.nested_json(b["classical"].unionByName(b["qsvm"]).unionByName(b["bonus"]))
 
 
 # ------------------------------------------------------- sources and sinks
 def _scratch(spark: SparkSession, tag: str) -> str:
-    import uuid
-
-    from calibra.session import checkpoint_dir
     return f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
 def synthetic_table(spark: SparkSession, sf: str) -> DataFrame:
     """One synthetic encounter per order key."""
-    from calibra.sources.synthetic import synthetic_encounters
     keys = read_table(spark, sf, "orders").select("o_orderkey")
-    return _r6(synthetic_encounters(keys, "o_orderkey", seed=SEED))
+    return _r6(SY.synthetic_encounters(keys, "o_orderkey", seed=SEED))
 
 
 def synthetic_label(spark: SparkSession, sf: str) -> DataFrame:
-    from calibra.sources.synthetic import synthetic_encounters
     keys = read_table(spark, sf, "orders").select("o_orderkey")
-    s = synthetic_encounters(keys, "o_orderkey", seed=SEED)
+    s = SY.synthetic_encounters(keys, "o_orderkey", seed=SEED)
     return s.groupBy("hospital_death").agg(F.count(F.lit(1)).alias("n"))
 
 
 def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Encounters -> header CSV with NA markers -> read with schema."""
-    from calibra.sources.files import read_csv, write_csv
     enc = encounters(spark, sf)
     path = _scratch(spark, "csv")
-    write_csv(enc, path)
-    return read_csv(spark, path, schema=enc.schema)
+    S.write_csv(enc, path)
+    return S.read_csv(spark, path, schema=enc.schema)
 
 
 def prepared_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """S3: standardised rows written partitioned by split, read back."""
-    from calibra.sources.files import read_prepared, write_prepared
     path = _scratch(spark, "prepared")
-    write_prepared(standardize(spark, sf), path)
-    return read_prepared(spark, path)
+    S.write_prepared(standardize(spark, sf), path)
+    return S.read_prepared(spark, path)
 
 
 def gather_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -481,13 +456,11 @@ def table_shape(spark: SparkSession, sf: str) -> DataFrame:
 
 def confusion_table(spark: SparkSession, sf: str) -> DataFrame:
     """V6: 2x2 counts per model with class names as rows and columns."""
-    from calibra.operators.profile import confusion_long
-    return confusion_long(scored_documents(spark, sf))
+    return G.confusion_long(scored_documents(spark, sf))
 
 
 def kernel_eigen_range(spark: SparkSession, sf: str) -> DataFrame:
     """K8: extreme eigenvalues of the landmark Gram (bounded, on the driver)."""
-    from calibra.operators import kernels as K
     v = _vectors(spark, sf)
     lm = _landmarks(v, "vec_id", N_LANDMARKS)
     return K.eigen_range(lm, "vec_id", "embedding", K.make_kernel("rbf", gamma=GAMMA))
@@ -495,8 +468,6 @@ def kernel_eigen_range(spark: SparkSession, sf: str) -> DataFrame:
 
 def streaming_standardize(spark: SparkSession, sf: str) -> DataFrame:
     """Batch-fitted preparation applied to orders arriving as a stream."""
-    from calibra.sources.tables import encounters_from
-    from calibra.streaming.scoring import prepare_stream, run_available_now
     enc = encounters(spark, sf)
     params = P.fit_clean(enc, ENC_SPEC)
     fitted = E.split_hash(P.one_hot(P.impute(enc, params), params), "id", seed=SEED)
@@ -513,7 +484,6 @@ def streaming_standardize(spark: SparkSession, sf: str) -> DataFrame:
 def kernel_scale_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """Mean off-diagonal fidelity per feature map and input scale: how close the
     Gram is to the identity (near 1/2^k means the kernel cannot generalise)."""
-    from calibra.operators import kernels as K
     df, cols = vec_features(spark, sf)
     parts = []
     for kind in ("zz", "custom"):
