@@ -65,10 +65,12 @@ def class_kde(df: DataFrame, col: str, label: str, grid: int = 200, cut: float =
     g = j.select("label", "x", "c", "n", "h", "lo", "hi",
                  F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("g"))
     start = F.col("lo") - cut * F.col("h")
-    step = (F.col("hi") - F.col("lo") + 2 * cut * F.col("h")) / F.lit(grid - 1)
+    step = (F.col("hi") - F.col("lo") + 2 * cut * F.col("h")) / F.lit(max(grid - 1, 1))
     gx = start + F.col("g") * step
-    z = (gx - F.col("x")) / F.col("h")
-    dens = F.col("c") * F.exp(-0.5 * z * z) / (F.col("n") * F.col("h") * F.lit((2 * 3.141592653589793) ** 0.5))
+    # a constant class has h = 0: its density is undefined (NULL), not an error
+    z = F.try_divide(gx - F.col("x"), F.col("h"))
+    dens = F.try_divide(F.col("c") * F.exp(-0.5 * z * z),
+                        F.col("n") * F.col("h") * F.lit((2 * 3.141592653589793) ** 0.5))
     return g.groupBy("label", "g").agg(F.first(gx).alias("grid_x"), F.sum(dens).alias("density"))
 
 

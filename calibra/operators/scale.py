@@ -57,7 +57,10 @@ def anova_f(df: DataFrame, cols: list[str], label: str) -> DataFrame:
         F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"),
         F.sum(F.col("n") * F.col("v")).alias("ssw"), F.count(F.lit(1)).alias("k"))
     ssb = F.col("q") - F.col("sm") * F.col("sm") / F.col("nn")
-    f = (ssb / (F.col("k") - 1)) / (F.col("ssw") / (F.col("nn") - F.col("k")))
+    # one class, as many classes as rows, or zero within-class spread: no
+    # finite F -> NULL (ANSI division by zero would fail the job instead)
+    f = F.try_divide(F.try_divide(ssb, (F.col("k") - 1).cast("double")),
+                     F.try_divide(F.col("ssw"), (F.col("nn") - F.col("k")).cast("double")))
     idx = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("feature")) - 1
     return b.select("feature", idx.cast("int").alias("idx"), f.alias("f_score"))
 

@@ -149,3 +149,10 @@ def test_inject_missing_rate(spark, sf):
     out = P.inject_missing(enc, ["price"], "id", rate=0.5)
     frac = out.agg(F.avg(F.col("price").isNull().cast("double"))).first()[0]
     assert 0.4 < frac < 0.6
+
+
+def test_anova_degenerate_is_null_not_error(spark):
+    df = spark.createDataFrame([(1.0, 0), (1.0, 1), (1.0, 0), (1.0, 1)], "x double, y int")
+    assert N.anova_f(df, ["x"], "y").first()["f_score"] is None
+    one = spark.createDataFrame([(1.0, 0), (2.0, 0)], "x double, y int")
+    assert N.anova_f(one, ["x"], "y").first()["f_score"] is None
