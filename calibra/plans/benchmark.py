@@ -43,26 +43,35 @@ class Prepared:
     test_q: DataFrame       # class-balanced sample of test (E6 size rule)
 
 
-def prepare(df: DataFrame, spec: FeatureSpec, k: int = QUBITS, n: int = SUBSAMPLE,
-            seed: int = SEED, split_mode: str = "hash", fit_scope: str = "all") -> Prepared:
-    """P1 -> I5 -> E1 -> N1 -> N3 -> E3."""
+def prepare_data(df: DataFrame, spec: FeatureSpec, seed: int = SEED, split_mode: str = "hash",
+                 fit_scope: str = "all") -> tuple[DataFrame, list[str]]:
+    """P1 -> I5 -> E1 -> N1: (key, split, label, encoded standardised features)."""
     # the curated projection is scanned by several fitting passes (medians,
-    # category counts, moments, scores): read / join the sources once
+    # category counts, moments): read / join the sources once
     df = P.drop_null_target(P.select_features(df, spec), spec).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def split(x: DataFrame) -> DataFrame:
+        return (E.split_hash(x, spec.key, seed) if split_mode == "hash"
+                else E.split_exact(x, spec.key, spec.target, seed))
+
     if fit_scope == "train":
-        pre = E.split_hash(df, spec.key, seed) if split_mode == "hash" else \
-            E.split_exact(df, spec.key, spec.target, seed)
+        pre = split(df)
         cleaned, params = P.clean(pre, spec, fit_on=pre.where(F.col("split") == "train"),
                                   return_params=True)
     else:
         cleaned, params = P.clean(df, spec, return_params=True)
-        cleaned = (E.split_hash(cleaned, spec.key, seed) if split_mode == "hash"
-                   else E.split_exact(cleaned, spec.key, spec.target, seed))
+        cleaned = split(cleaned)
     feats = params.encoded_columns
-    is_train = F.col("split") == "train"
-    data = N.standardize(cleaned, feats, fit_filter=is_train)
-    data = data.select(spec.key, "split", F.col(spec.target).alias("label"), *feats)
+    data = N.standardize(cleaned, feats, fit_filter=F.col("split") == "train")
+    return data.select(spec.key, "split", F.col(spec.target).alias("label"), *feats), feats
+
+
+def prepare(df: DataFrame, spec: FeatureSpec, k: int = QUBITS, n: int = SUBSAMPLE,
+            seed: int = SEED, split_mode: str = "hash", fit_scope: str = "all") -> Prepared:
+    """P1 -> I5 -> E1 -> N1 -> N3 -> E3."""
+    data, feats = prepare_data(df, spec, seed, split_mode, fit_scope)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    is_train = F.col("split") == "train"
     scores = N.anova_f(data.where(is_train), feats, "label")
     selected = [r["feature"] for r in N.top_k_features(scores, k).collect()]
     # the samples are bounded (n rows) and reused by every kernel stage

@@ -324,7 +324,7 @@ def _normal(key: str, purpose: str, mean: float, sd: float) -> str:
             f"* cos(6.283185307179586 * {_u(key, purpose + ':b')})))")
 
 
-def _synthetic_sql() -> str:
+def _synthetic_sql(rounded: bool = True) -> str:
     from calibra.sources import synthetic as S
     k = "o_orderkey"
     sel = [f"{k} as encounter_id", f"{k} as patient_id"]
@@ -362,7 +362,7 @@ def _synthetic_sql() -> str:
         v = c
         if c in miss:
             v = miss[c].format(v=c)
-        if c in [x[0] for x in S.CONTINUOUS] or c == "apache_4a_hospital_death_prob":
+        if rounded and (c in [x[0] for x in S.CONTINUOUS] or c == "apache_4a_hospital_death_prob"):
             v = f"round({v}, 6)"
         final.append(f"{v} as {c}")
     return (f"with b as (select {', '.join(sel)} from orders), "
@@ -399,9 +399,38 @@ def _misc_sql(q: dict[str, str]) -> None:
 
 
 
+def _synthetic_prepared_sql() -> str:
+    from calibra.sources import synthetic as S
+    num = list(S.NUMERIC_FEATURES) + ["elective_surgery"]
+    med = ", ".join(f"median({c}) as m_{c}" for c in num)
+    filled = ", ".join(f"coalesce({c}, (select m_{c} from med)) as {c}" for c in num)
+    dummies = []
+    for col, values, _ in S.CHOICES:
+        if col in ("gender", "ethnicity", "icu_type"):
+            for v in sorted(values)[1:]:
+                dummies.append((f"{col}_{v}", f"cast({col} = '{v}' as int)"))
+    coded = ", ".join([f"cast({c} as double) as {c}" for c in num]
+                      + [f'{e} as "{n}"' for n, e in dummies])
+    feats = num + [n for n, _ in dummies]
+    params = " union all ".join(
+        f"""select '{f}' as feature, avg(cast("{f}" as double)) as mean, stddev_pop(cast("{f}" as double)) as std
+            from coded where split = 'train'""" for f in feats)
+    sel = ", ".join(
+        f"""round((cast(c."{f}" as double) - (select mean from params where feature = '{f}'))
+            / (select case when std = 0 then 1.0 else std end from params where feature = '{f}'), 6) as "{f}" """
+        for f in feats)
+    split = SPLIT.replace("cast(id as varchar)", "cast(encounter_id as varchar)")
+    return (f"with syn as ({_synthetic_sql(rounded=False)}), med as (select {med} from syn), "
+            f"cl as (select encounter_id, hospital_death, gender, ethnicity, icu_type, {filled} from syn), "
+            f"coded as (select encounter_id, {split} as split, cast(hospital_death as int) as label, {coded} from cl), "
+            f"params as ({params}) "
+            f"select c.encounter_id, c.split, c.label, {sel} from coded c")
+
+
 def oracle_sql() -> dict[str, str]:
     """All oracle queries by name."""
     q: dict[str, str] = {}
     for section in (_prepare_sql, _more_sql, _kernel_sql, _results_sql, _misc_sql):
         section(q)
+    q["synthetic_prepared"] = _synthetic_prepared_sql()
     return q

@@ -496,3 +496,12 @@ def kernel_scale_sweep(spark: SparkSession, sf: str) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def synthetic_prepared(spark: SparkSession, sf: str) -> DataFrame:
+    """N4 data path on the synthetic encounter table (one row per order key):
+    17 numeric + elective_surgery + 11 dummies = 29 standardised features."""
+    from calibra.plans.benchmark import prepare_data
+    keys = read_table(spark, sf, "orders").select("o_orderkey")
+    data, _ = prepare_data(SY.synthetic_encounters(keys, "o_orderkey", seed=SEED), SY.SYN_SPEC)
+    return _r6(data)

@@ -65,3 +65,14 @@ def test_streaming_equals_batch(spark, sf):
     batch = sorted(tuple(r) for r in Q.standardize(spark, sf).collect())
     stream = Q.streaming_standardize(spark, sf)
     assert sorted(tuple(r) for r in stream.select(*Q.standardize(spark, sf).columns).collect()) == batch
+
+
+def test_synthetic_prepares_to_29_features(spark):
+    from calibra.plans.benchmark import prepare_data
+    from calibra.sources.synthetic import SYN_SPEC
+    data, feats = prepare_data(synthetic_range(spark, 600), SYN_SPEC)
+    assert len(feats) == 29
+    assert feats[:17] == list(SYN_SPEC.numeric) and feats[17] == "elective_surgery"
+    assert feats[18] == "gender_M" and feats[19] == "ethnicity_Asian" and feats[-1] == "icu_type_SICU"
+    nulls = data.select([F.sum(F.col(c).isNull().cast("int")) for c in feats]).first()
+    assert all(v == 0 for v in nulls)
