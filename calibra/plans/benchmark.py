@@ -86,7 +86,19 @@ class Benchmark:
 
     def __init__(self, spark: SparkSession, df: DataFrame, spec: FeatureSpec,
                  k: int = QUBITS, n: int = SUBSAMPLE, reps: int = REPS, seed: int = SEED,
-                 landmarks: int = 500, input_scale: float = 1.0):
+                 landmarks: int = 500, input_scale: float = 1.0, scope: str = "all"):
+        """``scope`` for the kernel and probabilistic stages:
+
+        * ``"all"`` (default, the scalable path): the balanced sample only
+          chooses the landmarks; the model trains on every training row with
+          class-balancing weights (the expectation of balanced sampling) and
+          scores every test row;
+        * ``"sample"``: train on the balanced sample and score the balanced
+          test sample, as the reference does.
+        """
+        if scope not in ("all", "sample"):
+            raise ValueError("scope must be 'all' or 'sample'")
+        self.scope = scope
         self.spark, self.df, self.spec = spark, df, spec
         self.k, self.n, self.reps, self.seed = k, n, reps, seed
         self.n_landmarks, self.input_scale = landmarks, input_scale
@@ -137,16 +149,24 @@ class Benchmark:
         return K.phase_embed(df, self.data().selected, kind, reps, out="vec",
                              input_scale=self.input_scale)
 
+    def _kernel_sets(self) -> tuple[DataFrame, DataFrame, str | None]:
+        """(train rows, test rows, weight column) for the kernel stages."""
+        p = self.data()
+        if self.scope == "sample":
+            return p.train_q, p.test_q, None
+        return M.class_weights(self._split("train"), p.label), self._split("test"), "weight"
+
     # O3
     def kernel_svm(self, maps: tuple[str, ...] = K.FEATURE_MAPS) -> DataFrame:
         p = self.data()
         scored, runs = None, []
+        train, test, w = self._kernel_sets()
         for fm in maps:
             lm = self._embedded(p.train_q, fm, self.reps)
             ny = M.Nystroem.fit(lm, "vec", K.make_kernel("fidelity"), key=p.key)
-            tr = ny.transform(self._embedded(self._split("train"), fm, self.reps), "vec")
-            te = ny.transform(self._embedded(self._split("test"), fm, self.reps), "vec")
-            s, r, _ = M.run_models(tr, te, {f"qsvm_{fm}": "svm"}, p.key, p.label)
+            tr = ny.transform(self._embedded(train, fm, self.reps), "vec")
+            te = ny.transform(self._embedded(test, fm, self.reps), "vec")
+            s, r, _ = M.run_models(tr, te, {f"qsvm_{fm}": "svm"}, p.key, p.label, weight=w)
             scored = s if scored is None else scored.unionByName(s)
             runs += r
         return self._store("qsvm", scored, runs)
@@ -155,12 +175,14 @@ class Benchmark:
     def probabilistic(self, maxiter: int = MAXITER) -> DataFrame:
         p = self.data()
         scored, runs = None, []
+        train, test, w = self._kernel_sets()
         for name, kind, reps in (("vqc", "zz", self.reps), ("qnn", "pauli", 1)):
             lm = self._embedded(p.train_q, kind, reps)
             ny = M.Nystroem.fit(lm, "vec", K.make_kernel("fidelity"), key=p.key)
-            tr = ny.transform(self._embedded(self._split("train"), kind, reps), "vec")
-            te = ny.transform(self._embedded(self._split("test"), kind, reps), "vec")
-            s, r, loss = M.run_models(tr, te, {name: "prob"}, p.key, p.label, max_iter=maxiter)
+            tr = ny.transform(self._embedded(train, kind, reps), "vec")
+            te = ny.transform(self._embedded(test, kind, reps), "vec")
+            s, r, loss = M.run_models(tr, te, {name: "prob"}, p.key, p.label, max_iter=maxiter,
+                                      weight=w)
             scored = s if scored is None else scored.unionByName(s)
             runs += r
             self.losses += loss

@@ -26,7 +26,7 @@ _NAMES = [
     "synthetic_table", "synthetic_label", "csv_roundtrip", "prepared_roundtrip",
     "gather_rows", "balanced_subsample", "uniform_subsample", "table_shape",
     "confusion_table", "kernel_eigen_range", "streaming_standardize",
-    "kernel_scale_sweep", "synthetic_prepared",
+    "kernel_scale_sweep", "synthetic_prepared", "synthetic_benchmark_report",
 ]
 
 

@@ -505,3 +505,9 @@ def synthetic_prepared(spark: SparkSession, sf: str) -> DataFrame:
     keys = read_table(spark, sf, "orders").select("o_orderkey")
     data, _ = prepare_data(SY.synthetic_encounters(keys, "o_orderkey", seed=SEED), SY.SYN_SPEC)
     return _r6(data)
+
+
+def synthetic_benchmark_report(spark: SparkSession, sf: str) -> DataFrame:
+    """O6 on the synthetic encounter table generated from the customer keys."""
+    keys = read_table(spark, sf, "customer").select("c_custkey")
+    return Benchmark(spark, SY.synthetic_encounters(keys, "c_custkey", seed=SEED), SY.SYN_SPEC).run_all()

@@ -26,3 +26,10 @@ def test_workflow_end_to_end(spark, sf):
     assert {m for m, _, _ in b.losses} == {"vqc", "qnn"}
     blocks = {r.block for r in b.results.select("block").distinct().collect()}
     assert blocks == {"classical", "qsvm", "bonus"}
+
+
+def test_class_weights_balance(spark):
+    from calibra.operators.models import class_weights
+    df = spark.createDataFrame([(i, 1 if i < 10 else 0) for i in range(40)], "id long, label int")
+    w = {r.label: r.weight for r in class_weights(df, "label").select("label", "weight").distinct().collect()}
+    assert w[1] * 10 == w[0] * 30 == 20.0
