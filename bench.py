@@ -42,6 +42,7 @@ def main() -> None:
         t0 = time.perf_counter()
         qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
+        spark.catalog.clearCache()   # release intermediates persisted by the query
     extra: dict[str, float] = {}
     quality: dict[str, float] = {}
     if not only or "models" in only:
@@ -89,6 +90,7 @@ def _models(spark, sf_dir: str) -> tuple[dict[str, float], dict[str, float]]:
                 secs[f"{prefix}{r['model']}"] = round(r["value"], 3)
             elif prefix == "syn_train_":
                 quality[f"syn_roc_auc_{r['model']}"] = round(r["value"], 4)
+        b.close()
     return secs, quality
 
 

@@ -194,6 +194,14 @@ class Benchmark:
             raise RuntimeError("results are empty -- run baseline and qsvm first.")
         return R.pivot_metrics(R.flatten(self.results))
 
+    def close(self) -> None:
+        """Release everything this run persisted (prepared data, samples and
+        the cached intermediates of metric computations)."""
+        if self._prep is not None:
+            for df in (self._prep.data, self._prep.train_q, self._prep.test_q):
+                df.unpersist()
+        self.spark.catalog.clearCache()
+
     # O6
     def run_all(self, maxiter: int = MAXITER) -> DataFrame:
         self.data()
