@@ -143,14 +143,20 @@ def unpivot_numeric(df: DataFrame, ids: list[str], cols: list[str],
     return wide.unpivot(ids, cols, name, value)
 
 
-def medians(df: DataFrame, cols: list[str], **kw) -> DataFrame:
+def medians(df: DataFrame, cols: list[str], approx: bool = False,
+            accuracy: int = 100_000, **kw) -> DataFrame:
     """Exact median per column, even count -> mean of the two middle values.
 
+    ``approx=True`` returns ``percentile_approx`` instead: one pass, an element
+    of the column within n/accuracy ranks of the middle (not a midpoint).
     Returns ``(feature, median)``; all-NULL columns give no row.
     """
     long = unpivot_numeric(df, [], cols)
+    if approx:
+        return (long.where(F.col("x").isNotNull()).groupBy("feature")
+                .agg(F.percentile_approx("x", 0.5, accuracy).alias("median")))
     picked = select_ranks(long, ["feature"], "x", {
         "lo": lambda n: F.floor((n + 1) / 2),
         "hi": lambda n: F.floor(n / 2) + 1,
-    }, **kw)
+    }, accuracy=accuracy, **kw)
     return picked.groupBy("feature").agg(F.avg("value").alias("median"))

@@ -156,3 +156,10 @@ def test_anova_degenerate_is_null_not_error(spark):
     assert N.anova_f(df, ["x"], "y").first()["f_score"] is None
     one = spark.createDataFrame([(1.0, 0), (2.0, 0)], "x double, y int")
     assert N.anova_f(one, ["x"], "y").first()["f_score"] is None
+
+
+def test_approx_median_close(spark):
+    df = spark.range(10001).select(F.col("id").cast("double").alias("x"))
+    got = medians(df, ["x"], approx=True).first()["median"]
+    assert abs(got - 5000.0) <= 10001 / 100_000 + 1
+    assert medians(df, ["x"]).first()["median"] == 5000.0
