@@ -76,3 +76,33 @@ def test_synthetic_prepares_to_29_features(spark):
     assert feats[18] == "gender_M" and feats[19] == "ethnicity_Asian" and feats[-1] == "icu_type_SICU"
     nulls = data.select([F.sum(F.col(c).isNull().cast("int")) for c in feats]).first()
     assert all(v == 0 for v in nulls)
+
+
+def test_stream_embedding_and_model_scoring(spark, sf):
+    """Embedding, landmark features and a fitted model are narrow: the same
+    objects score a stream."""
+    from calibra.operators import kernels as K
+    from calibra.operators import models as M
+    from calibra.plans import queries as Q
+    from calibra.streaming.scoring import run_available_now
+    batch, cols = Q.vec_features(spark, sf)
+    emb = K.phase_embed(batch, cols, "custom", 1, out="vec")
+    ny = M.Nystroem.fit(emb.limit(40), "vec", K.make_kernel("fidelity"), key="vec_id")
+    train = ny.transform(emb, "vec").withColumn("label", F.col("cls").cast("double"))
+    model = M.estimator("prob", 500, max_iter=10).fit(train)
+    raw = spark.read.parquet(f"{sf}/embeddings.parquet")
+    stream = (spark.readStream.schema(raw.schema).option("pathGlobFilter", "embeddings.parquet")
+              .parquet(sf))
+    params = {c: (r["mean"], r["std"]) for c, r in
+              ((r["feature"], r) for r in Q.N.fit_scaler(
+                  raw.select(*[F.col("embedding")[i].alias(c) for i, c in enumerate(cols)]), cols).collect())}
+    live = stream.select("vec_id", (F.col("label") % 2).cast("int").alias("cls"),
+                         *[F.col("embedding")[i].alias(c) for i, c in enumerate(cols)])
+    live = Q.N.apply_scaler(live, params)
+    scored = M.score(model, ny.transform(K.phase_embed(live, cols, "custom", 1, out="vec"), "vec"),
+                     "m", "vec_id", "cls")
+    out = spark.read.parquet(run_available_now(scored))
+    assert out.count() == raw.count()
+    exp = {r.key: r.score for r in M.score(model, train, "m", "vec_id", "cls").collect()}
+    got = {r.key: r.score for r in out.collect()}
+    assert all(abs(got[k] - exp[k]) < 1e-9 for k in exp)
