@@ -193,12 +193,20 @@ def gram(df: DataFrame, key: str, vec: str, kernel: Kernel, block_rows: int = 10
     return rep.groupBy("_bi", "_bj").applyInPandas(fn, "i long, j long, k double")
 
 
+SUMMARY_ROW_LIMIT = 2_000_000
+
+
 def gram_summary(df: DataFrame, key: str, vec: str, kernel: Kernel, label: str,
-                 block_rows: int = 1000) -> DataFrame:
+                 block_rows: int = 1000, force: bool = False) -> DataFrame:
     """K8/K10 without materialising pairs: per (label_i, label_j) the sum of K
     over ordered pairs (both directions), split into diagonal and
-    off-diagonal parts, plus pair counts."""
+    off-diagonal parts, plus pair counts.
+
+    Output and shuffle are O(blocks); the kernel evaluations are still
+    N^2 / 2, so inputs above ``SUMMARY_ROW_LIMIT`` rows need ``force``."""
     n = df.count()
+    if n > SUMMARY_ROW_LIMIT and not force:
+        raise ValueError(f"{n} rows mean {n * n // 2} kernel evaluations; pass force=True")
     nb = _n_blocks(n, block_rows)
     rep = _replicate(df, key, vec, nb, [F.col(label).alias("_lab")])
 
