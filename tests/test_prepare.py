@@ -163,3 +163,24 @@ def test_approx_median_close(spark):
     got = medians(df, ["x"], approx=True).first()["median"]
     assert abs(got - 5000.0) <= 10001 / 100_000 + 1
     assert medians(df, ["x"]).first()["median"] == 5000.0
+
+
+def test_top_k_ties_prefer_later_column(spark):
+    rows = [(float(i % 7), float(i % 7), 0.0, i % 2) for i in range(50)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y int")
+    sc = N.anova_f(df, ["a", "b", "c"], "y")
+    fa, fb = (sc.where(F.col("feature") == f).first()["f_score"] for f in ("a", "b"))
+    assert fa == fb
+    assert sc.where(F.col("feature") == "c").first()["f_score"] is None   # constant: no F
+    assert [r.feature for r in N.top_k_features(sc, 1).collect()] == ["b"]
+    assert [r.feature for r in N.top_k_features(sc, 2).collect()] == ["a", "b"]
+
+
+def test_all_null_numeric_column_stays_null(spark):
+    df = spark.createDataFrame([(1, None, 1.0, 0), (2, None, 2.0, 1), (3, None, None, 0)],
+                               "id long, a double, b double, y int")
+    spec = FeatureSpec("id", ("a", "b"), (), "y")
+    out, params = P.clean(df, spec, return_params=True)
+    assert "a" not in params.fill and params.fill["b"] == 1.5
+    rows = {r.id: r for r in out.collect()}
+    assert rows[3].b == 1.5 and rows[1].a is None
