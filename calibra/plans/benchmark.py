@@ -137,7 +137,7 @@ class Benchmark:
         # M1: RBF SVM through Nystroem on a bounded landmark sample of train
         tr = train.withColumn("vec", F.array(*[F.col(c).cast("double") for c in p.features]))
         te = test.withColumn("vec", F.array(*[F.col(c).cast("double") for c in p.features]))
-        gamma = 1.0 / len(p.features)  # 'scale' on standardised inputs
+        gamma = K.rbf_gamma_scale(tr, "vec")  # 'scale': 1 / (p * var of all train entries)
         lm = E.subsample(tr, p.key, p.label, self.n_landmarks, self.seed)
         ny = M.Nystroem.fit(lm, "vec", K.make_kernel("rbf", gamma=gamma), key=p.key)
         s2, r2, _ = M.run_models(ny.transform(tr.drop("features"), "vec"),
