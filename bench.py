@@ -20,6 +20,7 @@ HEADLINE = [
     "standardize", "split_exact", "impute_median", "anova_f_lineitem", "binary_metrics",
     "roc_auc", "average_precision", "roc_curve", "pr_curve", "corr_matrix", "class_kde",
     "rbf_gram", "kernel_stats", "cross_gram", "fidelity_gram", "metric_pivot",
+    "kernel_scale_sweep",
 ]
 
 
@@ -90,6 +91,13 @@ def _models(spark, sf_dir: str) -> tuple[dict[str, float], dict[str, float]]:
                 secs[f"{prefix}{r['model']}"] = round(r["value"], 3)
             elif prefix == "syn_train_":
                 quality[f"syn_roc_auc_{r['model']}"] = round(r["value"], 4)
+        if prefix == "syn_train_":
+            # input-scale sweep of the custom map (the embedding's main knob)
+            for scale in (0.5, 0.25, 0.1):
+                b.input_scale = scale
+                b.kernel_svm(("custom",))
+                auc = b.results.where("model = 'qsvm_custom' and metric = 'roc_auc'").first()
+                quality[f"syn_roc_auc_qsvm_custom_scale{scale}"] = round(auc["value"], 4)
         b.close()
     return secs, quality
 
