@@ -194,6 +194,19 @@ class Benchmark:
             raise RuntimeError("results are empty -- run baseline and qsvm first.")
         return R.pivot_metrics(R.flatten(self.results))
 
+    def save(self, store_dir: str) -> str:
+        """Merge this run's blocks into the versioned results store
+        (blocks re-run here replace their old versions whole)."""
+        if self.results is None:
+            raise RuntimeError("results are empty -- run a model stage first.")
+        return R.upsert_store(self.spark, store_dir, self.results)
+
+    def markdown(self, by: str = "roc_auc") -> str:
+        """Ranked comparison table as markdown text."""
+        if self.results is None:
+            raise RuntimeError("results are empty -- run a model stage first.")
+        return R.markdown_table(R.flatten(self.results), by)
+
     def close(self) -> None:
         """Release everything this run persisted (prepared data, samples and
         the cached intermediates of metric computations)."""

@@ -33,3 +33,16 @@ def test_class_weights_balance(spark):
     df = spark.createDataFrame([(i, 1 if i < 10 else 0) for i in range(40)], "id long, label int")
     w = {r.label: r.weight for r in class_weights(df, "label").select("label", "weight").distinct().collect()}
     assert w[1] * 10 == w[0] * 30 == 20.0
+
+
+def test_save_and_markdown(spark, sf, tmp_path):
+    from calibra.operators import results as R
+    b = Benchmark(spark, documents_labeled(spark, sf), replace(TOXIC_SPEC, target="quality"),
+                  n=40, landmarks=60)
+    b.baseline(("logreg",))
+    path = b.save(str(tmp_path / "store"))
+    assert path.endswith("v=0")
+    assert {r.model for r in R.load_store(spark, str(tmp_path / "store")).collect()} == {"logreg"}
+    md = b.markdown().splitlines()
+    assert md[0].startswith("| model |") and md[2].startswith("| logreg |")
+    b.close()
