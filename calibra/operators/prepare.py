@@ -105,10 +105,16 @@ def fit_clean(df: DataFrame, spec: FeatureSpec) -> CleanParams:
         too_big = {c: k for c, k in sizes.items() if k > MAX_CATEGORIES}
         if too_big:
             raise ValueError(f"categorical cardinality above {MAX_CATEGORIES}: {too_big}")
-        for r in modes_from_counts(counts).collect():
-            fill[r["feature"]] = r["mode"]
-        for r in counts.select("feature", "value").collect():
-            vocab[r["feature"]].append(r["value"])
+        # bounded by the cardinality check above: one collect gives both the
+        # vocabularies and the modes (most frequent, smallest value on ties)
+        best: dict[str, tuple[int, str]] = {}
+        for r in counts.collect():
+            f, v, n = r["feature"], r["value"], r["n"]
+            vocab[f].append(v)
+            if f not in best or (-n, v) < (-best[f][0], best[f][1]):
+                best[f] = (n, v)
+        for f, (_, v) in best.items():
+            fill[f] = v
         counts.unpersist()
     for c in strings:
         fill.setdefault(c, UNKNOWN)
