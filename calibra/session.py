@@ -55,3 +55,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (never a local one): survives executor loss."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``calibra`` importable on executors (Arrow functions reference its
+    modules), like ``--py-files``: zip the package once and add it to the
+    context.  Needed when the driver imported it from a path the Python
+    workers do not have."""
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    import shutil
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="calibra-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "calibra"), "zip",
+                                  root_dir=os.path.dirname(pkg), base_dir="calibra")
+    sc.addPyFile(archive)
+    _SHIPPED.add(id(sc))
