@@ -29,9 +29,10 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
     from calibra.plans import catalog
-    from calibra.session import get_spark
+    from calibra.session import get_spark, ship_package
 
     spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=int(cpus))
+    ship_package(spark)
     qs = catalog.queries()
     names = [n for n in only if n != "models"] or HEADLINE
     # warm the JVM and the Python/Arrow workers outside the clock
