@@ -86,8 +86,11 @@ class Benchmark:
 
     def __init__(self, spark: SparkSession, df: DataFrame, spec: FeatureSpec,
                  k: int = QUBITS, n: int = SUBSAMPLE, reps: int = REPS, seed: int = SEED,
-                 landmarks: int = 500, input_scale: float = 1.0, scope: str = "all"):
-        """``scope`` for the kernel and probabilistic stages:
+                 landmarks: int = 500, input_scale: float = 1.0, scope: str = "all",
+                 split_mode: str = "hash", fit_scope: str = "all"):
+        """``split_mode`` ('hash', or 'exact' per-class quotas) and ``fit_scope``
+        ('all' rows as the reference does, or 'train' only: leak-free) control
+        the preparation.  ``scope`` for the kernel and probabilistic stages:
 
         * ``"all"`` (default, the scalable path): the balanced sample only
           chooses the landmarks; the model trains on every training row with
@@ -98,7 +101,9 @@ class Benchmark:
         """
         if scope not in ("all", "sample"):
             raise ValueError("scope must be 'all' or 'sample'")
-        self.scope = scope
+        if split_mode not in ("hash", "exact") or fit_scope not in ("all", "train"):
+            raise ValueError("split_mode is 'hash' or 'exact'; fit_scope is 'all' or 'train'")
+        self.scope, self.split_mode, self.fit_scope = scope, split_mode, fit_scope
         self.spark, self.df, self.spec = spark, df, spec
         self.k, self.n, self.reps, self.seed = k, n, reps, seed
         self.n_landmarks, self.input_scale = landmarks, input_scale
@@ -110,7 +115,8 @@ class Benchmark:
     # O1
     def data(self) -> Prepared:
         if self._prep is None:
-            self._prep = prepare(self.df, self.spec, self.k, self.n, self.seed)
+            self._prep = prepare(self.df, self.spec, self.k, self.n, self.seed,
+                                 self.split_mode, self.fit_scope)
         return self._prep
 
     def _split(self, name: str) -> DataFrame:

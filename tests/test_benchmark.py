@@ -46,3 +46,13 @@ def test_save_and_markdown(spark, sf, tmp_path):
     md = b.markdown().splitlines()
     assert md[0].startswith("| model |") and md[2].startswith("| logreg |")
     b.close()
+
+
+def test_benchmark_options_validated(spark, sf):
+    import pytest
+    with pytest.raises(ValueError):
+        Benchmark(spark, encounters(spark, sf), ENC_SPEC, split_mode="bogus")
+    b = Benchmark(spark, encounters(spark, sf), ENC_SPEC, k=2, n=40, split_mode="exact", fit_scope="train")
+    p = b.data()
+    assert len(p.selected) == 2 and p.data.select("split").distinct().count() == 3
+    b.close()
