@@ -61,13 +61,18 @@ _SHIPPED: set[int] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``calibra`` importable on executors (Arrow functions reference its
-    modules), like ``--py-files``: zip the package once and add it to the
-    context.  Needed when the driver imported it from a path the Python
-    workers do not have."""
+    """Make ``calibra`` importable on local-mode Python workers (Arrow
+    functions reference its modules): zip the package once and add it to the
+    context, as ``--py-files`` does on a cluster.  Needed when the driver
+    imported it from a path the workers do not have."""
     sc = spark.sparkContext
     if id(sc) in _SHIPPED:
         return
+    if not sc.master.startswith("local"):
+        # clusters ship the package with spark-submit --py-files; no
+        # machine-local scratch on the driver is used there
+        _SHIPPED.add(id(sc))
+        return
     import shutil
 
     pkg = os.path.dirname(os.path.abspath(__file__))
