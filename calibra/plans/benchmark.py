@@ -162,6 +162,18 @@ class Benchmark:
             return p.train_q, p.test_q, None
         return M.class_weights(self._split("train"), p.label), self._split("test"), "weight"
 
+    def kernel_heatmap(self, fm: str = "zz", n_viz: int = 60) -> DataFrame:
+        """K9: Gram of the first ``n_viz`` rows of the (hash-shuffled) balanced
+        training sample, positions sorted by class: (pos_i, pos_j, k)."""
+        p = self.data()
+        first = E.subsample(p.train_q, p.key, p.label, n_viz, self.seed, balanced=False)
+        s = K.sorted_positions(self._embedded(first, fm, self.reps), p.key, p.label)
+        g = K.cross_gram(s, p.key, "vec", s, p.key, "vec", K.make_kernel("fidelity"))
+        pos = s.select(p.key, "pos")
+        return (g.join(pos.withColumnRenamed(p.key, "i").withColumnRenamed("pos", "pos_i"), "i")
+                .join(pos.withColumnRenamed(p.key, "j").withColumnRenamed("pos", "pos_j"), "j")
+                .select("pos_i", "pos_j", "k"))
+
     # O3
     def kernel_svm(self, maps: tuple[str, ...] = K.FEATURE_MAPS) -> DataFrame:
         p = self.data()

@@ -56,3 +56,14 @@ def test_benchmark_options_validated(spark, sf):
     p = b.data()
     assert len(p.selected) == 2 and p.data.select("split").distinct().count() == 3
     b.close()
+
+
+def test_kernel_heatmap(spark, sf):
+    import numpy as np
+    b = Benchmark(spark, encounters(spark, sf), ENC_SPEC, k=3, n=40)
+    rows = b.kernel_heatmap("custom", n_viz=20).collect()
+    m = np.zeros((20, 20))
+    for r in rows:
+        m[r.pos_i, r.pos_j] = r.k
+    assert len(rows) == 400 and np.allclose(np.diag(m), 1.0) and np.allclose(m, m.T)
+    b.close()
