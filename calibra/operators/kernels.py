@@ -143,8 +143,12 @@ def phase_embed(df: DataFrame, cols: list[str], kind: str = "zz", reps: int = 2,
 
 
 # ------------------------------------------------------------- block grams
-def _n_blocks(n: int, block_rows: int) -> int:
-    return max(1, math.ceil(n / block_rows))
+def _n_blocks(n: int, block_rows: int, parallelism: int = 1) -> int:
+    """Blocks of at most ``block_rows`` rows, and enough block pairs
+    (nb (nb + 1) / 2) to give every core a task when N is moderate."""
+    by_size = math.ceil(n / block_rows)
+    by_cores = math.ceil(math.sqrt(2 * parallelism))
+    return max(1, min(max(by_size, by_cores), max(n, 1)))
 
 
 def _replicate(df: DataFrame, key: str, vec: str, nb: int, extra: list[str]) -> DataFrame:
@@ -177,7 +181,7 @@ def gram(df: DataFrame, key: str, vec: str, kernel: Kernel, block_rows: int = 10
     n = df.count()
     if n > FULL_GRAM_ROW_LIMIT and not force:
         raise ValueError(f"full Gram of {n} rows is O(N^2); use landmarks or force=True")
-    nb = _n_blocks(n, block_rows)
+    nb = _n_blocks(n, block_rows, df.sparkSession.sparkContext.defaultParallelism)
     rep = _replicate(df, key, vec, nb, [])
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -207,7 +211,7 @@ def gram_summary(df: DataFrame, key: str, vec: str, kernel: Kernel, label: str,
     n = df.count()
     if n > SUMMARY_ROW_LIMIT and not force:
         raise ValueError(f"{n} rows mean {n * n // 2} kernel evaluations; pass force=True")
-    nb = _n_blocks(n, block_rows)
+    nb = _n_blocks(n, block_rows, df.sparkSession.sparkContext.defaultParallelism)
     rep = _replicate(df, key, vec, nb, [F.col(label).alias("_lab")])
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
