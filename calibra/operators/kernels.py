@@ -156,8 +156,12 @@ def _replicate(df: DataFrame, key: str, vec: str, nb: int, extra: list[str]) ->
     rep = df.select(F.col(key).alias("_key"), F.col(vec).alias("_vec"), *extra, b.alias("_b"),
                     F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("_o"))
     names = [c for c in rep.columns if c not in ("_key", "_vec", "_b", "_o")]
-    return rep.select("_key", "_vec", *names, "_b",
-                      F.least("_b", "_o").alias("_bi"), F.greatest("_b", "_o").alias("_bj"))
+    out = rep.select("_key", "_vec", *names, "_b",
+                     F.least("_b", "_o").alias("_bi"), F.greatest("_b", "_o").alias("_bj"))
+    # one partition per block pair: the GEMMs are compute-bound, so AQE must
+    # not pack many of them into one task by byte size (an explicit partition
+    # count is never coalesced); the grouped apply reuses this partitioning
+    return out.repartition(nb * (nb + 1) // 2, "_bi", "_bj")
 
 
 def _block_pairs(pdf: pd.DataFrame, kernel: Kernel):
