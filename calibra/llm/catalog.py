@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibra.llm import rules, tokens
+from calibra.llm import packing, rules, tokens, warc, wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (rules.op1_quality_rules, tokens.op2_token_counts)}
+    return {f.__name__: f for f in (rules.op1_quality_rules, tokens.op2_token_counts, wavelet.op6_token_ids, warc.op9_warc,
+                                        packing.op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": rules.OP1_SQL}
+    return {"op1_quality_rules": rules.OP1_SQL, "op9_warc": warc.OP9_SQL}
