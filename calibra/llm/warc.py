@@ -247,12 +247,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-WITH RECURSIVE p AS (
+WITH p AS (
   SELECT page_id, url, encode(coalesce(html, '')) AS b, sha1(encode(coalesce(html, ''))) AS hex FROM pages),
-bits AS (SELECT page_id, hex, list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-    1 + (('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))::INT) % 32, 1)), 'string_agg', '') AS d FROM p)
+bits AS (SELECT page_id, list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))::INT) % 32, 1) FOR i IN range(32)],
+    'string_agg', '') AS d FROM p)
 SELECT p.page_id, url, octet_length(b)::BIGINT AS payload_bytes, d AS payload_digest,
        CASE WHEN p.page_id = min(p.page_id) OVER (PARTITION BY b) THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN p.page_id <> min(p.page_id) OVER (PARTITION BY b) THEN min(p.page_id) OVER (PARTITION BY b) END AS refers_to
 FROM p JOIN bits ON bits.page_id = p.page_id
-""".replace("WITH RECURSIVE", "WITH")
+"""
