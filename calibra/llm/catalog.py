@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibra.llm import packing, rules, tokens, warc, wavelet
+from calibra.llm import decontaminate, html_extract, language, near_dup, packing, rules, tokens, warc, wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (rules.op1_quality_rules, tokens.op2_token_counts, wavelet.op6_token_ids, warc.op9_warc,
-                                        packing.op10_best_fit_packing)}
+    found = (
+        rules.op1_quality_rules, tokens.op2_token_counts, language.op3_language_id, near_dup.op5_near_duplicates,
+        wavelet.op6_token_ids, decontaminate.op7_decontamination, html_extract.op8_html_extraction, warc.op9_warc,
+        packing.op10_best_fit_packing,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
