@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from calibra.llm import decontaminate, html_extract, language, near_dup, packing, rules, tokens, warc, wavelet
+from calibra.llm import decontaminate, html_extract, language, near_dup, packing, rules, tokens, warc, wavelet, weak_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        rules.op1_quality_rules, tokens.op2_token_counts, language.op3_language_id, near_dup.op5_near_duplicates,
+        rules.op1_quality_rules, tokens.op2_token_counts, language.op3_language_id, weak_quality.op4_quality_classifier, near_dup.op5_near_duplicates,
         wavelet.op6_token_ids, decontaminate.op7_decontamination, html_extract.op8_html_extraction, warc.op9_warc,
         packing.op10_best_fit_packing,
     )
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": rules.OP1_SQL, "op9_warc": warc.OP9_SQL}
+    sql = {"op1_quality_rules": rules.OP1_SQL, "op9_warc": warc.OP9_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: text for name, text in sql.items() if text}
