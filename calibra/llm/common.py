@@ -86,3 +86,11 @@ def others(columns: Iterable[str], *names: str) -> list[str]:
 def col(name: str):
     """The column of exactly this name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def sealed(df: DataFrame, made: list[str]) -> DataFrame:
+    """``df`` with the columns ``made`` last, given out by a generator of one
+    row.  The optimiser moves filters on them no further down, where it would
+    repeat the steps that made them within each other."""
+    rest = [c for c in df.columns if c not in made]
+    return df.select(*map(col, rest), F.inline(F.array(F.struct(*map(col, made)))))

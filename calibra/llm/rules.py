@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm.common import SPACE, WORD, col, fresh, others, table
+from calibra.llm.common import SPACE, WORD, col, fresh, others, sealed, table
 
 #: How a finished line may end, what divides menu entries, and
 #: phrases of page furniture (lower case; en, de, fr, es).
@@ -79,8 +79,8 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: LineRules = LineRu
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
             "n_lines", "n_lines_kept", "chars_kept", "clean_text"]
     rest = others(docs.columns if keep is None else keep, *made)
-    t, words, hashes, order, lines, good = (fresh(n, [*rest, *made]) for n in
-                                            ("_t", "_words", "_hashes", "_order", "_lines", "_good"))
+    t, words, hashes, order, lines, good, whole = (fresh(n, [*rest, *made]) for n in (
+        "_t", "_words", "_hashes", "_order", "_lines", "_good", "_whole"))
     c = F.col
     df = docs.select(*map(col, rest), F.coalesce(col(text), F.lit("")).alias(t))
     df = df.withColumns({
@@ -116,13 +116,13 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: LineRules = LineRu
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size(lines).cast("long").alias("n_lines"),
         F.size(good).cast("long").alias("n_lines_kept"),
-        F.length(F.array_join(lines, "")).cast("long").alias("_all_chars"),
+        F.length(F.array_join(lines, "")).cast("long").alias(whole),
         F.length(F.array_join(good, "")).cast("long").alias("chars_kept"),
         F.array_join(good, "\n").alias("clean_text"))
     base = (c("n_words") < 10) | (F.lit(100) * c("n_repeat_words") > F.lit(20) * c("n_words"))
     df = df.withColumn("base_failed", base)
-    df = df.withColumn("kept", ~c("base_failed") & (c("chars_kept") >= c("_all_chars") * F.lit(rules.min_kept)))
-    return df.select(*map(col, rest), *made)
+    df = df.withColumn("kept", ~c("base_failed") & (c("chars_kept") >= c(whole) * F.lit(rules.min_kept)))
+    return sealed(df.select(*map(col, rest), *made), made)
 
 
 _COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",

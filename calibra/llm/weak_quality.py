@@ -20,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm.common import SPACE, WORD, col, fresh, materialise, others, table
+from calibra.llm.common import SPACE, WORD, col, fresh, materialise, others, sealed, table
 from calibra.llm.rules import LINE_END
 
 #: Expected documents in the sample the linear model is fitted on (its bound).
@@ -201,7 +201,8 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", keep: list[s
                                     model.linear.rawPredictionCol: raw, model.linear.predictionCol: guess})
         df = linear.transform(_vectors(df, words, features))
         df = df.withColumn("quality", F.get(vector_to_array(F.col(probability)), F.lit(1)))
-    return df.withColumn("kept", F.col("quality") >= threshold).select(*map(col, rest), *made)
+    df = df.withColumn("kept", F.col("quality") >= threshold).select(*map(col, rest), *made)
+    return sealed(df, list(made))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
