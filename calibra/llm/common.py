@@ -32,16 +32,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return p.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, arrow_rows: int = 2000) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut,
-    and a lost executor costs no recomputation of what came before."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    and a lost executor costs no recomputation of what came before.
+
+    While it runs, a batch for Python has ``arrow_rows`` rows at most, so that
+    wide rows do not pile up in memory."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(arrow_rows, int(before) if int(before) > 0 else arrow_rows)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]],
-              schema: str, max_bytes: int = 8 << 20) -> DataFrame:
+              schema: str, max_bytes: int = 2 << 20) -> DataFrame:
     """Apply ``fn`` to slices of at most about ``max_bytes`` of Arrow data (a
     slice has one row at least), so that memory does not follow batch size."""
 
@@ -94,3 +104,16 @@ def sealed(df: DataFrame, made: list[str]) -> DataFrame:
     repeat the steps that made them within each other."""
     rest = [c for c in df.columns if c not in made]
     return df.select(*map(col, rest), F.inline(F.array(F.struct(*map(col, made)))))
+
+
+def with_text(docs: DataFrame, rest: list[str], text: str) -> tuple[DataFrame, int]:
+    """The columns ``rest`` and, if it is not among them, ``text`` after them
+    (under a free name); the text's place."""
+    if text in rest:
+        return docs.select(*map(col, rest)), rest.index(text)
+    return docs.select(*map(col, rest), col(text).alias(fresh("text", rest))), len(rest)
+
+
+def ddl(df: DataFrame, n: int) -> str:
+    """The first ``n`` columns of ``df`` as a schema string, each with a comma."""
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields[:n])

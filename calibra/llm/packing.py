@@ -55,7 +55,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", key: st
             names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = src.schema["doc_id"].dataType.simpleString()
-    return map_arrow(src, cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return map_arrow(src, cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long", max_bytes=4 << 20)
 
 
 def match_runs(runs: list[tuple[int, int]], capacity: int) -> tuple[np.ndarray, int]:
@@ -142,7 +142,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", key
                    capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
     """Encode, cut and pack ``docs``; a row per piece.  An empty table gives
     no rows; columns other than key and text are not read."""
-    return pack(cut_pieces(docs, tokenizer_path, text, key, capacity, end_id), capacity)
+    # written once: the range-sort reads its input twice
+    return pack(materialise(cut_pieces(docs, tokenizer_path, text, key, capacity, end_id), "pieces"), capacity)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
