@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm.common import col, fresh, map_arrow, others, scratch_path, slices, table
+from calibra.llm.common import col, ddl, map_arrow, others, scratch_path, slices, table, with_text
 from calibra.llm.sharedfs import open_fs, write_file
 
 #: The masks (1: the word counts, 0: it is ignored).
@@ -235,10 +235,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     spark = docs.sparkSession
     paths = write_blocks(benchmark, scratch_path(spark, "blocks"), item_text, item_key, block_words, min_words)
     rest = others(docs.columns if keep is None else keep, "contaminated", "item_ids", "agreeing")
-    src = docs.select(*map(col, rest), col(text).alias(fresh("text", rest)))
+    src, at = with_text(docs, rest, text)
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, bounds = word_hashes(batch.columns[-1])
+        hashes, bounds = word_hashes(batch.column(at))
         items: list[set] = [set() for _ in range(batch.num_rows)]
         best = [0] * batch.num_rows
         for path in paths:
@@ -248,12 +248,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                 best[doc] = max(best[doc], same)
         lists = [sorted(x, key=lambda i: (i is None, i or 0)) for x in items]
         return pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], pa.array([bool(x) for x in items]), pa.array(lists, pa.list_(pa.int64())), pa.array(best, pa.int32())],
-            names=[*batch.schema.names[:-1], "contaminated", "item_ids", "agreeing"])
+            [*batch.columns[:len(rest)], pa.array([bool(x) for x in items]), pa.array(lists, pa.list_(pa.int64())), pa.array(best, pa.int32())],
+            names=[*batch.schema.names[:len(rest)], "contaminated", "item_ids", "agreeing"])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema.fields[:-1])
-    return map_arrow(src, scan, f"{fields}contaminated boolean, item_ids array<bigint>, agreeing int",
-                     max_bytes=(8 if len(paths) <= HELD_BLOCKS else 48) << 20)
+    return map_arrow(src, scan, ddl(src, len(rest)) + "contaminated boolean, item_ids array<bigint>, agreeing int",
+                     max_bytes=(2 if len(paths) <= HELD_BLOCKS else 32) << 20)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

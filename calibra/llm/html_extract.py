@@ -15,7 +15,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from calibra.llm.common import col, fresh, map_arrow, others, table
+from calibra.llm.common import ddl, map_arrow, others, table, with_text
 
 #: Kinds of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -265,15 +265,14 @@ def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None)
     ``n_chars`` are replaced.
     """
     rest = others(pages.columns if keep is None else keep, "text", "n_chars")
-    src = pages.select(*map(col, rest), col(html).alias(fresh("source", rest)))
+    src, at = with_text(pages, rest, html)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [main_text(x.as_py()) for x in batch.columns[-1]]
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
-                                          names=[*batch.schema.names[:-1], "text", "n_chars"])
+        texts = [main_text(x.as_py()) for x in batch.column(at)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:len(rest)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
+                                          names=[*batch.schema.names[:len(rest)], "text", "n_chars"])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema.fields[:-1])
-    return map_arrow(src, run, f"{fields}text string, n_chars long")
+    return map_arrow(src, run, ddl(src, len(rest)) + "text string, n_chars long")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm.common import col, fresh, map_arrow, others, table
+from calibra.llm.common import col, ddl, fresh, map_arrow, others, table, with_text
 
 ORDER = 3
 #: Expected documents per language in the training sample (its bound).
@@ -232,29 +232,29 @@ def identify(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_
     Columns of these names are replaced.
     """
     rest = others(docs.columns if keep is None else keep, "held_out", "lang_pred", "score")
-    names = [*rest, "held_out"]
-    src = docs.select(*map(col, rest), (remainder(col(key)) == 2).alias("held_out"),
-                      F.when(col(text).rlike(r"\p{L}"), col(text)).alias(fresh("text", names)))
+    letter = fresh("letter", rest)
+    docs = docs.withColumn(letter, F.coalesce(col(text).rlike(r"\p{L}"), F.lit(False)))
+    held = (remainder(col(key)) == 2).alias("held_out")
+    src, at = with_text(docs.select("*", held), [*rest, "held_out", letter], text)
     known = docs.sparkSession.sparkContext.broadcast(model)
+    n_out = len(rest) + 1
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = known.value
         n = batch.num_rows
-        column = batch.columns[-1]
         lang = np.full(n, UNDETERMINED, object)
         score = np.zeros(n)
-        has = ~np.asarray(column.is_null())
+        has = batch.column(n_out).to_numpy(zero_copy_only=False)
         if model.languages:
-            bits = code_bits(model, column)
+            bits = code_bits(model, batch.column(at))
             best = bits.argmin(1)
             share = 1 / np.exp2(np.minimum(bits.min(1, keepdims=True) - bits, 0)).sum(1)
             lang[has] = np.asarray(model.languages, object)[best[has]]
             score[has] = share[has]
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score)],
-                                          names=[*batch.schema.names[:-1], "lang_pred", "score"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:n_out], pa.array(lang, pa.string()), pa.array(score)],
+                                          names=[*batch.schema.names[:n_out], "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return map_arrow(src, run, f"{fields}, lang_pred string, score double")
+    return map_arrow(src, run, ddl(src, n_out) + "lang_pred string, score double")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm.common import col, fresh, map_arrow, others, table
+from calibra.llm.common import col, ddl, fresh, map_arrow, others, table
 
 GUARD = 4
 CHUNK = 1 << 16
@@ -141,8 +141,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text",
     rest = others(docs.columns if keep is None else keep, "n_bytes", "n_tokens", "over_limit")
     src = docs.select(*map(col, rest), F.coalesce(F.octet_length(col(text)), F.lit(0)).cast("long").alias("n_bytes"),
                       col(text).alias(fresh("text", [*rest, "n_bytes"])))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    out = map_arrow(src, count, f"{fields}, n_tokens long")
+    out = map_arrow(src, count, ddl(src, len(rest) + 1) + "n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
