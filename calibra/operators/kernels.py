@@ -1,42 +1,35 @@
-"""Pairwise kernels.
-
-* ``phase_embed`` turns k features into the exact state vector of a phase
-  feature map (length 2^k, stored as real || imaginary), one Arrow batch at a
-  time -- so the fidelity kernel of two rows is a dot product instead of a
-  circuit per pair.
-* ``gram`` computes K(X, X) on a grid of hash blocks: every row is replicated
-  to the block pairs it belongs to, and one ``applyInPandas`` per block pair
-  does a dense GEMM.  Blocks are by key hash (balanced, bounded size); nothing
-  is broadcast; only the upper triangle is computed.
-* ``gram_summary`` runs the same blocks but emits only per-block sums (K8,
-  K10): the O(N^2) work never becomes O(N^2) shuffle or output.
-* ``cross_gram`` computes K(X, L) against a bounded landmark set L (broadcast
-  after a size check) -- the scalable, linear-in-N path used by the models.
+"""Kernels between rows.
+
+* ``cos2``: the product over features of cos^2(a_i - b_i).  Since
+  cos^2(a - b) = (1 + cos 2a cos 2b + sin 2a sin 2b) / 2, it is the dot product
+  of explicit vectors (``cos2_features``), so models and sums need no pairs.
+* ``kernel_sums``: sums of a dot-product kernel over all pairs of rows, class
+  by class, from one sum of vectors per class: work linear in the rows.
+* ``cross_gram``: K(X, Y) for two sets of rows.  A second side of a counted,
+  small size travels as a broadcast variable; a larger one is shuffled in
+  blocks against blocks of the first.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# Feature-map names accepted by ``phase_embed``.
-FEATURE_MAPS = ("zz", "pauli", "custom")
-MAX_QUBITS = 10
-MAX_LANDMARKS = 5000
-FULL_GRAM_ROW_LIMIT = 50_000
+#: Rows of a second side that are broadcast (counted first), and rows of a
+#: block beyond that.
+BROADCAST_ROWS = 5000
+BLOCK_ROWS = 2000
 
 
 # ------------------------------------------------------------------ kernels
 @dataclass(frozen=True)
 class Kernel:
-    """kind: 'rbf' | 'linear' | 'fidelity' | 'cos2'; params e.g. gamma."""
+    """kind: 'rbf' | 'linear' | 'cos2'; params e.g. gamma."""
 
     kind: str
     params: dict = field(default_factory=dict)
@@ -48,259 +41,133 @@ class Kernel:
             return np.exp(-g * np.maximum(d2, 0.0))
         if self.kind == "linear":
             return a @ b.T
-        if self.kind == "fidelity":
-            h = a.shape[1] // 2
-            ar, ai, br, bi = a[:, :h], a[:, h:], b[:, :h], b[:, h:]
-            re = ar @ br.T + ai @ bi.T
-            im = ar @ bi.T - ai @ br.T
-            return np.clip(re * re + im * im, 0.0, 1.0)
         if self.kind == "cos2":
             out = np.ones((a.shape[0], b.shape[0]))
             for i in range(a.shape[1]):
                 out *= np.cos(a[:, i][:, None] - b[:, i][None, :]) ** 2
             return out
-        raise ValueError(f"Unknown kernel '{self.kind}'")
+        raise ValueError(f"no kernel is called {self.kind!r}")
 
 
 def make_kernel(kind: str, **params) -> Kernel:
-    """K3: kernel record; 'fidelity' expects ``phase_embed`` vectors."""
+    """K3: kernel record; unknown kinds raise."""
     k = Kernel(kind.lower(), params)
     k.matrix(np.zeros((1, 2)), np.zeros((1, 2)))  # validates the kind
     return k
 
 
-# ----------------------------------------------------------- phase embedding
-@lru_cache(maxsize=16)
-def _bits(k: int) -> np.ndarray:
-    z = np.arange(2 ** k)
-    return ((z[None, :] >> np.arange(k)[:, None]) & 1).astype(np.float64)  # k x 2^k
+def _products(factors):
+    """Each entry times each of ``factors``."""
+    return lambda a: F.transform(factors, lambda b: a * b)
 
 
-@lru_cache(maxsize=16)
-def _walsh(k: int) -> np.ndarray:
-    """Normalised Walsh-Hadamard matrix, (-1)^popcount(z & z'), built once per
-    worker process by Kronecker products."""
-    w = np.ones((1, 1))
-    h = np.array([[1.0, 1.0], [1.0, -1.0]])
-    for _ in range(k):
-        w = np.kron(h, w)
-    return w / math.sqrt(2 ** k)
+def cos2_features(df: DataFrame, cols: list[str], out: str = "vec") -> DataFrame:
+    """Add ``out``, the vector whose dot products are the cos2 kernel of
+    ``cols``: the products over the features of (1, cos 2x, sin 2x) / sqrt 2,
+    3^k numbers for k features.  Column expressions only, so it works on
+    streams too; NULL in a feature gives a NULL vector."""
+    acc = F.array(F.lit(1.0))
+    for c in cols:
+        x = F.col(c).cast("double") * 2.0
+        three = F.array(F.lit(math.sqrt(0.5)), F.cos(x) * math.sqrt(0.5), F.sin(x) * math.sqrt(0.5))
+        acc = F.flatten(F.transform(acc, _products(three)))
+    known = None
+    for c in cols:
+        known = F.col(c).isNotNull() if known is None else known & F.col(c).isNotNull()
+    return df.withColumn(out, acc if known is None else F.when(known, acc))
 
 
-def embed_numpy(x: np.ndarray, kind: str = "zz", reps: int = 2,
-                input_scale: float = 1.0) -> np.ndarray:
-    """State vectors for rows of ``x`` (n x k) -> complex (n x 2^k).
+# ------------------------------------------------------------- linear sums
+def kernel_sums(df: DataFrame, vec: str, label: str) -> DataFrame:
+    """K8/K10 for K(a, b) = <a, b>: per (li, lj) the sum of K over ordered
+    pairs of different rows and over rows with themselves, and how many.
 
-    Each layer is Hadamards then a diagonal phase theta_z(x):
-      zz/pauli: sum_i 2 x_i b_i + sum_{i<j} 2 (pi - x_i)(pi - x_j) (b_i xor b_j)
-      custom:   sum_i x_i (2 b_i - 1) + pi * sum_{i<k-1} b_i b_{i+1}
+    The sum over pairs of two classes is the dot product of the classes' vector
+    sums, so what is shuffled is classes x dimensions, whatever the rows.
     """
-    kind = kind.lower()
-    if kind not in FEATURE_MAPS:
-        raise ValueError(f"Unknown feature map '{kind}'. Choose from {FEATURE_MAPS}.")
-    n, k = x.shape
-    if k > MAX_QUBITS:
-        raise ValueError(f"at most {MAX_QUBITS} features per embedding, got {k}")
-    x = x * input_scale
-    b = _bits(k)
-    if kind in ("zz", "pauli"):
-        theta = 2.0 * x @ b
-        for i in range(k):
-            for j in range(i + 1, k):
-                xor = np.abs(b[i] - b[j])
-                theta += (2.0 * (math.pi - x[:, i]) * (math.pi - x[:, j]))[:, None] * xor[None, :]
-    else:
-        theta = x @ (2.0 * b - 1.0)
-        chain = sum((b[i] * b[i + 1] for i in range(k - 1)), np.zeros(2 ** k))
-        theta = theta + math.pi * chain[None, :]
-    w = _walsh(k)
-    phase = np.exp(1j * theta)
-    v = np.zeros((n, 2 ** k), dtype=np.complex128)
-    v[:, 0] = 1.0
-    for _ in range(reps):
-        v = (v @ w) * phase
-    return v
-
-
-def phase_embed(df: DataFrame, cols: list[str], kind: str = "zz", reps: int = 2,
-                out: str = "embedding", input_scale: float = 1.0) -> DataFrame:
-    """K1/K2: add ``out`` = real || imaginary parts of the state vector.
-
-    Narrow: one Arrow batch at a time, nothing leaves the executor.
-    """
-    embed_numpy(np.zeros((1, len(cols))), kind, reps)  # validate early
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
-
-    def fn(it):
-        for pdf in it:
-            x = pdf[cols].to_numpy(dtype=np.float64)
-            v = embed_numpy(x, kind, reps, input_scale)
-            flat = np.concatenate([v.real, v.imag], axis=1)
-            pdf[out] = list(flat)
-            yield pdf
-
-    return df.mapInPandas(fn, schema)
-
-
-# ------------------------------------------------------------- block grams
-def _n_blocks(n: int, block_rows: int, parallelism: int = 1) -> int:
-    """Blocks of at most ``block_rows`` rows, and enough block pairs
-    (nb (nb + 1) / 2) to give every core a task when N is moderate."""
-    by_size = math.ceil(n / block_rows)
-    by_cores = math.ceil(math.sqrt(2 * parallelism))
-    return max(1, min(max(by_size, by_cores), max(n, 1)))
-
-
-def _replicate(df: DataFrame, key: str, vec: str, nb: int, extra: list[str]) -> DataFrame:
-    b = F.pmod(F.xxhash64(F.col(key)), F.lit(nb)).cast("int")
-    rep = df.select(F.col(key).alias("_key"), F.col(vec).alias("_vec"), *extra, b.alias("_b"),
-                    F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("_o"))
-    names = [c for c in rep.columns if c not in ("_key", "_vec", "_b", "_o")]
-    out = rep.select("_key", "_vec", *names, "_b",
-                     F.least("_b", "_o").alias("_bi"), F.greatest("_b", "_o").alias("_bj"))
-    # one partition per block pair: the GEMMs are compute-bound, so AQE must
-    # not pack many of them into one task by byte size (an explicit partition
-    # count is never coalesced); the grouped apply reuses this partitioning
-    return out.repartition(nb * (nb + 1) // 2, "_bi", "_bj")
-
-
-def _block_pairs(pdf: pd.DataFrame, kernel: Kernel):
-    """Row sets (A, B) and K for one block pair; same block -> A == B."""
-    bi, bj = int(pdf["_bi"].iloc[0]), int(pdf["_bj"].iloc[0])
-    a = pdf[pdf["_b"] == bi]
-    bb = pdf[pdf["_b"] == bj] if bi != bj else a
-    xa = np.stack(a["_vec"].to_numpy()).astype(np.float64)
-    xb = np.stack(bb["_vec"].to_numpy()).astype(np.float64)
-    return a, bb, kernel.matrix(xa, xb), bi == bj
-
-
-def gram(df: DataFrame, key: str, vec: str, kernel: Kernel, block_rows: int = 1000,
-         force: bool = False) -> DataFrame:
-    """K4: long upper-triangle Gram (i, j, k) with i <= j (keys).
-
-    The output itself is O(N^2), so it is refused above
-    ``FULL_GRAM_ROW_LIMIT`` rows unless ``force``; use ``gram_summary`` or
-    ``cross_gram`` (landmarks) at scale.
-    """
-    n = df.count()
-    if n > FULL_GRAM_ROW_LIMIT and not force:
-        raise ValueError(f"full Gram of {n} rows is O(N^2); use landmarks or force=True")
-    nb = _n_blocks(n, block_rows, df.sparkSession.sparkContext.defaultParallelism)
-    rep = _replicate(df, key, vec, nb, [])
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, k, same = _block_pairs(pdf, kernel)
-        ka, kb = a["_key"].to_numpy(), b["_key"].to_numpy()
-        ii, jj = np.meshgrid(np.arange(len(ka)), np.arange(len(kb)), indexing="ij")
-        ii, jj = ii.ravel(), jj.ravel()
-        vi, vj, kv = ka[ii], kb[jj], k[ii, jj]
-        keep = vi <= vj if same else np.ones(len(vi), dtype=bool)
-        lo, hi = np.minimum(vi, vj), np.maximum(vi, vj)
-        return pd.DataFrame({"i": lo[keep], "j": hi[keep], "k": kv[keep]})
-
-    return rep.groupBy("_bi", "_bj").applyInPandas(fn, "i long, j long, k double")
-
-
-SUMMARY_ROW_LIMIT = 2_000_000
-
-
-def gram_summary(df: DataFrame, key: str, vec: str, kernel: Kernel, label: str,
-                 block_rows: int = 1000, force: bool = False) -> DataFrame:
-    """K8/K10 without materialising pairs: per (label_i, label_j) the sum of K
-    over ordered pairs (both directions), split into diagonal and
-    off-diagonal parts, plus pair counts.
-
-    Output and shuffle are O(blocks); the kernel evaluations are still
-    N^2 / 2, so inputs above ``SUMMARY_ROW_LIMIT`` rows need ``force``."""
-    n = df.count()
-    if n > SUMMARY_ROW_LIMIT and not force:
-        raise ValueError(f"{n} rows mean {n * n // 2} kernel evaluations; pass force=True")
-    nb = _n_blocks(n, block_rows, df.sparkSession.sparkContext.defaultParallelism)
-    rep = _replicate(df, key, vec, nb, [F.col(label).alias("_lab")])
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, k, same = _block_pairs(pdf, kernel)
-        la, lb = a["_lab"].to_numpy(), b["_lab"].to_numpy()
-        rows = []
-        for u in np.unique(la):
-            for v in np.unique(lb):
-                sub = k[np.ix_(la == u, lb == v)]
-                if same:
-                    ka, kb = a["_key"].to_numpy()[la == u], b["_key"].to_numpy()[lb == v]
-                    diag = ka[:, None] == kb[None, :]
-                    sd = float(sub[diag].sum())
-                    so = float(sub[~diag].sum())
-                    rows.append((int(u), int(v), so, sd, int((~diag).sum()), int(diag.sum())))
-                else:
-                    s = float(sub.sum())
-                    c = int(sub.size)
-                    # the mirror block pair (j, i) is never formed: count both directions
-                    rows.append((int(u), int(v), s, 0.0, c, 0))
-                    rows.append((int(v), int(u), s, 0.0, c, 0))
-        return pd.DataFrame(rows, columns=["li", "lj", "s_off", "s_diag", "c_off", "c_diag"])
-
-    parts = rep.groupBy("_bi", "_bj").applyInPandas(
-        fn, "li int, lj int, s_off double, s_diag double, c_off long, c_diag long")
-    return parts.groupBy("li", "lj").agg(*[F.sum(c).alias(c) for c in
-                                           ("s_off", "s_diag", "c_off", "c_diag")])
-
-
-def kernel_stats(summary: DataFrame) -> DataFrame:
+    d = df.select(F.col(label).alias("l"), F.col(vec).alias("v")).where(F.col("v").isNotNull())
+    size = d.groupBy("l").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("own"))
+    sums = d.select("l", F.posexplode("v").alias("i", "x")).groupBy("l", "i").agg(F.sum("x").alias("s"))
+    left = sums.select(F.col("l").alias("li"), "i", F.col("s").alias("si"))
+    right = sums.select(F.col("l").alias("lj"), "i", F.col("s").alias("sj"))
+    dots = left.join(right, "i").groupBy("li", "lj").agg(F.sum(F.col("si") * F.col("sj")).alias("s"))
+    a = size.select(F.col("l").alias("li"), F.col("n").alias("ni"), "own")
+    b = size.select(F.col("l").alias("lj"), F.col("n").alias("nj"))
+    same = F.col("li") == F.col("lj")
+    zero = F.lit(0).cast("long")
+    return dots.join(a, "li").join(b, "lj").select(
+        "li", "lj",
+        (F.col("s") - F.when(same, F.col("own")).otherwise(0.0)).alias("s_off"),
+        F.when(same, F.col("own")).otherwise(0.0).alias("s_diag"),
+        (F.col("ni") * F.col("nj") - F.when(same, F.col("ni")).otherwise(zero)).alias("c_off"),
+        F.when(same, F.col("ni")).otherwise(zero).alias("c_diag"))
+
+
+def kernel_stats(sums: DataFrame) -> DataFrame:
     """K8: n, mean of off-diagonal K divided by N^2 (the reference's
     definition), mean diagonal."""
-    t = summary.agg(F.sum("s_off").alias("so"), F.sum("s_diag").alias("sd"),
-                    F.sum("c_off").alias("co"), F.sum("c_diag").alias("cd"))
+    t = sums.agg(F.sum("s_off").alias("so"), F.sum("s_diag").alias("sd"),
+                 F.sum("c_off").alias("co"), F.sum("c_diag").alias("cd"))
     n2 = F.col("co") + F.col("cd")
     return t.select(F.col("cd").alias("n"), (F.col("so") / n2).alias("offdiag_mean"),
                     (F.col("sd") / F.col("cd")).alias("diag_mean"))
 
 
-def kernel_blocks(summary: DataFrame) -> DataFrame:
+def kernel_blocks(sums: DataFrame) -> DataFrame:
     """Mean K per (class_i, class_j) over ordered pairs incl. diagonal."""
-    return summary.select(
+    return sums.select(
         F.col("li").alias("label_i"), F.col("lj").alias("label_j"),
         ((F.col("s_off") + F.col("s_diag")) / (F.col("c_off") + F.col("c_diag"))).alias("mean_k"))
 
 
-def cross_gram(df: DataFrame, key: str, vec: str, landmarks: DataFrame, lkey: str, lvec: str,
-               kernel: Kernel, wide: bool = False) -> DataFrame:
-    """K5: K(X, L) for a bounded landmark set L.
+# --------------------------------------------------------------- two sides
+def _stack(col: pd.Series) -> np.ndarray:
+    return np.stack(col.to_numpy()).astype(np.float64)
+
+
+def _long(ki: np.ndarray, kj: np.ndarray, k: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"i": np.repeat(ki, len(kj)), "j": np.tile(kj, len(ki)), "k": k.ravel()})
+
 
-    L is collected once (size-checked against ``MAX_LANDMARKS``) and shipped to
-    executors as a broadcast variable; X streams through Arrow batches.
-    Long output (i, j, k), or with ``wide`` one array<double> per row of X in
-    landmark-key order.
+def cross_gram(df: DataFrame, key: str, vec: str, other: DataFrame, okey: str, ovec: str,
+               kernel: Kernel, broadcast_rows: int = BROADCAST_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """K4/K5: (i, j, k) for every row of ``df`` and every row of ``other``.
+
+    A second side of at most ``broadcast_rows`` rows (counted) is broadcast and
+    the first streams by.  A larger one meets it in a grid of key-hash blocks:
+    a task holds one block of either side, however many there are.
     """
-    lm = landmarks.select(lkey, lvec)
-    m = lm.count()
-    if m > MAX_LANDMARKS:
-        raise ValueError(f"{m} landmarks exceed the bound {MAX_LANDMARKS}")
-    rows = sorted(lm.collect(), key=lambda r: r[0])
-    lkeys = np.array([r[0] for r in rows])
-    lmat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows])
-    bc = df.sparkSession.sparkContext.broadcast((lkeys, lmat))
-    if wide:
-        schema = T.StructType(df.schema.fields + [T.StructField("kvec", T.ArrayType(T.DoubleType()))])
-    else:
-        schema = T.StructType([T.StructField("i", T.LongType()), T.StructField("j", T.LongType()),
-                               T.StructField("k", T.DoubleType())])
-
-    def fn(it):
-        keys_l, mat_l = bc.value
-        for pdf in it:
-            if pdf.empty:
-                continue
-            x = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-            k = kernel.matrix(x, mat_l)
-            if wide:
-                pdf["kvec"] = list(k)
-                yield pdf
-            else:
-                ki = pdf[key].to_numpy()
-                yield pd.DataFrame({"i": np.repeat(ki, len(keys_l)),
-                                    "j": np.tile(keys_l, len(ki)), "k": k.ravel()})
-
-    return df.mapInPandas(fn, schema)
+    spark = df.sparkSession
+    right = other.select(F.col(okey).alias("j"), F.col(ovec).alias("y"))
+    left = df.select(F.col(key).alias("i"), F.col(vec).alias("x"))
+    m = right.count()
+    schema = "i long, j long, k double"
+    if m <= broadcast_rows:
+        rows = sorted(right.collect(), key=lambda r: r[0])
+        bc = spark.sparkContext.broadcast((np.array([r[0] for r in rows], dtype="int64"),
+                                           np.array([np.asarray(r[1], dtype=np.float64) for r in rows])))
+
+        def stream(batches):
+            keys, y = bc.value
+            for pdf in batches:
+                if len(pdf) and len(keys):
+                    yield _long(pdf["i"].to_numpy(), keys, kernel.matrix(_stack(pdf["x"]), y))
+
+        return left.mapInPandas(stream, schema)
+    na, nb = max(1, math.ceil(left.count() / block_rows)), math.ceil(m / block_rows)
+    mine = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    a = left.withColumn("a", mine("i", na)).withColumn("b", every(nb))
+    b = right.withColumn("b", mine("j", nb)).withColumn("a", every(na))
+
+    def block(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if p.empty or q.empty:
+            return pd.DataFrame({"i": pd.Series(dtype="int64"), "j": pd.Series(dtype="int64"), "k": pd.Series(dtype="float64")})
+        return _long(p["i"].to_numpy(), q["j"].to_numpy(), kernel.matrix(_stack(p["x"]), _stack(q["y"])))
+
+    return a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInPandas(block, schema)
 
 
 def sorted_positions(sample: DataFrame, key: str, label: str) -> DataFrame:
@@ -312,22 +179,18 @@ def sorted_positions(sample: DataFrame, key: str, label: str) -> DataFrame:
     return sample.withColumn("pos", F.row_number().over(w) - 1)
 
 
+def heatmap(sample: DataFrame, key: str, vec: str, label: str, kernel: Kernel) -> DataFrame:
+    """K9: the Gram of a small sample by class-sorted positions."""
+    s = sorted_positions(sample, key, label)
+    g = cross_gram(s, key, vec, s, key, vec, kernel)
+    p = s.select(key, "pos")
+    return (g.join(p.withColumnRenamed(key, "i").withColumnRenamed("pos", "pos_i"), "i")
+            .join(p.withColumnRenamed(key, "j").withColumnRenamed("pos", "pos_j"), "j")
+            .select("pos_i", "pos_j", "k"))
+
+
 def rbf_gamma_scale(df: DataFrame, vec: str) -> float:
     """gamma='scale' = 1 / (p * var(X)) over all matrix entries."""
     dim = df.select(F.size(vec).alias("d")).first()["d"]
     v = df.select(F.explode(vec).alias("x")).agg(F.var_pop("x").alias("v")).first()["v"]
     return 1.0 / (dim * v) if v else 1.0
-
-
-def eigen_range(landmarks: DataFrame, key: str, vec: str, kernel: Kernel) -> DataFrame:
-    """K8: smallest and largest eigenvalue of the Gram of a bounded landmark
-    set (size-checked; eigen-decomposed on the driver)."""
-    m = landmarks.count()
-    if m > MAX_LANDMARKS:
-        raise ValueError(f"{m} rows exceed the bound {MAX_LANDMARKS}")
-    rows = sorted(landmarks.select(key, vec).collect(), key=lambda r: r[0])
-    x = np.array([np.asarray(r[1], dtype=np.float64) for r in rows])
-    ev = np.linalg.eigvalsh(kernel.matrix(x, x)) if len(x) else np.array([np.nan])
-    spark = landmarks.sparkSession
-    return spark.createDataFrame([(int(m), float(ev.min()), float(ev.max()))],
-                                 "n long, eig_min double, eig_max double")

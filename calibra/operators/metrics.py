@@ -62,14 +62,6 @@ def average_precision(scored: DataFrame, label: str = "label", score: str = "sco
     return _auc_ap(curve_counts(scored, label, score, by), by).select(by, "pr_auc")
 
 
-def _neighbours(g: DataFrame, by: str) -> DataFrame:
-    prev = g.select(by, (F.col("idx") + 1).alias("idx"), F.col("cp").alias("cp_prev"),
-                    F.col("cn").alias("cn_prev"))
-    nxt = g.select(by, (F.col("idx") - 1).alias("idx"), F.col("cp").alias("cp_next"),
-                   F.col("cn").alias("cn_next"))
-    return g.join(prev, [by, "idx"], "left").join(nxt, [by, "idx"], "left")
-
-
 def roc_curve(scored: DataFrame, label: str = "label", score: str = "score",
               by: str = "model", drop_intermediate: bool = True) -> DataFrame:
     """V4: (model, threshold, fpr, tpr), thresholds descending; collinear points
@@ -80,10 +72,13 @@ def roc_curve(scored: DataFrame, label: str = "label", score: str = "score",
     tot = tot.where((F.col("pos_all") > 0) & (F.col("neg_all") > 0))
     g = g.join(tot, by)
     if drop_intermediate:
-        g = _neighbours(g, by)
-        d2p = F.col("cp_prev") - 2 * F.col("cp") + F.col("cp_next")
-        d2n = F.col("cn_prev") - 2 * F.col("cn") + F.col("cn_next")
-        g = g.where((F.col("idx") == 1) | (F.col("idx") == F.col("m")) | (d2p != 0) | (d2n != 0))
+        # a point lies on the line through its neighbours if the step to the
+        # next has as many positives and negatives as its own: one join on a
+        # unique index
+        nxt = g.select(by, (F.col("idx") - 1).alias("idx"), F.col("p").alias("p_next"), F.col("n").alias("n_next"))
+        g = g.join(nxt, [by, "idx"], "left")
+        g = g.where((F.col("idx") == 1) | (F.col("idx") == F.col("m"))
+                    | (F.col("p") != F.col("p_next")) | (F.col("n") != F.col("n_next")))
     pts = g.select(by, F.col(score).cast("double").alias("threshold"),
                    (F.col("cn") / F.col("neg_all")).alias("fpr"), (F.col("cp") / F.col("pos_all")).alias("tpr"))
     origin = tot.select(by, F.lit(None).cast("double").alias("threshold"),

@@ -7,10 +7,12 @@ table in one task; neither survives 100 TB.  Here:
 
 1. a ``percentile_approx`` grid per group (a bounded sketch, map-side merged)
    brackets each target rank between two grid values;
-2. one counting pass gives the exact number of rows below the bracket and in it;
-3. while any bracket is still larger than ``max_bracket`` the sketch is redone
-   inside it (each round shrinks it ~``grid``-fold);
-4. a window ranks only the bracket rows (bounded per task) and picks the row.
+2. one counting pass gives the exact number of rows below the bracket and in
+   it, and checks that the rank lies inside;
+3. the bracket's rows are counted by value (a value that a third of the rows
+   share is one row from here on), and distributed running sums over those
+   counts (``dist_cumsum``) find the value at the rank, whatever the size of
+   the bracket.  Equal values are told apart by the tie-break columns.
 
 The answer is exact: the sketch only chooses *where* to look.
 """
@@ -19,9 +21,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from calibra.operators.cumulative import dist_cumsum
+from calibra.session import cut_lineage
+
 RankFn = Callable[[Column], Column]
 
 
@@ -35,21 +40,23 @@ def _bracket(q: Column, k: Column, n: Column, grid: int) -> tuple[Column, Column
 
 def select_ranks(df: DataFrame, group_cols: list[str], value_col: str,
                  ranks: dict[str, RankFn], tiebreak: tuple[str, ...] = (),
-                 order_col: str | None = None, grid: int = 1000, accuracy: int = 100_000,
-                 max_bracket: int = 1_000_000, max_rounds: int = 8) -> DataFrame:
+                 order_col: str | None = None, grid: int = 1000,
+                 accuracy: int = 100_000) -> DataFrame:
     """Rows at given ranks, per group.
 
-    ``value_col`` is numeric and defines the order (NULLs skipped); rows equal
-    in it are ordered by ``order_col`` (default: the value itself) then
+    ``value_col`` is numeric and defines the order (NULL and NaN skipped); rows
+    equal in it are ordered by ``order_col`` (default: the value itself) then
     ``tiebreak``.  ``ranks`` maps a tag to a function of the group size ``n``
     giving a 1-based rank.  Returns ``group_cols + [tag, group_n, rank, value,
     order_col?, *tiebreak]``.
     """
-    g = list(group_cols)
-    extra = list(tiebreak)
-    base = df.select(*[F.col(c) for c in g], F.col(value_col).cast("double").alias("_v"),
-                     *([F.col(order_col).alias("_o")] if order_col else []),
-                     *[F.col(c) for c in extra]).where(F.col("_v").isNotNull())
+    # without groups, a constant stands in: all joins below have a key
+    g = list(group_cols) or ["_all"]
+    extra = ([order_col] if order_col else []) + [c for c in tiebreak if c != order_col]
+    base = df if group_cols else df.withColumn("_all", F.lit(0))
+    base = (base.select(*[F.col(c) for c in g], F.col(value_col).cast("double").alias("_v"),
+                        *[F.col(c) for c in extra])
+            .where(F.col("_v").isNotNull() & ~F.isnan("_v")))
     percs = [i / grid for i in range(grid + 1)]
     sk = base.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"),
                               F.percentile_approx("_v", percs, accuracy).alias("_q"))
@@ -59,81 +66,56 @@ def select_ranks(df: DataFrame, group_cols: list[str], value_col: str,
           .select(*g, F.col("_t.tag").alias("tag"), "_n", F.col("_t.k").alias("_k"), "_q")
           .where((F.col("_k") >= 1) & (F.col("_k") <= F.col("_n"))))
     lo, hi = _bracket(F.col("_q"), F.col("_k"), F.col("_n"), grid)
-    t = tg.select(*g, "tag", "_n", "_k", lo.alias("_lo"), hi.alias("_hi"),
-                  F.lit(0).cast("long").alias("_below"))
-    plain = not order_col and not extra
-    # a bracket holding one repeated value is already answered when the value
-    # alone orders the rows (hot values never reach the window below)
-    t = t.withColumn("_keep_open", F.lit(not plain))
-    t, worst = _materialize(_recount(base, t, g))
-
-    for _ in range(max_rounds):
-        if worst is None or worst <= max_bracket:
-            break
-        cand = _in_bracket(base, t, g)
-        sk2 = cand.groupBy(*g, "tag").agg(F.percentile_approx("_v", percs, accuracy).alias("_q"))
-        t2 = t.join(sk2, g + ["tag"])
-        lo, hi = _bracket(F.col("_q"), F.col("_k") - F.col("_below"), F.col("_in"), grid)
-        t = t2.select(*g, "tag", "_n", "_k", lo.alias("_lo"), hi.alias("_hi"), "_below", "_keep_open")
-        t, worst = _materialize(_recount(base, t, g))
-
-    done = None
-    if plain:
-        done = t.where(F.col("_lo") == F.col("_hi")).select(
-            *g, "tag", F.col("_n").alias("group_n"), F.col("_k").alias("rank"), F.col("_lo").alias("value"))
-        t = t.where(F.col("_lo") != F.col("_hi"))
-    cand = _in_bracket(base, t, g)
-    order = [F.col("_v"), *([F.col("_o")] if order_col else []), *[F.col(c) for c in extra]]
-    w = Window.partitionBy(*g, "tag").orderBy(*order)
-    picked = (cand.withColumn("_rn", F.row_number().over(w) + F.col("_below"))
-              .where(F.col("_rn") == F.col("_k")))
-    out = picked.select(*g, "tag", F.col("_n").alias("group_n"), F.col("_k").alias("rank"),
-                        F.col("_v").alias("value"),
-                        *([F.col("_o").alias(order_col)] if order_col else []), *extra)
-    return out.unionByName(done) if done is not None else out
+    t, small = _targets(tg.select(*g, "tag", "_n", "_k", lo.alias("_lo"), hi.alias("_hi")))
+    t, small = _targets(_recount(base, t, g, small))
+    _check(t)
+
+    cand = _join(base, t.select(*g, "tag", "_n", "_k", "_lo", "_hi", "_below"), g, small).where(
+        (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+    counts = cand.groupBy(*g, "tag", "_n", "_k", "_below", "_v", *extra).agg(F.count(F.lit(1)).alias("_c"))
+    run = dist_cumsum(counts, [*g, "tag"], [("_v", True), *((c, True) for c in extra)], {"_upto": "_c"})
+    at = F.col("_k") - F.col("_below")
+    out = run.where((F.col("_upto") >= at) & (F.col("_upto") - F.col("_c") < at))
+    return out.select(*group_cols, "tag", F.col("_n").alias("group_n"), F.col("_k").alias("rank"),
+                      F.col("_v").alias("value"), *extra)
 
 
 LOCAL_TARGETS = 100_000
 
 
-def _materialize(t: DataFrame) -> tuple[DataFrame, int | None]:
-    """Cut the lineage of the (group, tag) target table between rounds and
-    return it with its largest open bracket.
+def _targets(t: DataFrame) -> tuple[DataFrame, bool]:
+    """Cut the lineage of the (group, tag) target table, and tell whether it is
+    small enough (counted) to be broadcast.
 
     It has one row per group and tag, so it is normally tiny and is rebuilt
-    from its rows (one job); a large one goes through a reliable checkpoint."""
+    from its rows (one job); a large one goes through a reliable checkpoint and
+    is joined by a shuffle."""
     rows = t.limit(LOCAL_TARGETS + 1).collect()
     if len(rows) <= LOCAL_TARGETS:
-        open_in = [r["_in"] for r in rows if r["_lo"] != r["_hi"] or r["_keep_open"]]
-        return t.sparkSession.createDataFrame(rows, t.schema), max(open_in, default=None)
-    from calibra.session import cut_lineage
-    t = cut_lineage(t)
-    worst = t.where((F.col("_lo") != F.col("_hi")) | F.col("_keep_open")).agg(
-        F.max("_in")).first()[0]
-    return t, worst
+        return t.sparkSession.createDataFrame(rows, t.schema), True
+    return cut_lineage(t), False
 
 
-def _in_bracket(base: DataFrame, t: DataFrame, g: list[str]) -> DataFrame:
-    small = t.select(*g, "tag", "_n", "_k", "_lo", "_hi", "_below")
-    j = base.join(F.broadcast(small), g) if g else base.crossJoin(F.broadcast(small))
-    return j.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+def _check(t: DataFrame) -> None:
+    """Raise if a rank lies outside its bracket: its row would be missing."""
+    inside = (F.col("_below") < F.col("_k")) & (F.col("_k") <= F.col("_below") + F.col("_in"))
+    if t.where(~inside).limit(1).count():
+        raise ArithmeticError("a rank lies outside its bracket: raise the accuracy of the sketch")
 
 
-def _recount(base: DataFrame, t: DataFrame, g: list[str]) -> DataFrame:
-    """Exact rows below and inside each bracket (one pass, broadcast targets).
+def _join(base: DataFrame, t: DataFrame, g: list[str], small: bool) -> DataFrame:
+    """Rows with their group's targets; NULL groups match each other."""
+    right = t.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(g)], *[c for c in t.columns if c not in g])
+    on = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(g)]
+    return base.join(F.broadcast(right) if small else right, on).drop(*[f"_g{i}" for i in range(len(g))])
 
-    The target table has one row per (group, tag): bounded by the number of
-    groups, which callers keep to features/classes.
-    """
-    small = t.select(*g, "tag", "_lo", "_hi")
-    j = base.join(F.broadcast(small), g) if g else base.crossJoin(F.broadcast(small))
-    cnt = j.groupBy(*g, "tag").agg(
-        F.sum((F.col("_v") < F.col("_lo")).cast("long")).alias("_b"),
+
+def _recount(base: DataFrame, t: DataFrame, g: list[str], small: bool) -> DataFrame:
+    """Exact rows below and inside each bracket (one pass over the rows)."""
+    j = _join(base, t, g, small)
+    return j.groupBy(*g, "tag", "_n", "_k", "_lo", "_hi").agg(
+        F.sum((F.col("_v") < F.col("_lo")).cast("long")).alias("_below"),
         F.sum(((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))).cast("long")).alias("_in"))
-    out = t.join(cnt, g + ["tag"], "left")
-    return out.select(*g, "tag", "_n", "_k", "_lo", "_hi", "_keep_open",
-                      F.coalesce(F.col("_b"), F.lit(0)).alias("_below"),
-                      F.coalesce(F.col("_in"), F.lit(0)).alias("_in"))
 
 
 def unpivot_numeric(df: DataFrame, ids: list[str], cols: list[str],

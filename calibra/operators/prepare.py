@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from calibra.functions.hashing import hash_uniform
 from calibra.operators.order_stats import medians
+from calibra.sources.files import nan_to_null
 from calibra.spec import FeatureSpec
 
 # Fill for a categorical whose values are all missing, and the
@@ -27,7 +28,7 @@ MAX_CATEGORIES = 1000
 def select_features(df: DataFrame, spec: FeatureSpec, keep_key: bool = True) -> DataFrame:
     """Curated columns in spec order; absent features skipped, absent target raises."""
     if spec.target not in df.columns:
-        raise KeyError(f"Target column '{spec.target}' not found in dataframe.")
+        raise KeyError(f"no column {spec.target!r} to predict")
     cols = [c for c in spec.features if c in df.columns]
     return df.select(*([spec.key] if keep_key else []), *cols, spec.target)
 
@@ -146,7 +147,7 @@ def clean(df: DataFrame, spec: FeatureSpec, fit_on: DataFrame | None = None,
           return_params: bool = False):
     """P2 -> impute -> one-hot.  ``fit_on`` defaults to all rows (the
     reference's behaviour); pass the train split for a leak-free fit."""
-    df = drop_null_target(df, spec)
-    params = fit_clean(fit_on if fit_on is not None else df, spec)
+    df = nan_to_null(drop_null_target(df, spec))
+    params = fit_clean(nan_to_null(fit_on) if fit_on is not None else df, spec)
     out = one_hot(impute(df, params), params)
     return (out, params) if return_params else out

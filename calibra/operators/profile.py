@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Classes whose statistics are carried to every task.
+MAX_CLASSES = 10_000
 
 
 def shape(df: DataFrame) -> tuple[int, int]:
@@ -25,9 +31,15 @@ def positive_rate(df: DataFrame, label: str) -> DataFrame:
 
 
 def missing_fraction(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """NULL share per column, one aggregation, sorted descending."""
+    """NULL or NaN share per column, one aggregation, sorted descending."""
     cols = cols or df.columns
-    row = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in cols])
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+
+    def missing(c: str):
+        gone = F.col(c).isNull()
+        return gone | F.isnan(c) if kinds[c] in ("double", "float") else gone
+
+    row = df.agg(*[F.avg(F.coalesce(missing(c), F.lit(False)).cast("double")).alias(c) for c in cols])
     return row.unpivot([], cols, "feature", "missing_frac").orderBy(F.desc("missing_frac"), "feature")
 
 
@@ -49,9 +61,8 @@ def class_kde(df: DataFrame, col: str, label: str, grid: int = 200, cut: float =
     """Gaussian density of ``col`` per class on a ``grid``-point line.
 
     Bandwidth by Scott's rule (n^-1/5 times the sample std), grid from
-    min - cut*h to max + cut*h.  Rows are first collapsed to distinct
-    (class, value) counts, then each distinct value is spread over the grid
-    with ``explode(sequence)`` -- no join; cost = distinct values x grid.
+    min - cut*h to max + cut*h.  Each batch adds up its own rows' part of the
+    ``grid`` numbers of a class; only those are shuffled, never a value.
     """
     x = F.col(col).cast("double")
     d = df.select(F.col(label).alias("label"), x.alias("x")).where(F.col("x").isNotNull())
@@ -59,19 +70,30 @@ def class_kde(df: DataFrame, col: str, label: str, grid: int = 200, cut: float =
         F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"),
         F.min("x").alias("lo"), F.max("x").alias("hi"))
     st = st.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-    vals = d.groupBy("label", "x").agg(F.count(F.lit(1)).alias("c"))
-    # one row per class: bounded broadcast
-    j = vals.join(F.broadcast(st), "label")
-    g = j.select("label", "x", "c", "n", "h", "lo", "hi",
-                 F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("g"))
-    start = F.col("lo") - cut * F.col("h")
-    step = (F.col("hi") - F.col("lo") + 2 * cut * F.col("h")) / F.lit(max(grid - 1, 1))
-    gx = start + F.col("g") * step
-    # a constant class has h = 0: its density is undefined (NULL), not an error
-    z = F.try_divide(gx - F.col("x"), F.col("h"))
-    dens = F.try_divide(F.col("c") * F.exp(-0.5 * z * z),
-                        F.col("n") * F.col("h") * F.lit((2 * 3.141592653589793) ** 0.5))
-    return g.groupBy("label", "g").agg(F.first(gx).alias("grid_x"), F.sum(dens).alias("density"))
+    # one row per class, checked: the statistics travel with the batches
+    rows = st.limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes of {label!r}")
+    stats = {r["label"]: (r["n"], r["h"], r["lo"], r["hi"]) for r in rows}
+    out = T.StructType([T.StructField("label", d.schema["label"].dataType), T.StructField("g", T.IntegerType()),
+                        T.StructField("grid_x", T.DoubleType()), T.StructField("density", T.DoubleType())])
+
+    def partial(batches):
+        """Each batch's part of the density at every grid point of each class."""
+        for pdf in batches:
+            for lab, x in pdf.groupby("label", dropna=False)["x"]:
+                n, h, lo, hi = stats[None if pd.isna(lab) else lab]
+                known = h is not None and h > 0
+                at = np.linspace(lo - cut * h, hi + cut * h, grid) if known else np.full(grid, lo)
+                dens = np.zeros(grid)
+                for part in np.array_split(x.to_numpy(), len(x) // 20_000 + 1) if known else ():
+                    dens += np.exp(-0.5 * ((at[:, None] - part[None, :]) / h) ** 2).sum(1)
+                # a constant class has no density: NULL
+                yield pd.DataFrame({"label": lab, "g": np.arange(grid, dtype="int32"), "grid_x": at,
+                                    "density": dens / (n * h * np.sqrt(2 * np.pi)) if known else None})
+
+    parts = d.mapInPandas(partial, out)
+    return parts.groupBy("label", "g").agg(F.first("grid_x").alias("grid_x"), F.sum("density").alias("density"))
 
 
 def confusion(scored: DataFrame, label: str = "label", pred: str = "prediction",
@@ -90,11 +112,6 @@ def confusion(scored: DataFrame, label: str = "label", pred: str = "prediction",
         cell((y == 1) & (p == 1)).alias("tp"))
 
 
-def n_classes(scored: DataFrame, label: str = "label", by: tuple[str, ...] = ("model",)) -> DataFrame:
-    """Distinct classes per model (AUC needs two)."""
-    return scored.groupBy(*by).agg(F.countDistinct(label).alias("n_classes"))
-
-
 # Display names of the two classes in the confusion table.
 CLASS_NAMES = ("Survived", "Died")
 

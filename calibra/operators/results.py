@@ -37,24 +37,16 @@ def flatten(results: DataFrame, block_order: tuple[str, ...] = BLOCK_ORDER) -> D
 
     Blocks not in ``block_order`` rank after it, alphabetically."""
     rank = F.array_position(F.array(*[F.lit(b) for b in block_order]), F.col("block"))
-    r = results.withColumn("_rank", F.when(rank == 0, F.lit(len(block_order) + 1)).otherwise(rank))
-    best = r.groupBy("model").agg(F.max(F.struct("_rank", "block")).alias("_b"))
-    out = r.join(best, "model").where(
-        (F.col("_rank") == F.col("_b._rank")) & (F.col("block") == F.col("_b.block")))
-    return out.select("model", "metric", "value")
-
-
-def require_nonempty(df: DataFrame, what: str = "results") -> DataFrame:
-    if df.limit(1).count() == 0:
-        raise RuntimeError(f"{what} are empty -- run the model stages first.")
-    return df
+    place = F.struct(F.when(rank == 0, F.lit(len(block_order) + 1)).otherwise(rank).alias("r"), F.col("block").alias("b"))
+    # a model's rows are its metrics: a window of a few dozen rows, no self join
+    best = F.max("_p").over(Window.partitionBy("model"))
+    return (results.withColumn("_p", place).withColumn("_b", best).where(F.col("_p") == F.col("_b"))
+            .select("model", "metric", "value"))
 
 
 def pivot_metrics(flat: DataFrame, metrics: tuple[str, ...] = TABLE_METRICS) -> DataFrame:
-    """Model x metric table; only metrics that occur become columns."""
-    present = [r[0] for r in flat.select("metric").distinct().collect()]
-    cols = [m for m in metrics if m in present]
-    return flat.groupBy("model").pivot("metric", cols).agg(F.first("value"))
+    """Model x metric table; a metric nobody has is a NULL column."""
+    return flat.groupBy("model").pivot("metric", list(metrics)).agg(F.first("value"))
 
 
 def rank_models(flat: DataFrame, by: str = "roc_auc") -> DataFrame:
@@ -150,9 +142,25 @@ def load_store(spark, base: str) -> DataFrame | None:
 def upsert_store(spark, base: str, updates: DataFrame) -> str:
     """S10 on storage: read the latest version, replace the updated blocks,
     write the result as the next version (never overwrite what is read; a
-    failed write leaves no ``_SUCCESS`` and is ignored).  Returns its path."""
-    v = _versions(spark, base)
+    failed write leaves no ``_SUCCESS`` and is ignored).  Returns its path.
+
+    The version's folder is created exclusively: of two runs that want the same
+    number, one gets it and the other starts again from what the first wrote."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(base)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(root)
+    while True:
+        v = _versions(spark, base)
+        number = (v[-1] + 1) if v else 0
+        while True:  # numbers taken by unfinished or failed writes are skipped
+            claim = jvm.org.apache.hadoop.fs.Path(root, f"_claim-{number}")
+            if fs.createNewFile(claim):
+                break
+            number += 1
+        if _versions(spark, base) == v:
+            break
     merged = upsert(load_store(spark, base), updates)
-    out = f"{base.rstrip('/')}/v={(v[-1] + 1) if v else 0}"
+    out = f"{base.rstrip('/')}/v={number}"
     write_results(merged, out)
     return out

@@ -46,21 +46,28 @@ def anova_f(df: DataFrame, cols: list[str], label: str) -> DataFrame:
     """One-way ANOVA F per feature against the class.
 
     Unpivot, then per (feature, class) count/mean/var partials -- one shuffle
-    of features x classes rows -- then F = (SSB/(K-1)) / (SSW/(N-K)).
+    of features x classes rows -- then F = (SSB/(K-1)) / (SSW/(N-K)) with
+    SSB = sum n (m - grand mean)^2, which keeps its digits on shifted data.
+    NULL and NaN are skipped.  A feature without spread inside the classes but
+    between them has F = infinity; one without any spread, one class, or as
+    many classes as rows, has none (NULL).
     Returns (feature, idx, f_score); idx is the position in ``cols``.
     """
-    long = unpivot_numeric(df, [label], cols).where(F.col("x").isNotNull())
+    long = unpivot_numeric(df, [label], cols).where(F.col("x").isNotNull() & ~F.isnan("x"))
     a = long.groupBy("feature", label).agg(
         F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
+    # one row per feature and class: a window over the classes of a feature
+    w = Window.partitionBy("feature")
+    a = a.withColumn("grand", F.sum(F.col("n") * F.col("m")).over(w) / F.sum("n").over(w))
+    dev = F.col("m") - F.col("grand")
     b = a.groupBy("feature").agg(
-        F.sum("n").alias("nn"), F.sum(F.col("n") * F.col("m")).alias("sm"),
-        F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"),
+        F.sum("n").alias("nn"), F.sum(F.col("n") * dev * dev).alias("ssb"),
         F.sum(F.col("n") * F.col("v")).alias("ssw"), F.count(F.lit(1)).alias("k"))
-    ssb = F.col("q") - F.col("sm") * F.col("sm") / F.col("nn")
-    # one class, as many classes as rows, or zero within-class spread: no
-    # finite F -> NULL (ANSI division by zero would fail the job instead)
-    f = F.try_divide(F.try_divide(ssb, (F.col("k") - 1).cast("double")),
-                     F.try_divide(F.col("ssw"), (F.col("nn") - F.col("k")).cast("double")))
+    between = F.try_divide(F.col("ssb"), (F.col("k") - 1).cast("double"))
+    within = F.try_divide(F.col("ssw"), (F.col("nn") - F.col("k")).cast("double"))
+    f = (F.when(between.isNull() | within.isNull(), F.lit(None).cast("double"))
+         .when(within > 0, F.try_divide(between, within))
+         .when(between > 0, F.lit(float("inf"))))
     idx = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("feature")) - 1
     return b.select("feature", idx.cast("int").alias("idx"), f.alias("f_score"))
 

@@ -11,22 +11,22 @@ from calibra.plans import oracle
 from calibra.plans import queries as Q
 
 _NAMES = [
-    "curated_projection", "drop_null_target", "clip_columns", "inject_missing",
-    "missing_fraction", "impute_median", "impute_mode", "one_hot", "clean",
-    "split_hash", "split_exact", "split_balance", "scale_params", "standardize",
-    "anova_f", "anova_f_lineitem", "top_k_features",
+    "curated_projection", "drop_null_target", "head", "clip_columns", "inject_missing",
+    "missing_fraction", "missing_fraction_nan", "impute_median", "impute_median_discrete", "impute_binary",
+    "impute_mode", "one_hot", "clean", "clean_nan",
+    "split_hash", "split_exact", "split_exact_fractions", "split_balance", "scale_params", "standardize",
+    "anova_f", "anova_f_lineitem", "anova_f_shifted", "top_k_features", "top_k_perfect", "select_top_k",
     "class_balance", "positive_rate", "corr_matrix", "class_kde", "confusion",
-    "binary_metrics", "roc_auc", "average_precision", "roc_curve", "pr_curve",
-    "rbf_gram", "kernel_stats", "kernel_blocks", "cos2_gram", "cross_gram", "kernel_sorted",
-    "phase_embed_zz", "phase_embed_custom", "fidelity_gram",
-    "logreg_scores", "forest_scores", "svm_rbf_scores", "kernel_svm_scores",
-    "prob_classifier_scores", "loss_history", "benchmark_report",
+    "binary_metrics", "one_class_metrics", "roc_auc", "average_precision", "roc_curve", "pr_curve",
+    "kernel_stats", "kernel_blocks", "cos2_features", "cos2_kernel_stats", "cos2_kernel_blocks",
+    "cross_gram", "kernel_sorted",
+    "logreg_scores", "logreg_gradient", "loss_history", "forest_scores", "svm_rbf_scores", "cos2_svm_scores",
+    "benchmark_report",
     "upsert_results", "flatten_results", "model_ranking", "metric_pivot", "metric_bars",
     "readme_table", "results_json",
     "synthetic_table", "synthetic_label", "csv_roundtrip", "prepared_roundtrip",
-    "gather_rows", "balanced_subsample", "uniform_subsample", "table_shape",
-    "confusion_table", "kernel_eigen_range", "streaming_standardize",
-    "kernel_scale_sweep", "synthetic_prepared", "synthetic_benchmark_report",
+    "gather_rows", "balanced_subsample", "uniform_subsample", "large_subsample", "table_shape",
+    "confusion_table", "streaming_standardize", "synthetic_prepared", "synthetic_benchmark_report",
 ]
 
 

@@ -69,17 +69,16 @@ def _standardize_sql() -> str:
             + _params_sql() + ") select id, " + ", ".join(sel) + ", y, split from sp")
 
 
-ANOVA = """a as (select f, y, count(*) n, avg(x) m, var_pop(x) v from u group by f, y),
-b as (select f, sum(n) nn, sum(n*m) sm, sum(n*m*m) q, sum(n*v) ssw, count(*) k from a group by f)"""
-
-
 def _anova_sql(src: str, cols: list[str], label: str) -> str:
+    """F from the deviations of every row, by window means."""
     u = " union all ".join(
         f"select {label} as y, '{c}' as f, {i} as idx, cast({c} as double) as x from {src} where {c} is not null"
         for i, c in enumerate(cols))
-    return f"""u as ({u}), {ANOVA},
-scores as (select f as feature, (select min(idx) from u where u.f = b.f) as idx,
-   ((q - sm*sm/nn) / (k-1)) / (ssw / (nn-k)) as f_score from b)"""
+    return f"""u as ({u}),
+d as (select f, idx, y, x, avg(x) over (partition by f, y) as m, avg(x) over (partition by f) as g from u),
+scores as (select f as feature, idx, case
+   when sum((x - m) * (x - m)) > 0 then (sum((m - g) * (m - g)) / (count(distinct y) - 1)) / (sum((x - m) * (x - m)) / (count(*) - count(distinct y)))
+   when sum((m - g) * (m - g)) > 0 then 'inf'::double end as f_score from d group by f, idx)"""
 
 
 TOXIC_NUM = ["n_chars", "words", "digit_ratio", "punct_ratio", "lines"]
@@ -89,7 +88,18 @@ LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 def _prepare_sql(q: dict[str, str]) -> None:
     q["curated_projection"] = f"with {ENC} select id, acctbal, price, seg, priority, y from enc"
     q["drop_null_target"] = (f"with {ENC} select id, acctbal, price, seg, priority, cast(y as int) y "
-                             "from enc where y is not null")
+                             "from enc where not md5(cast(id as varchar) || ':y') < '08'")
+    q["head"] = f"with {ENC} select * from enc order by id limit 5"
+    q["impute_median_discrete"] = ("with l as (select l_orderkey % 2 a, l_orderkey % 3 b from lineitem) "
+                                   "select 'parity' as feature, cast(median(a) as double) as median from l "
+                                   "union all select 'third', cast(median(b) as double) from l union all select 'same', 7.0::double")
+    q["missing_fraction_nan"] = (f"with {ENC} " + " union all ".join(
+        f"select '{c}' as feature, round(avg(case when {c} is null then 1.0 else 0.0 end), 6) as missing_frac from enc"
+        for c in ["id", "acctbal", "seg", "price", "priority", "y"]))
+    q["split_exact_fractions"] = ("with r as (select o_orderkey as id, o_orderstatus as y, row_number() over (partition by o_orderstatus "
+                                  "order by md5(cast(o_orderkey as varchar) || ':7'), o_orderkey) rn, count(*) over (partition by o_orderstatus) n "
+                                  "from orders) select id, y, case when rn <= ceil(0.35*n) then 'test' when rn <= ceil(0.35*n) + ceil(0.15*n) "
+                                  "then 'val' else 'train' end as split from r")
     q["clip_columns"] = ("select c_custkey, greatest(0.0, least(c_acctbal, 5000.0)) as acctbal_clipped "
                          "from customer")
     u = "('0x' || substr(md5(cast(id as varchar) || ':42:{c}'), 1, 13))::BIGINT / 4503599627370496.0"
@@ -106,6 +116,8 @@ def _prepare_sql(q: dict[str, str]) -> None:
                         "select f as feature, v as mode from r where rn = 1")
     q["one_hot"] = ("with " + ENC_CLEAN + """ select id, "seg_BUILDING", "seg_FURNITURE", "seg_HOUSEHOLD",
         "seg_MACHINERY", "priority_2-HIGH", "priority_3-MEDIUM", "priority_4-NOT SPECIFIED", "priority_5-LOW" from coded""")
+    q["clean_nan"] = ("with " + ENC_CLEAN + " select id, round(acctbal, 6) acctbal, round(price, 6) price, "
+                      + ", ".join(f'"{c}"' for c in CODED_COLS[2:]) + ", y from coded")
     q["clean"] = ("with " + ENC_CLEAN + " select id, round(acctbal, 6) acctbal, round(price, 6) price, "
                   + ", ".join(f'"{c}"' for c in CODED_COLS[2:]) + ", y from coded")
     q["split_hash"] = f"with {ENC} select id, y, {SPLIT} as split from enc"
@@ -123,6 +135,12 @@ def _prepare_sql(q: dict[str, str]) -> None:
     q["anova_f_lineitem"] = ("with li as (select *, cast(l_returnflag = 'R' as int) y from lineitem), "
                              + _anova_sql("li", LINE_FEATURES, "y")
                              + " select feature, idx, round(f_score, 6) f_score from scores")
+    li = "with li as (select *, cast(l_returnflag = 'R' as int) y from lineitem), "
+    shifted = "lm as (select l_quantity + 1e9 as l_quantity, l_extendedprice + 1e9 as l_extendedprice, y from li), "
+    q["anova_f_shifted"] = (li + shifted + _anova_sql("li", ["l_quantity", "l_extendedprice"], "y")
+                            + " select feature, idx, round(f_score, 2) f_score from scores").replace(shifted, "")
+    q["top_k_perfect"] = ("select 'l_quantity' as feature, cast(2 as int) as rank, true as has_f, false as infinite union all "
+                          "select 'perfect', 1, true, true union all select 'same', 3, false, false")
     q["top_k_features"] = (f"with {TOXIC}, " + _anova_sql("toxic", TOXIC_NUM, "toxic")
                            + ", r as (select *, cast(row_number() over (order by f_score desc nulls last, idx desc) as int) as rank from scores) "
                            "select feature, idx, round(f_score, 6) f_score, rank from r where rank <= 3")
@@ -216,31 +234,37 @@ VEC = "v as (select vec_id, cast(embedding as double[]) emb, label % 2 as cls fr
 RBF = "exp(-0.1 * pow(list_distance(a.emb, b.emb), 2))"
 LM = "lm as (select * from v order by md5(cast(vec_id as varchar) || ':42'), vec_id limit {n})"
 
-
-def _vec6() -> str:
-    raw = ", ".join(f"cast(embedding[{i + 1}] as double) e{i + 1}" for i in range(6))
-    std = ", ".join(f"(e{i + 1} - avg(e{i + 1}) over ()) / case when stddev_pop(e{i + 1}) over () = 0 then 1 "
-                    f"else stddev_pop(e{i + 1}) over () end as e{i + 1}" for i in range(6))
-    return f"r6 as (select vec_id, label % 2 cls, {raw} from embeddings), s6 as (select vec_id, cls, {std} from r6)"
+# the three dimensions with the best F (by deviations), standardised, in order of dimension
+BEST3 = VEC + """,
+u as (select vec_id, cls, unnest(emb) as x, generate_subscripts(emb, 1) as i from v),
+d as (select *, avg(x) over (partition by i, cls) as m, avg(x) over (partition by i) as g from u),
+f as (select i, (sum((m - g) * (m - g)) / (count(distinct cls) - 1)) / (sum((x - m) * (x - m)) / (count(*) - count(distinct cls))) as score
+      from d group by i),
+best as (select i, row_number() over (order by i) as r from (select i from f order by score desc, i desc limit 3)),
+z as (select vec_id, cls, r, (x - avg(x) over (partition by i)) / (case when stddev_pop(x) over (partition by i) = 0 then 1
+      else stddev_pop(x) over (partition by i) end) as x from u join best using (i)),
+s as (select vec_id, any_value(cls) cls, max(x) filter (r = 1) a, max(x) filter (r = 2) b, max(x) filter (r = 3) c from z group by vec_id)"""
+_TRIG = "[sqrt(0.5), cos(2 * {0}) * sqrt(0.5), sin(2 * {0}) * sqrt(0.5)]"
 
 
 def _kernel_sql(q: dict[str, str]) -> None:
-    q["rbf_gram"] = (f"with {VEC} select a.vec_id i, b.vec_id j, round({RBF}, 6) k "
-                     "from v a join v b on a.vec_id <= b.vec_id")
-    q["kernel_stats"] = (f"with {VEC}, p as (select a.vec_id i, b.vec_id j, {RBF} k from v a cross join v b) "
-                         "select cast(sum(case when i = j then 1 else 0 end) as bigint) n, "
-                         "round(sum(case when i != j then k else 0 end) / count(*), 6) offdiag_mean, "
-                         "round(avg(case when i = j then k end), 6) diag_mean from p")
-    q["kernel_blocks"] = (f"with {VEC} select a.cls label_i, b.cls label_j, round(avg({RBF}), 6) mean_k "
-                          "from v a cross join v b group by a.cls, b.cls")
-    cos = " * ".join(f"pow(cos(a.e{i + 1} - b.e{i + 1}), 2)" for i in range(6))
-    q["cos2_gram"] = (f"with {_vec6()} select a.vec_id i, b.vec_id j, round(least(1.0, greatest(0.0, {cos})), 6) k "
-                      "from s6 a join s6 b on a.vec_id <= b.vec_id")
-    q["cross_gram"] = (f"with {VEC}, {LM.format(n=64)} select a.vec_id i, b.vec_id j, round({RBF}, 6) k "
-                       "from v a cross join lm b")
+    for name, cte, src, k in (("", VEC, "v", "list_inner_product(a.emb, b.emb)"),
+                              ("cos2_", BEST3, "s", "pow(cos(a.a - b.a), 2) * pow(cos(a.b - b.b), 2) * pow(cos(a.c - b.c), 2)")):
+        q[f"{name}kernel_stats"] = (f"with {cte}, p as (select a.vec_id i, b.vec_id j, {k} k from {src} a cross join {src} b) "
+                                    "select cast(sum(case when i = j then 1 else 0 end) as bigint) n, "
+                                    "round(sum(case when i != j then k else 0 end) / count(*), 6) offdiag_mean, "
+                                    "round(avg(case when i = j then k end), 6) diag_mean from p")
+        q[f"{name}kernel_blocks"] = (f"with {cte} select a.cls label_i, b.cls label_j, round(avg({k}), 6) mean_k "
+                                     f"from {src} a cross join {src} b group by a.cls, b.cls")
+    entry = " * ".join(f"{_TRIG.format('s.' + c)}[1 + (i // {p}) % 3]" for c, p in (("a", 9), ("b", 3), ("c", 1)))
+    q["cos2_features"] = f"with {BEST3} select vec_id, cast(i as int) i, round({entry}, 6) x from s, range(27) t(i)"
+    q["cross_gram"] = (f"with {VEC} select a.vec_id i, b.vec_id j, round({RBF}, 6) k "
+                       "from v a cross join v b where b.vec_id % 20 = 0")
     q["kernel_sorted"] = (f"with {VEC}, {LM.format(n=60)}, s as (select *, cast(row_number() over (order by cls, vec_id) - 1 as int) pos from lm) "
                           f"select a.pos pos_i, b.pos pos_j, round({RBF}, 6) k from s a cross join s b")
-
+    q["logreg_gradient"] = (f"with {TOXIC}, l as (select distinct lang from toxic) "
+                            "select unnest(['(intercept)', 'n_chars', 'words', 'digit_ratio', 'punct_ratio', 'lines']) as feature, 0.0::double as gradient "
+                            "union all select 'lang_' || lang, 0.0::double from l where lang > (select min(lang) from l)")
 
 
 def _metrics_cte(src: str, name: str) -> str:
@@ -302,7 +326,10 @@ def _results_sql(q: dict[str, str]) -> None:
                            "where block = 'qsvm' or (block = 'classical' and model = 'punct')")
     q["flatten_results"] = f"with {RESULTS} select model, metric, round(value, 6) value from flat"
     q["model_ranking"] = f"with {RESULTS} select model, round(roc_auc, 6) roc_auc, rank from ranked"
-    piv = ", ".join(f"round(max(case when metric = '{m}' then value end), 6) as {m}" for m in PIVOT_METRICS)
+    piv = ", ".join(f"round(max(case when metric = '{m}' then value end), 6) as {m}" for m in PIVOT_METRICS + ["train_seconds"])
+    q["results_json"] = (f"with {RESULTS}, pm as (select block, model, string_agg('\"' || metric || '\":' || cast(round(value, 6) as varchar), ',' order by metric) as m "
+                         "from res group by block, model) select block, '{' || string_agg('\"' || model || '\":{' || m || '}', ',' order by model) || '}' as json "
+                         "from pm group by block")
     q["metric_pivot"] = f"with {RESULTS} select model, {piv} from flat group by model"
     q["metric_bars"] = f"with {RESULTS} select model, round(value, 6) value from flat where metric = 'roc_auc'"
     cells = " || ' | ' || ".join(
@@ -372,6 +399,17 @@ def _synthetic_sql(rounded: bool = True) -> str:
             f"select {', '.join(final)} from l")
 
 
+def _select_top_k_sql() -> str:
+    """The two columns with the best F on the training rows, of the test rows."""
+    long = " union all ".join(f"""select id, split, y, '{c}' as f, {i} as idx, cast("{c}" as double) as x from sp"""
+                              for i, c in enumerate(CODED_COLS))
+    return ("with " + ENC_CLEAN + f""", sp as (select *, {SPLIT} as split from coded), u as ({long}),
+d as (select f, idx, y, x, avg(x) over (partition by f, y) as m, avg(x) over (partition by f) as g from u where split = 'train'),
+b as (select f, idx, (sum((m - g) * (m - g)) / (count(distinct y) - 1)) / (sum((x - m) * (x - m)) / (count(*) - count(distinct y))) as s
+      from d group by f, idx order by s desc, idx desc limit 2)
+select id, f as feature, round(x, 6) as x from u where split = 'test' and f in (select f from b)""")
+
+
 def _misc_sql(q: dict[str, str]) -> None:
     q["synthetic_table"] = _synthetic_sql()
     q["synthetic_label"] = (f"with t as ({_synthetic_sql()}) "
@@ -388,6 +426,15 @@ def _misc_sql(q: dict[str, str]) -> None:
                                "q as (select least(50, np) a, nt from c) "
                                "select doc_id, toxic from r, q where "
                                "(q.nt <= 100) or (toxic = 1 and rn <= q.a) or (toxic = 0 and rn <= 100 - q.a)")
+    q["large_subsample"] = ("with o as (select o_orderkey as id, cast(o_orderstatus = 'F' as int) as y, row_number() over "
+                            "(order by md5(cast(o_orderkey as varchar) || ':42'), o_orderkey) rn, count(*) over () n from orders) "
+                            "select id, y from o where rn <= 2 * n // 3")
+    one = SCORED_DOCS.replace("scored as (", "every as (") + ", scored as (select * from every where label = 1)"
+    q["one_class_metrics"] = (f"with {one}, {_metrics_cte('scored', 'oc')} select model, metric, round(value, 6) as value from oc_m")
+    u = _u("encounter_id", "elective_surgery")
+    q["impute_binary"] = (f"with t as ({_synthetic_sql(rounded=False)}), b as (select encounter_id, case when {u} < 0.1 then null else elective_surgery end e from t) "
+                          "select encounter_id, cast(coalesce(e, (select median(e) from b)) as double) as elective_surgery from b")
+    q["select_top_k"] = _select_top_k_sql()
     q["uniform_subsample"] = (f"with {TOXIC} select doc_id, toxic from toxic "
                               "order by md5(cast(doc_id as varchar) || ':42'), doc_id limit 100")
     q["table_shape"] = f"with {ENC} select count(*) as n_rows, 6 as n_cols from enc"

@@ -4,7 +4,6 @@ lazy DataFrame.  Floats are rounded to 6 digits so that the DuckDB oracle in
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from calibra.functions.scalar import clip, round6
 from calibra.operators import kernels as K
 from calibra.operators import metrics as V
+from calibra.operators import models as M
 from calibra.operators import prepare as P
 from calibra.operators import profile as G
 from calibra.operators import results as R
@@ -20,11 +20,12 @@ from calibra.operators import scale as N
 from calibra.operators import split as E
 from calibra.operators.order_stats import medians
 from calibra.plans.benchmark import Benchmark
-from calibra.session import checkpoint_dir
+from calibra.session import scratch_path, staged
 from calibra.sources import files as S
 from calibra.sources import synthetic as SY
 from calibra.sources.tables import (ENC_SPEC, TOXIC_SPEC, documents_labeled, encounters,
                                     encounters_from, read_table, vectors)
+from calibra.spec import FeatureSpec
 from calibra.streaming.scoring import prepare_stream, run_available_now
 
 SEED = 42
@@ -47,7 +48,15 @@ def curated_projection(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def drop_null_target(spark: SparkSession, sf: str) -> DataFrame:
-    return P.drop_null_target(P.select_features(encounters(spark, sf), ENC_SPEC), ENC_SPEC)
+    """P2 on a view whose outcome is missing for one key in 32."""
+    gone = F.md5(F.concat(F.col("id").cast("string"), F.lit(":y"))) < "08"
+    enc = encounters(spark, sf).withColumn("y", F.when(gone, F.lit(None)).otherwise(F.col("y")))
+    return P.drop_null_target(P.select_features(enc, ENC_SPEC), ENC_SPEC)
+
+
+def head(spark: SparkSession, sf: str) -> DataFrame:
+    """The first rows of the encounter view, by key."""
+    return encounters(spark, sf).orderBy("id").limit(5)
 
 
 def clip_columns(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,19 +77,46 @@ def impute_median(spark: SparkSession, sf: str) -> DataFrame:
     return _r6(medians(encounters(spark, sf), ["acctbal", "price"]))
 
 
+def impute_median_discrete(spark: SparkSession, sf: str) -> DataFrame:
+    """I1 on columns of very few values: half the rows share one."""
+    li = read_table(spark, sf, "lineitem")
+    return _r6(medians(li.select((F.col("l_orderkey") % 2).alias("parity"), (F.col("l_orderkey") % 3).alias("third"),
+                                 F.lit(7).alias("same")), ["parity", "third", "same"]))
+
+
+def impute_binary(spark: SparkSession, sf: str) -> DataFrame:
+    """A 0/1 column with missing values, filled by its median."""
+    keys = read_table(spark, sf, "orders").select("o_orderkey")
+    syn = SY.synthetic_encounters(keys, "o_orderkey", seed=SEED).select("encounter_id", "elective_surgery", "hospital_death")
+    syn = P.inject_missing(syn, ["elective_surgery"], "encounter_id", rate=0.1, seed=SEED)
+    spec = FeatureSpec("encounter_id", ("elective_surgery",), (), "hospital_death")
+    return _r6(P.clean(syn, spec).select("encounter_id", F.col("elective_surgery").cast("double").alias("elective_surgery")))
+
+
+def clean_nan(spark: SparkSession, sf: str) -> DataFrame:
+    """I5 where missing numbers are NaN: the same result as with NULL."""
+    enc = encounters(spark, sf).withColumn("acctbal", F.coalesce(F.col("acctbal").cast("double"), F.lit(float("nan"))))
+    return _r6(P.clean(enc, ENC_SPEC))
+
+
+def missing_fraction_nan(spark: SparkSession, sf: str) -> DataFrame:
+    enc = encounters(spark, sf).withColumn("acctbal", F.coalesce(F.col("acctbal").cast("double"), F.lit(float("nan"))))
+    return _r6(G.missing_fraction(enc))
+
+
 def impute_mode(spark: SparkSession, sf: str) -> DataFrame:
     counts = P.category_counts(encounters(spark, sf), ["seg", "priority"])
     return P.modes_from_counts(counts)
 
 
 def one_hot(spark: SparkSession, sf: str) -> DataFrame:
-    enc = encounters(spark, sf)
+    enc = staged(encounters(spark, sf), "encounters")
     params = P.fit_clean(enc, ENC_SPEC)
     return P.one_hot(P.impute(enc, params), params).drop("acctbal", "price", "y")
 
 
 def clean(spark: SparkSession, sf: str) -> DataFrame:
-    return _r6(P.clean(encounters(spark, sf), ENC_SPEC))
+    return _r6(P.clean(staged(encounters(spark, sf), "encounters"), ENC_SPEC))
 
 
 def split_hash(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,6 +127,12 @@ def split_exact(spark: SparkSession, sf: str) -> DataFrame:
     return E.split_exact(encounters(spark, sf).select("id", "y"), "id", "y", seed=SEED)
 
 
+def split_exact_fractions(spark: SparkSession, sf: str) -> DataFrame:
+    """Other shares than the defaults, and a label of three classes."""
+    li = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("y"))
+    return E.split_exact(li, "id", "y", seed=7, test=0.35, val=0.15)
+
+
 def split_balance(spark: SparkSession, sf: str) -> DataFrame:
     s = E.split_hash(encounters(spark, sf).select("id", "y"), "id", seed=SEED)
     return _r6(s.groupBy("split").agg(F.count(F.lit(1)).alias("n"),
@@ -98,7 +140,9 @@ def split_balance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _prepared_enc(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
-    df, params = P.clean(encounters(spark, sf), ENC_SPEC, return_params=True)
+    # read and joined once: medians, categories, moments and the result follow
+    enc = staged(P.select_features(encounters(spark, sf), ENC_SPEC), "encounters")
+    df, params = P.clean(enc, ENC_SPEC, return_params=True)
     df = E.split_hash(df, "id", seed=SEED)
     return df, params.encoded_columns
 
@@ -134,6 +178,32 @@ def anova_f_lineitem(spark: SparkSession, sf: str) -> DataFrame:
     return _r6(N.anova_f(_lineitem_labeled(spark, sf), LINE_FEATURES, "y"))
 
 
+def anova_f_shifted(spark: SparkSession, sf: str) -> DataFrame:
+    """N2 on features moved by 10^9: F must not change."""
+    li = _lineitem_labeled(spark, sf)
+    moved = li.select(*[(F.col(c) + 1e9).alias(c) for c in ("l_quantity", "l_extendedprice")], "y")
+    return N.anova_f(moved, ["l_quantity", "l_extendedprice"], "y").withColumn("f_score", F.round("f_score", 2))
+
+
+def top_k_perfect(spark: SparkSession, sf: str) -> DataFrame:
+    """A feature that separates the classes perfectly comes first, a
+    constant one (no F at all) last."""
+    li = _lineitem_labeled(spark, sf).select("l_quantity", (F.col("y") * 3.0).alias("perfect"), F.lit(1.0).alias("same"), "y")
+    return N.top_k_features(N.anova_f(li, ["l_quantity", "perfect", "same"], "y"), 3).select(
+        "feature", "rank", F.col("f_score").isNotNull().alias("has_f"),
+        F.coalesce(F.col("f_score") == float("inf"), F.lit(False)).alias("infinite"))
+
+
+def select_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    """The two best features by the training rows, of the test rows, long."""
+    enc = staged(P.select_features(encounters(spark, sf), ENC_SPEC), "encounters")
+    df = E.split_hash(P.clean(enc, ENC_SPEC), "id", seed=SEED)
+    cols = [c for c in df.columns if c not in ("id", "y", "split")]
+    chosen, best = N.select_top_k(df, cols, "y", 2, keep=["id", "split"], fit_filter=F.col("split") == "train")
+    test = chosen.where(F.col("split") == "test").select("id", *[F.col(f"`{c}`").cast("double").alias(c) for c in best])
+    return _r6(test.unpivot(["id"], best, "feature", "x"))
+
+
 def top_k_features(spark: SparkSession, sf: str) -> DataFrame:
     d = _toxic(spark, sf)
     sc = N.anova_f(d, list(TOXIC_SPEC.numeric), "toxic")
@@ -219,84 +289,57 @@ def pr_curve(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ kernels
 GAMMA = 0.1
-N_LANDMARKS = 64
-K_DIMS = 6
-
-
-def _vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors(spark, sf)
 
 
-def vec_features(spark: SparkSession, sf: str, k: int = K_DIMS) -> tuple[DataFrame, list[str]]:
-    """First k embedding dims as columns, standardised over the table."""
-    v = _vectors(spark, sf)
-    cols = [f"e{i + 1}" for i in range(k)]
+def selected_vectors(spark: SparkSession, sf: str, k: int = 3) -> tuple[DataFrame, list[str]]:
+    """The ``k`` embedding dimensions with the best ANOVA F over the class, out
+    of all of them, standardised: (vec_id, cls, e1...)."""
+    v = staged(vectors(spark, sf), "vectors")
+    dims = v.select(F.size("embedding").alias("d")).first()["d"]
+    cols = [f"e{i + 1}" for i in range(dims)]
     wide = v.select("vec_id", "cls", *[F.col("embedding")[i].alias(c) for i, c in enumerate(cols)])
-    return N.standardize(wide, cols), cols
+    best = [r["feature"] for r in N.top_k_features(N.anova_f(wide, cols, "cls"), k).collect()]
+    return N.standardize(wide.select("vec_id", "cls", *best), best), best
 
 
-def rbf_gram(spark: SparkSession, sf: str) -> DataFrame:
-    return _r6(K.gram(_vectors(spark, sf), "vec_id", "embedding", K.make_kernel("rbf", gamma=GAMMA)))
+def cos2_features(spark: SparkSession, sf: str) -> DataFrame:
+    """K2: the explicit vector of the cos2 kernel, entry by entry."""
+    df, cols = selected_vectors(spark, sf)
+    return _r6(K.cos2_features(df, cols).select("vec_id", F.posexplode("vec").alias("i", "x")))
 
 
-def kernel_stats(spark: SparkSession, sf: str) -> DataFrame:
-    s = K.gram_summary(_vectors(spark, sf), "vec_id", "embedding",
-                       K.make_kernel("rbf", gamma=GAMMA), "cls")
-    return _r6(K.kernel_stats(s))
-
-
-def kernel_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    s = K.gram_summary(_vectors(spark, sf), "vec_id", "embedding",
-                       K.make_kernel("rbf", gamma=GAMMA), "cls")
-    return _r6(K.kernel_blocks(s))
+def cos2_kernel_stats(spark: SparkSession, sf: str) -> DataFrame:
+    df, cols = selected_vectors(spark, sf)
+    return _r6(K.kernel_stats(K.kernel_sums(K.cos2_features(df, cols), "vec", "cls")))
 
 
-def _embedded(spark: SparkSession, sf: str, kind: str, reps: int) -> DataFrame:
-    df, cols = vec_features(spark, sf)
-    return K.phase_embed(df, cols, kind=kind, reps=reps)
+def cos2_kernel_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    df, cols = selected_vectors(spark, sf)
+    return _r6(K.kernel_blocks(K.kernel_sums(K.cos2_features(df, cols), "vec", "cls")))
 
 
-def cos2_gram(spark: SparkSession, sf: str) -> DataFrame:
-    """K2: custom map, one layer, as a fidelity Gram of embeddings (the SQL
-    oracle uses the closed form prod cos^2(x_i - y_i))."""
-    e = _embedded(spark, sf, "custom", 1)
-    return _r6(K.gram(e, "vec_id", "embedding", K.make_kernel("fidelity")))
+def kernel_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """K8 of the linear kernel over whole embeddings."""
+    return _r6(K.kernel_stats(K.kernel_sums(vectors(spark, sf), "embedding", "cls")))
 
 
-def _landmarks(df: DataFrame, key: str, n: int) -> DataFrame:
-    return E.subsample(df, key, "cls", n, seed=SEED, balanced=False)
+def kernel_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """K10 of the linear kernel over whole embeddings."""
+    return _r6(K.kernel_blocks(K.kernel_sums(vectors(spark, sf), "embedding", "cls")))
 
 
 def cross_gram(spark: SparkSession, sf: str) -> DataFrame:
-    v = _vectors(spark, sf)
-    lm = _landmarks(v, "vec_id", N_LANDMARKS)
-    return _r6(K.cross_gram(v, "vec_id", "embedding", lm, "vec_id", "embedding",
-                  K.make_kernel("rbf", gamma=GAMMA)))
+    """K5: every embedding against every one whose id is divisible by 20."""
+    v = vectors(spark, sf)
+    return _r6(K.cross_gram(v, "vec_id", "embedding", v.where("vec_id % 20 = 0"), "vec_id", "embedding",
+                            K.make_kernel("rbf", gamma=GAMMA)))
 
 
 def kernel_sorted(spark: SparkSession, sf: str) -> DataFrame:
     """K9: first 60 rows of the hash-shuffled table, class-sorted positions,
     full 60 x 60 Gram."""
-    v = _vectors(spark, sf)
-    s = K.sorted_positions(_landmarks(v, "vec_id", 60), "vec_id", "cls")
-    g = K.cross_gram(s, "vec_id", "embedding", s, "vec_id", "embedding",
-                     K.make_kernel("rbf", gamma=GAMMA))
-    p = s.select("vec_id", "pos")
-    out = (g.join(p.withColumnRenamed("vec_id", "i").withColumnRenamed("pos", "pos_i"), "i")
-           .join(p.withColumnRenamed("vec_id", "j").withColumnRenamed("pos", "pos_j"), "j"))
-    return _r6(out.select("pos_i", "pos_j", "k"))
-
-
-def phase_embed_zz(spark: SparkSession, sf: str) -> DataFrame:
-    return _embedded(spark, sf, "zz", 2).select("vec_id", "embedding")
-
-
-def phase_embed_custom(spark: SparkSession, sf: str) -> DataFrame:
-    return _embedded(spark, sf, "custom", 2).select("vec_id", "embedding")
-
-
-def fidelity_gram(spark: SparkSession, sf: str) -> DataFrame:
-    return _r6(K.gram(_embedded(spark, sf, "zz", 2), "vec_id", "embedding", K.make_kernel("fidelity")))
+    first = E.subsample(vectors(spark, sf), "vec_id", "cls", 60, seed=SEED, balanced=False)
+    return _r6(K.heatmap(first, "vec_id", "embedding", "cls", K.make_kernel("rbf", gamma=GAMMA)))
 
 
 # ------------------------------------------------------------------- models
@@ -322,22 +365,35 @@ def svm_rbf_scores(spark: SparkSession, sf: str) -> DataFrame:
     return b.scored["classical"]
 
 
-def kernel_svm_scores(spark: SparkSession, sf: str) -> DataFrame:
+def cos2_svm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """M2/O3: scores of the cos2 kernel SVM on the test split."""
     b = _bench(spark, sf)
-    b.kernel_svm(("zz", "custom"))
+    b.kernel_svm()
     return b.scored["qsvm"]
 
 
-def prob_classifier_scores(spark: SparkSession, sf: str) -> DataFrame:
+def logreg_gradient(spark: SparkSession, sf: str) -> DataFrame:
+    """M3: gradient of the fitted objective at its optimum, over all training
+    rows: zero for every feature."""
     b = _bench(spark, sf)
-    b.probabilistic()
-    return b.scored["bonus"]
+    b.baseline(("logreg",))
+    p = b.data()
+    train = M.assemble(p.data.where(F.col("split") == "train"), p.features)
+    g = M.logreg_gradient(b.fitted["logreg"].model, train, p.label, p.features)
+    return g.select("feature", (F.round("gradient", 3) + 0.0).alias("gradient"))
 
 
 def loss_history(spark: SparkSession, sf: str) -> DataFrame:
+    """M9/V8: the objective by iteration of the logistic regression."""
     b = _bench(spark, sf)
-    b.probabilistic()
-    return spark.createDataFrame(b.losses, "model string, iter int, loss double")
+    b.baseline(("logreg",))
+    return spark.createDataFrame(M.loss_history(b.fitted["logreg"].model, "logreg"), "model string, iter int, loss double")
+
+
+def one_class_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of positive rows only: no curve metrics, and balanced
+    accuracy is that of the one class."""
+    return _r6(V.binary_metrics(scored_documents(spark, sf).where("label = 1")))
 
 
 def benchmark_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -346,30 +402,26 @@ def benchmark_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ results
-def _results_blocks(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """Three blocks of rule-model metrics, computed in ONE metrics pass over
-    one document scan: the block is folded into the model name."""
+def _results(spark: SparkSession, sf: str) -> DataFrame:
+    """Three blocks of rule-model metrics in one frame, computed in ONE metrics
+    pass over one document scan: the block is folded into the model name."""
     cols = ["model", "label", "prediction", "score"]
     docs = scored_documents(spark, sf, {"classical": "quality", "bonus": "toxic"}).select(*cols)
     enc = scored_encounters(spark, sf).select(
         F.concat(F.lit("qsvm/"), "model").alias("model"), *cols[1:])
     allm = V.binary_metrics(docs.unionByName(enc))
     parts = F.split(F.col("model"), "/", 2)
-    res = allm.select(parts[0].alias("block"), parts[1].alias("model"), "metric",
-                      F.col("value").cast("double").alias("value"))
-    return {b: res.where(F.col("block") == b) for b in ("classical", "qsvm", "bonus")}
+    return allm.select(parts[0].alias("block"), parts[1].alias("model"), "metric",
+                       F.col("value").cast("double").alias("value"))
 
 
 def upsert_results(spark: SparkSession, sf: str) -> DataFrame:
-    b = _results_blocks(spark, sf)
-    old = b["classical"].unionByName(b["qsvm"])
-    new = b["classical"].where(F.col("model") == "punct")
-    return _r6(R.upsert(old, new))
+    res = staged(_results(spark, sf), "results")
+    return _r6(R.upsert(res.where("block <> 'bonus'"), res.where("block = 'classical' AND model = 'punct'")))
 
 
 def _flat(spark: SparkSession, sf: str) -> DataFrame:
-    b = _results_blocks(spark, sf)
-    return R.flatten(b["classical"].unionByName(b["qsvm"]).unionByName(b["bonus"]))
+    return R.flatten(_results(spark, sf))
 
 
 def flatten_results(spark: SparkSession, sf: str) -> DataFrame:
@@ -389,17 +441,18 @@ def metric_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def readme_table(spark: SparkSession, sf: str) -> DataFrame:
-    return R.markdown_rows(_flat(spark, sf).select("model", "metric", F.round("value", 6).alias("value")))
+    flat = staged(_flat(spark, sf), "flat")
+    return R.markdown_rows(flat.select("model", "metric", F.round("value", 6).alias("value")))
 
 
 def results_json(spark: SparkSession, sf: str) -> DataFrame:
-    b = _results_blocks(spark, sf)
-    return R.nested_json(b["classical"].unionByName(b["qsvm"]).unionByName(b["bonus"]))
+    """The nested document, values rounded to 6 digits."""
+    return R.nested_json(_r6(_results(spark, sf)))
 
 
 # ------------------------------------------------------- sources and sinks
 def _scratch(spark: SparkSession, tag: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return scratch_path(spark, tag)
 
 
 def synthetic_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -443,6 +496,12 @@ def balanced_subsample(spark: SparkSession, sf: str) -> DataFrame:
     return E.subsample(d, "doc_id", "toxic", 100, seed=SEED)
 
 
+def large_subsample(spark: SparkSession, sf: str) -> DataFrame:
+    """E4 beyond the heaps: two thirds of the orders by hash order."""
+    o = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    return E.subsample(o, "id", "y", 2 * o.count() // 3, seed=SEED, balanced=False)
+
+
 def uniform_subsample(spark: SparkSession, sf: str) -> DataFrame:
     d = _toxic(spark, sf).select("doc_id", "toxic")
     return E.subsample(d, "doc_id", "toxic", 100, seed=SEED, balanced=False)
@@ -459,13 +518,6 @@ def confusion_table(spark: SparkSession, sf: str) -> DataFrame:
     return G.confusion_long(scored_documents(spark, sf))
 
 
-def kernel_eigen_range(spark: SparkSession, sf: str) -> DataFrame:
-    """K8: extreme eigenvalues of the landmark Gram (bounded, on the driver)."""
-    v = _vectors(spark, sf)
-    lm = _landmarks(v, "vec_id", N_LANDMARKS)
-    return K.eigen_range(lm, "vec_id", "embedding", K.make_kernel("rbf", gamma=GAMMA))
-
-
 def streaming_standardize(spark: SparkSession, sf: str) -> DataFrame:
     """Batch-fitted preparation applied to orders arriving as a stream."""
     enc = encounters(spark, sf)
@@ -481,29 +533,12 @@ def streaming_standardize(spark: SparkSession, sf: str) -> DataFrame:
     return _r6(spark.read.parquet(path))
 
 
-def kernel_scale_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean off-diagonal fidelity per feature map and input scale: how close the
-    Gram is to the identity (near 1/2^k means the kernel cannot generalise)."""
-    df, cols = vec_features(spark, sf)
-    parts = []
-    for kind in ("zz", "custom"):
-        for scale in (1.0, 0.5, 0.25, 0.1):
-            e = K.phase_embed(df, cols, kind, 2, input_scale=scale)
-            s = K.kernel_stats(K.gram_summary(e, "vec_id", "embedding", K.make_kernel("fidelity"), "cls"))
-            parts.append(s.select(F.lit(kind).alias("kind"), F.lit(scale).alias("input_scale"),
-                                  F.round("offdiag_mean", 6).alias("offdiag_mean")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def synthetic_prepared(spark: SparkSession, sf: str) -> DataFrame:
     """N4 data path on the synthetic encounter table (one row per order key):
     17 numeric + elective_surgery + 11 dummies = 29 standardised features."""
     from calibra.plans.benchmark import prepare_data
     keys = read_table(spark, sf, "orders").select("o_orderkey")
-    data, _ = prepare_data(SY.synthetic_encounters(keys, "o_orderkey", seed=SEED), SY.SYN_SPEC)
+    data, _ = prepare_data(SY.synthetic_encounters(keys, "o_orderkey", seed=SEED), SY.SYN_SPEC, split_mode="hash")
     return _r6(data)
 
 

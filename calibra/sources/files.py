@@ -49,21 +49,19 @@ def read_prepared(spark: SparkSession, path: str, split: str | None = None,
     return df.where(F.col(split_col) == split) if split else df
 
 
+def _absent(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def resolve_source(spark: SparkSession, paths: list[str], fallback=None,
                    force_fallback: bool = False) -> DataFrame:
-    """The first readable path, else ``fallback(spark)`` (e.g. the
-    synthetic generator).  Downloading is not part of this engine."""
-    if not force_fallback:
-        for p in paths:
-            try:
-                if p.endswith(".csv"):
-                    df = read_csv(spark, p)
-                else:
-                    df = spark.read.parquet(p)
-                df.schema  # noqa: B018 - forces path resolution
-                return df
-            except Exception:  # noqa: BLE001 - unreadable path: try the next
-                continue
+    """The first path that exists, else ``fallback(spark)`` (e.g. the
+    synthetic generator).  Only absence is passed over: a path that exists but
+    cannot be read raises.  Downloading is not part of this engine."""
+    for p in [] if force_fallback else paths:
+        if not _absent(spark, p):
+            return read_csv(spark, p) if p.endswith(".csv") else nan_to_null(spark.read.parquet(p))
     if fallback is None:
-        raise FileNotFoundError(f"no readable source among {paths}")
+        raise FileNotFoundError(f"none of these sources exists: {paths}")
     return fallback(spark)

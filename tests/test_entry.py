@@ -4,8 +4,8 @@ import pytest
 import __spark_entry__ as E
 
 FAST = ["curated_projection", "impute_median", "impute_mode", "split_exact", "standardize",
-        "anova_f", "binary_metrics", "roc_curve", "rbf_gram", "cos2_gram", "kernel_stats",
-        "readme_table"]
+        "anova_f", "anova_f_shifted", "top_k_perfect", "clean_nan", "impute_median_discrete", "binary_metrics",
+        "roc_curve", "cos2_features", "cos2_kernel_stats", "kernel_stats", "cross_gram", "metric_pivot", "readme_table"]
 
 
 def test_entry_runs(spark):

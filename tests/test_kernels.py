@@ -10,110 +10,58 @@ def _frame(spark, x):
                                  "id long, vec array<double>, cls int")
 
 
-def _dense(long_df, n):
-    m = np.zeros((n, n))
-    for r in long_df.collect():
-        m[r.i, r.j] = m[r.j, r.i] = r.k
-    return m
+def _wide(spark, x):
+    cols = [f"x{i}" for i in range(x.shape[1])]
+    return spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], ["id", *cols]), cols
 
 
-def test_embedding_length_and_unknown_map(spark):
-    x = np.random.default_rng(0).normal(size=(4, 3))
-    for kind in K.FEATURE_MAPS:
-        assert K.embed_numpy(x, kind, 2).shape == (4, 2 ** 3)
+def test_unknown_kernel():
     with pytest.raises(ValueError):
-        K.embed_numpy(x, "bogus", 2)
-    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
-    e = K.phase_embed(df, ["a", "b", "c"], "zz", 2).first()["embedding"]
-    assert len(e) == 2 * 2 ** 3
-
-
-@pytest.mark.parametrize("kind", K.FEATURE_MAPS)
-def test_fidelity_gram_properties(spark, kind):
-    x = np.random.default_rng(7).normal(size=(6, 3))
-    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double, c double")
-    e = K.phase_embed(df, ["a", "b", "c"], kind, 1)
-    g = _dense(K.gram(e, "id", "embedding", K.make_kernel("fidelity"), block_rows=2), 6)
-    assert np.allclose(g, g.T)
-    assert np.allclose(np.diag(g), 1.0)
-    assert np.linalg.eigvalsh(g).min() > -1e-6
-    assert g.min() >= 0 and g.max() <= 1 + 1e-12
-
-
-def test_zz_equals_pauli():
-    x = np.random.default_rng(1).normal(size=(5, 4))
-    assert np.allclose(K.embed_numpy(x, "zz", 2), K.embed_numpy(x, "pauli", 2))
-
-
-def test_custom_one_layer_closed_form():
-    x = np.random.default_rng(2).normal(size=(5, 3))
-    v = K.embed_numpy(x, "custom", 1)
-    e = np.concatenate([v.real, v.imag], 1)
-    assert np.allclose(K.make_kernel("fidelity").matrix(e, e), K.make_kernel("cos2").matrix(x, x))
-
-
-def _gate_sim(x, reps):
-    """Independent gate-by-gate statevector simulation of the zz map."""
-    k = len(x)
-    dim = 2 ** k
-    psi = np.zeros(dim, complex)
-    psi[0] = 1
-    h = np.array([[1, 1], [1, -1]]) / np.sqrt(2)
-
-    def apply1(psi, gate, q):
-        t = psi.reshape([2] * k)
-        t = np.moveaxis(np.tensordot(gate, np.moveaxis(t, k - 1 - q, 0), axes=1), 0, k - 1 - q)
-        return t.reshape(dim)
-
-    z = np.arange(dim)
-    bits = [(z >> q) & 1 for q in range(k)]
-    for _ in range(reps):
-        for q in range(k):
-            psi = apply1(psi, h, q)
-        for q in range(k):
-            psi = psi * np.exp(1j * 2 * x[q] * bits[q])
-        for i in range(k):
-            for j in range(i + 1, k):
-                phi = 2 * (np.pi - x[i]) * (np.pi - x[j])
-                psi = psi * np.exp(1j * phi * (bits[i] ^ bits[j]))
-    return psi
-
-
-def test_zz_matches_gate_simulation():
-    x = np.random.default_rng(4).normal(size=(3, 3))
-    v = K.embed_numpy(x, "zz", 2)
-    for i in range(3):
-        ref = _gate_sim(x[i], 2)
-        assert abs(abs(np.vdot(ref, v[i])) - 1) < 1e-12
-
-
-def test_cross_gram_shape_and_range(spark):
-    rng = np.random.default_rng(3)
-    a = _frame(spark, rng.normal(size=(4, 2)))
-    b = _frame(spark, rng.normal(size=(3, 2))).withColumn("id", F.col("id") + 100)
-    out = K.cross_gram(a, "id", "vec", b, "id", "vec", K.make_kernel("rbf", gamma=0.5))
-    rows = out.collect()
-    assert len(rows) == 12 and all(0 <= r.k <= 1 for r in rows)
+        K.make_kernel("bogus")
+
+
+@pytest.mark.parametrize("k", [1, 2, 4])
+def test_cos2_vector_gives_the_kernel(spark, k):
+    x = np.random.default_rng(k).normal(size=(8, k))
+    df, cols = _wide(spark, x)
+    v = np.array([r.vec for r in K.cos2_features(df, cols).orderBy("id").collect()])
+    assert v.shape == (8, 3 ** k)
+    g = v @ v.T
+    assert np.allclose(g, K.make_kernel("cos2").matrix(x, x))
+    assert np.allclose(np.diag(g), 1.0) and np.linalg.eigvalsh(g).min() > -1e-9
+
+
+def test_cos2_vector_of_null(spark):
+    df = spark.createDataFrame([(1, 0.5, None), (2, 0.5, 0.1)], "id long, a double, b double")
+    got = {r.id: r.vec for r in K.cos2_features(df, ["a", "b"]).collect()}
+    assert got[1] is None and len(got[2]) == 9
 
 
-def test_block_gram_equals_dense_and_summary(spark):
+def test_sums_equal_all_pairs(spark):
     x = np.random.default_rng(5).normal(size=(37, 4))
-    df = _frame(spark, x)
-    ker = K.make_kernel("rbf", gamma=0.3)
-    g = _dense(K.gram(df, "id", "vec", ker, block_rows=8), 37)
-    assert np.allclose(g, ker.matrix(x, x))
-    s = K.gram_summary(df, "id", "vec", ker, "cls", block_rows=8)
+    s = K.kernel_sums(_frame(spark, x).repartition(5), "vec", "cls")
+    full = x @ x.T
     st = K.kernel_stats(s).first()
-    full = ker.matrix(x, x)
     assert st.n == 37
     assert st.offdiag_mean == pytest.approx((full.sum() - np.trace(full)) / 37 ** 2)
+    assert st.diag_mean == pytest.approx(np.trace(full) / 37)
     cls = np.arange(37) % 2
     for r in K.kernel_blocks(s).collect():
         assert r.mean_k == pytest.approx(full[np.ix_(cls == r.label_i, cls == r.label_j)].mean())
 
 
-def test_full_gram_guard(spark, monkeypatch):
-    df = _frame(spark, np.zeros((5, 2)))
-    monkeypatch.setattr(K, "FULL_GRAM_ROW_LIMIT", 3)
-    with pytest.raises(ValueError):
-        K.gram(df, "id", "vec", K.make_kernel("linear"))
+@pytest.mark.parametrize("broadcast_rows", [100, 5])
+def test_cross_gram(spark, broadcast_rows):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(23, 2)), rng.normal(size=(17, 2))
+    right = _frame(spark, b).withColumn("id", F.col("id") + 100)
+    ker = K.make_kernel("rbf", gamma=0.5)
+    out = K.cross_gram(_frame(spark, a), "id", "vec", right, "id", "vec", ker, broadcast_rows=broadcast_rows, block_rows=4)
+    full = ker.matrix(a, b)
+    rows = out.collect()
+    assert len(rows) == 23 * 17 and all(abs(full[r.i, r.j - 100] - r.k) < 1e-12 for r in rows)
+
+
+def test_cross_gram_of_nothing(spark):
+    df = _frame(spark, np.zeros((3, 2)))
+    assert K.cross_gram(df, "id", "vec", df.limit(0), "id", "vec", K.make_kernel("linear")).count() == 0

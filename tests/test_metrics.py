@@ -6,9 +6,24 @@ from pyspark.sql import functions as F
 from calibra.operators import metrics as V
 from calibra.operators.cumulative import dist_cumsum
 
-Y = [0, 1, 0, 1, 1, 0, 1, 0]
-PRED = [0, 1, 1, 1, 0, 0, 1, 0]
-SCORE = [.2, .8, .6, .7, .4, .1, .9, .3]
+# ten rows with tied scores, across and within the classes
+Y = [1, 0, 0, 1, 0, 1, 0, 0, 1, 0]
+PRED = [1, 1, 0, 0, 0, 1, 0, 0, 1, 1]
+SCORE = [.75, .75, .35, .35, .05, .95, .15, .35, .55, .65]
+
+
+def _auc():
+    pairs = [(a, b) for a, y in zip(SCORE, Y) if y for b, z in zip(SCORE, Y) if not z]
+    return sum(1.0 if a > b else 0.5 if a == b else 0.0 for a, b in pairs) / len(pairs)
+
+
+def _ap():
+    out, before = 0.0, 0.0
+    for t in sorted(set(SCORE), reverse=True):
+        got = [y for s, y in zip(SCORE, Y) if s >= t]
+        recall = sum(got) / sum(Y)
+        out, before = out + (recall - before) * sum(got) / len(got), recall
+    return out
 
 
 @pytest.fixture()
@@ -21,15 +36,16 @@ def _m(df):
     return {r["metric"]: r["value"] for r in V.binary_metrics(df).collect()}
 
 
-def test_golden_vector(vec):
+def test_tied_scores_against_brute_force(vec):
     m = _m(vec)
-    assert m["roc_auc"] == pytest.approx(0.9375)
-    assert m["pr_auc"] == pytest.approx(0.95)         # step sum, not 0.94375
-    assert m["accuracy"] == pytest.approx(0.75)
-    assert m["precision"] == pytest.approx(0.75)
-    assert m["recall"] == pytest.approx(0.75)
-    assert m["f1"] == pytest.approx(0.75)
-    assert m["balanced_accuracy"] == pytest.approx(0.75)
+    tp, fp, fn, tn = 3, 2, 1, 4
+    assert m["roc_auc"] == pytest.approx(_auc())
+    assert m["pr_auc"] == pytest.approx(_ap())
+    assert m["accuracy"] == pytest.approx((tp + tn) / 10)
+    assert m["precision"] == pytest.approx(tp / (tp + fp))
+    assert m["recall"] == pytest.approx(tp / (tp + fn))
+    assert m["f1"] == pytest.approx(2 * tp / (2 * tp + fp + fn))
+    assert m["balanced_accuracy"] == pytest.approx((tp / (tp + fn) + tn / (tn + fp)) / 2)
     assert set(m) == set(V.METRICS)
 
 

@@ -20,7 +20,7 @@ def toy(spark):
 
 def test_classical_models_scores(toy):
     tr, te = toy.where("id < 90"), toy.where("id >= 90")
-    scored, runs, _ = M.run_models(tr, te, {"logreg": "logreg", "random_forest": "random_forest"},
+    scored, runs = M.run_models(tr, te, {"logreg": "logreg", "random_forest": "random_forest"},
                                    "id", "label", num_trees=10)
     rows = scored.collect()
     assert {r.model for r in rows} == {"logreg", "random_forest"}
@@ -35,11 +35,22 @@ def test_nystroem_svm_and_loss(toy):
     assert 0 < ny.dim <= 40
     f = ny.transform(d, "vec")
     tr, te = f.where("id < 90"), f.where("id >= 90")
-    s, _, _ = M.run_models(tr, te, {"svm": "svm"}, "id", "label", max_iter=50)
+    s, fits = M.run_models(tr, te, {"svm": "svm"}, "id", "label", max_iter=50, held=f.where("id >= 60 AND id < 90"))
     acc = s.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-    assert acc > 0.7
-    s2, _, loss = M.run_models(tr, te, {"prob": "prob"}, "id", "label", max_iter=20)
+    assert acc > 0.7 and fits[0].curve[0] > 0
+    assert s.where("score < 0 OR score > 1").count() == 0
+    # one class is no ground for a curve
+    assert M.platt(fits[0].model, f.where("label = 1"), "label") is None
+
+
+def test_logreg_converges_and_keeps_its_losses(toy):
+    tr = toy.where("id < 90")
+    _, fits = M.run_models(tr, toy, {"logreg": "logreg"}, "id", "label")
+    g = M.logreg_gradient(fits[0].model, tr, "label", ["a", "b", "c"]).collect()
+    assert [r.feature for r in g] == ["(intercept)", "a", "b", "c"] and all(abs(r.gradient) < 1e-4 for r in g)
+    loss = M.loss_history(fits[0].model, "logreg")
     assert len(loss) > 1 and loss[-1][2] <= loss[0][2]
+    assert M.loss_history(object(), "x") == []
 
 
 def test_upsert_flatten_rank(spark):
@@ -90,3 +101,11 @@ def test_nested_json_sorted(spark):
     df = spark.createDataFrame([("b", "z", "f1", 1.0), ("b", "a", "recall", 0.5), ("b", "a", "accuracy", 0.25)],
                                "block string, model string, metric string, value double")
     assert R.nested_json(df).first().json == '{"a":{"accuracy":0.25,"recall":0.5},"z":{"f1":1.0}}'
+
+
+def test_concurrent_versions_do_not_meet(spark, tmp_path):
+    base = str(tmp_path / "store")
+    a = spark.createDataFrame([("classical", "logreg", "f1", 0.5)], "block string, model string, metric string, value double")
+    R.upsert_store(spark, base, a)
+    (tmp_path / "store" / "_claim-1").touch()  # another run is writing version 1
+    assert R.upsert_store(spark, base, a).endswith("v=2")

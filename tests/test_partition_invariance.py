@@ -9,7 +9,7 @@ from calibra.operators import metrics as V
 from calibra.operators import split as E
 from calibra.operators.order_stats import medians
 from calibra.plans import queries as Q
-from calibra.sources.tables import encounters
+from calibra.sources.tables import encounters, vectors
 
 
 def _rows(df):
@@ -31,10 +31,8 @@ def test_operators_partition_invariant(spark, sf, parts):
     assert _rows(V.binary_metrics(scored)) == base["metrics"]
 
 
-def test_gram_summary_partition_invariant(spark, sf):
-    v = Q._vectors(spark, sf)
-    ker = K.make_kernel("rbf", gamma=0.1)
-    a = _rows(K.kernel_blocks(K.gram_summary(v, "vec_id", "embedding", ker, "cls", block_rows=100)))
-    b = _rows(K.kernel_blocks(K.gram_summary(v.repartition(11), "vec_id", "embedding", ker, "cls",
-                                             block_rows=100)))
+def test_kernel_sums_partition_invariant(spark, sf):
+    v = vectors(spark, sf)
+    a = _rows(K.kernel_blocks(K.kernel_sums(v, "embedding", "cls")))
+    b = _rows(K.kernel_blocks(K.kernel_sums(v.repartition(11), "embedding", "cls")))
     assert a == b

@@ -43,13 +43,28 @@ def test_exact_median_matches_numpy(spark, values):
     assert got == pytest.approx(float(np.median([v for v in values if v is not None])))
 
 
-def test_median_multi_round_bracketing(spark):
-    # force several refinement rounds with a tiny bracket limit
+def test_median_of_a_coarse_sketch(spark):
+    # few grid values: the bracket holds a good part of the rows
     df = spark.range(5000).select(((F.col("id") * 7919) % 5000).cast("double").alias("x"))
-    got = medians(df, ["x"], max_bracket=10, grid=10, accuracy=1000).first()["median"]
+    got = medians(df, ["x"], grid=10, accuracy=1000).first()["median"]
     assert got == pytest.approx(2499.5)
 
 
+def test_ranks_of_two_values(spark):
+    """Half the rows share each value: counted as two rows, not ranked one by one."""
+    df = spark.range(20_000).select((F.col("id") % 2).cast("double").alias("x"), F.col("id").alias("key"))
+    assert medians(df, ["x"]).first()["median"] == 0.5
+    got = select_ranks(df, [], "x", {"a": lambda n: F.lit(10_000), "b": lambda n: F.lit(10_001)}, tiebreak=("key",)).collect()
+    assert {(r["tag"], r["value"], r["key"]) for r in got} == {("a", 0.0, 19_998), ("b", 1.0, 1)}
+
+
+def test_rank_outside_its_bracket_raises(spark, monkeypatch):
+    import calibra.operators.order_stats as O
+    monkeypatch.setattr(O, "_bracket", lambda q, k, n, grid: (F.lit(1e9), F.lit(2e9)))
+    with pytest.raises(ArithmeticError):
+        medians(spark.range(10).select(F.col("id").cast("double").alias("x")), ["x"])
+
+
 def test_select_ranks_with_ties(spark):
     df = spark.createDataFrame([(i % 3, float(i % 5), i) for i in range(60)], "g int, v double, key int")
     got = select_ranks(df, ["g"], "v", {"r": lambda n: F.lit(7)}, tiebreak=("key",)).orderBy("g").collect()

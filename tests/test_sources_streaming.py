@@ -78,31 +78,79 @@ def test_synthetic_prepares_to_29_features(spark):
     assert all(v == 0 for v in nulls)
 
 
-def test_stream_embedding_and_model_scoring(spark, sf):
-    """Embedding, landmark features and a fitted model are narrow: the same
-    objects score a stream."""
+def test_stream_features_and_model_scoring(spark, sf):
+    """The cos2 vector and a fitted model are narrow: the same objects score a
+    stream."""
+    from pyspark.ml.functions import array_to_vector
+
     from calibra.operators import kernels as K
     from calibra.operators import models as M
     from calibra.plans import queries as Q
     from calibra.streaming.scoring import run_available_now
-    batch, cols = Q.vec_features(spark, sf)
-    emb = K.phase_embed(batch, cols, "custom", 1, out="vec")
-    ny = M.Nystroem.fit(emb.limit(40), "vec", K.make_kernel("fidelity"), key="vec_id")
-    train = ny.transform(emb, "vec").withColumn("label", F.col("cls").cast("double"))
-    model = M.estimator("prob", 500, max_iter=10).fit(train)
-    raw = spark.read.parquet(f"{sf}/embeddings.parquet")
-    stream = (spark.readStream.schema(raw.schema).option("pathGlobFilter", "embeddings.parquet")
-              .parquet(sf))
-    params = {c: (r["mean"], r["std"]) for c, r in
-              ((r["feature"], r) for r in Q.N.fit_scaler(
-                  raw.select(*[F.col("embedding")[i].alias(c) for i, c in enumerate(cols)]), cols).collect())}
-    live = stream.select("vec_id", (F.col("label") % 2).cast("int").alias("cls"),
-                         *[F.col("embedding")[i].alias(c) for i, c in enumerate(cols)])
-    live = Q.N.apply_scaler(live, params)
-    scored = M.score(model, ny.transform(K.phase_embed(live, cols, "custom", 1, out="vec"), "vec"),
-                     "m", "vec_id", "cls")
+    batch, cols = Q.selected_vectors(spark, sf)
+    features = lambda d: K.cos2_features(d, cols).withColumn("features", array_to_vector("vec"))
+    train = features(batch).withColumn("label", F.col("cls").cast("double"))
+    model = M.estimator("logreg", 500, max_iter=10).fit(train)
+    path = str(sf)
+    raw = spark.read.parquet(f"{path}/embeddings.parquet")
+    stream = (spark.readStream.schema(raw.schema).option("pathGlobFilter", "embeddings.parquet").parquet(path))
+    dims = [int(c[1:]) - 1 for c in cols]
+    pick = lambda d: d.select("vec_id", (F.col("label") % 2).cast("int").alias("cls"),
+                              *[F.col("embedding")[i].cast("double").alias(c) for i, c in zip(dims, cols)])
+    params = {r["feature"]: (r["mean"], r["std"]) for r in Q.N.fit_scaler(pick(raw), cols).collect()}
+    scored = M.score(model, features(Q.N.apply_scaler(pick(stream), params)), "m", "vec_id", "cls")
     out = spark.read.parquet(run_available_now(scored))
     assert out.count() == raw.count()
     exp = {r.key: r.score for r in M.score(model, train, "m", "vec_id", "cls").collect()}
-    got = {r.key: r.score for r in out.collect()}
-    assert all(abs(got[k] - exp[k]) < 1e-9 for k in exp)
+    assert all(abs(r.score - exp[r.key]) < 1e-9 for r in out.collect())
+
+
+def test_only_absence_is_passed_over(spark, tmp_path):
+    (tmp_path / "bad.parquet").write_bytes(b"this is no parquet file")
+    with pytest.raises(Exception, match="(?i)parquet|footer|schema"):
+        S.resolve_source(spark, [str(tmp_path / "bad.parquet")], fallback=lambda s: s.range(1)).count()
+    nan = spark.createDataFrame([(1.0,), (float("nan"),)], "x double")
+    nan.write.parquet(str(tmp_path / "nan.parquet"))
+    got = S.resolve_source(spark, [str(tmp_path / "gone.parquet"), str(tmp_path / "nan.parquet")])
+    assert sorted(str(r.x) for r in got.collect()) == ["1.0", "None"]
+
+
+def test_session_follows_the_cluster(spark, monkeypatch):
+    import calibra.session as session
+    asked = {}
+
+    class Builder:
+        def appName(self, _):
+            return self
+
+        def master(self, m):
+            asked["master"] = m
+            return self
+
+        def config(self, k, v):
+            asked[k] = v
+            return self
+
+        def getOrCreate(self):
+            return spark
+
+    monkeypatch.setattr(session.SparkSession, "builder", Builder())
+    session.get_spark()
+    assert "master" not in asked and "spark.sql.shuffle.partitions" not in asked and "spark.driver.memory" not in asked
+
+
+def test_no_own_folder_off_local_mode(spark, monkeypatch):
+    import calibra.session as session
+
+    class Unset:
+        """A session on a cluster, without a checkpoint folder."""
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Unset())
