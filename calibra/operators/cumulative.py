@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from calibra.session import staged
+
 BROADCAST_ROWS = 200_000
 
 
@@ -35,10 +37,10 @@ def dist_cumsum(df: DataFrame, by: list[str], order: list[tuple[str, bool]],
     """Add inclusive running sums ``{out_name: source_col}`` within ``by``
     groups, in ``order`` (list of (column, ascending)).  Ties in the order are
     summed in an arbitrary but fixed sequence, so order by unique keys."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort = _sort_cols(by, order)
-    ranged = df.repartitionByRange(n, *sort).sortWithinPartitions(*sort)
+    # without a count, the adaptive planner sizes the partitions by their bytes
+    ranged = df.repartitionByRange(num_partitions, *sort) if num_partitions else df.repartitionByRange(*sort)
+    ranged = ranged.sortWithinPartitions(*sort)
     src = list(sums.values())
     outs = list(sums.keys())
     schema = T.StructType(ranged.schema.fields
@@ -69,17 +71,20 @@ def dist_cumsum(df: DataFrame, by: list[str], order: list[tuple[str, bool]],
             pdf["_pid"] = pid
             yield pdf[[f.name for f in schema.fields]]
 
-    loc = ranged.mapInPandas(local, schema).persist()
+    # used twice below; written, so that nothing is left in a cache
+    loc = staged(ranged.mapInPandas(local, schema), "cumsum")
     tot = loc.groupBy("_pid", *by).agg(*[F.sum(F.col(s).cast("double")).alias(f"_t_{o}")
                                         for o, s in zip(outs, src)])
     w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select("_pid", *by, *[F.coalesce(F.sum(f"_t_{o}").over(w), F.lit(0.0)).alias(f"_o_{o}")
                                     for o in outs])
     # the offsets table has at most (partitions + groups) rows; it is counted
-    # (a cheap job over the persisted partials) and broadcast only under the
+    # (a cheap job over the written partials) and broadcast only under the
     # bound, so the big side is never shuffled for this join
+    keys = ["_pid", *by]
     small = off.count() <= BROADCAST_ROWS
-    j = loc.join(F.broadcast(off) if small else off, ["_pid", *by], "left")
-    res = j.select(*[F.col(c) for c in df.columns],
-                   *[(F.col(f"_l_{o}") + F.col(f"_o_{o}")).alias(o) for o in outs])
-    return res
+    off = off.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], *[f"_o_{o}" for o in outs])
+    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    j = loc.join(F.broadcast(off) if small else off, on, "left")
+    return j.select(*[F.col(c) for c in df.columns],
+                    *[(F.col(f"_l_{o}") + F.col(f"_o_{o}")).alias(o) for o in outs])

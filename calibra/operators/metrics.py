@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from calibra.functions.scalar import safe_div
 from calibra.operators.cumulative import dist_cumsum
 from calibra.operators.profile import confusion
+from calibra.session import staged
 
 METRICS = ("accuracy", "balanced_accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc")
 
@@ -124,11 +125,11 @@ def threshold_metrics(scored: DataFrame, label: str = "label", pred: str = "pred
 def compact(scored: DataFrame, label: str = "label", pred: str = "prediction",
             score: str = "score", by: str = "model") -> DataFrame:
     """One pass over the scored rows -> (model, score, prediction, p, n),
-    map-side combined and persisted; confusion counts and curves both derive
+    map-side combined and written; confusion counts and curves both derive
     from it, so upstream work (feature extraction, model transforms) runs once."""
     y = F.col(label).cast("long")
-    return (scored.groupBy(by, F.col(score).alias("score"), F.col(pred).alias("prediction"))
-            .agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n")).persist())
+    return staged(scored.groupBy(by, F.col(score).alias("score"), F.col(pred).alias("prediction"))
+                  .agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n")), "scores")
 
 
 def binary_metrics(scored: DataFrame, label: str = "label", pred: str = "prediction",

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from calibra.operators import prepare as P
 from calibra.operators import scale as N
 from calibra.operators import split as E
-from calibra.session import checkpoint_dir
+from calibra.session import scratch_path
 
 
 def prepare_stream(stream: DataFrame, params: P.CleanParams, scaler: dict,
@@ -28,11 +26,9 @@ def run_available_now(df: DataFrame, out_path: str | None = None) -> str:
     checkpoint folder (exactly-once file sink + checkpoint); returns the path.
     Nothing is collected on the driver."""
     spark: SparkSession = df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    run = uuid.uuid4().hex
-    out_path = out_path or f"{base}/stream-out-{run}"
+    out_path = out_path or scratch_path(spark, "stream-out")
     q = (df.writeStream.format("parquet").option("path", out_path)
-         .option("checkpointLocation", f"{base}/stream-ckpt-{run}")
+         .option("checkpointLocation", scratch_path(spark, "stream-log"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return out_path
