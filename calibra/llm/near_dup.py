@@ -14,12 +14,14 @@ Links are found without comparing all texts of a group:
    components;
 4. buckets that still hold several components compare them again with another,
    randomly drawn node;
-5. what is left is compared across components, except where the distances to
-   the first node prove two texts to be too far apart (both similarities are
-   metrics).
-
-So no link found by a bucket is lost, and copies of one text never meet each
-other.  A link: probability Jaccard of the weighted shingles or plain Jaccard
+5. what is left is compared across components, each pair of nodes once at
+   most, except where the distances to the first node prove two texts to be too
+   far apart (both similarities are metrics), or where long one-bit signatures
+   estimate them more than ``MARGIN`` below the threshold (one link in a million
+   would be).
+
+So the links found by buckets are not lost, and copies of one text never meet
+each other.  A link: probability Jaccard of the weighted shingles or plain Jaccard
 of the shingles, computed from the texts' whole shingle sets, is 0.8 or more.
 """
 
@@ -38,6 +40,12 @@ from calibra.llm.components import components
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 48, 7
+#: Pairs, each with both shingle sets, given to Python at once.
+PAIRS = 200
+#: Registers of the one-bit signatures that pairs pass before they are made,
+#: and how far below the threshold their estimate may lie (five deviations).
+BITS = 2048
+MARGIN = 0.067
 #: Bits of a shingle's hash within a text.
 _BITS = 50
 _PLACE = np.array([xxhash.xxh64_intdigest(f"shingle {k}") | 1 for k in range(WORDS)], np.uint64)
@@ -190,7 +198,8 @@ def sketch(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int
             [batch.column(0), batch.column(1), pa.array(out_keys, pa.list_(pa.int64())), pa.array(items, pa.binary()),
              pa.array(times, pa.binary())], names=["doc_id", "digest", "keys", "items", "counts"])
 
-    return map_arrow(src, run, "doc_id long, digest binary, keys array<bigint>, items binary, counts binary")
+    return map_arrow(src, run, "doc_id long, digest binary, keys array<bigint>, items binary, counts binary",
+                     max_bytes=2 << 20)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -210,7 +219,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(plain, pa.float64()), pa.array(weighted, pa.float64())],
                                           names=["a", "b", "plain", "weighted"])
 
-    out = map_arrow(both, run, "a long, b long, plain double, weighted double")
+    out = map_arrow(both, run, "a long, b long, plain double, weighted double", max_bytes=4 << 20)
     return out.withColumn("linked", F.greatest("plain", "weighted") >= threshold)
 
 
@@ -240,7 +249,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
                        .dropDuplicates(["doc_id"]), "sets")
 
     tested = materialise(_verify(buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(),
-                                 sets, threshold), "tested")
+                                 sets, threshold), "tested", PAIRS)
     links = tested.where("linked").select("a", "b")
     groups = components(links)
 
@@ -257,35 +266,65 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
         draw = F.xxhash64("id", "key")
         others = left.groupBy("key").agg(F.min_by("id", draw).alias("a"), F.min_by("component", draw).alias("ca"))
         pairs = left.join(others, "key").where("component <> ca").select("a", F.col("id").alias("b")).distinct()
-        again = materialise(_verify(pairs, sets, threshold), "again").where("linked").select("a", "b")
+        again = materialise(_verify(pairs, sets, threshold), "again", PAIRS).where("linked").select("a", "b")
         links = links.union(again)
         groups = components(links)
         left = mixed()
     if left.count():
-        links = links.union(materialise(_verify(_across(left, tested, threshold), sets, threshold), "across").where("linked").select("a", "b"))
+        pairs = materialise(_across(left, tested, sets, threshold), "pairs")
+        links = links.union(materialise(_verify(pairs, sets, threshold), "across", PAIRS).where("linked").select("a", "b"))
         groups = components(links)
     return (members.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
             .select("doc_id", F.coalesce("component", "rep").alias("class_id"), F.col("rep").alias("copy_of")))
 
 
-def _across(left: DataFrame, tested: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components in a bucket that the distances to its
-    first node do not rule out."""
+def _one_bit(sets: DataFrame) -> DataFrame:
+    """``id`` with ``bw`` and ``bp``: one bit of each register of the weighted
+    and of the plain signature, as 64-bit numbers."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        parts = [np.frombuffer(x, "<u4").astype(np.uint64) for x in batch.column(1).to_pylist()]
+        times = [np.ones(len(p)) if c is None else np.frombuffer(c, "<u4").astype(float)
+                 for p, c in zip(parts, batch.column(2).to_pylist(), strict=True)]
+        bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+        flat, weights = np.concatenate(parts), np.concatenate(times)
+        out = []
+        for w in (weights, np.ones(len(flat))):
+            bits = (_mix(prob_min_hash(flat, w, bounds, BITS)) & np.uint64(1)).astype(np.uint8)
+            out.append(pa.array(list(np.packbits(bits, axis=1).view("<i8")), pa.list_(pa.int64())))
+        return pa.RecordBatch.from_arrays([batch.column(0), *out], names=["id", "bw", "bp"])
+
+    return map_arrow(sets.select("doc_id", "items", "counts"), run, "id long, bw array<bigint>, bp array<bigint>", max_bytes=512 << 10)
+
+
+def _across(left: DataFrame, tested: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different components in a bucket that neither the distances to
+    its first node nor the one-bit signatures rule out.
+
+    The test is part of the join, so pairs that fail it are never made; a pair
+    that shares several buckets is made in the one of smallest key."""
     far = 1 - threshold + 1e-9
+    most = int(BITS * (far + MARGIN) / 2)
     sims = tested.select(F.col("a").alias("leader"), F.col("b").alias("id"), (1 - F.col("plain")).alias("dp"), (1 - F.col("weighted")).alias("dw"))
     label = left.where("id = leader").select("key", F.col("component").alias("main"))
+    # bounded: a node has one key per band of its two signatures
+    keys = left.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    bits = _one_bit(sets.join(keys.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
     rows = (left.join(sims, ["leader", "id"], "left").na.fill(0.0, ["dp", "dw"]).join(label, "key")
-            .select("key", "id", "component", "main", "dp", "dw"))
+            .join(materialise(bits.join(keys, "id"), "bits", PAIRS), "id")
+            .select("key", "id", "component", "main", "dp", "dw", "bw", "bp", "keys"))
     rows = materialise(rows, "distances")
-    mains = rows.where("component = main")
-    rest = rows.where("component <> main")
+    mains = rows.where("component = main").drop("main")
+    rest = rows.where("component <> main").drop("main")
     reach = mains.groupBy("key").agg(F.max("dp").alias("mp"), F.max("dw").alias("mw"))
     near = rest.join(reach, "key").where((F.col("dp") - F.col("mp") <= far) | (F.col("dw") - F.col("mw") <= far)).drop("mp", "mw")
-    other = lambda df: df.select("key", F.col("id").alias("id2"), F.col("component").alias("component2"),
-                                 F.col("dp").alias("dp2"), F.col("dw").alias("dw2"))
-    close = (F.abs(F.col("dp") - F.col("dp2")) <= far) | (F.abs(F.col("dw") - F.col("dw2")) <= far)
-    one = near.join(other(mains), "key").where(close)
-    two = rest.join(other(rest), "key").where((F.col("component") < F.col("component2")) & close)
+    other = lambda df: df.select("key", *[F.col(c).alias(c + "2") for c in df.columns if c != "key"])
+    gap = lambda c: F.abs(F.col(c) - F.col(c + "2"))
+    apart = lambda c: F.aggregate(F.zip_with(c, c + "2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    close = ((gap("dp") <= far) | (gap("dw") <= far)) & ((apart("bw") <= most) | (apart("bp") <= most))
+    once = F.col("key") == F.array_min(F.array_intersect("keys", "keys2"))
+    one = near.join(other(mains), "key").where(close & once)
+    two = rest.join(other(rest), "key").where((F.col("component") < F.col("component2")) & close & once)
     cols = [F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")]
     return one.select(*cols).union(two.select(*cols)).distinct()
 
