@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -32,28 +33,51 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return p.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
 
 
-def materialise(df: DataFrame, name: str, arrow_rows: int = 2000) -> DataFrame:
+#: Rows of an Arrow batch at most, as rows carry whole texts.
+BATCH_ROWS = 2000
+_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialise(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut,
     and a lost executor costs no recomputation of what came before.
 
-    While it runs, a batch for Python has ``arrow_rows`` rows at most, so that
-    wide rows do not pile up in memory."""
+    ``arrow_rows`` sets the rows of a batch for Python while it runs."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, str(min(arrow_rows, int(before) if int(before) > 0 else arrow_rows)))
+    before = spark.conf.get(_SETTING)
+    if arrow_rows:
+        spark.conf.set(_SETTING, str(arrow_rows))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(setting, before)
+        spark.conf.set(_SETTING, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system, as Python workers
+    live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows of an Arrow batch to ``BATCH_ROWS`` (it is
+    never raised): Spark bounds batches by rows, and ours carry whole texts."""
+    rows = int(spark.conf.get(_SETTING))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(_SETTING, str(BATCH_ROWS))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]],
               schema: str, max_bytes: int = 2 << 20) -> DataFrame:
     """Apply ``fn`` to slices of at most about ``max_bytes`` of Arrow data (a
     slice has one row at least), so that memory does not follow batch size."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,6 +87,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Ite
                     yield out
                 else:
                     yield from out
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm.common import col, materialise, scratch_path, slices, table
+from calibra.llm.common import col, materialise, release, scratch_path, slices, small_batches, table
 from calibra.llm.sharedfs import open_fs, write_file
 
 #: Fixed values of the format.
@@ -193,7 +193,9 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
                         yield flush()
         if held:
             yield flush()
+        release()
 
+    small_batches(pages.sparkSession)
     return marked.mapInArrow(write, "path string, n_records long, n_bytes long")
 
 

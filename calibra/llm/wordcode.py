@@ -38,14 +38,13 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
         from tokenizers.normalizers import Lowercase
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tok = load_tokenizer(path)
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = Lowercase()
-        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        # one model in memory, with two ways in
+        self.full = (self.tok.normalizer, self.tok.pre_tokenizer)
+        self.short = (Lowercase(), Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)]))
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -95,6 +94,9 @@ class WordEncoder:
         self.n_words += n
         return at
 
+    def _way(self, way) -> None:
+        self.tok.normalizer, self.tok.pre_tokenizer = way
+
     def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and counts of words by the whole tokenizer."""
         ids = [e.ids for i in range(0, len(words), 8192)
@@ -108,8 +110,12 @@ class WordEncoder:
         many = 1 + (pc.binary_length(parts).to_numpy() > pc.binary_length(words).to_numpy())
         cuts = np.append(np.arange(0, len(parts), JOINED), len(parts))
         texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), parts), pa.scalar(" ", parts.type)).to_pylist()
-        ids = np.concatenate([np.array(e.ids, np.uint32) for i in range(0, len(texts), 32)
-                              for e in self.plain.encode_batch_fast(texts[i:i + 32], add_special_tokens=False)])
+        self._way(self.short)
+        try:
+            ids = np.concatenate([np.array(e.ids, np.uint32) for i in range(0, len(texts), 32)
+                                  for e in self.tok.encode_batch_fast(texts[i:i + 32], add_special_tokens=False)])
+        finally:
+            self._way(self.full)
         last = np.flatnonzero(self.ends[ids])
         if len(last) != many.sum():
             return self._whole(words.to_pylist())
