@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from calibra.llm.common import col, materialise, scratch_path, slices, table
+from calibra.llm.common import col, materialise, release, scratch_path, slices, table
 from calibra.llm.sharedfs import open_fs, write_file
 from calibra.llm.wordcode import word_encoder
 
@@ -33,8 +33,9 @@ MAGIC = b"CWM1"
 BLOCK_BITS = 1 << 18
 #: Ids after which a writer begins the next file.
 SHARD_IDS = 1 << 22
-#: Bytes of text encoded at once.
-SLICE = 4 << 20
+#: Rows of a batch and bytes of text encoded at once: the more, the fewer words come again.
+BATCH_ROWS = 4000
+SLICE = 16 << 20
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
 
@@ -234,6 +235,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, text: str =
                     yield flush()
         if held:
             yield flush()
+        release()
 
     return sorted_docs.mapInArrow(write, "part int, seq int, path string, n_docs long, n_ids long")
 
@@ -262,6 +264,7 @@ def read_shards(manifest: DataFrame, key_type: str = "long") -> DataFrame:
                     [index.column(0), pa.array(base + ends - lengths, pa.int64()),
                      pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        release()
 
     return files.repartitionByRange(tasks, "part", "seq").mapInArrow(
         read, f"doc_id {key_type}, start long, n_tokens long, ids_crc32 long")
@@ -277,7 +280,7 @@ def token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "shards")
-    manifest = materialise(write_shards(docs, tokenizer_path, folder, text, key, end_id, shard_ids), "manifest")
+    manifest = materialise(write_shards(docs, tokenizer_path, folder, text, key, end_id, shard_ids), "manifest", BATCH_ROWS)
     return manifest, read_shards(manifest, docs.select(col(key)).schema[0].dataType.simpleString())
 
 
