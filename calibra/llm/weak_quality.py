@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from calibra.llm.common import SPACE, WORD, col, fresh, materialise, others, sealed, table
 from calibra.llm.rules import LINE_END
 
-#: Expected documents in the sample the linear model is fitted on (its bound).
+#: Expected documents in the samples that the heuristics' accuracies and the
+#: linear model are estimated on (their bounds).
+LABEL_DOCS = 20_000
 TRAIN_DOCS = 10_000
 FEATURES = 1 << 16
 GOOD, BAD, NONE = 1, 0, -1
@@ -33,10 +35,11 @@ GOOD, BAD, NONE = 1, 0, -1
 NAMES = ["length", "symbols", "shouts", "upper", "ends", "variety", "line_copies", "stutter"]
 
 
-def vote(df: DataFrame, text: str, words: str, out: str) -> DataFrame:
+def vote(df: DataFrame, text: str, words: str, out: str, again: str) -> DataFrame:
     """``df`` with ``out``, each heuristic's vote (1 good, 0 bad, -1 none) on
-    the column ``text`` (not null) of the words ``words``.  Everything that two
-    heuristics share is a column first, so it is worked out once."""
+    the column ``text`` (not null) of the words ``words``, and ``again``, how
+    many words repeat the one before.  Everything that two heuristics share is
+    a column first, so it is worked out once."""
     c = F.col
     n, lines, found = (fresh(x, df.columns) for x in ("_n", "_lines", "_found"))
     kinds = [r"[#*$%&|<>{}\\^~=_]", r"!", r"\p{Lu}", r"\p{L}"]
@@ -45,6 +48,7 @@ def vote(df: DataFrame, text: str, words: str, out: str) -> DataFrame:
     some = lambda x: F.greatest(x, F.lit(1))
     kind = lambda k: F.get(c(found), F.lit(k))
     shares, n_lines = fresh("_shares", df.columns), fresh("_n_lines", df.columns)
+    df = df.withColumn(again, F.size(F.filter(c(words), lambda w, i: w == F.get(c(words), i - 1))))
     df = df.withColumns({
         n_lines: F.size(lines),
         shares: F.array(
@@ -52,7 +56,7 @@ def vote(df: DataFrame, text: str, words: str, out: str) -> DataFrame:
             F.size(F.filter(c(lines), lambda x: F.rtrim(x).rlike(LINE_END))) / some(F.size(lines)),
             F.size(F.array_distinct(words)) / some(c(n)),
             1 - F.size(F.array_distinct(lines)) / some(F.size(lines)),
-            F.size(F.filter(c(words), lambda w, i: w == F.get(c(words), i - 1))) / some(c(n)))})
+            c(again) / some(c(n)))})
     share = lambda k: F.get(c(shares), F.lit(k))
     one = lambda bad, good: F.when(bad, BAD).when(good, GOOD).otherwise(NONE)
     df = df.withColumn(out, F.array(
@@ -89,11 +93,11 @@ class Labellers:
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, steps: int = 500) -> Labellers:
     """Expectation-maximisation over vote patterns and how often each comes.
-    It starts from the votes themselves, a bad one counting for four good ones
-    (a heuristic sees one kind of fault, so bad documents get few bad votes);
-    that also settles which class is good."""
+    It starts from the votes themselves: a heuristic sees one kind of fault, so
+    one bad vote is enough to begin among the bad; that also settles which
+    class is good."""
     n = counts.sum()
-    p = (1 + (patterns == GOOD).sum(1)) / (2 + (patterns == GOOD).sum(1) + 4 * (patterns == BAD).sum(1))
+    p = np.where((patterns == BAD).any(1), 0.05, 0.95)
     each = np.stack([patterns == v for v in (NONE, BAD, GOOD)], 2)
     found = None
     for _ in range(steps):
@@ -112,72 +116,81 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, steps: int = 500) -> Labe
 @dataclass(frozen=True)
 class QualityModel:
     labellers: Labellers
-    posteriors: dict[tuple[int, ...], float]
     linear: LogisticRegressionModel | None
 
 
-def _features(words: Column) -> Column:
-    """Words, their shapes, and whether each repeats the one before."""
-    shape = lambda w: F.regexp_replace(F.regexp_replace(F.regexp_replace(
-        w, r"\p{Lu}+", "A"), r"\p{Ll}+", "a"), r"\p{N}+", "9")
-    return F.concat(F.transform(words, lambda w: F.concat(F.lit("w:"), F.lower(w))),
-                    F.transform(words, lambda w: F.concat(F.lit("s:"), shape(w))),
-                    F.transform(words, lambda w, i: F.when(w == F.get(words, i - 1), "again").otherwise("new")))
+#: Marks that stand for runs of capitals, other letters and digits in a shape.
+_SHAPE = (("\\p{Lu}+", "\u0001"), ("\\p{Ll}+", "\u0002"), ("\\p{N}+", "\u0003"))
 
 
 def _prepared(docs: DataFrame, text: str, rest: list[str]) -> tuple[DataFrame, str, str]:
-    """The columns ``rest`` with the votes and the words, and their names."""
-    w, t, p = (fresh(x, rest) for x in ("_words", "_text", "_pattern"))
+    """The columns ``rest`` with the votes and the terms of the linear model --
+    words, word shapes, and a term for each word that repeats the one before --
+    and the names of these two."""
+    w, t, p, a, x = (fresh(n, rest) for n in ("_words", "_text", "_pattern", "_again", "_terms"))
     df = docs.select(*map(col, rest), F.coalesce(col(text), F.lit("")).alias(t))
-    df = df.withColumn(w, F.filter(F.split(F.col(t), SPACE), lambda x: x != ""))
-    return vote(df, t, w, p).drop(t), p, w
+    df = df.withColumn(w, F.filter(F.split(F.col(t), SPACE), lambda v: v != ""))
+    df = vote(df, t, w, p, a)
+    shape = F.col(t)
+    for run, mark in _SHAPE:
+        shape = F.regexp_replace(shape, run, mark)
+    terms = F.concat(F.split(F.lower(F.col(t)), SPACE), F.split(shape, SPACE), F.array_repeat(F.lit("\u0004"), F.col(a)))
+    return df.withColumn(x, terms).drop(t, w, a), p, x
 
 
-def _vectors(df: DataFrame, words: str, features: str) -> DataFrame:
-    raw, terms = fresh("_raw", df.columns), fresh("_terms", df.columns)
-    df = df.withColumn(terms, _features(F.col(words))).drop(words)
+def _vectors(df: DataFrame, terms: str, features: str) -> DataFrame:
+    raw = fresh("_raw", df.columns)
     df = HashingTF(numFeatures=FEATURES, inputCol=terms, outputCol=raw).transform(df).drop(terms)
     return Normalizer(p=2.0, inputCol=raw, outputCol=features).transform(df).drop(raw)
 
 
-def fit(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS) -> QualityModel:
-    """Estimate the heuristics from the votes on all documents; fit the linear
-    model on about ``train_docs`` whole documents drawn by a hash of the text."""
-    df, pattern, _ = _prepared(docs, text, [])
+def _sample(docs: DataFrame, text: str, share: float, seed: int) -> DataFrame:
+    """A share of the rows, drawn by a hash of their text."""
+    draw = F.pmod(F.xxhash64(F.coalesce(col(text), F.lit("")), F.lit(seed)), F.lit(1 << 30))
+    return docs.where(draw < int(min(1.0, share) * (1 << 30)))
+
+
+def fit(docs: DataFrame, text: str = "text", label_docs: int = LABEL_DOCS, train_docs: int = TRAIN_DOCS) -> QualityModel:
+    """Estimate the heuristics on about ``label_docs`` whole documents, and fit
+    the linear model on about ``train_docs`` of them, drawn by a hash of the
+    text."""
+    even = np.full((len(NAMES), 3), 1 / 3)
+    n = docs.count()
+    if not n:
+        return QualityModel(Labellers(0.5, even, even), None)
+    df, pattern, _ = _prepared(_sample(docs, text, label_docs / n, 5), text, [])
     # bounded: at most three to the power of the heuristics
     rows = df.groupBy(pattern).count().collect()
     if not rows:
-        even = np.full((len(NAMES), 3), 1 / 3)
-        return QualityModel(Labellers(0.5, even, even), {}, None)
+        return QualityModel(Labellers(0.5, even, even), None)
     patterns = np.array([r[0] for r in rows])
     counts = np.array([r[1] for r in rows], float)
     labellers = estimate(patterns, counts)
-    posterior = labellers.posterior(patterns)
-    posteriors = {tuple(map(int, v)): float(p) for v, p in zip(patterns, posterior, strict=True)}
-    share = min(1.0, train_docs / counts.sum())
-    draw = F.pmod(F.xxhash64(F.coalesce(col(text), F.lit("")), F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample, pattern, words = _prepared(docs.where(draw), text, [])
-    sample = sample.withColumn("p", _posterior(F.col(pattern), posteriors)).drop(pattern)
-    sample = materialise(_vectors(sample, words, "features"), "sample")
+    sample, pattern, terms = _prepared(_sample(docs, text, train_docs / n, 7), text, [])
+    sample = sample.withColumn("p", _posterior(F.col(pattern), labellers)).drop(pattern)
+    sample = materialise(_vectors(sample, terms, "features"), "sample")
     if not sample.count():
-        return QualityModel(labellers, posteriors, None)
+        return QualityModel(labellers, None)
     # both classes weigh the same, as bad documents are few
-    good = float(np.clip((counts * posterior).sum() / counts.sum(), 1e-6, 1 - 1e-6))
+    good = float(np.clip((counts * labellers.posterior(patterns)).sum() / counts.sum(), 1e-6, 1 - 1e-6))
     both = sample.select("features", F.explode(F.array(
         F.struct(F.lit(1.0).alias("label"), (F.col("p") / good).alias("weight")),
         F.struct(F.lit(0.0).alias("label"), ((1 - F.col("p")) / (1 - good)).alias("weight")))).alias("x")).select("features", "x.*")
-    linear = LogisticRegression(maxIter=30, regParam=1e-5, weightCol="weight", standardization=False).fit(both.where("weight > 1e-6"))
-    return QualityModel(labellers, posteriors, linear)
+    linear = LogisticRegression(maxIter=300, regParam=1e-7, weightCol="weight", standardization=False).fit(both.where("weight > 1e-6"))
+    return QualityModel(labellers, linear)
 
 
-def _posterior(pattern: Column, posteriors: dict[tuple[int, ...], float]) -> Column:
-    """A document's posterior, from its pattern's place in a small map."""
-    entries = [x for v, p in sorted(posteriors.items()) for x in (F.lit(",".join(map(str, v))), F.lit(p))]
-    return F.create_map(*entries)[F.array_join(F.transform(pattern, lambda v: v.cast("string")), ",")]
+def _posterior(pattern: Column, labellers: Labellers) -> Column:
+    """A document's posterior: the sum of its votes' log odds."""
+    table = np.log(labellers.on_good / labellers.on_bad)
+    odds = F.lit(float(np.log(labellers.prior / (1 - labellers.prior))))
+    for i, row in enumerate(table.tolist()):
+        odds = odds + F.get(F.array(*map(F.lit, row)), F.get(pattern, F.lit(i)) + 1)
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", keep: list[str] | None = None,
-          threshold: float = 0.5) -> DataFrame:
+          threshold: float = 0.4) -> DataFrame:
     """``keep`` (all columns if None) of ``docs`` with ``n_votes``,
     ``p_weak`` (the heuristics' posterior), ``quality`` (the linear score, 0 to
     1) and ``kept`` (quality of at least ``threshold``).
@@ -188,10 +201,9 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", keep: list[s
     """
     made = ("n_votes", "p_weak", "quality", "kept")
     rest = others(docs.columns if keep is None else keep, *made)
-    df, pattern, words = _prepared(docs, text, rest)
-    p = _posterior(F.col(pattern), model.posteriors) if model.posteriors else F.lit(None).cast("double")
+    df, pattern, terms = _prepared(docs, text, rest)
     df = df.withColumns({"n_votes": F.size(F.filter(F.col(pattern), lambda v: v != NONE)),
-                         "p_weak": F.coalesce(p, F.lit(0.5))}).drop(pattern)
+                         "p_weak": _posterior(F.col(pattern), model.labellers)}).drop(pattern)
     if model.linear is None:
         df = df.withColumn("quality", F.lit(0.5))
     else:
@@ -199,7 +211,7 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", keep: list[s
         raw, guess = fresh("rawPrediction", df.columns), fresh("prediction", df.columns)
         linear = model.linear.copy({model.linear.featuresCol: features, model.linear.probabilityCol: probability,
                                     model.linear.rawPredictionCol: raw, model.linear.predictionCol: guess})
-        df = linear.transform(_vectors(df, words, features))
+        df = linear.transform(_vectors(df, terms, features))
         df = df.withColumn("quality", F.get(vector_to_array(F.col(probability)), F.lit(1)))
     df = df.withColumn("kept", F.col("quality") >= threshold).select(*map(col, rest), *made)
     return sealed(df, list(made))
