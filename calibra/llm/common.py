@@ -38,6 +38,12 @@ BATCH_ROWS = 2000
 _SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+#: Where the shared folder is a mounted one (file:), scratch files are written
+#: without checksum files and without the chmod process that Hadoop starts for
+#: each file it creates.  Other file systems do not read these settings.
+_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def materialise(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut,
     and a lost executor costs no recomputation of what came before.
@@ -49,7 +55,7 @@ def materialise(df: DataFrame, name: str, arrow_rows: int | None = None) -> Data
     if arrow_rows:
         spark.conf.set(_SETTING, str(arrow_rows))
     try:
-        df.write.parquet(path)
+        df.write.options(**_PLAIN_FILES).parquet(path)
     finally:
         spark.conf.set(_SETTING, before)
     return spark.read.schema(df.schema).parquet(path)
