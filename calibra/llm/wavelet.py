@@ -32,7 +32,9 @@ MAGIC = b"CWM1"
 #: Bits of a plane packed together.
 BLOCK_BITS = 1 << 18
 #: Ids after which a writer begins the next file.
-SHARD_IDS = 1 << 22
+SHARD_IDS = 1 << 23
+#: Ids that a reading task takes at most, as long as all cores have tasks.
+READ_IDS = 1 << 26
 #: Rows of a batch and bytes of text encoded at once: the more, the fewer words come again.
 BATCH_ROWS = 4000
 SLICE = 16 << 20
@@ -247,7 +249,9 @@ def read_shards(manifest: DataFrame, key_type: str = "long") -> DataFrame:
     order = Window.orderBy("part", "seq")
     files = manifest.withColumn("base", F.sum("n_ids").over(order) - F.col("n_ids"))
     files = files.select("path", "base", "part", "seq")
-    tasks = max(1, min(manifest.count(), 100_000))
+    n_files, n_ids = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_ids"), F.lit(0))).first()
+    cores = manifest.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(n_files, max(3 * cores, n_ids // READ_IDS)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
