@@ -14,11 +14,10 @@ Links are found without comparing all texts of a group:
    components;
 4. buckets that still hold several components compare them again with another,
    randomly drawn node;
-5. what is left is compared across components, each pair of nodes once at
-   most, except where the distances to the first node prove two texts to be too
-   far apart (both similarities are metrics), or where long one-bit signatures
-   estimate them more than ``MARGIN`` below the threshold (one link in a million
-   would be).
+5. what is left is compared across components, exactly: a bucket is cut into
+   blocks, and each two blocks meet in one task.  Only pairs are left out that
+   proven bounds exclude: the distances to the first node (both similarities
+   belong to metrics), the sizes of the sets, and the weight that they share.
 
 So the links found by buckets are not lost, and copies of one text never meet
 each other.  A link: probability Jaccard of the weighted shingles or plain Jaccard
@@ -27,14 +26,16 @@ of the shingles, computed from the texts' whole shingle sets, is 0.8 or more.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm.common import col, map_arrow, materialise, table
+from calibra.llm.common import col, map_arrow, materialise, release, small_batches, table
 from calibra.llm.components import components
 
 WORDS = 5
@@ -42,10 +43,9 @@ THRESHOLD = 0.8
 BANDS, ROWS = 48, 7
 #: Pairs, each with both shingle sets, given to Python at once.
 PAIRS = 200
-#: Registers of the one-bit signatures that pairs pass before they are made,
-#: and how far below the threshold their estimate may lie (five deviations).
-BITS = 2048
-MARGIN = 0.067
+#: Rows of a bucket, and bytes of their shingle sets, in a block (expected).
+BLOCK_ROWS = 512
+BLOCK_BYTES = 2 << 20
 #: Bits of a shingle's hash within a text.
 _BITS = 50
 _PLACE = np.array([xxhash.xxh64_intdigest(f"shingle {k}") | 1 for k in range(WORDS)], np.uint64)
@@ -271,62 +271,112 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
         groups = components(links)
         left = mixed()
     if left.count():
-        pairs = materialise(_across(left, tested, sets, threshold), "pairs")
-        links = links.union(materialise(_verify(pairs, sets, threshold), "across", PAIRS).where("linked").select("a", "b"))
+        links = links.union(materialise(_across(left, tested, sets, threshold), "across", PAIRS))
         groups = components(links)
     return (members.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
             .select("doc_id", F.coalesce("component", "rep").alias("class_id"), F.col("rep").alias("copy_of")))
 
 
-def _one_bit(sets: DataFrame) -> DataFrame:
-    """``id`` with ``bw`` and ``bp``: one bit of each register of the weighted
-    and of the plain signature, as 64-bit numbers."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        parts = [np.frombuffer(x, "<u4").astype(np.uint64) for x in batch.column(1).to_pylist()]
-        times = [np.ones(len(p)) if c is None else np.frombuffer(c, "<u4").astype(float)
-                 for p, c in zip(parts, batch.column(2).to_pylist(), strict=True)]
-        bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-        flat, weights = np.concatenate(parts), np.concatenate(times)
-        out = []
-        for w in (weights, np.ones(len(flat))):
-            bits = (_mix(prob_min_hash(flat, w, bounds, BITS)) & np.uint64(1)).astype(np.uint8)
-            out.append(pa.array(list(np.packbits(bits, axis=1).view("<i8")), pa.list_(pa.int64())))
-        return pa.RecordBatch.from_arrays([batch.column(0), *out], names=["id", "bw", "bp"])
-
-    return map_arrow(sets.select("doc_id", "items", "counts"), run, "id long, bw array<bigint>, bp array<bigint>", max_bytes=512 << 10)
+def _block_links(block: pa.Table, threshold: float) -> list[tuple[int, int]]:
+    """Links between the two parts of a block, of different components; each
+    pair that the bounds do not exclude is compared exactly."""
+    far, least = 1 - threshold + 1e-9, threshold - 1e-9
+    lo, hi, own, ids, component, dp, dw = (block.column(c).to_numpy() for c in ("lo", "hi", "own", "id", "component", "dp", "dw"))
+    parts = [np.frombuffer(x, "<u4") for x in block.column("items").to_pylist()]
+    times = [None if x is None else np.frombuffer(x, "<u4") for x in block.column("counts").to_pylist()]
+    weights = [np.ones(len(p), np.int64) if t is None else t for p, t in zip(parts, times, strict=True)]
+    sizes = np.array([len(p) for p in parts])
+    flat = np.array([t is None for t in times])
+    left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+    same = lo[0] == hi[0]
+    codes = None
+    out = []
+    for n, i in enumerate(left):
+        js = right[n + 1:] if same else right
+        ok = (component[js] != component[i]) & ((np.abs(dp[js] - dp[i]) <= far) | (np.abs(dw[js] - dw[i]) <= far))
+        small, large = np.minimum(sizes[js], sizes[i]), np.maximum(sizes[js], sizes[i])
+        js = js[ok & ((small >= least * large) | ~(flat[js] & flat[i]))]
+        if len(js) > 8:
+            if codes is None:
+                # numbers of the shingles, row by row, and the weight of each in its text
+                words, codes = np.unique(np.concatenate(parts), return_inverse=True)
+                bounds = np.concatenate([[0], np.cumsum(sizes)])
+                shares = np.concatenate([w / w.sum() for w in weights])
+                mark, mine = np.zeros(len(words)), np.zeros(len(words))
+            begin = np.concatenate([[0], np.cumsum(sizes[js])])
+            at = np.arange(begin[-1]) + np.repeat(bounds[js] - begin[:-1], sizes[js])
+            own_codes = codes[bounds[i]:bounds[i + 1]]
+            mark[own_codes], mine[own_codes] = 1, shares[bounds[i]:bounds[i + 1]]
+            both = mark[codes[at]]
+            shared = np.add.reduceat(both, begin[:-1])
+            # the probability Jaccard similarity is at most the shared weight
+            # of either text, and the plain one if no shingle repeats
+            weight = np.minimum(np.add.reduceat(mine[codes[at]], begin[:-1]), np.add.reduceat(both * shares[at], begin[:-1]))
+            mark[own_codes], mine[own_codes] = 0, 0
+            js = js[(shared / (sizes[js] + sizes[i] - shared) >= least) | ((weight >= least) & ~(flat[js] & flat[i]))]
+        for j in js:
+            if max(similarity(parts[i], weights[i], parts[j], weights[j])) >= threshold:
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return out
 
 
 def _across(left: DataFrame, tested: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components in a bucket that neither the distances to
-    its first node nor the one-bit signatures rule out.
+    """Links (a, b) between different components in a bucket, all of them.
 
-    The test is part of the join, so pairs that fail it are never made; a pair
-    that shares several buckets is made in the one of smallest key."""
-    far = 1 - threshold + 1e-9
-    most = int(BITS * (far + MARGIN) / 2)
+    Nodes of the first node's component (``main``) need no comparison among
+    each other.  These and the rest are cut into blocks of bounded size; each
+    block of the rest meets every other block, so a large bucket is the work of
+    many tasks, and pairs are no rows of a table."""
     sims = tested.select(F.col("a").alias("leader"), F.col("b").alias("id"), (1 - F.col("plain")).alias("dp"), (1 - F.col("weighted")).alias("dw"))
     label = left.where("id = leader").select("key", F.col("component").alias("main"))
-    # bounded: a node has one key per band of its two signatures
-    keys = left.groupBy("id").agg(F.collect_set("key").alias("keys"))
-    bits = _one_bit(sets.join(keys.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
-    rows = (left.join(sims, ["leader", "id"], "left").na.fill(0.0, ["dp", "dw"]).join(label, "key")
-            .join(materialise(bits.join(keys, "id"), "bits", PAIRS), "id")
-            .select("key", "id", "component", "main", "dp", "dw", "bw", "bp", "keys"))
+    size = sets.select(F.col("doc_id").alias("id"), (F.length("items") + F.coalesce(F.length("counts"), F.lit(0))).cast("long").alias("size"))
+    rows = (left.join(sims, ["leader", "id"], "left").na.fill(0.0, ["dp", "dw"]).join(label, "key").join(size, "id")
+            .select("key", "id", "component", (F.col("component") == F.col("main")).alias("main"), "dp", "dw", "size"))
     rows = materialise(rows, "distances")
-    mains = rows.where("component = main").drop("main")
-    rest = rows.where("component <> main").drop("main")
-    reach = mains.groupBy("key").agg(F.max("dp").alias("mp"), F.max("dw").alias("mw"))
-    near = rest.join(reach, "key").where((F.col("dp") - F.col("mp") <= far) | (F.col("dw") - F.col("mw") <= far)).drop("mp", "mw")
-    other = lambda df: df.select("key", *[F.col(c).alias(c + "2") for c in df.columns if c != "key"])
-    gap = lambda c: F.abs(F.col(c) - F.col(c + "2"))
-    apart = lambda c: F.aggregate(F.zip_with(c, c + "2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    close = ((gap("dp") <= far) | (gap("dw") <= far)) & ((apart("bw") <= most) | (apart("bp") <= most))
-    once = F.col("key") == F.array_min(F.array_intersect("keys", "keys2"))
-    one = near.join(other(mains), "key").where(close & once)
-    two = rest.join(other(rest), "key").where((F.col("component") < F.col("component2")) & close & once)
-    cols = [F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")]
-    return one.select(*cols).union(two.select(*cols)).distinct()
+
+    def blocks(which: Column) -> Column:
+        many, much = F.sum(F.when(which, 1).otherwise(0)), F.sum(F.when(which, F.col("size")).otherwise(0))
+        return F.greatest(F.ceil(many / BLOCK_ROWS), F.ceil(much / BLOCK_BYTES)).cast("long")
+
+    parts = rows.groupBy("key").agg(blocks(~F.col("main")).alias("rests"), blocks(F.col("main")).alias("mains"))
+    one = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    cut = rows.join(parts, "key").where("rests > 0").withColumn("own", F.when(F.col("main"), F.col("rests") + one("mains")).otherwise(one("rests")))
+    meets = F.sequence(F.lit(0), F.col("rests") - 1 + F.when(F.col("main"), 0).otherwise(F.col("mains")))
+    cut = cut.select("key", "id", "component", "dp", "dw", "own", F.explode(meets).alias("other"))
+    cut = cut.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "component", "dp", "dw")
+    cut = cut.join(sets.select(F.col("doc_id").alias("id"), "items", "counts"), "id")
+    cut = cut.select("key", "lo", "hi", "own", "id", "component", "dp", "dw", "items", "counts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        links: list[tuple[int, int]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = np.stack([batch.column(k).to_numpy() for k in range(3)])
+            cuts = [0, *(np.flatnonzero((block[:, 1:] != block[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                here = tuple(block[:, a].tolist())
+                if held and here != last:
+                    links += _block_links(pa.Table.from_batches(held), threshold)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = here
+            if links:
+                yield _pairs(links)
+                links = []
+        if held:
+            yield _pairs(_block_links(pa.Table.from_batches(held), threshold))
+        release()
+
+    small_batches(left.sparkSession)
+    return (cut.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+            .mapInArrow(run, "a long, b long").distinct())
+
+
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    both = np.array(links, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

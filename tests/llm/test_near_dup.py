@@ -4,7 +4,8 @@ import re
 import numpy as np
 
 from calibra.llm.components import components
-from calibra.llm.near_dup import near_duplicates, prob_min_hash, similarity
+from calibra.llm import near_dup
+from calibra.llm.near_dup import near_duplicates, prob_min_hash, similarity, sketch
 
 
 def _weighted(x, y):
@@ -85,3 +86,19 @@ def test_large_groups_and_odd_rows(docs):
     assert {(d, c) for d, c in got if d is not None and d >= 500} == {(d, d) for d in (500, 501, 502, 503, 504)}
     assert sorted(map(str, (c for d, c in got if d is None))) == ["0", "None"]
     assert near_duplicates(docs([])).count() == 0
+
+
+def test_no_link_across_components_is_lost(spark, docs, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 7, raising=False)
+    pairs = 120
+    word = lambda i, n: [f"t{i}_{k}" for k in range(n)]
+    texts = []
+    for i in range(pairs):  # similarity of exactly 0.8, on 4 and 5 shingles; every third with repeated ones
+        texts += [word(i, 8), word(i, 9)] if i % 3 else [word(i, 4) * 6, word(i, 4) * 7]
+    rows = [(1000 + i, " ".join(t)) for i, t in enumerate(texts)] + [(1, "a leader that is like none of the others")]
+    sets = sketch(docs(rows)).select("doc_id", "items", "counts")
+    # one bucket of which nothing but its first node has been compared
+    left = spark.createDataFrame([(5, 1, d, d) for d, _ in rows], "key long, leader long, id long, component long")
+    tested = spark.createDataFrame([(1, d, 0.0, 0.0) for d, _ in rows if d != 1], "a long, b long, plain double, weighted double")
+    got = {(r.a, r.b) for r in near_dup._across(left, tested, sets, 0.8).collect()}
+    assert got == {(1000 + 2 * i, 1001 + 2 * i) for i in range(pairs)}
