@@ -11,7 +11,7 @@ speaks where the heuristics are silent.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -23,9 +23,7 @@ from pyspark.sql import functions as F
 from calibra.llm.common import SPACE, WORD, col, fresh, materialise, others, sealed, table
 from calibra.llm.rules import LINE_END
 
-#: Expected documents in the samples that the heuristics' accuracies and the
-#: linear model are estimated on (their bounds).
-LABEL_DOCS = 20_000
+#: Expected documents in the sample the linear model is fitted on (its bound).
 TRAIN_DOCS = 10_000
 FEATURES = 1 << 16
 GOOD, BAD, NONE = 1, 0, -1
@@ -123,19 +121,42 @@ class QualityModel:
 _SHAPE = (("\\p{Lu}+", "\u0001"), ("\\p{Ll}+", "\u0002"), ("\\p{N}+", "\u0003"))
 
 
-def _prepared(docs: DataFrame, text: str, rest: list[str]) -> tuple[DataFrame, str, str]:
-    """The columns ``rest`` with the votes and the terms of the linear model --
-    words, word shapes, and a term for each word that repeats the one before --
-    and the names of these two."""
-    w, t, p, a, x = (fresh(n, rest) for n in ("_words", "_text", "_pattern", "_again", "_terms"))
+@dataclass(frozen=True)
+class Voted:
+    """Documents with their votes: ``rows`` has the columns ``rest`` and those
+    named by the others (the text, nulls as empty; the votes; the repeats)."""
+
+    rows: DataFrame
+    rest: list[str]
+    text: str
+    pattern: str
+    again: str
+
+
+def _voted(docs: DataFrame, text: str, rest: list[str]) -> Voted:
+    w, t, p, a = (fresh(n, rest) for n in ("_words", "_text", "_pattern", "_again"))
     df = docs.select(*map(col, rest), F.coalesce(col(text), F.lit("")).alias(t))
     df = df.withColumn(w, F.filter(F.split(F.col(t), SPACE), lambda v: v != ""))
-    df = vote(df, t, w, p, a)
-    shape = F.col(t)
+    return Voted(vote(df, t, w, p, a).drop(w), rest, t, p, a)
+
+
+def voted(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> Voted:
+    """The votes on all documents, written once for ``fit`` and ``score``, with
+    the columns ``keep`` (all if None)."""
+    v = _voted(docs, text, list(docs.columns) if keep is None else keep)
+    return replace(v, rows=materialise(v.rows, "votes"))
+
+
+def _terms(v: Voted, rows: DataFrame) -> tuple[DataFrame, str]:
+    """``rows`` of ``v`` with the terms of the linear model -- words, word
+    shapes, and a term for each word that repeats the one before -- in place of
+    text and repeats, and the name of these terms."""
+    x = fresh("_terms", rows.columns)
+    shape = F.col(v.text)
     for run, mark in _SHAPE:
         shape = F.regexp_replace(shape, run, mark)
-    terms = F.concat(F.split(F.lower(F.col(t)), SPACE), F.split(shape, SPACE), F.array_repeat(F.lit("\u0004"), F.col(a)))
-    return df.withColumn(x, terms).drop(t, w, a), p, x
+    terms = F.concat(F.split(F.lower(F.col(v.text)), SPACE), F.split(shape, SPACE), F.array_repeat(F.lit("\u0004"), F.col(v.again)))
+    return rows.withColumn(x, terms).drop(v.text, v.again), x
 
 
 def _vectors(df: DataFrame, terms: str, features: str) -> DataFrame:
@@ -144,30 +165,30 @@ def _vectors(df: DataFrame, terms: str, features: str) -> DataFrame:
     return Normalizer(p=2.0, inputCol=raw, outputCol=features).transform(df).drop(raw)
 
 
-def _sample(docs: DataFrame, text: str, share: float, seed: int) -> DataFrame:
-    """A share of the rows, drawn by a hash of their text."""
-    draw = F.pmod(F.xxhash64(F.coalesce(col(text), F.lit("")), F.lit(seed)), F.lit(1 << 30))
+def _sample(docs: DataFrame, text: str, keys: list[str], share: float, seed: int) -> DataFrame:
+    """A share of the rows, drawn by a hash of their keys and text, so that
+    copies of a text under several keys are drawn one by one."""
+    draw = F.pmod(F.xxhash64(*map(col, keys), F.coalesce(col(text), F.lit("")), F.lit(seed)), F.lit(1 << 30))
     return docs.where(draw < int(min(1.0, share) * (1 << 30)))
 
 
-def fit(docs: DataFrame, text: str = "text", label_docs: int = LABEL_DOCS, train_docs: int = TRAIN_DOCS) -> QualityModel:
-    """Estimate the heuristics on about ``label_docs`` whole documents, and fit
-    the linear model on about ``train_docs`` of them, drawn by a hash of the
-    text."""
+def fit(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS, key: str = "doc_id",
+        votes: Voted | None = None) -> QualityModel:
+    """Estimate the heuristics from the votes on all documents; fit the linear
+    model on about ``train_docs`` whole documents, drawn by a hash of key (if
+    there is one) and text.  ``votes`` are those of ``docs``, if at hand."""
     even = np.full((len(NAMES), 3), 1 / 3)
-    n = docs.count()
-    if not n:
-        return QualityModel(Labellers(0.5, even, even), None)
-    df, pattern, _ = _prepared(_sample(docs, text, label_docs / n, 5), text, [])
+    v = votes or voted(docs, text, [c for c in docs.columns if c == key])
     # bounded: at most three to the power of the heuristics
-    rows = df.groupBy(pattern).count().collect()
+    rows = v.rows.groupBy(v.pattern).count().collect()
     if not rows:
         return QualityModel(Labellers(0.5, even, even), None)
     patterns = np.array([r[0] for r in rows])
     counts = np.array([r[1] for r in rows], float)
     labellers = estimate(patterns, counts)
-    sample, pattern, terms = _prepared(_sample(docs, text, train_docs / n, 7), text, [])
-    sample = sample.withColumn("p", _posterior(F.col(pattern), labellers)).drop(pattern)
+    drawn = _sample(v.rows, v.text, [c for c in v.rest if c == key], train_docs / counts.sum(), 7)
+    sample, terms = _terms(v, drawn.select(v.text, v.pattern, v.again))
+    sample = sample.withColumn("p", _posterior(F.col(v.pattern), labellers)).drop(v.pattern)
     sample = materialise(_vectors(sample, terms, "features"), "sample")
     if not sample.count():
         return QualityModel(labellers, None)
@@ -190,20 +211,22 @@ def _posterior(pattern: Column, labellers: Labellers) -> Column:
 
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", keep: list[str] | None = None,
-          threshold: float = 0.4) -> DataFrame:
+          threshold: float = 0.4, votes: Voted | None = None) -> DataFrame:
     """``keep`` (all columns if None) of ``docs`` with ``n_votes``,
     ``p_weak`` (the heuristics' posterior), ``quality`` (the linear score, 0 to
     1) and ``kept`` (quality of at least ``threshold``).
 
     A null text counts as empty: it has the votes of a short text and is scored
     by the model's intercept; without a model (empty table) scores are 0.5.
-    Rows are scored alone.  Columns of these names are replaced.
+    Rows are scored alone.  Columns of these names are replaced.  ``votes`` are
+    those of ``docs`` with these columns, if at hand.
     """
     made = ("n_votes", "p_weak", "quality", "kept")
     rest = others(docs.columns if keep is None else keep, *made)
-    df, pattern, terms = _prepared(docs, text, rest)
-    df = df.withColumns({"n_votes": F.size(F.filter(F.col(pattern), lambda v: v != NONE)),
-                         "p_weak": _posterior(F.col(pattern), model.labellers)}).drop(pattern)
+    v = votes or _voted(docs, text, rest)
+    df, terms = _terms(v, v.rows.select(*map(col, rest), v.text, v.pattern, v.again))
+    df = df.withColumns({"n_votes": F.size(F.filter(F.col(v.pattern), lambda x: x != NONE)),
+                         "p_weak": _posterior(F.col(v.pattern), model.labellers)}).drop(v.pattern)
     if model.linear is None:
         df = df.withColumn("quality", F.lit(0.5))
     else:
@@ -220,4 +243,5 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", keep: list[s
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document."""
     docs = table(spark, sf_dir, "documents")
-    return score(docs, fit(docs), keep=["doc_id"])
+    votes = voted(docs, keep=["doc_id"])
+    return score(docs, fit(docs, votes=votes), keep=["doc_id"], votes=votes)

@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from calibra.llm import weak_quality
 from calibra.llm.weak_quality import BAD, GOOD, NONE, estimate, fit, score
 
 
@@ -30,3 +31,19 @@ def test_labels_and_odd_rows(spark, docs):
     assert len(rows) == 4 and rows[2].quality == rows[3].quality and "features" in odd.columns
     assert score(docs([]), model).count() == 0
     assert score(odd, fit(docs([]))).first().quality == 0.5
+
+
+def test_heuristics_count_all_documents_and_copies_are_drawn_one_by_one(spark):
+    n = 24_000  # a third are copies of one text, a third of the rest are shouted
+    text = F.when(F.col("id") % 3 == 0, "the same line again").when(F.col("id") % 9 == 1, F.concat(F.lit("BUY NOW! "), F.col("id"))).otherwise(
+        F.concat_ws(" ", F.lit("one of the other lines, number"), F.col("id"), F.lit("with its own end.")))
+    table = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"))
+    found = fit(table, train_docs=300).labellers
+    words = table.withColumn("w", F.split("text", " "))
+    rows = weak_quality.vote(words, "text", "w", "p", "a").groupBy("p").count().collect()
+    want = estimate(np.array([r[0] for r in rows]), np.array([r["count"] for r in rows], float))
+    assert sum(r["count"] for r in rows) == n
+    assert abs(found.prior - want.prior) < 1e-9
+    assert np.abs(found.on_good - want.on_good).max() < 1e-9 and np.abs(found.on_bad - want.on_bad).max() < 1e-9
+    copies = table.where("doc_id % 3 = 0")
+    assert 700 < weak_quality._sample(copies, "text", ["doc_id"], 0.1, 7).count() < 900
