@@ -31,18 +31,30 @@ from pyspark.sql import functions as F
 from calibra.llm.common import col, ddl, map_arrow, others, scratch_path, slices, table, with_text
 from calibra.llm.sharedfs import open_fs, write_file
 
-#: The masks (1: the word counts, 0: it is ignored).
-MASKS = ("111010110011", "110111001101", "101100111011", "111100010111")
-SPAN = len(MASKS[0])
+#: Fixed values.
 WINDOW = 13
 AGREE = 0.8
-#: Items of fewer words are no evidence by themselves; those shorter than a
-#: mask are sought whole.
+#: The masks (1: the word counts, 0: it is ignored) for items of each length
+#: and, last, for those of a window or more: whichever words of an overlap of
+#: ``WINDOW`` words (or the whole item) are replaced, if ``AGREE`` of them are
+#: left, one of the masks lies on equal words at some place of the overlap.
+MASKS = {
+    5: ("1111", "11011", "10111", "11101"),
+    6: ("11111", "111011", "101111", "110111", "111101"),
+    7: ("110111", "1111001", "11111"),
+    8: ("1011111", "1111011", "11101101"),
+    9: ("10111111", "111101101", "111010111", "11111101"),
+    10: ("1101111", "11110011", "110011011", "110101011", "111111"),
+    11: ("1110111", "111001011", "1001011101", "10110000111"),
+    12: ("11101111", "1111010011", "11010011011", "100111111", "1111100101"),
+    13: ("111110111", "1101011111", "111011000111", "11111001011", "1100111111"),
+}
+#: Items of fewer words are no evidence by themselves.
 MIN_WORDS = 5
 #: Words of the benchmark in a block, and blocks a worker keeps.
 BLOCK_WORDS = 500_000
 HELD_BLOCKS = 4
-_MIX = np.array([xxhash.xxh64_intdigest(f"place {k}") | 1 for k in range(SPAN)], np.uint64)
+_MIX = np.array([xxhash.xxh64_intdigest(f"place {k}") | 1 for k in range(WINDOW)], np.uint64)
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +90,12 @@ def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     return out ^ np.uint64(len(mask) * 1_000_003 + int(mask, 2))
 
 
+def masks_of(words: int) -> tuple[str, ...]:
+    """The masks for items of so many words.  Those of fewer than five words
+    are sought whole, as no word of them may differ."""
+    return MASKS.get(min(words, WINDOW), ("1" * words,))
+
+
 def _fits(bounds: np.ndarray, n: int, span: int) -> np.ndarray:
     """Whether the span at each of the first ``n`` places stays in its text."""
     sizes = np.diff(bounds)
@@ -93,11 +111,14 @@ class Block:
         sizes = np.diff(bounds)
         item = np.repeat(np.arange(len(sizes)), sizes)
         self.masks: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for mask in [*MASKS, *("1" * k for k in sorted({int(s) for s in sizes if min_words <= s < SPAN}))]:
+        lengths: dict[str, list[int]] = {}
+        for k in sorted({min(int(s), WINDOW) for s in sizes if s >= max(1, min_words)}):
+            for mask in masks_of(k):
+                lengths.setdefault(mask, []).append(k)
+        for mask, of in lengths.items():
             found = seeds(hashes, mask)
             ok = _fits(bounds, len(found), len(mask))
-            if len(mask) < SPAN:
-                ok &= sizes[item[:len(found)]] == len(mask)
+            ok &= np.isin(np.minimum(sizes, WINDOW)[item[:len(found)]], of)
             places = np.flatnonzero(ok)
             order = places[np.argsort(found[places], kind="stable")]
             if len(order):
@@ -227,6 +248,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     ``item_ids`` (of all items found, ascending, each once) and ``agreeing``
     (most words that agree in one window; 0 if none).
 
+    The masks are made for the fixed window and share; with a longer window or
+    a smaller share some overlaps have no seed.
+
     Null and word-less texts are clean, as are all documents if the benchmark
     is empty or has no item of ``min_words`` words.  Items without id are found
     too and listed as null.  Rows are judged alone, so repeated rows agree.

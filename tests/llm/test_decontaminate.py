@@ -1,9 +1,12 @@
+import itertools
+import math
 import random
 
 import pytest
 
-from calibra.llm.decontaminate import decontaminate, word_hashes
+from calibra.llm.decontaminate import AGREE, WINDOW, Block, decontaminate, word_hashes
 
+import numpy as np
 import pyarrow as pa
 
 
@@ -60,3 +63,21 @@ def test_repeated_words_and_empty_tables(spark, docs, world):
 def test_words():
     a, at = word_hashes(pa.array(["One, two", None, "", "__ one-TWO"]))
     assert at.tolist() == [0, 2, 2, 2, 4] and a[0] == a[2] and a[1] == a[3]
+
+
+@pytest.mark.parametrize("n", [*range(5, 15), 20])
+def test_every_accepted_pattern_of_substitutions_is_found(n):
+    rng = np.random.default_rng(n)
+    item = rng.integers(1, 2 ** 63, n).astype(np.uint64)
+    width = min(n, WINDOW)
+    changes = width - math.ceil(AGREE * width - 1e-9)
+    docs, want = [], []
+    for begin in range(n - width + 1):  # one window of the item, between other words
+        for at in itertools.combinations(range(width), changes):
+            copy = item[begin:begin + width].copy()
+            copy[list(at)] = rng.integers(1, 2 ** 63, len(at)).astype(np.uint64)
+            docs.append(np.concatenate([rng.integers(1, 2 ** 63, 3).astype(np.uint64), copy, rng.integers(1, 2 ** 63, 2).astype(np.uint64)]))
+            want.append(width - changes)
+    bounds = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    found = Block([1], item, np.array([0, n])).overlaps(np.concatenate(docs), bounds, WINDOW, AGREE)
+    assert [(d, same) for d, _, same in sorted(found)] == list(enumerate(want))
