@@ -14,14 +14,16 @@ Links are found without comparing all texts of a group:
    components;
 4. buckets that still hold several components compare them again with another,
    randomly drawn node;
-5. what is left is compared across components, exactly: a bucket is cut into
-   blocks, and each two blocks meet in one task.  Only pairs are left out that
-   proven bounds exclude: the distances to the first node (both similarities
-   belong to metrics), the sizes of the sets, and the weight that they share.
-
-So the links found by buckets are not lost, and copies of one text never meet
-each other.  A link: probability Jaccard of the weighted shingles or plain Jaccard
-of the shingles, computed from the texts' whole shingle sets, is 0.8 or more.
+5. the nodes of buckets that are still undecided are joined by the rarest
+   shingles of each (prefix filter): two texts that are similar enough must
+   share one of those, whatever bucket they come from.  A shingle that few
+   nodes hold gives its pairs; one that many hold is cut into blocks, and each
+   two blocks meet in one task.
+
+No step drops a pair by an estimate: what step 5 leaves out, bounds on the
+shared weight exclude.  Copies of one text never meet each other.  A link:
+probability Jaccard of the weighted shingles or plain Jaccard of the shingles,
+computed from the texts' whole sets of 48-bit shingle hashes, is 0.8 or more.
 """
 
 from __future__ import annotations
@@ -32,10 +34,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm.common import col, map_arrow, materialise, release, small_batches, table
+from calibra.llm.common import WORD, col, fresh, map_arrow, materialise, release, small_batches, table
 from calibra.llm.components import components
 
 WORDS = 5
@@ -43,11 +45,13 @@ THRESHOLD = 0.8
 BANDS, ROWS = 48, 7
 #: Pairs, each with both shingle sets, given to Python at once.
 PAIRS = 200
-#: Rows of a bucket, and bytes of their shingle sets, in a block (expected).
+#: Nodes with a shingle in their prefixes up to which their pairs are rows.
+GROUP_ROWS = 64
+#: Rows of a larger group, and bytes of their shingle sets, in a block (expected).
 BLOCK_ROWS = 512
 BLOCK_BYTES = 2 << 20
-#: Bits of a shingle's hash within a text.
-_BITS = 50
+#: Bits, and bytes, of a shingle's hash within a text.
+_BITS, _BYTES = 48, 6
 _PLACE = np.array([xxhash.xxh64_intdigest(f"shingle {k}") | 1 for k in range(WORDS)], np.uint64)
 
 
@@ -142,7 +146,11 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """(plain Jaccard, probability Jaccard) of two weighted sets: distinct
     elements in ascending order and their weights."""
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    if not len(a) or not len(b):
+        return 0.0, 0.0
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    i = np.flatnonzero(b[at] == a)
+    j = at[i]
     union = len(a) + len(b) - len(i)
     if not len(i):
         return 0.0, 0.0
@@ -158,13 +166,28 @@ def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> tu
     return plain, float(total)
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """48-bit numbers as six bytes each."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // _BYTES, 8), np.uint8)
+    out[:, :_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, _BYTES)
+    return out.view("<u8").ravel()
+
+
+def _weights(counts: bytes | None, n: int) -> np.ndarray:
+    return np.ones(n, np.int64) if counts is None else np.frombuffer(counts, "<u4").astype(np.int64)
+
+
 def sketch(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS,
            bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id``, ``digest``, ``keys`` (bands of the signature), ``items`` and
-    ``counts`` (the shingles as 32-bit numbers, and how often each comes; null
-    if once each) of every document.  A text with repeated shingles also gets
-    the bands of its unweighted signature, so that no plain-Jaccard link is
-    missed."""
+    ``counts`` (the distinct shingles as 48-bit numbers, and how often each
+    comes; null if once each) of every document.  A text with repeated shingles
+    also gets the bands of its unweighted signature, so that no plain-Jaccard
+    link is missed."""
     src = docs.select(col(key).cast("long").alias("doc_id"), F.unhex(F.md5(col(text))).alias("digest"), col(text).alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -183,7 +206,6 @@ def sketch(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int
             for d, k in zip(repeats, band_keys(prob_min_hash(part, np.ones(len(part)), upto, bands * rows), bands, rows), strict=True):
                 flat[d] = k
         out_keys, items, times = [], [], []
-        small = (hashes >> np.uint64(_BITS - 32)).astype("<u4")
         for d in range(n):
             a, b = bounds[d], bounds[d + 1]
             if a == b:
@@ -192,7 +214,7 @@ def sketch(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int
                 times.append(None)
                 continue
             out_keys.append(np.unique(np.concatenate([keys[d], flat[d]])) if d in flat else keys[d])
-            items.append(small[a:b].tobytes())
+            items.append(packed(hashes[a:b]))
             times.append(counts[a:b].astype("<u4").tobytes() if d in flat else None)
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(out_keys, pa.list_(pa.int64())), pa.array(items, pa.binary()),
@@ -203,88 +225,231 @@ def sketch(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """``pairs`` (a, b) with ``plain`` and ``weighted`` similarity and ``linked``."""
-    side = lambda n: sets.select(F.col("doc_id").alias(n), F.col("items").alias(f"i{n}"), F.col("counts").alias(f"c{n}"))
+    """The ``pairs`` (a, b) that are links."""
+    side = lambda n: sets.select(F.col("node").alias(n), F.col("items").alias(f"i{n}"), F.col("counts").alias(f"c{n}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ia", "ca", "ib", "cb")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        plain, weighted = [], []
-        for ia, ca, ib, cb in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
-            a, b = np.frombuffer(ia, "<u4"), np.frombuffer(ib, "<u4")
-            x = np.frombuffer(ca, "<u4") if ca is not None else np.ones(len(a), np.int64)
-            y = np.frombuffer(cb, "<u4") if cb is not None else np.ones(len(b), np.int64)
-            p, w = similarity(a, x, b, y)
-            plain.append(p)
-            weighted.append(w)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(plain, pa.float64()), pa.array(weighted, pa.float64())],
-                                          names=["a", "b", "plain", "weighted"])
-
-    out = map_arrow(both, run, "a long, b long, plain double, weighted double", max_bytes=4 << 20)
-    return out.withColumn("linked", F.greatest("plain", "weighted") >= threshold)
-
-
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD,
-                    words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """A row per row of ``docs``: ``doc_id``, ``class_id`` (the smallest id of
-    its class) and ``copy_of`` (the smallest id with the very same text).
-
-    Null texts and texts without a word are near nothing: they are classes of
-    their own, or of the rows with the same id.  Rows without an id belong to
-    the class of their exact copies that have one, else to none (null).
-    Columns other than key and text are not read.
-    """
-    sk = materialise(sketch(docs, text, key, words, bands, rows), "sketch")
-    first = sk.where("items IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = sk.select("doc_id", F.when(F.col("items").isNotNull(), F.col("digest")).alias("digest")).join(first, "digest", "left")
-    members = materialise(members.select("doc_id", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    nodes = members.where("doc_id = rep").select("doc_id").distinct()
-
-    # rows of an id that has several texts stand for one node
-    hits = sk.select("doc_id", "keys").join(nodes, "doc_id", "left_semi").select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
+        linked = []
+        for ia, ca, ib, cb in zip(*batch.columns[2:], strict=True):
+            a, b = unpacked(ia.as_py()), unpacked(ib.as_py())
+            linked.append(max(similarity(a, _weights(ca.as_py(), len(a)), b, _weights(cb.as_py(), len(b)))) >= threshold)
+        keep = pa.array(linked, pa.bool_())
+        return pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return map_arrow(both, run, "a long, b long", max_bytes=4 << 20)
+
+
+def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD,
+            words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """(the written sketch of every row, a row per different text that has a
+    word: ``digest``, ``node``, ``first`` -- the smallest id with that text --,
+    ``component`` -- the smallest node of its class)."""
+    # a row's number is fixed once the sketch is written
+    sk = materialise(sketch(docs, text, key, words, bands, rows).withColumn("row", F.monotonically_increasing_id()), "sketch")
+    nodes = materialise(sk.where("items IS NOT NULL").groupBy("digest")
+                        .agg(F.min("row").alias("node"), F.min("doc_id").alias("first")), "nodes")
+    only = nodes.select(F.col("node").alias("row"))
+    hits = sk.select("row", "keys").join(only, "row", "left_semi").select(F.explode("keys").alias("key"), F.col("row").alias("id"))
     leaders = (hits.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"))
                .where("leader < last").select("key", "leader"))
     buckets = materialise(hits.join(leaders, "key").distinct(), "buckets")
-    wanted = buckets.select("id").distinct().withColumnRenamed("id", "doc_id")
-    sets = materialise(sk.select("doc_id", "items", "counts").join(wanted, "doc_id", "left_semi")
-                       .dropDuplicates(["doc_id"]), "sets")
+    wanted = buckets.select(F.col("id").alias("row")).distinct()
+    sets = materialise(sk.select("row", "items", "counts").join(wanted, "row", "left_semi").withColumnRenamed("row", "node"), "sets")
 
-    tested = materialise(_verify(buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(),
-                                 sets, threshold), "tested", PAIRS)
-    links = tested.where("linked").select("a", "b")
+    pairs = buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    links = materialise(_verify(pairs, sets, threshold), "tested", PAIRS)
     groups = components(links)
 
     def mixed() -> DataFrame:
         """The rows of buckets that hold several components."""
-        label = groups.select("id", "component")
-        rows = buckets.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        rows = _labelled(buckets, groups)
         several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
         return materialise(rows.join(several, "key", "left_semi"), "mixed")
 
     left = mixed()
-    if left.count():
+    if not left.isEmpty():
         # another node of the bucket, drawn at random
         draw = F.xxhash64("id", "key")
         others = left.groupBy("key").agg(F.min_by("id", draw).alias("a"), F.min_by("component", draw).alias("ca"))
         pairs = left.join(others, "key").where("component <> ca").select("a", F.col("id").alias("b")).distinct()
-        again = materialise(_verify(pairs, sets, threshold), "again", PAIRS).where("linked").select("a", "b")
-        links = links.union(again)
+        links = links.union(materialise(_verify(pairs, sets, threshold), "again", PAIRS))
         groups = components(links)
         left = mixed()
-    if left.count():
-        links = links.union(materialise(_across(left, tested, sets, threshold), "across", PAIRS))
+    if not left.isEmpty():
+        links = links.union(_across(left.select("id", "component").distinct(), links, sets, threshold))
         groups = components(links)
-    return (members.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-            .select("doc_id", F.coalesce("component", "rep").alias("class_id"), F.col("rep").alias("copy_of")))
+    return sk, _labelled(nodes.withColumnRenamed("node", "id"), groups).withColumnRenamed("id", "node")
+
+
+def _labelled(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` (with ``id``) and the component of each."""
+    return rows.join(groups.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD,
+                    words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """A row per row of ``docs``: ``doc_id``, ``class_id`` (the smallest id of
+    its class) and ``copy_of`` (the smallest id with the very same text).
+
+    Classes are made of texts: an id that comes with several texts has a row
+    for each, in the class of that text, and rows without an id take part like
+    others (null where no member of a class has an id).  Null texts and texts
+    without a word are near nothing: each is its own class.  Columns other than
+    key and text are not read.
+    """
+    sk, found = classes(docs, text, key, threshold, words, bands, rows)
+    low = found.groupBy("component").agg(F.min("first").alias("low"))
+    named = found.join(low, "component").select("digest", F.col("first").alias("copy_of"), F.col("low").alias("class_id"))
+    out = sk.select("doc_id", F.when(F.col("items").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
+    worded = F.col("digest").isNotNull()
+    pick = lambda c: F.when(worded, F.col(c)).otherwise(F.col("doc_id")).alias(c)
+    return out.select("doc_id", pick("class_id"), pick("copy_of"))
+
+
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that stay: of each class one row of the text with
+    the smallest id (the smallest digest among equal ids; rows without an id
+    come last).  Null texts and texts without a word all stay."""
+    _, found = classes(docs, text, key, threshold)
+    order = F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("id"), F.col("digest").alias("digest"))
+    d, i, e, j = (fresh(c, docs.columns) for c in ("_digest", "_id", "_stay", "_first"))
+    stay = found.groupBy("component").agg(F.min(order).alias("m")).select(F.col("m.digest").alias(e), F.col("m.id").alias(j))
+    worded = F.coalesce(col(text).rlike(WORD), F.lit(False))
+    made = docs.withColumn(d, F.unhex(F.md5(col(text)))).withColumn(i, col(key).cast("long"))
+    best = made.where(worded).join(stay, (F.col(d) == F.col(e)) & F.col(i).eqNullSafe(F.col(j)), "left_semi")
+    return best.dropDuplicates([d]).unionByName(made.where(~worded)).drop(d, i)
+
+
+def _tokens(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """A row per node (``id``, ``component``) and shingle: ``token``, ``part``
+    (its share of the text's weight), ``size`` (shingles of the text) and
+    ``flat`` (no shingle repeats)."""
+    src = nodes.join(sets.withColumnRenamed("node", "id"), "id").select("id", "component", "items", "counts")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tokens = [unpacked(x.as_py()) for x in batch.column(2)]
+        counts = [x.as_py() for x in batch.column(3)]
+        weights = [_weights(c, len(t)) for c, t in zip(counts, tokens, strict=True)]
+        sizes = np.array([len(t) for t in tokens], np.int64)
+        each = lambda x: pa.array(np.repeat(x, sizes))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(tokens).view(np.int64)), each(batch.column(0).to_numpy()), each(batch.column(1).to_numpy()),
+             pa.array(np.concatenate([w / w.sum() for w in weights])), each(sizes), each(np.array([c is None for c in counts]))],
+            names=["token", "id", "component", "part", "size", "flat"])
+
+    return map_arrow(src, run, "token long, id long, component long, part double, size long, flat boolean")
+
+
+def _prefixes(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``token``, ``id``, ``component``, ``size``, ``flat``: the shingles of
+    each node one of which it must share with any node of another component
+    that it links to, with ``many`` (nodes that have it there).
+
+    Shingles are ordered by how many nodes hold them, those that only one
+    component holds first.  Either similarity is at most the weight that the
+    two texts share, as a part of either (plain: of the counts of distinct
+    shingles).  So the part of a text from its first shared shingle on is at
+    least the threshold: shingles with less than that from them on cannot be
+    first, and the first shared one is in the prefixes of both texts."""
+    tokens = materialise(_tokens(nodes, sets), "tokens")
+    held = (tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+            .where("lo < hi").select("token", "n"))
+    own = (tokens.join(held, "token").groupBy("id", "component", "size", "flat")
+           .agg(F.collect_list(F.struct("n", "token", "part")).alias("shared"), F.sum("part").alias("weight"))
+           .where((F.size("shared") >= F.col("size") * threshold - 1e-6) | (F.col("weight") >= threshold - 1e-6)))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        firsts = []
+        for size, rows in zip(batch.column(2).to_pylist(), batch.column(4), strict=True):
+            n, token, part = (rows.values.field(f).to_numpy(zero_copy_only=False) for f in range(3))
+            order = np.lexsort((token, n))[::-1]  # the most common first
+            onward = np.maximum(np.cumsum(part[order]), np.arange(1, len(order) + 1) / size)
+            firsts.append(token[order[onward >= threshold - 1e-6]])
+        doc = pa.array(np.repeat(np.arange(len(firsts)), [len(f) for f in firsts]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), *(batch.column(c).take(doc) for c in range(4))],
+                                          names=["token", "id", "component", "size", "flat"])
+
+    first = materialise(map_arrow(own.select("id", "component", "size", "flat", "shared"), run,
+                                  "token long, id long, component long, size long, flat boolean"), "prefixes")
+    meet = (first.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+            .where("lo < hi").select("token", "many"))
+    return materialise(first.join(meet, "token"), "meetings")
+
+
+def _across(nodes: DataFrame, links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """All further links (a, b) between ``nodes`` (``id``, ``component``) of
+    different components."""
+    meetings = _prefixes(nodes, sets, threshold)
+    few = meetings.where(F.col("many") <= GROUP_ROWS).select("token", "id", "component", "size", "flat")
+    side = lambda n: few.select("token", *[F.col(c).alias(c + n) for c in ("id", "component", "size", "flat")])
+    near = ~(F.col("flat1") & F.col("flat2")) | (F.least("size1", "size2") >= F.greatest("size1", "size2") * threshold - 1e-6)
+    pairs = (side("1").join(side("2"), "token").where((F.col("id1") < F.col("id2")) & (F.col("component1") != F.col("component2")) & near)
+             .select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct())
+    found = materialise(_verify(pairs, sets, threshold), "rare", PAIRS)
+    many = meetings.where(F.col("many") > GROUP_ROWS)
+    if many.isEmpty():
+        return found
+    # shingles that many nodes hold, though none of those nodes has rarer ones:
+    # first against one drawn node, then what is still apart block by block
+    many = _labelled(many.drop("component"), components(links.union(found)))
+    draw = F.xxhash64("id", "token")
+    one = many.groupBy("token").agg(F.min_by("id", draw).alias("a"), F.min_by("component", draw).alias("ca"))
+    pairs = many.join(one, "token").where("component <> ca").select("a", F.col("id").alias("b")).distinct()
+    found = found.union(materialise(_verify(pairs, sets, threshold), "common", PAIRS))
+    many = _labelled(many.drop("component"), components(links.union(found)))
+    return found.union(materialise(_in_blocks(many, sets, threshold), "blocks", PAIRS))
+
+
+def _in_blocks(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between different components among the rows (``token``,
+    ``id``, ``component``, ``size``) of each token.  A token's rows are cut
+    into blocks of bounded size, and each two blocks meet in one task: pairs
+    are no rows of a table."""
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("size") * _BYTES / BLOCK_BYTES)).cast("long")
+    parts = (rows.groupBy("token").agg(blocks.alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high"))
+             .where("low < high").select("token", "blocks"))
+    cut = rows.join(parts, "token").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    cut = cut.select("token", "id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cut = cut.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "component")
+    cut = cut.join(sets.withColumnRenamed("node", "id"), "id")
+    cut = cut.select("token", "lo", "hi", "own", "id", "component", "items", "counts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        links: list[tuple[int, int]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = np.stack([batch.column(k).to_numpy() for k in range(3)])
+            cuts = [0, *(np.flatnonzero((block[:, 1:] != block[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                here = tuple(block[:, a].tolist())
+                if held and here != last:
+                    links += _block_links(pa.Table.from_batches(held), threshold)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = here
+            if links:
+                yield _pairs(links)
+                links = []
+        if held:
+            yield _pairs(_block_links(pa.Table.from_batches(held), threshold))
+        release()
+
+    small_batches(rows.sparkSession)
+    return (cut.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+            .mapInArrow(run, "a long, b long").distinct())
 
 
 def _block_links(block: pa.Table, threshold: float) -> list[tuple[int, int]]:
     """Links between the two parts of a block, of different components; each
     pair that the bounds do not exclude is compared exactly."""
-    far, least = 1 - threshold + 1e-9, threshold - 1e-9
-    lo, hi, own, ids, component, dp, dw = (block.column(c).to_numpy() for c in ("lo", "hi", "own", "id", "component", "dp", "dw"))
-    parts = [np.frombuffer(x, "<u4") for x in block.column("items").to_pylist()]
-    times = [None if x is None else np.frombuffer(x, "<u4") for x in block.column("counts").to_pylist()]
-    weights = [np.ones(len(p), np.int64) if t is None else t for p, t in zip(parts, times, strict=True)]
+    least = threshold - 1e-9
+    lo, hi, own, ids, component = (block.column(c).to_numpy() for c in ("lo", "hi", "own", "id", "component"))
+    parts = [unpacked(x) for x in block.column("items").to_pylist()]
+    times = block.column("counts").to_pylist()
+    weights = [_weights(t, len(p)) for p, t in zip(parts, times, strict=True)]
     sizes = np.array([len(p) for p in parts])
     flat = np.array([t is None for t in times])
     left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
@@ -293,7 +458,7 @@ def _block_links(block: pa.Table, threshold: float) -> list[tuple[int, int]]:
     out = []
     for n, i in enumerate(left):
         js = right[n + 1:] if same else right
-        ok = (component[js] != component[i]) & ((np.abs(dp[js] - dp[i]) <= far) | (np.abs(dw[js] - dw[i]) <= far))
+        ok = component[js] != component[i]
         small, large = np.minimum(sizes[js], sizes[i]), np.maximum(sizes[js], sizes[i])
         js = js[ok & ((small >= least * large) | ~(flat[js] & flat[i]))]
         if len(js) > 8:
@@ -320,60 +485,6 @@ def _block_links(block: pa.Table, threshold: float) -> list[tuple[int, int]]:
     return out
 
 
-def _across(left: DataFrame, tested: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between different components in a bucket, all of them.
-
-    Nodes of the first node's component (``main``) need no comparison among
-    each other.  These and the rest are cut into blocks of bounded size; each
-    block of the rest meets every other block, so a large bucket is the work of
-    many tasks, and pairs are no rows of a table."""
-    sims = tested.select(F.col("a").alias("leader"), F.col("b").alias("id"), (1 - F.col("plain")).alias("dp"), (1 - F.col("weighted")).alias("dw"))
-    label = left.where("id = leader").select("key", F.col("component").alias("main"))
-    size = sets.select(F.col("doc_id").alias("id"), (F.length("items") + F.coalesce(F.length("counts"), F.lit(0))).cast("long").alias("size"))
-    rows = (left.join(sims, ["leader", "id"], "left").na.fill(0.0, ["dp", "dw"]).join(label, "key").join(size, "id")
-            .select("key", "id", "component", (F.col("component") == F.col("main")).alias("main"), "dp", "dw", "size"))
-    rows = materialise(rows, "distances")
-
-    def blocks(which: Column) -> Column:
-        many, much = F.sum(F.when(which, 1).otherwise(0)), F.sum(F.when(which, F.col("size")).otherwise(0))
-        return F.greatest(F.ceil(many / BLOCK_ROWS), F.ceil(much / BLOCK_BYTES)).cast("long")
-
-    parts = rows.groupBy("key").agg(blocks(~F.col("main")).alias("rests"), blocks(F.col("main")).alias("mains"))
-    one = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    cut = rows.join(parts, "key").where("rests > 0").withColumn("own", F.when(F.col("main"), F.col("rests") + one("mains")).otherwise(one("rests")))
-    meets = F.sequence(F.lit(0), F.col("rests") - 1 + F.when(F.col("main"), 0).otherwise(F.col("mains")))
-    cut = cut.select("key", "id", "component", "dp", "dw", "own", F.explode(meets).alias("other"))
-    cut = cut.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "component", "dp", "dw")
-    cut = cut.join(sets.select(F.col("doc_id").alias("id"), "items", "counts"), "id")
-    cut = cut.select("key", "lo", "hi", "own", "id", "component", "dp", "dw", "items", "counts")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
-        links: list[tuple[int, int]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            block = np.stack([batch.column(k).to_numpy() for k in range(3)])
-            cuts = [0, *(np.flatnonzero((block[:, 1:] != block[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                here = tuple(block[:, a].tolist())
-                if held and here != last:
-                    links += _block_links(pa.Table.from_batches(held), threshold)
-                    held = []
-                held.append(batch.slice(a, b - a))
-                last = here
-            if links:
-                yield _pairs(links)
-                links = []
-        if held:
-            yield _pairs(_block_links(pa.Table.from_batches(held), threshold))
-        release()
-
-    small_batches(left.sparkSession)
-    return (cut.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-            .mapInArrow(run, "a long, b long").distinct())
-
-
 def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
     both = np.array(links, np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])

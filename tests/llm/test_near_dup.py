@@ -1,11 +1,13 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from calibra.llm.components import components
 from calibra.llm import near_dup
-from calibra.llm.near_dup import near_duplicates, prob_min_hash, similarity, sketch
+from calibra.llm.near_dup import deduplicate, near_duplicates, packed, prob_min_hash, similarity, sketch, unpacked
 
 
 def _weighted(x, y):
@@ -88,17 +90,107 @@ def test_large_groups_and_odd_rows(docs):
     assert near_duplicates(docs([])).count() == 0
 
 
-def test_no_link_across_components_is_lost(spark, docs, monkeypatch):
-    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 7, raising=False)
-    pairs = 120
-    word = lambda i, n: [f"t{i}_{k}" for k in range(n)]
+def _weighted_shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    return Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def _links(texts):
+    """All links of texts, by brute force: (i, j), i < j."""
+    sets = [_weighted_shingles(t) for t in texts]
+    out = set()
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            both = len(x.keys() & y.keys())
+            if both and max(both / len(x.keys() | y.keys()), _weighted(x, y)) >= 0.8 - 1e-12:
+                out.add((j, i))
+    return out
+
+
+@pytest.mark.parametrize("group, block", [(64, 512), (2, 7)])
+def test_no_link_across_components_is_lost(spark, docs, monkeypatch, group, block):
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", block)
+    monkeypatch.setattr(near_dup, "GROUP_ROWS", group)
+    rng = random.Random(9)
     texts = []
-    for i in range(pairs):  # similarity of exactly 0.8, on 4 and 5 shingles; every third with repeated ones
-        texts += [word(i, 8), word(i, 9)] if i % 3 else [word(i, 4) * 6, word(i, 4) * 7]
-    rows = [(1000 + i, " ".join(t)) for i, t in enumerate(texts)] + [(1, "a leader that is like none of the others")]
-    sets = sketch(docs(rows)).select("doc_id", "items", "counts")
-    # one bucket of which nothing but its first node has been compared
-    left = spark.createDataFrame([(5, 1, d, d) for d, _ in rows], "key long, leader long, id long, component long")
-    tested = spark.createDataFrame([(1, d, 0.0, 0.0) for d, _ in rows if d != 1], "a long, b long, plain double, weighted double")
-    got = {(r.a, r.b) for r in near_dup._across(left, tested, sets, 0.8).collect()}
-    assert got == {(1000 + 2 * i, 1001 + 2 * i) for i in range(pairs)}
+    for i in range(40):  # similarity of exactly 0.8, on 4 and 5 shingles; every third with repeated ones
+        word = lambda n: [f"t{i}_{k}" for k in range(n)]  # noqa: B023, E731
+        texts += [word(8), word(9)] if i % 3 else [word(4) * 6, word(4) * 7]
+    passage = [f"p{k}" for k in range(60)]  # half of each of these texts is one passage
+    for i in range(60):
+        own = [f"o{i // 2}_{k}" for k in range(50)]
+        for _ in range(i % 4):
+            own[rng.randrange(50)] = f"z{i}"
+        texts.append(passage + own)
+    lines = [[f"l{i}_{k}" for k in range(12)] for i in range(6)]  # texts made of few, common lines
+    texts += [sum(rng.sample(lines, rng.randint(3, 6)), []) for _ in range(60)]
+    texts = list(dict.fromkeys(" ".join(t) for t in texts))
+    sets = sketch(docs(list(enumerate(texts)))).selectExpr("doc_id AS node", "items", "counts")
+    # nothing has been compared before
+    nodes = spark.createDataFrame([(i, i) for i in range(len(texts))], "id long, component long")
+    none = spark.createDataFrame([], "a long, b long")
+    got = {(min(r), max(r)) for r in near_dup._across(nodes, none, sets, 0.8).collect()}
+    assert got <= _links(texts)
+    if group == 64:
+        assert got == _links(texts)
+    # links inside a component that others have made are not needed
+    up = lambda links: _roots(len(texts), links)
+    assert up(got) == up(_links(texts))
+
+
+def _roots(n, links):
+    up = list(range(n))
+
+    def find(v):
+        while up[v] != v:
+            v = up[v]
+        return v
+    for a, b in links:
+        up[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(v) for v in range(n)]
+
+
+def test_packed_numbers():
+    x = np.array([0, 1, 2 ** 48 - 1, 2 ** 40 + 5], np.uint64)
+    assert unpacked(packed(x)).tolist() == x.tolist()
+
+
+def test_very_long_texts(docs):
+    words = [f"w{i}" for i in range(300_000)]
+    other = list(words)
+    other[7] = "x"
+    twice = [f"r{i % 500}" for i in range(150_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:150_000])), (4, " ".join(twice)), (5, " ".join(twice[:140_000]))]
+    assert {r.doc_id: r.class_id for r in near_duplicates(docs(rows)).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+
+
+def test_ids_that_come_with_several_texts(docs):
+    rows = []
+    for i in range(40):
+        a, b = [f"a{i}_{k}" for k in range(40)], [f"b{i}_{k}" for k in range(40)]
+        rows += [(100 + i, " ".join(a)), (100 + i, " ".join(b)), (200 + i, " ".join(b[:-1] + ["new"]))]
+    for parts in (1, 7):
+        got = near_duplicates(docs(rows).repartition(parts)).collect()
+        assert len(got) == 120
+        assert {(r.doc_id, r.class_id) for r in got if r.doc_id >= 200} == {(200 + i, 100 + i) for i in range(40)}
+    stay = deduplicate(docs(rows).withColumnRenamed("lang", "_digest").withColumnRenamed("source", "_id")).collect()
+    assert sorted(r.text for r in stay) == sorted(t for d, t in rows if d < 200)
+
+
+def test_near_copies_of_a_text_without_an_id(docs):
+    base = [f"n{k}" for k in range(50)]
+    rows = [(None, " ".join(base)), (None, " ".join(base[:-1])), (9, " ".join(base[1:])), (None, None), (4, "")]
+    got = near_duplicates(docs(rows)).collect()
+    assert sorted(map(str, ((r.doc_id, r.class_id) for r in got))) == sorted(map(str, [(None, 9), (None, 9), (9, 9), (None, None), (4, 4)]))
+    stay = deduplicate(docs(rows + [(9, " ".join(base[1:]))])).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in stay))) == sorted(map(str, [(9, " ".join(base[1:])), (None, None), (4, "")]))
+
+
+def test_a_bucket_of_unlike_texts_that_share_a_passage(docs):
+    """Texts that are one half alike meet in many buckets; only planted pairs
+    are links."""
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(i, passage + " " + " ".join(f"u{i // 2 if i < 20 else i}_{k}" for k in range(40 + (i < 20 and i % 2)))) for i in range(1500)]
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs(rows).repartition(8)).collect()}
+    assert got == {i: i - i % 2 if i < 20 else i for i in range(1500)}
