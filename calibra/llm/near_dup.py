@@ -183,11 +183,10 @@ def _weights(counts: bytes | None, n: int) -> np.ndarray:
 
 def sketch(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS,
            bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id``, ``digest``, ``keys`` (bands of the signature), ``items`` and
-    ``counts`` (the distinct shingles as 48-bit numbers, and how often each
-    comes; null if once each) of every document.  A text with repeated shingles
-    also gets the bands of its unweighted signature, so that no plain-Jaccard
-    link is missed."""
+    """``doc_id``, ``digest`` and ``keys`` (bands of the signature; null for a
+    text without a word) of every document.  A text with repeated shingles also
+    gets the bands of its unweighted signature, so that no plain-Jaccard link
+    is missed."""
     src = docs.select(col(key).cast("long").alias("doc_id"), F.unhex(F.md5(col(text))).alias("digest"), col(text).alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -199,29 +198,39 @@ def sketch(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int
         if len(has):
             most[has] = np.maximum.reduceat(counts, bounds[has])
         repeats = np.flatnonzero(most > 1)
-        flat: dict[int, np.ndarray] = {}
+        out = [k if m else None for k, m in zip(keys, most, strict=True)]
         if len(repeats):
             part = np.concatenate([hashes[bounds[d]:bounds[d + 1]] for d in repeats])
             upto = np.concatenate([[0], np.cumsum(np.diff(bounds)[repeats])])
             for d, k in zip(repeats, band_keys(prob_min_hash(part, np.ones(len(part)), upto, bands * rows), bands, rows), strict=True):
-                flat[d] = k
-        out_keys, items, times = [], [], []
-        for d in range(n):
-            a, b = bounds[d], bounds[d + 1]
-            if a == b:
-                out_keys.append(None)
-                items.append(None)
-                times.append(None)
-                continue
-            out_keys.append(np.unique(np.concatenate([keys[d], flat[d]])) if d in flat else keys[d])
-            items.append(packed(hashes[a:b]))
-            times.append(counts[a:b].astype("<u4").tobytes() if d in flat else None)
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(out_keys, pa.list_(pa.int64())), pa.array(items, pa.binary()),
-             pa.array(times, pa.binary())], names=["doc_id", "digest", "keys", "items", "counts"])
+                out[d] = np.unique(np.concatenate([keys[d], k]))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "digest", "keys"])
+
+    return map_arrow(src, run, "doc_id long, digest binary, keys array<bigint>", max_bytes=2 << 20)
+
+
+def shingle_sets(nodes: DataFrame, words: int = WORDS) -> DataFrame:
+    """``node``, ``items`` and ``counts`` (the distinct shingles as 48-bit
+    numbers, and how often each comes; null if once each) of the texts of
+    ``nodes`` (``node``, ``text``)."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, counts, bounds = shingles(batch.column(1), words)
+        parts = [slice(a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        times = [counts[p].astype("<u4").tobytes() if counts[p].max(initial=0) > 1 else None for p in parts]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed(hashes[p]) for p in parts], pa.binary()), pa.array(times, pa.binary())],
+                                          names=["node", "items", "counts"])
+
+    return map_arrow(nodes.select("node", "text"), run, "node long, items binary, counts binary", max_bytes=2 << 20)
+
 
-    return map_arrow(src, run, "doc_id long, digest binary, keys array<bigint>, items binary, counts binary",
-                     max_bytes=2 << 20)
+def _texts(docs: DataFrame, nodes: DataFrame, text: str, key: str) -> DataFrame:
+    """``node`` and ``text`` of ``nodes`` (``node``, ``digest``, ``first``), from
+    a row of ``docs`` that has both the digest and the id.  The texts of a large
+    group of copies go by their ids, hence to many tasks."""
+    number = lambda c: F.coalesce(c.cast("long"), F.lit(-(1 << 63)))
+    src = docs.select(F.unhex(F.md5(col(text))).alias("digest"), number(col(key)).alias("id"), col(text).alias("text"))
+    return (src.join(nodes.select("node", "digest", number(F.col("first")).alias("id")), ["digest", "id"])
+            .dropDuplicates(["digest", "id"]).select("node", "text"))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -247,15 +256,16 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     ``component`` -- the smallest node of its class)."""
     # a row's number is fixed once the sketch is written
     sk = materialise(sketch(docs, text, key, words, bands, rows).withColumn("row", F.monotonically_increasing_id()), "sketch")
-    nodes = materialise(sk.where("items IS NOT NULL").groupBy("digest")
+    nodes = materialise(sk.where("keys IS NOT NULL").groupBy("digest")
                         .agg(F.min("row").alias("node"), F.min("doc_id").alias("first")), "nodes")
     only = nodes.select(F.col("node").alias("row"))
     hits = sk.select("row", "keys").join(only, "row", "left_semi").select(F.explode("keys").alias("key"), F.col("row").alias("id"))
     leaders = (hits.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"))
                .where("leader < last").select("key", "leader"))
     buckets = materialise(hits.join(leaders, "key").distinct(), "buckets")
-    wanted = buckets.select(F.col("id").alias("row")).distinct()
-    sets = materialise(sk.select("row", "items", "counts").join(wanted, "row", "left_semi").withColumnRenamed("row", "node"), "sets")
+    # whole shingle sets only of texts that meet another one
+    wanted = nodes.join(buckets.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    sets = materialise(shingle_sets(_texts(docs, wanted, text, key), words), "sets")
 
     pairs = buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     links = materialise(_verify(pairs, sets, threshold), "tested", PAIRS)
@@ -301,7 +311,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     sk, found = classes(docs, text, key, threshold, words, bands, rows)
     low = found.groupBy("component").agg(F.min("first").alias("low"))
     named = found.join(low, "component").select("digest", F.col("first").alias("copy_of"), F.col("low").alias("class_id"))
-    out = sk.select("doc_id", F.when(F.col("items").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
+    out = sk.select("doc_id", F.when(F.col("keys").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
     worded = F.col("digest").isNotNull()
     pick = lambda c: F.when(worded, F.col(c)).otherwise(F.col("doc_id")).alias(c)
     return out.select("doc_id", pick("class_id"), pick("copy_of"))

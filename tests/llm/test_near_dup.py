@@ -7,7 +7,7 @@ import pytest
 
 from calibra.llm.components import components
 from calibra.llm import near_dup
-from calibra.llm.near_dup import deduplicate, near_duplicates, packed, prob_min_hash, similarity, sketch, unpacked
+from calibra.llm.near_dup import deduplicate, near_duplicates, packed, prob_min_hash, similarity, unpacked
 
 
 def _weighted(x, y):
@@ -126,7 +126,7 @@ def test_no_link_across_components_is_lost(spark, docs, monkeypatch, group, bloc
     lines = [[f"l{i}_{k}" for k in range(12)] for i in range(6)]  # texts made of few, common lines
     texts += [sum(rng.sample(lines, rng.randint(3, 6)), []) for _ in range(60)]
     texts = list(dict.fromkeys(" ".join(t) for t in texts))
-    sets = sketch(docs(list(enumerate(texts)))).selectExpr("doc_id AS node", "items", "counts")
+    sets = near_dup.shingle_sets(docs(list(enumerate(texts))).selectExpr("doc_id AS node", "text"))
     # nothing has been compared before
     nodes = spark.createDataFrame([(i, i) for i in range(len(texts))], "id long, component long")
     none = spark.createDataFrame([], "a long, b long")
