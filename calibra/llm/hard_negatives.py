@@ -91,7 +91,7 @@ class _First:
 
     def __init__(self, lists: int, k: int):
         self.k = k
-        self.score = np.full((lists, k), np.iinfo(np.int64).min)
+        self.score = np.full((lists, k), -np.iinfo(np.int64).max)  # its negative is a number too
         self.id = np.full((lists, k), np.iinfo(np.int64).max)
         self.row = np.full((lists, k), -1)
 
