@@ -307,9 +307,9 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP11_SQL = """
 with clean as materialized (
   select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
-    list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as v
+    list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
   from embeddings
-  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), scored as materialized (
   select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
     cast(list_inner_product(cast(a.v as double[]), cast(b.v as double[])) as bigint) as score

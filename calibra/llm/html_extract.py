@@ -2,9 +2,14 @@
 
 Paragraphs give points for their length and commas to their parent,
 grandparent and further ancestors (less with each step); an element's points
-are discounted by the share of its text that lies in links.  The best element,
-and those of its siblings that look like more of the same, are the article;
-page furniture is left out before and inside it.
+are discounted by the share of its text that lies in links, and raised or
+lowered by words of its class names.  The best element, and those of its
+siblings that look like more of the same, are the article.
+
+Page furniture is left out before and inside it: elements of certain kinds and
+roles, and those with a class name that names nothing else ("comment-list",
+"site-footer", but not "has-sidebar").  Where that leaves no text, only kinds
+and roles count.
 """
 
 from __future__ import annotations
@@ -34,6 +39,18 @@ NEGATIVE = frozenset(
     "subscribe subscription signup login related recommended share sharing social sidebar widget widgets skip toolbar "
     "hidden disclaimer copyright".split())
 POSITIVE = frozenset("article articlebody body content entry hentry main post story text blog page".split())
+#: Words that leave the meaning of the others in a class name as it is, those
+#: that turn it round, and furniture whatever it stands beside.
+NEUTRAL = frozenset(
+    "area aside bar big block bottom box button card cell center col column container desktop element first fixed full global group "
+    "header holder id inner item items js large last left level line link links list local main message mobile module nested new "
+    "outer panel page post posts primary region right root row secondary section set site slot small stack sticky sub tab thread top "
+    "unit web wrap wrapper".split())
+TURNS = frozenset("has no not with without is hide show overflow visually can".split())
+ALWAYS = frozenset({"comment", "comments", "ad", "ads", "advert", "cookie", "sidebar"})
+#: Elements open inside each other at most; deeper ones add their text to the
+#: element around them.
+DEPTH = 512
 #: An open element of the key's kind ends where one of the value's kinds begins.
 CLOSED_BY = {
     "p": BLOCK - {"body", "html", "head", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup"},
@@ -53,34 +70,48 @@ _PARAGRAPH = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "names", "out", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "kids", "names", "out", "named", "score", "chars", "linked", "own", "commas")
 
-    def __init__(self, tag: str, parent: Node | None, names: frozenset[str] = frozenset(), out: bool = False):
-        self.tag, self.parent, self.names, self.out = tag, parent, names, out
+    def __init__(self, tag: str, parent: Node | None, names: frozenset[str] = frozenset(), out: bool = False, named: bool = False):
+        self.tag, self.parent, self.names, self.out, self.named = tag, parent, names, out, named
         self.kids: list[Node | str] = []
         self.score = 0.0
-        self.chars = self.linked = 0
+        self.chars = self.linked = self.own = self.commas = 0
 
 
-def _attributes(tag: str, raw: str) -> tuple[frozenset[str], bool]:
-    """The words of an element's class and id, and whether it is furniture."""
+def _furniture(name: str) -> tuple[set[str], bool]:
+    """The words of one class name, and whether it names furniture and nothing
+    else.  A name that says what an element has or lacks says nothing."""
+    words = [w.lower() for w in _NAME.findall(name)]
+    if not words or (words[0] in TURNS and len(words) > 1):
+        return set(), False
+    found = {*words, name.lower()}
+    bad = name.lower() in NEGATIVE or (any(w in NEGATIVE for w in words) and all(w in NEGATIVE or w in NEUTRAL for w in words))
+    return found, bad or bool(found & ALWAYS and found & (POSITIVE | NEUTRAL))
+
+
+def _attributes(tag: str, raw: str) -> tuple[frozenset[str], bool, bool]:
+    """The words of an element's class and id, whether it is furniture by kind
+    or role, and whether by name."""
     names: set[str] = set()
-    out = tag in FURNITURE
+    out, named, good = tag in FURNITURE, False, False
     for m in _ATTR.finditer(raw):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key in ("class", "id"):
-            names.update(x.lower() for x in _NAME.findall(value))
-            names.update(x.lower() for x in value.split())
+            for name in unescape(value).split():
+                words, bad = _furniture(name)
+                names |= words
+                named |= bad
+                good |= name.lower() in POSITIVE
         elif key == "role":
             out |= value.lower() in FURNITURE_ROLES
         elif key == "hidden" and m.start() and raw[m.start() - 1].isspace():
             out |= tag not in ("body", "html")
         elif key == "aria-hidden":
             out |= value.lower() == "true"
-    if tag not in ("html", "body", "article", "main") and names & NEGATIVE:
-        # "article-header" and the like head the article; "comment-body" is a comment all the same
-        out |= not (names & POSITIVE) or bool(names & {"comment", "comments", "ad", "ads", "advert", "cookie", "sidebar"})
-    return frozenset(names), out
+    # a whole name of the article outweighs others, but for comments, adverts and the like
+    named &= tag not in ("html", "body", "article", "main") and (not good or bool(names & ALWAYS))
+    return frozenset(names), out, named
 
 
 def parse(html: str) -> Node:
@@ -124,10 +155,10 @@ def parse(html: str) -> Node:
                         break
                     if stack[i].tag in SCOPE:
                         break
-            names, out = _attributes(tag, m[3]) if m[3] else (frozenset(), tag in FURNITURE)
-            node = Node(tag, stack[-1], names, out)
+            names, out, named = _attributes(tag, m[3]) if m[3] else (frozenset(), tag in FURNITURE, False)
+            node = Node(tag, stack[-1], names, out, named)
             stack[-1].kids.append(node)
-            if tag not in VOID and not m[0].endswith("/>"):
+            if tag not in VOID and not m[0].endswith("/>") and len(stack) < DEPTH:
                 stack.append(node)
     text(end)
     return root
@@ -142,8 +173,12 @@ def _walk(root: Node):
         todo.extend(k for k in reversed(node.kids) if isinstance(k, Node) and not k.out)
 
 
-def _mark_headers(root: Node) -> None:
-    """A header element is furniture unless it heads an article."""
+def _mark_furniture(root: Node, by_name: bool) -> None:
+    """Decide what is furniture: by kind or role, by name if asked for, and
+    header elements unless they head an article."""
+    if by_name:
+        for node in list(_walk(root)):
+            node.out |= node.named
     for node in list(_walk(root)):
         if node.tag == "header":
             up, kids = node.parent, [x.tag for x in _walk(node)]
@@ -156,28 +191,26 @@ def score(root: Node) -> list[Node]:
     """Give points; the elements that have some, in page order."""
     nodes = list(_walk(root))
     scored: dict[int, Node] = {}
-    own: dict[int, str] = {}
     for node in reversed(nodes):  # children come before their parents
         words = " ".join(" ".join(k for k in node.kids if isinstance(k, str)).split())
-        own[id(node)] = words
+        node.own += len(words)
+        node.commas += words.count(",") + words.count("，") + words.count("、")
         node.chars += len(words)
         if node.tag == "a":
             node.linked = node.chars
         if node.parent is not None:
             node.parent.chars += node.chars
             node.parent.linked += node.linked
-    inner: dict[int, list[str]] = {}
-    for node in reversed(nodes):  # text of a block: its own and that of inline elements in it
-        if node.tag not in BLOCK and node.parent is not None:
-            inner.setdefault(id(node.parent), []).extend([own[id(node)], *inner.get(id(node), [])])
+            if node.tag not in BLOCK:  # the text of a block: its own and that of inline elements in it
+                node.parent.own += node.own
+                node.parent.commas += node.commas
     for node in nodes:
         if node.tag not in BLOCK:
             continue
-        parts = [own[id(node)], *inner.get(id(node), [])]
-        chars = sum(map(len, parts))
+        chars = node.own
         if not chars or (node.tag not in _PARAGRAPH and chars < 25):
             continue
-        points = 1.0 + sum(p.count(",") + p.count("，") + p.count("、") for p in parts) + min(chars / 100, 3.0)
+        points = 1.0 + node.commas + min(chars / 100, 3.0)
         if chars < 25:
             points = 0.5
         up = node.parent if node.tag in _PARAGRAPH else node
@@ -195,9 +228,9 @@ def score(root: Node) -> list[Node]:
     return [n for n in nodes if id(n) in scored]
 
 
-def article(root: Node) -> list[Node]:
+def article(root: Node, by_name: bool = True) -> list[Node]:
     """The best container and the siblings that go with it, in page order."""
-    _mark_headers(root)
+    _mark_furniture(root, by_name)
     scored = score(root)
     if not scored:
         return [root] if root.chars else []
@@ -206,7 +239,10 @@ def article(root: Node) -> list[Node]:
     while up is not None and up.tag != "article":
         up = up.parent
     if up is not None:
-        return [up]
+        # an article stands for itself; of its siblings only other articles go with it
+        limit = max(10.0, 0.2 * max(up.score, best.score))
+        kids = up.parent.kids if up.parent is not None else [up]
+        return [k for k in kids if k is up or (isinstance(k, Node) and not k.out and k.tag == "article" and k.score >= limit)]
     if best.parent is None:
         return [best]
     keep = []
@@ -254,7 +290,8 @@ def main_text(html: str | None) -> str:
     """The article of a page; empty if the page is null, empty or has none."""
     if not html or html.isspace():
         return ""
-    return "\n".join(blocks(article(parse(html))))
+    out = blocks(article(parse(html)))
+    return "\n".join(out or blocks(article(parse(html), by_name=False)))
 
 
 def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:

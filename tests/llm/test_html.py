@@ -1,5 +1,7 @@
 import html as H
 import re
+import time
+import tracemalloc
 
 import pytest
 
@@ -43,3 +45,42 @@ def test_rows_and_columns(spark):
     assert out.columns == ["page_id", "html", "source", "text", "n_chars"]
     assert sorted(r.n_chars for r in out.collect()) == [0, 1, 1, 549_999]
     assert extract(df.limit(0)).count() == 0
+
+
+STORY = ["The first paragraph of the story, with some commas, and enough words to count.", "The second one goes on, a little longer than before, to its end."]
+
+
+def _story(n=2):
+    return "".join(f"<p>{p}</p>" for p in STORY[:n])
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "post no-comments", "overflow-hidden", "page with-sidebar no-header", "entry", "Layout--withFooter", "hidden-print"])
+def test_names_that_say_something_else_do_not_cut(name):
+    assert main_text(f'<body><div class="{name}">{_story()}</div><div class="site-footer">Some footer text, with a comma.</div></body>') == "\n".join(STORY)
+
+
+@pytest.mark.parametrize("name", ["sidebar", "comment-list", "ad-box", "cookie-notice", "site-footer", "related-posts", "share-links", "post-comments", "newsletter signup"])
+def test_furniture_inside_an_article_is_cut(name):
+    assert main_text(f'<article>{_story(1)}<div class="{name}"><p>Something else, not of the story, that is long enough.</p></div><p>{STORY[1]}</p></article>') == "\n".join(STORY)
+
+
+def test_pages_with_several_articles():
+    a, b = (f"<article><p>{p}</p><p>{p}</p></article>" for p in STORY)
+    assert main_text(f"<main>{a}{b}</main>") == "\n".join([STORY[0]] * 2 + [STORY[1]] * 2)
+    assert main_text(f"<main>{a}<article><a href='x'>More, of this, here, for you, and you</a></article></main>") == "\n".join([STORY[0]] * 2)
+
+
+def test_nothing_left_without_names():
+    assert main_text(f'<div class="comments">{_story()}</div>') == "\n".join(STORY)
+
+
+@pytest.mark.parametrize("unit", ["<font color=red>word, ", "<b><i>word ", "<div>word ", "<p><span>word ", "</b></i>word ", "<ul><li>word "])
+def test_long_pages_of_open_elements_take_linear_time(unit):
+    html = "<body><article>" + unit * (300_000 // len(unit))
+    tracemalloc.start()
+    begin = time.process_time()
+    text = main_text(html)
+    took, (_, peak) = time.process_time() - begin, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert text.count("word") == html.count("word")
+    assert took < 10 and peak < 100 << 20  # tracing makes it many times slower
