@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calibra.session import checkpoint_dir
@@ -110,6 +110,24 @@ def slices(batch: pa.RecordBatch, max_bytes: int) -> Iterator[pa.RecordBatch]:
     yield from slices(batch.slice(n // 2), max_bytes)
 
 
+def running_sum(df: DataFrame, order: list, value: str, out: str) -> DataFrame:
+    """``df`` with ``out``, the inclusive running sum of the whole numbers
+    ``value`` in the given order (of unique keys).
+
+    Rows are range-partitioned and written; sums run inside each partition and
+    start from the totals of those before it, of which there is one each."""
+    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged = materialise(ranged, "ranges")
+    upto, offsets = 0, []
+    for part, total in sorted(tuple(r) for r in ranged.groupBy("_part").agg(F.sum(value)).collect()):
+        offsets.append((part, upto))
+        upto += total
+    starts = ranged.sparkSession.createDataFrame(offsets, "_part int, _start long")
+    window = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (ranged.withColumn(out, F.sum(value).over(window)).join(F.broadcast(starts), "_part")
+            .withColumn(out, F.col(out) + F.col("_start")).drop("_part", "_start"))
+
+
 def fresh(name: str, columns: Iterable[str]) -> str:
     """``name``, with underscores added until no column is called so."""
     taken = {c.lower() for c in columns}

@@ -49,8 +49,9 @@ MASKS = {
     12: ("11101111", "1111010011", "11010011011", "100111111", "1111100101"),
     13: ("111110111", "1101011111", "111011000111", "11111001011", "1100111111"),
 }
-#: Items of fewer words are no evidence by themselves.
-MIN_WORDS = 5
+#: Items of fewer words are not sought (none; an item of under five words must
+#: be met whole).
+MIN_WORDS = 1
 #: Words of the benchmark in a block, and blocks a worker keeps.
 BLOCK_WORDS = 500_000
 HELD_BLOCKS = 4
@@ -164,9 +165,10 @@ class Block:
             inside = at + len(mask) <= bounds[doc_of[at] + 1]
             at, lo, many = at[inside], lo[inside], many[inside]
             # a chunk of pairs at a time; what they have in common is a shift
-            steps = np.searchsorted(np.cumsum(many), np.arange(0, int(many.sum()) + chunk, chunk))
+            upto = np.cumsum(many)
+            begins = np.searchsorted(upto, np.arange(0, int(many.sum()), chunk), "right")
+            steps = np.unique(np.append(begins, len(at)))
             for a, b in zip(steps[:-1], steps[1:], strict=True):
-                b = max(b, a + 1) if a < len(at) else a
                 m = many[a:b]
                 pair = np.repeat(lo[a:b] - (np.cumsum(m) - m), m) + np.arange(m.sum())
                 place = places[pair]

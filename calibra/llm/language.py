@@ -10,26 +10,35 @@ down to a uniform code.  A text's language is the one that codes it shortest.
 With frozen counts the code length depends on the context and the byte alone.
 So the trees are unrolled once into a table (context, byte) -> bits per
 language, and executors score whole texts by looking bytes up, no loop per
-byte.  The table's size follows the bounded training sample.
+byte.  The table's size follows the bounded training sample and the number of
+languages; of many languages a task holds the tables of a few at a time.
 """
 
 from __future__ import annotations
 
+import io
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm.common import col, ddl, fresh, map_arrow, others, table, with_text
+from calibra.llm.common import col, ddl, fresh, map_arrow, others, scratch_path, table, with_text
+from calibra.llm.sharedfs import open_fs, write_file
 
 ORDER = 3
 #: Expected documents per language in the training sample (its bound).
 TRAIN_DOCS = 1500
-#: Languages learned at most (the most frequent labels).
-MAX_LANGUAGES = 64
+#: Languages in a table; each table is a file in the shared folder.
+TABLE_LANGUAGES = 16
+#: What is no language: bits per byte above the mean of the training documents
+#: by so many standard deviations, of which documents make one part and, as
+#: texts are short, single bytes (of this variance) the other.
+DEVIATIONS, BYTE_VARIANCE, LONG_BYTES = 6.0, 9.0, 200
 #: Contexts seen less often in the sample are left to the shorter ones.
 MIN_CONTEXT = 8
 #: The byte that is taken to stand before a text.
@@ -47,6 +56,31 @@ class Model:
     #: [context * classes + class, language] -> bits
     bits: np.ndarray
 
+    def tables(self, folder: str, languages: int = TABLE_LANGUAGES) -> list[str]:
+        """Write the model as files of so many languages each; their paths."""
+        paths = []
+        for a in range(0, max(1, len(self.languages)), languages):
+            raw = io.BytesIO()
+            np.savez(raw, languages=np.array(self.languages[a:a + languages], str), classes=self.classes, context=self.context,
+                     bits=np.ascontiguousarray(self.bits[:, a:a + languages]))
+            paths.append(f"{folder}/languages-{a:06d}.npz")
+            write_file(paths[-1], [raw.getvalue()])
+        return paths
+
+
+_HELD: OrderedDict[str, Model] = OrderedDict()
+
+
+def _load(path: str) -> Model:
+    """A table, from this worker's memory or the shared folder."""
+    if path not in _HELD:
+        fs, p = open_fs(path)
+        with fs.open_input_stream(p, compression=None) as f, np.load(io.BytesIO(f.read())) as z:
+            model = Model(z["languages"].tolist(), z["classes"], z["context"], z["bits"])
+        _HELD.clear()  # one at a time
+        _HELD[path] = model
+    return _HELD[path]
+
 
 def remainder(key: Column) -> Column:
     """crc32 of a document's id as text, modulo 4; 2 marks held-out documents.
@@ -176,21 +210,26 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], min_context: int = M
     return Model(languages, classes, number[-1].astype(np.int32), bits.reshape(states * w, -1))
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
-        train_docs: int = TRAIN_DOCS, max_languages: int = MAX_LANGUAGES) -> Model:
-    """Learn from documents that have text and label and are not held out.
-
-    The sample's bound: about ``train_docs`` whole documents per label, chosen
-    by a hash of id and text, for the ``max_languages`` most frequent labels.
-    """
+def sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", train_docs: int = TRAIN_DOCS) -> DataFrame | None:
+    """``text`` and ``lang`` of about ``train_docs`` whole documents per label
+    that have text and label and are not held out, chosen by a hash of id and
+    length; None if there are none."""
     train = (docs.select(col(text).alias("text"), col(lang).cast("string").alias("lang"), col(key).alias("key"))
              .where((remainder(F.col("key")) != 2) & F.col("text").isNotNull() & F.col("lang").isNotNull()))
-    sizes = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    sizes = train.groupBy("lang").count().collect()
     if not sizes:
-        return Model([], np.zeros(256, np.int32), np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
+        return None
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], train_docs / r["count"])])
     draw = F.pmod(F.xxhash64("key", F.octet_length("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = count_contexts(train.where(F.col("lang").isin([r["lang"] for r in sizes]) & (draw < share[F.col("lang")]))).toArrow()
+    return train.where(draw < share[F.col("lang")]).select("text", "lang")
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", train_docs: int = TRAIN_DOCS) -> Model:
+    """Learn every label from the sample of its documents."""
+    train = sample(docs, text, lang, key, train_docs)
+    if train is None:
+        return Model([], np.zeros(256, np.int32), np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
+    rows = count_contexts(train).toArrow()
     counts = {}
     langs = rows["lang"].to_numpy()
     grams, n = rows["gram"].to_numpy(), rows["n"].to_numpy()
@@ -200,6 +239,32 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     return build(counts)
 
 
+def usual(model: Model, docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
+          train_docs: int = TRAIN_DOCS) -> dict[str, tuple[float, float]]:
+    """By language, the mean bits per byte of its training documents under
+    their own tree and the variance of long documents around it."""
+    train = sample(docs, text, lang, key, train_docs)
+    if train is None:
+        return {}
+    coded = identify(train.withColumn("k", F.lit(0)), model, "text", "k", ["lang"]).where("lang_pred = lang AND n_bytes > 0")
+    rate = F.col("bits") / F.col("n_bytes")
+    long = F.when(F.col("n_bytes") >= LONG_BYTES, rate)
+    rows = coded.groupBy("lang").agg((F.sum("bits") / F.sum("n_bytes")).alias("mean"), F.var_samp(long).alias("variance")).collect()
+    return {r["lang"]: (r["mean"], 0.25 if r["variance"] is None or r["variance"] != r["variance"] else r["variance"]) for r in rows}
+
+
+def recognised(found: DataFrame, known: dict[str, tuple[float, float]]) -> DataFrame:
+    """The rows of ``found`` (from ``identify``) whose text costs no more bits
+    per byte than texts of the predicted language do; others are of a language
+    that was not learned, or of none."""
+    if not known:
+        return found.where(F.lit(False))
+    limits = found.sparkSession.createDataFrame([(name, *v) for name, v in known.items()], "_lang string, _mean double, _variance double")
+    at_most = F.col("_mean") + DEVIATIONS * F.sqrt(F.col("_variance") + BYTE_VARIANCE / F.col("n_bytes"))
+    return (found.join(F.broadcast(limits), F.col("lang_pred") == F.col("_lang"))
+            .where(F.col("bits") / F.col("n_bytes") <= at_most).drop("_lang", "_mean", "_variance"))
+
+
 def code_bits(model: Model, column: pa.Array, block: int = 1 << 19) -> np.ndarray:
     """Code length in bits of each text under each language."""
     values, bounds = _texts(column)
@@ -224,37 +289,51 @@ def code_bits(model: Model, column: pa.Array, block: int = 1 << 19) -> np.ndarra
 def identify(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id",
              keep: list[str] | None = None) -> DataFrame:
     """``keep`` (all columns if None) of ``docs`` with ``held_out``,
-    ``lang_pred`` and ``score`` (the share of the prediction among all
-    languages' likelihoods, 0 to 1).
+    ``lang_pred``, ``score`` (the share of the prediction among all learned
+    languages' likelihoods, 0 to 1), ``bits`` (the text's code length under the
+    prediction) and ``n_bytes``.
 
     A text that is null or has no letter, or a model without languages, gives
     ``und`` and 0.  Equal code lengths go to the first language by name.
     Columns of these names are replaced.
     """
-    rest = others(docs.columns if keep is None else keep, "held_out", "lang_pred", "score")
+    made = ("held_out", "lang_pred", "score", "bits", "n_bytes")
+    rest = others(docs.columns if keep is None else keep, *made)
     letter = fresh("letter", rest)
     docs = docs.withColumn(letter, F.coalesce(col(text).rlike(r"\p{L}"), F.lit(False)))
     held = (remainder(col(key)) == 2).alias("held_out")
     src, at = with_text(docs.select("*", held), [*rest, "held_out", letter], text)
-    known = docs.sparkSession.sparkContext.broadcast(model)
+    paths = model.tables(scratch_path(docs.sparkSession, "languages"))
     n_out = len(rest) + 1
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model = known.value
         n = batch.num_rows
         lang = np.full(n, UNDETERMINED, object)
         score = np.zeros(n)
         has = batch.column(n_out).to_numpy(zero_copy_only=False)
-        if model.languages:
-            bits = code_bits(model, batch.column(at))
+        texts = batch.column(at)
+        least, total = np.full(n, np.inf), np.zeros(n)
+        for path in paths:
+            model = _load(path)
+            if not model.languages:
+                continue
+            bits = code_bits(model, texts)
             best = bits.argmin(1)
-            share = 1 / np.exp2(np.minimum(bits.min(1, keepdims=True) - bits, 0)).sum(1)
-            lang[has] = np.asarray(model.languages, object)[best[has]]
-            score[has] = share[has]
-        return pa.RecordBatch.from_arrays([*batch.columns[:n_out], pa.array(lang, pa.string()), pa.array(score)],
-                                          names=[*batch.schema.names[:n_out], "lang_pred", "score"])
-
-    return map_arrow(src, run, ddl(src, n_out) + "lang_pred string, score double")
+            low = bits[np.arange(n), best]
+            lang = np.where(has & (low < least), np.asarray(model.languages, object)[best], lang)
+            # likelihoods so far, as shares of the best one
+            now = np.minimum(least, low)
+            total = total * np.exp2(np.minimum(now - least, 0)) + np.exp2(np.minimum(now[:, None] - bits, 0)).sum(1)
+            least = now
+        if np.isfinite(least).all() and n:
+            score[has] = 1 / total[has]
+        least = np.where(np.isfinite(least) & has, least, 0.0)
+        size = pc.binary_length(texts.fill_null("")).cast(pa.int64())
+        return pa.RecordBatch.from_arrays([*batch.columns[:n_out], pa.array(lang, pa.string()), pa.array(score), pa.array(least), size],
+                                          names=[*batch.schema.names[:n_out], "lang_pred", "score", "bits", "n_bytes"])
+
+    return map_arrow(src, run, ddl(src, n_out) + "lang_pred string, score double, bits double, n_bytes long",
+                     max_bytes=(2 if len(paths) == 1 else 32) << 20)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

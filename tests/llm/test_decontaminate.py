@@ -38,7 +38,7 @@ def world(spark, docs):
         rows.append((i, " ".join(body)))
     rows += [(200, None), (201, ""), (202, "He said: six words are sought as WHOLE!"), (203, "too short"), (204, items[-2][1]), (1, rows[1][1]),
              (205, text(60_000) + " " + by[7])]
-    want |= {200: None, 201: None, 202: [90], 203: None, 204: [None], 205: [7]}
+    want |= {200: None, 201: None, 202: [90], 203: [91], 204: [None], 205: [7]}
     return docs(rows), spark.createDataFrame(items, "item_id long, text string"), want, len(rows)
 
 
@@ -81,3 +81,18 @@ def test_every_accepted_pattern_of_substitutions_is_found(n):
     bounds = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
     found = Block([1], item, np.array([0, n])).overlaps(np.concatenate(docs), bounds, WINDOW, AGREE)
     assert [(d, same) for d, _, same in sorted(found)] == list(enumerate(want))
+
+
+def test_short_items_are_met_whole(spark, docs):
+    items = spark.createDataFrame([(1, "beta gamma delta"), (2, "omega")], "item_id long, text string")
+    df = docs([(1, "alpha Beta, gamma delta epsilon"), (2, "beta gamma x delta"), (3, "an omega here"), (4, "omegas betagamma delta"), (5, "beta gamma delta")])
+    assert {r.doc_id: r.item_ids for r in decontaminate(df, items).collect()} == {1: [1], 2: [], 3: [2], 4: [], 5: [1]}
+    assert decontaminate(df, items, min_words=5).where("contaminated").count() == 0
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 4, 6, 7, 1000])
+def test_no_hit_is_lost_between_chunks(chunk):
+    item = np.arange(1, 14, dtype=np.uint64) * np.uint64(7919)
+    block = Block([1], item, np.array([0, 13]))
+    texts, bounds = np.concatenate([item] * 6), np.arange(0, 13 * 6 + 1, 13)
+    assert sorted(block.hits(texts, bounds, chunk).tolist()) == [[d, 0, 0] for d in range(6)]

@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from calibra.llm.language import BEFORE, build, code_bits, fit, identify, remainder
+from calibra.llm import language
+from calibra.llm.language import BEFORE, build, code_bits, fit, identify, recognised, remainder, usual
 
 
 def _grams(text):
@@ -90,3 +91,37 @@ def test_odd_rows(spark, docs):
 def test_remainder_is_crc32(spark):
     rows = spark.range(200).select("id", remainder(F.col("id")).alias("r")).collect()
     assert all(r.r == zlib.crc32(str(r.id).encode()) % 4 for r in rows)
+
+
+def _speech(seed, n=60):
+    """Texts of an invented language: its own syllables, in its own order."""
+    rng = random.Random(seed)
+    syllables = ["".join(rng.choice(x) for x in ("bcdfghklmnprstvwz", "aeiou", "nrsl ")) for _ in range(40)]
+    return [" ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(8, 60))) for _ in range(n)]
+
+
+def test_every_label_is_learned(docs, monkeypatch):
+    monkeypatch.setattr(language, "TABLE_LANGUAGES", 16)
+    rows = [(1000 * k + i, t, f"l{k:02d}") for k in range(70) for i, t in enumerate(_speech(k, 12))]
+    model = fit(docs(rows))
+    assert len(model.languages) == 70
+    got = identify(docs(rows), model).collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(got) and all(0 <= r.score <= 1 for r in got)
+    bits = code_bits(model, pa.array([r.text for r in got]))
+    assert [r.lang_pred for r in got] == [model.languages[k] for k in bits.argmin(1)]
+    assert all(math.isclose(r.bits, b, rel_tol=1e-6) for r, b in zip(got, bits.min(1)))
+
+
+def test_what_is_no_learned_language_is_not_recognised(docs):
+    rng = random.Random(5)
+    rows = [(100 * k + i, t, f"l{k}") for k in range(2) for i, t in enumerate(_speech(k, 90))]
+    df = docs(rows)
+    model = fit(df)
+    known = usual(model, df)
+    assert sorted(known) == ["l0", "l1"]
+    odd = [(1, "zqx vwk xqz jjj qqq xwv kkq zzx"), (2, "Это русский текст, которого никто не учил, и он довольно длинный."), (3, " ".join(_speech(77, 3))),
+           (4, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400))), (5, None), (6, ""), (7, "123"), (8, rows[3][1]), (9, rows[100][1])]
+    stay = {r.doc_id for r in recognised(identify(docs(odd), model), known).collect()}
+    assert stay == {8, 9}
+    assert recognised(identify(df, model), known).count() >= 0.99 * len(rows)
+    assert recognised(identify(docs([]), fit(docs([]))), {}).count() == 0
