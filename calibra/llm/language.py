@@ -37,8 +37,9 @@ TRAIN_DOCS = 1500
 TABLE_LANGUAGES = 16
 #: What is no language: bits per byte above the mean of the training documents
 #: by so many standard deviations, of which documents make one part and, as
-#: texts are short, single bytes (of this variance) the other.
-DEVIATIONS, BYTE_VARIANCE, LONG_BYTES = 6.0, 9.0, 200
+#: texts are short, single bytes (of this variance) the other, and by so many
+#: bits at least.
+DEVIATIONS, BYTE_VARIANCE, LONG_BYTES, MARGIN = 6.0, 9.0, 200, 2.5
 #: Contexts seen less often in the sample are left to the shorter ones.
 MIN_CONTEXT = 8
 #: The byte that is taken to stand before a text.
@@ -260,7 +261,7 @@ def recognised(found: DataFrame, known: dict[str, tuple[float, float]]) -> DataF
     if not known:
         return found.where(F.lit(False))
     limits = found.sparkSession.createDataFrame([(name, *v) for name, v in known.items()], "_lang string, _mean double, _variance double")
-    at_most = F.col("_mean") + DEVIATIONS * F.sqrt(F.col("_variance") + BYTE_VARIANCE / F.col("n_bytes"))
+    at_most = F.col("_mean") + F.greatest(DEVIATIONS * F.sqrt(F.col("_variance") + BYTE_VARIANCE / F.col("n_bytes")), F.lit(MARGIN))
     return (found.join(F.broadcast(limits), F.col("lang_pred") == F.col("_lang"))
             .where(F.col("bits") / F.col("n_bytes") <= at_most).drop("_lang", "_mean", "_variance"))
 
