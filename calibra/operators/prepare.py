@@ -8,14 +8,13 @@ a narrow, codegen'd projection that also works on a streaming DataFrame.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from calibra.functions.hashing import hash_uniform
-from calibra.operators.cumulative import dist_cumsum
 from calibra.operators.order_stats import medians
 from calibra.session import staged
 from calibra.sources.files import nan_to_null
@@ -23,10 +22,6 @@ from calibra.spec import FeatureSpec
 
 # Fill for a categorical whose values are all missing.
 UNKNOWN = "Unknown"
-#: Values of a column that become dummy columns at most.  A larger vocabulary
-#: stays a table, and the column becomes the index of its value in it: the
-#: place of the one among the dummies.
-MAX_CATEGORIES = 1000
 
 
 def select_features(df: DataFrame, spec: FeatureSpec, keep_key: bool = True) -> DataFrame:
@@ -65,7 +60,6 @@ class CleanParams:
     vocab: dict[str, list[str]]           # string categorical -> sorted values
     numeric: list[str]                    # columns imputed by median, in order
     strings: list[str]                    # string categoricals with dummies, in order
-    indexed: dict[str, DataFrame] = field(default_factory=dict)  # large vocabularies: (value, index)
 
     @property
     def encoded_columns(self) -> list[str]:
@@ -90,14 +84,6 @@ def modes_from_counts(counts: DataFrame) -> DataFrame:
     return best.select("feature", F.col("b.value").alias("mode"))
 
 
-def category_index(counts: DataFrame, column: str) -> DataFrame:
-    """(value, index) of one column's values in ascending order, from 0; running
-    sums over the vocabulary, so that it may have any size."""
-    one = counts.where(F.col("feature") == column).select("feature", "value", F.lit(1).alias("one"))
-    return dist_cumsum(one, ["feature"], [("value", True)], {"upto": "one"}).select(
-        "value", (F.col("upto") - 1).cast("long").alias("index"))
-
-
 def fit_clean(df: DataFrame, spec: FeatureSpec) -> CleanParams:
     """Fit medians, modes and vocabularies on ``df``."""
     types = dict((f.name, f.dataType) for f in df.schema.fields)
@@ -112,24 +98,19 @@ def fit_clean(df: DataFrame, spec: FeatureSpec) -> CleanParams:
         for r in medians(df, numeric).collect():
             fill[r["feature"]] = r["median"]
     vocab: dict[str, list[str]] = {c: [] for c in strings}
-    indexed: dict[str, DataFrame] = {}
     if strings:
         counts = staged(category_counts(df, strings), "categories")
-        sizes = {r["feature"]: r["k"] for r in counts.groupBy("feature").agg(
-            F.count(F.lit(1)).alias("k")).collect()}
         for r in modes_from_counts(counts).collect():
             fill[r["feature"]] = r["mode"]
-        large = [c for c in strings if sizes.get(c, 0) > MAX_CATEGORIES]
-        indexed = {c: category_index(counts, c) for c in large}
-        strings = [c for c in strings if c not in indexed]
-        # bounded: MAX_CATEGORIES values of each column
-        for r in counts.where(F.col("feature").isin(strings)).select("feature", "value").collect():
+        # a column per value is what is asked for; operators.sparse has rows whose
+        # schema does not follow the vocabulary
+        for r in counts.select("feature", "value").collect():
             vocab[r["feature"]].append(r["value"])
     for c in strings:
         fill.setdefault(c, UNKNOWN)
         # the fill value becomes a category when the column had NULLs
         vocab[c] = sorted(set(vocab[c]) | {fill[c]}) if vocab[c] else [fill[c]]
-    return CleanParams(fill, {c: vocab[c] for c in strings}, numeric, strings, indexed)
+    return CleanParams(fill, {c: vocab[c] for c in strings}, numeric, strings)
 
 
 def impute(df: DataFrame, params: CleanParams) -> DataFrame:
@@ -142,12 +123,7 @@ def impute(df: DataFrame, params: CleanParams) -> DataFrame:
 
 
 def one_hot(df: DataFrame, params: CleanParams) -> DataFrame:
-    """I4: dummies ``col_value`` for sorted categories, first dropped, int 0/1;
-    ``col_index`` for a column of too many values."""
-    for c, values in params.indexed.items():
-        # a lookup by value; the planner broadcasts a vocabulary that is small enough
-        values = values.select(F.col("value").alias(f"_{c}"), F.col("index").alias(f"{c}_index"))
-        df = df.join(values, F.col(c) == F.col(f"_{c}"), "left").drop(f"_{c}", c)
+    """I4: dummies ``col_value`` for sorted categories, first dropped, int 0/1."""
     keep = [c for c in df.columns if c not in params.strings]
     dummies = []
     for c in params.strings:

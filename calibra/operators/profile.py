@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Classes whose statistics are carried to every task.
-MAX_CLASSES = 10_000
 
 
 def shape(df: DataFrame) -> tuple[int, int]:
@@ -70,20 +68,19 @@ def class_kde(df: DataFrame, col: str, label: str, grid: int = 200, cut: float =
         F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"),
         F.min("x").alias("lo"), F.max("x").alias("hi"))
     st = st.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-    # one row per class, checked: the statistics travel with the batches
-    rows = st.limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes of {label!r}")
-    stats = {r["label"]: (r["n"], r["h"], r["lo"], r["hi"]) for r in rows}
-    out = T.StructType([T.StructField("label", d.schema["label"].dataType), T.StructField("g", T.IntegerType()),
+    # each row gets the statistics of its class, so classes may be any number;
+    # the planner broadcasts them if they are few
+    key = lambda c: F.col(c).eqNullSafe(F.col("label"))
+    d = d.join(st.withColumnRenamed("label", "_label"), key("_label")).drop("_label", "sd")
+    out = T.StructType([T.StructField("label", df.schema[label].dataType), T.StructField("g", T.IntegerType()),
                         T.StructField("grid_x", T.DoubleType()), T.StructField("density", T.DoubleType())])
 
     def partial(batches):
         """Each batch's part of the density at every grid point of each class."""
         for pdf in batches:
-            for lab, x in pdf.groupby("label", dropna=False)["x"]:
-                n, h, lo, hi = stats[None if pd.isna(lab) else lab]
-                known = h is not None and h > 0
+            for lab, part in pdf.groupby("label", dropna=False):
+                x, (n, h, lo, hi) = part["x"], part[["n", "h", "lo", "hi"]].iloc[0]
+                known = h > 0
                 at = np.linspace(lo - cut * h, hi + cut * h, grid) if known else np.full(grid, lo)
                 dens = np.zeros(grid)
                 for part in np.array_split(x.to_numpy(), len(x) // 20_000 + 1) if known else ():

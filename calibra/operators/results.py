@@ -6,6 +6,9 @@ document of the reference is a rendering of that table.
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,28 +142,40 @@ def load_store(spark, base: str) -> DataFrame | None:
     return read_results(spark, f"{base.rstrip('/')}/v={v[-1]}") if v else None
 
 
-def upsert_store(spark, base: str, updates: DataFrame) -> str:
+def upsert_store(spark, base: str, updates: DataFrame, wait: float = 30.0) -> str:
     """S10 on storage: read the latest version, replace the updated blocks,
-    write the result as the next version (never overwrite what is read; a
-    failed write leaves no ``_SUCCESS`` and is ignored).  Returns its path.
-
-    The version's folder is created exclusively: of two runs that want the same
-    number, one gets it and the other starts again from what the first wrote."""
+    write the result as the next version.  Returns its path.
+
+    Commits are optimistic.  The merged rows are first written whole to a folder
+    of their own.  Then the next number is taken by creating its commit file,
+    which only one run can do, and the folder becomes that version.  A run that
+    comes second waits for the first one's version, merges again on top of it
+    and tries the number after, so no run's blocks are lost.  A commit file
+    without a version after ``wait`` seconds is one of a run that died: its
+    number is skipped (a run that finds itself slower than half of that after
+    taking a number does not use it)."""
     jvm = spark.sparkContext._jvm
+    path = lambda name: jvm.org.apache.hadoop.fs.Path(base, name)
     root = jvm.org.apache.hadoop.fs.Path(base)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(root)
+    skip = 0
     while True:
         v = _versions(spark, base)
-        number = (v[-1] + 1) if v else 0
-        while True:  # numbers taken by unfinished or failed writes are skipped
-            claim = jvm.org.apache.hadoop.fs.Path(root, f"_claim-{number}")
-            if fs.createNewFile(claim):
-                break
-            number += 1
-        if _versions(spark, base) == v:
-            break
-    merged = upsert(load_store(spark, base), updates)
-    out = f"{base.rstrip('/')}/v={number}"
-    write_results(merged, out)
-    return out
+        number = max((v[-1] + 1) if v else 0, skip)
+        work = f"_work-{uuid.uuid4().hex}"
+        write_results(upsert(load_store(spark, base), updates), f"{base.rstrip('/')}/{work}")
+        began = time.monotonic()
+        if _versions(spark, base) == v and fs.createNewFile(path(f"_commit-{number}")):
+            # nothing can have come between: a later version needs this number's first
+            if time.monotonic() - began < wait / 2 and fs.rename(path(work), path(f"v={number}")):
+                return f"{base.rstrip('/')}/v={number}"
+            skip = number + 1
+        else:
+            until = time.monotonic() + wait
+            while number not in _versions(spark, base) and _versions(spark, base) == v:
+                if time.monotonic() > until:
+                    skip = number + 1
+                    break
+                time.sleep(0.05)
+        fs.delete(path(work), True)

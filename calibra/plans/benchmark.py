@@ -134,7 +134,7 @@ class Benchmark:
     # O2
     def baseline(self, models: tuple[str, ...] = ("svm_rbf", "logreg", "random_forest")) -> DataFrame:
         p = self.data()
-        train, test, val = (M.assemble(self._split(x), p.features) for x in ("train", "test", "val"))
+        train, test = (M.assemble(self._split(x), p.features) for x in ("train", "test"))
         direct = {m: m for m in models if m in ("logreg", "random_forest")}
         scored, runs = None, []
         if direct:
@@ -148,7 +148,7 @@ class Benchmark:
             lm = E.subsample(tr, p.key, p.label, self.n_landmarks, self.seed)
             ny = M.Nystroem.fit(lm, "vec", K.make_kernel("rbf", gamma=gamma), key=p.key)
             s2, r2 = M.run_models(ny.transform(tr, "vec"), ny.transform(vec(test), "vec"), {"svm_rbf": "svm"},
-                                  p.key, p.label, held=ny.transform(vec(val), "vec"), began=began)
+                                  p.key, p.label, began=began)
             scored, runs = s2 if scored is None else scored.unionByName(s2), runs + r2
         return self._store("classical", scored, runs)
 
@@ -179,7 +179,7 @@ class Benchmark:
         train, test, w = self._kernel_sets()
         began = time.perf_counter()
         scored, runs = M.run_models(self._cos2(train), self._cos2(test), {"svm_cos2": "svm"}, p.key, p.label,
-                                    weight=w, held=self._cos2(self._split("val")), began=began)
+                                    weight=w, began=began)
         return self._store("qsvm", scored, runs)
 
     # O5

@@ -16,11 +16,12 @@ _NAMES = [
     "impute_mode", "one_hot", "clean", "clean_nan",
     "split_hash", "split_exact", "split_exact_fractions", "split_balance", "scale_params", "standardize",
     "anova_f", "anova_f_lineitem", "anova_f_shifted", "top_k_features", "top_k_perfect", "select_top_k",
+    "sparse_entries", "sparse_moments", "sparse_f_scores",
     "class_balance", "positive_rate", "corr_matrix", "class_kde", "confusion",
     "binary_metrics", "one_class_metrics", "roc_auc", "average_precision", "roc_curve", "pr_curve",
     "kernel_stats", "kernel_blocks", "cos2_features", "cos2_kernel_stats", "cos2_kernel_blocks",
-    "cross_gram", "kernel_sorted",
-    "logreg_scores", "logreg_gradient", "loss_history", "forest_scores", "svm_rbf_scores", "cos2_svm_scores",
+    "cross_gram", "kernel_sorted", "cos2_spectrum", "cos2_eigenvalues",
+    "logreg_scores", "logreg_gradient", "platt_gradient", "loss_history", "forest_scores", "svm_rbf_scores", "cos2_svm_scores",
     "benchmark_report",
     "upsert_results", "flatten_results", "model_ranking", "metric_pivot", "metric_bars",
     "readme_table", "results_json",

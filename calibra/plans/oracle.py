@@ -256,12 +256,16 @@ def _kernel_sql(q: dict[str, str]) -> None:
                                     "round(avg(case when i = j then k end), 6) diag_mean from p")
         q[f"{name}kernel_blocks"] = (f"with {cte} select a.cls label_i, b.cls label_j, round(avg({k}), 6) mean_k "
                                      f"from {src} a cross join {src} b group by a.cls, b.cls")
+    cos2 = "pow(cos(a.a - b.a), 2) * pow(cos(a.b - b.b), 2) * pow(cos(a.c - b.c), 2)"
+    q["cos2_spectrum"] = (f"with {BEST3}, p as (select a.vec_id i, b.vec_id j, {cos2} k from s a cross join s b) "
+                          "select count(*) filter (i = j) n, round(sum(k) filter (i = j), 6) trace, round(sum(k * k), 6) frobenius2 from p")
     entry = " * ".join(f"{_TRIG.format('s.' + c)}[1 + (i // {p}) % 3]" for c, p in (("a", 9), ("b", 3), ("c", 1)))
     q["cos2_features"] = f"with {BEST3} select vec_id, cast(i as int) i, round({entry}, 6) x from s, range(27) t(i)"
     q["cross_gram"] = (f"with {VEC} select a.vec_id i, b.vec_id j, round({RBF}, 6) k "
                        "from v a cross join v b where b.vec_id % 20 = 0")
     q["kernel_sorted"] = (f"with {VEC}, {LM.format(n=60)}, s as (select *, cast(row_number() over (order by cls, vec_id) - 1 as int) pos from lm) "
                           f"select a.pos pos_i, b.pos pos_j, round({RBF}, 6) k from s a cross join s b")
+    q["platt_gradient"] = "select cast(0 as bigint) as missing, 0.0::double as slope, 0.0::double as intercept"
     q["logreg_gradient"] = (f"with {TOXIC}, l as (select distinct lang from toxic) "
                             "select unnest(['(intercept)', 'n_chars', 'words', 'digit_ratio', 'punct_ratio', 'lines']) as feature, 0.0::double as gradient "
                             "union all select 'lang_' || lang, 0.0::double from l where lang > (select min(lang) from l)")
@@ -403,14 +407,45 @@ def _select_top_k_sql() -> str:
     """The two columns with the best F on the training rows, of the test rows."""
     long = " union all ".join(f"""select id, split, y, '{c}' as f, {i} as idx, cast("{c}" as double) as x from sp"""
                               for i, c in enumerate(CODED_COLS))
-    return ("with " + ENC_CLEAN + f""", sp as (select *, {SPLIT} as split from coded), u as ({long}),
-d as (select f, idx, y, x, avg(x) over (partition by f, y) as m, avg(x) over (partition by f) as g from u where split = 'train'),
-b as (select f, idx, (sum((m - g) * (m - g)) / (count(distinct y) - 1)) / (sum((x - m) * (x - m)) / (count(*) - count(distinct y))) as s
-      from d group by f, idx order by s desc, idx desc limit 2)
-select id, f as feature, round(x, 6) as x from u where split = 'test' and f in (select f from b)""")
+    return ("with " + ENC_CLEAN + f""", sp as materialized (select *, {SPLIT} as split from coded), u as materialized ({long}),
+g as materialized (select f, avg(x) as g from u where split = 'train' group by f),
+m as materialized (select u.f, y, idx, count(*) as n, avg(x) as m, var_pop(x) * count(*) as ss from u where split = 'train' group by u.f, y, idx),
+b as materialized (select f, idx, (sum(n * (m - g) * (m - g)) / (count(*) - 1)) / (sum(ss) / (sum(n) - count(*))) as s
+      from m join g using (f) group by f, idx order by s desc, idx desc limit 2)
+select id, u.f as feature, round(x, 6) as x from u join b using (f) where split = 'test'""")
+
+
+#: Line items with slots: numbers first, then the values of each string column
+#: but its first, in order; missing values are the most frequent one.
+_LINES = """lines as materialized (select l_orderkey, l_linenumber, l_quantity, l_discount, cast(l_returnflag = 'R' as int) as y,
+  case when l_linenumber <> 7 then 'P' || cast(l_partkey as varchar) end as part, l_linestatus as status from lineitem),
+fills as (select (select part from lines where part is not null group by part order by count(*) desc, part limit 1) as part,
+  (select status from lines where status is not null group by status order by count(*) desc, status limit 1) as status),
+parts as materialized (select part, row_number() over (order by part) - 1 as i from (select distinct part from lines where part is not null)),
+stats as materialized (select status, row_number() over (order by status) - 1 as i from (select distinct status from lines where status is not null)),
+entries as materialized (
+  select l_orderkey, l_linenumber, y, cast(0 as bigint) as slot, l_quantity as x from lines where l_quantity <> 0
+  union all select l_orderkey, l_linenumber, y, cast(1 as bigint), l_discount from lines where l_discount <> 0
+  union all select l_orderkey, l_linenumber, y, cast(1 + p.i as bigint), 1.0 from lines as l, fills as f, parts as p where p.part = coalesce(l.part, f.part) and p.i > 0
+  union all select l_orderkey, l_linenumber, y, cast(1 + (select max(i) from parts) + s.i as bigint), 1.0 from lines as l, fills as f, stats as s
+    where s.status = coalesce(l.status, f.status) and s.i > 0),
+slots as (select cast(unnest(range(2 + (select max(i) from parts) + (select max(i) from stats))) as bigint) as slot)"""
+
+
+def _sparse_sql(q: dict[str, str]) -> None:
+    q["sparse_entries"] = f"with {_LINES} select l_orderkey, l_linenumber, slot, round(x, 6) as x from entries"
+    q["sparse_moments"] = (f"with {_LINES}, n as (select count(*) as n from lines), s as (select slot, sum(x) / any_value(n.n) as m, sum(x * x) / any_value(n.n) as q from entries, n group by slot) "
+                           "select slot, round(coalesce(m, 0), 5) as mean, round(coalesce(sqrt(greatest(q - m * m, 0)), 0), 5) as std from slots left join s using (slot)")
+    # two classes: between and within from the moments of each class, zeros among them
+    q["sparse_f_scores"] = (f"with {_LINES}, c as (select y, count(*) as n from lines group by y), used as (select distinct slot from entries), "
+                            "s as (select slot, y, sum(x) as s, sum(x * x) as q from entries group by slot, y), "
+                            "t as (select u.slot, c.y, c.n, coalesce(s.s, 0) as s, coalesce(s.q, 0) as q from used as u cross join c left join s on s.slot = u.slot and s.y = c.y), "
+                            "f as (select slot, sum(n) as n, count(*) as k, sum(s * s / n) - sum(s) * sum(s) / sum(n) as b, sum(q - s * s / n) as w from t group by slot) "
+                            "select slot, case when w > 1e-12 * (b + w) then round((b / (k - 1)) / (w / (n - k)), 6) when b > 0 then cast('infinity' as double) end as f_score from f")
 
 
 def _misc_sql(q: dict[str, str]) -> None:
+    _sparse_sql(q)
     q["synthetic_table"] = _synthetic_sql()
     q["synthetic_label"] = (f"with t as ({_synthetic_sql()}) "
                             "select hospital_death, count(*) as n from t group by hospital_death")

@@ -9,14 +9,17 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.functions.scalar import clip, round6
+from calibra.functions.scalar import clip, round6, sigmoid
 from calibra.operators import kernels as K
 from calibra.operators import metrics as V
 from calibra.operators import models as M
+from calibra.operators import newton as NT
 from calibra.operators import prepare as P
 from calibra.operators import profile as G
 from calibra.operators import results as R
 from calibra.operators import scale as N
+from calibra.operators import sparse as SP
+from calibra.operators import spectrum as EV
 from calibra.operators import split as E
 from calibra.operators.order_stats import medians
 from calibra.plans.benchmark import Benchmark
@@ -204,6 +207,38 @@ def select_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return _r6(test.unpivot(["id"], best, "feature", "x"))
 
 
+#: Line items with a string column of very many values (each part is one).
+CODED_LINES = ["l_quantity", "l_discount"]
+
+
+def _coded_lines(spark: SparkSession, sf: str) -> tuple[DataFrame, SP.Vocabulary]:
+    li = read_table(spark, sf, "lineitem")
+    part = F.when(F.col("l_linenumber") != 7, F.concat(F.lit("P"), F.col("l_partkey").cast("string")))
+    rows = staged(li.select("l_orderkey", "l_linenumber", *CODED_LINES, part.alias("part"), F.col("l_linestatus").alias("status"),
+                            (F.col("l_returnflag") == "R").cast("int").alias("y")), "lines")
+    return rows, SP.Vocabulary.fit(rows, CODED_LINES, ["part", "status"])
+
+
+def sparse_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """I4 in one schema for any vocabulary: slots and values of each line."""
+    rows, words = _coded_lines(spark, sf)
+    coded = words.encode(rows, ["l_orderkey", "l_linenumber"])
+    return _r6(coded.select("l_orderkey", "l_linenumber", F.inline("entries")))
+
+
+def sparse_moments(spark: SparkSession, sf: str) -> DataFrame:
+    """N1 on sparse rows: mean and deviation of every slot."""
+    rows, words = _coded_lines(spark, sf)
+    found = SP.moments(staged(words.encode(rows, ["y"]), "entries"), words.slots)
+    return found.select("slot", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
+
+
+def sparse_f_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """N2 on sparse rows: F of every slot against the class."""
+    rows, words = _coded_lines(spark, sf)
+    return _r6(SP.f_scores(staged(words.encode(rows, ["y"]), "entries"), "y", words.slots))
+
+
 def top_k_features(spark: SparkSession, sf: str) -> DataFrame:
     d = _toxic(spark, sf)
     sc = N.anova_f(d, list(TOXIC_SPEC.numeric), "toxic")
@@ -318,6 +353,19 @@ def cos2_kernel_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return _r6(K.kernel_blocks(K.kernel_sums(K.cos2_features(df, cols), "vec", "cls")))
 
 
+def cos2_spectrum(spark: SparkSession, sf: str) -> DataFrame:
+    """K8: rows, trace and squared Frobenius norm of the cos2 Gram matrix, from
+    the d x d matrix that has its eigenvalues."""
+    df, cols = selected_vectors(spark, sf)
+    return _r6(EV.eigenvalue_range(K.cos2_features(df, cols), "vec").select("n", "trace", "frobenius2"))
+
+
+def cos2_eigenvalues(spark: SparkSession, sf: str) -> DataFrame:
+    """K8: the range of the eigenvalues of the cos2 Gram matrix."""
+    df, cols = selected_vectors(spark, sf)
+    return _r6(EV.eigenvalue_range(K.cos2_features(df, cols), "vec").select("n", "rank", "largest", "smallest", "smallest_of_all"))
+
+
 def kernel_stats(spark: SparkSession, sf: str) -> DataFrame:
     """K8 of the linear kernel over whole embeddings."""
     return _r6(K.kernel_stats(K.kernel_sums(vectors(spark, sf), "embedding", "cls")))
@@ -383,6 +431,22 @@ def logreg_gradient(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("feature", (F.round("gradient", 3) + 0.0).alias("gradient"))
 
 
+def platt_gradient(spark: SparkSession, sf: str) -> DataFrame:
+    """M1/M6: gradient of Platt's objective at the curve fitted to out-of-fold
+    margins, over all training rows: zero."""
+    b = _bench(spark, sf)
+    p = b.data()
+    train = staged(M.assemble(p.data.where(F.col("split") == "train"), p.features).select(p.key, p.label, "features"), "train")
+    est = M.estimator("logreg", train.count()).setLabelCol(p.label)
+    margins = staged(NT.out_of_fold(train, p.key, p.label, est.fit), "margins")
+    slope, intercept = NT.platt_curve(margins) or (0.0, 0.0)
+    rows = NT.platt_targets(margins)
+    off = F.col("weight") * (sigmoid(F.col("margin") * F.lit(slope) + F.lit(intercept)) - F.col("label"))
+    g = rows.agg(F.count(F.lit(1)).alias("n"), (F.sum(off * F.col("margin")) / F.sum("weight")).alias("slope"), (F.sum(off) / F.sum("weight")).alias("intercept"))
+    # each row stands for both classes; all training rows have a margin
+    return g.select((F.lit(train.count()) - F.col("n") / 2).cast("long").alias("missing"), (F.round("slope", 4) + 0.0).alias("slope"), (F.round("intercept", 4) + 0.0).alias("intercept"))
+
+
 def loss_history(spark: SparkSession, sf: str) -> DataFrame:
     """M9/V8: the objective by iteration of the logistic regression."""
     b = _bench(spark, sf)

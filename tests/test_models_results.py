@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -35,12 +37,12 @@ def test_nystroem_svm_and_loss(toy):
     assert 0 < ny.dim <= 40
     f = ny.transform(d, "vec")
     tr, te = f.where("id < 90"), f.where("id >= 90")
-    s, fits = M.run_models(tr, te, {"svm": "svm"}, "id", "label", max_iter=50, held=f.where("id >= 60 AND id < 90"))
+    s, fits = M.run_models(tr, te, {"svm": "svm"}, "id", "label", max_iter=50)
     acc = s.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
     assert acc > 0.7 and fits[0].curve[0] > 0
     assert s.where("score < 0 OR score > 1").count() == 0
     # one class is no ground for a curve
-    assert M.platt(fits[0].model, f.where("label = 1"), "label") is None
+    assert M.platt(M.estimator("svm", 90, max_iter=50), f.where("label = 1"), "id", "label") is None
 
 
 def test_logreg_converges_and_keeps_its_losses(toy):
@@ -107,5 +109,15 @@ def test_concurrent_versions_do_not_meet(spark, tmp_path):
     base = str(tmp_path / "store")
     a = spark.createDataFrame([("classical", "logreg", "f1", 0.5)], "block string, model string, metric string, value double")
     R.upsert_store(spark, base, a)
-    (tmp_path / "store" / "_claim-1").touch()  # another run is writing version 1
-    assert R.upsert_store(spark, base, a).endswith("v=2")
+    (tmp_path / "store" / "_commit-1").touch()  # a run died after it had taken version 1
+    assert R.upsert_store(spark, base, a, wait=1).endswith("v=2")
+
+
+def test_overlapping_writers_keep_both_blocks(spark, tmp_path):
+    base = str(tmp_path / "both")
+    block = lambda b: spark.createDataFrame([(b, "m", "f1", 0.5)], "block string, model string, metric string, value double")
+    R.upsert_store(spark, base, block("first"))
+    with ThreadPoolExecutor(4) as pool:
+        paths = list(pool.map(lambda k: R.upsert_store(spark, base, block(f"b{k}")), range(4)))
+    assert sorted(p.rsplit("/", 1)[1] for p in paths) == [f"v={k}" for k in range(1, 5)]
+    assert sorted(r.block for r in R.load_store(spark, base).collect()) == ["b0", "b1", "b2", "b3", "first"]

@@ -201,12 +201,7 @@ def test_all_null_numeric_column_stays_null(spark):
     assert rows[3].b == 1.5 and rows[1].a is None
 
 
-def test_large_vocabulary_becomes_an_index(spark, monkeypatch):
-    monkeypatch.setattr(P, "MAX_CATEGORIES", 3)
-    rows = [(i, f"v{i % 7}", "ab"[i % 2], i % 2) for i in range(50)] + [(99, None, None, 1)]
-    df = spark.createDataFrame(rows, "id long, big string, small string, y int").repartition(4)
-    out, params = P.clean(df, FeatureSpec("id", (), ("big", "small"), "y"), return_params=True)
-    assert out.columns == ["id", "y", "big_index", "small_b"] and params.encoded_columns == ["small_b"]
-    got = {r.id: (r.big_index, r.small_b) for r in out.collect()}
-    assert all(got[i] == (i % 7, i % 2) for i in range(50))
-    assert got[99] == (0, 0)  # most frequent values, smallest on ties
+def test_dummies_of_a_large_vocabulary(spark):
+    rows = [(i, f"v{i % 1200:04d}", i % 2) for i in range(2400)]
+    out, params = P.clean(spark.createDataFrame(rows, "id long, big string, y int"), FeatureSpec("id", (), ("big",), "y"), return_params=True)
+    assert params.encoded_columns == [f"big_v{i:04d}" for i in range(1, 1200)]
