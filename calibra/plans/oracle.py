@@ -247,6 +247,30 @@ s as (select vec_id, any_value(cls) cls, max(x) filter (r = 1) a, max(x) filter
 _TRIG = "[sqrt(0.5), cos(2 * {0}) * sqrt(0.5), sin(2 * {0}) * sqrt(0.5)]"
 
 
+def _fourier(draw: str, places: int) -> str:
+    """fx: (vec_id, cls, i, x) of the drawn features; ``draw`` is the SQL of a
+    frequency."""
+    return f"""{VEC},
+dims as (select distinct generate_subscripts(emb, 1) - 1 as i from v),
+draws as (select j, i, cast({draw} as double) as w from range({places}) t(j), dims),
+ws as (select j, list(w order by i) as w from draws group by j),
+angles as (select vec_id, cls, j, list_inner_product(emb, w) as a from v, ws),
+fx as (select vec_id, cls, cast(2 * j + s as int) as i, (case s when 0 then cos(a) else sin(a) end) / sqrt({places}) as x
+       from angles, range(2) r(s))"""
+
+
+def _fourier_sql(q: dict[str, str]) -> None:
+    u = "(('0x' || substr(md5(cast(j as varchar) || ':' || cast(i as varchar) || ':42:{}'), 1, 13))::BIGINT / 4503599627370496.0)"
+    normal = f"sqrt(0.2) * sqrt(-2 * ln(1 - {u.format('radius')})) * cos(2 * pi() * {u.format('angle')})"
+    line = u.format("line")
+    cos2 = f"case when {line} < 0.5 then 0 when {line} < 0.75 then 2 else -2 end"
+    for name, draw in (("rbf", normal), ("cos2", cos2)):
+        q[f"{name}_fourier_features"] = f"with {_fourier(draw, 16)} select vec_id, i, round(x, 6) as x from fx"
+    q["rbf_fourier_blocks"] = (f"with {_fourier(normal, 256)}, s as (select cls, i, sum(x) as s, count(*) as n from fx group by cls, i) "
+                               "select a.cls as label_i, b.cls as label_j, round(sum(a.s * b.s) / (max(a.n) * max(b.n)), 6) as mean_k "
+                               "from s a join s b using (i) group by a.cls, b.cls")
+
+
 def _kernel_sql(q: dict[str, str]) -> None:
     for name, cte, src, k in (("", VEC, "v", "list_inner_product(a.emb, b.emb)"),
                               ("cos2_", BEST3, "s", "pow(cos(a.a - b.a), 2) * pow(cos(a.b - b.b), 2) * pow(cos(a.c - b.c), 2)")):
@@ -512,7 +536,7 @@ def _synthetic_prepared_sql() -> str:
 def oracle_sql() -> dict[str, str]:
     """All oracle queries by name."""
     q: dict[str, str] = {}
-    for section in (_prepare_sql, _more_sql, _kernel_sql, _results_sql, _misc_sql):
+    for section in (_prepare_sql, _more_sql, _kernel_sql, _fourier_sql, _results_sql, _misc_sql):
         section(q)
     q["synthetic_prepared"] = _synthetic_prepared_sql()
     return q

@@ -16,6 +16,7 @@ from calibra.operators import models as M
 from calibra.operators import newton as NT
 from calibra.operators import prepare as P
 from calibra.operators import profile as G
+from calibra.operators import random_maps as RM
 from calibra.operators import results as R
 from calibra.operators import scale as N
 from calibra.operators import sparse as SP
@@ -366,6 +367,33 @@ def cos2_eigenvalues(spark: SparkSession, sf: str) -> DataFrame:
     return _r6(EV.eigenvalue_range(K.cos2_features(df, cols), "vec").select("n", "rank", "largest", "smallest", "smallest_of_all"))
 
 
+def _fourier(spark: SparkSession, sf: str, kernel: K.Kernel, places: int) -> DataFrame:
+    """Whole embeddings with the random Fourier features of a kernel."""
+    v = vectors(spark, sf)
+    first = v.select(F.size("embedding")).first()
+    return RM.fourier_features(v, "embedding", RM.frequencies(kernel, first[0] if first else 1, places, SEED))
+
+
+def rbf_fourier_features(spark: SparkSession, sf: str) -> DataFrame:
+    """K7/M1: the drawn vector of the RBF kernel, entry by entry."""
+    rows = _fourier(spark, sf, K.make_kernel("rbf", gamma=GAMMA), 16)
+    return _r6(rows.select("vec_id", F.posexplode("fourier").alias("i", "x")))
+
+
+def cos2_fourier_features(spark: SparkSession, sf: str) -> DataFrame:
+    """K2/M2: the drawn vector of the cos2 kernel over all dimensions of an
+    embedding, whose exact vector no row could hold."""
+    rows = _fourier(spark, sf, K.make_kernel("cos2"), 16)
+    return _r6(rows.select("vec_id", F.posexplode("fourier").alias("i", "x")))
+
+
+def rbf_fourier_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """K10 of the RBF kernel without pairs: mean over the rows of two classes,
+    by drawn features."""
+    rows = _fourier(spark, sf, K.make_kernel("rbf", gamma=GAMMA), 256)
+    return _r6(K.kernel_blocks(K.kernel_sums(rows, "fourier", "cls")))
+
+
 def kernel_stats(spark: SparkSession, sf: str) -> DataFrame:
     """K8 of the linear kernel over whole embeddings."""
     return _r6(K.kernel_stats(K.kernel_sums(vectors(spark, sf), "embedding", "cls")))
@@ -391,8 +419,8 @@ def kernel_sorted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------- models
-def _bench(spark: SparkSession, sf: str):
-    return Benchmark(spark, _toxic(spark, sf), replace(TOXIC_SPEC, target="quality"))
+def _bench(spark: SparkSession, sf: str, **options):
+    return Benchmark(spark, _toxic(spark, sf), replace(TOXIC_SPEC, target="quality"), **options)
 
 
 def logreg_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -420,6 +448,20 @@ def cos2_svm_scores(spark: SparkSession, sf: str) -> DataFrame:
     return b.scored["qsvm"]
 
 
+def svm_rbf_fourier_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """M1: scores of the RBF SVM on drawn features, without landmarks."""
+    b = _bench(spark, sf, rbf_map="fourier")
+    b.baseline(("svm_rbf",))
+    return b.scored["classical"]
+
+
+def cos2_wide_svm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """M2: scores of the cos2 kernel SVM on eight features, by drawn ones."""
+    b = _bench(spark, sf, k=8)
+    b.kernel_svm()
+    return b.scored["qsvm"]
+
+
 def logreg_gradient(spark: SparkSession, sf: str) -> DataFrame:
     """M3: gradient of the fitted objective at its optimum, over all training
     rows: zero for every feature."""

@@ -76,3 +76,15 @@ def test_close_leaves_other_caches(spark, sf):
     b.close()
     assert mine.storageLevel.useMemory and mine.is_cached
     mine.unpersist()
+
+
+def test_drawn_features_need_no_landmarks(spark, sf):
+    b = Benchmark(spark, documents_labeled(spark, sf), replace(TOXIC_SPEC, target="quality"),
+                  k=8, rbf_map="fourier", places=32, split_mode="hash")
+    auc = {}
+    for scored in (b.baseline(("svm_rbf",)), b.kernel_svm()):
+        auc |= {r.model: r.roc_auc for r in scored.select("model", "roc_auc").collect()}
+    assert set(auc) == {"svm_rbf", "svm_cos2"} and min(auc.values()) > 0.5
+    # 64 drawn features, not 3^8 numbers or as many as there are landmarks
+    assert b.fitted["svm_rbf"].model.numFeatures == b.fitted["svm_cos2"].model.numFeatures == 64
+    b.close()
