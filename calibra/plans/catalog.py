@@ -23,7 +23,6 @@ _NAMES = [
     "cross_gram", "kernel_sorted", "cos2_spectrum", "cos2_eigenvalues",
     "rbf_fourier_features", "cos2_fourier_features", "rbf_fourier_blocks",
     "logreg_scores", "logreg_gradient", "platt_gradient", "loss_history", "forest_scores", "svm_rbf_scores", "cos2_svm_scores",
-    "svm_rbf_fourier_scores", "cos2_wide_svm_scores",
     "benchmark_report",
     "upsert_results", "flatten_results", "model_ranking", "metric_pivot", "metric_bars",
     "readme_table", "results_json",
