@@ -12,7 +12,7 @@ from calibra.plans import queries as Q
 
 _NAMES = [
     "curated_projection", "drop_null_target", "head", "clip_columns", "inject_missing",
-    "missing_fraction", "missing_fraction_nan", "impute_median", "impute_median_discrete", "impute_binary",
+    "missing_fraction", "missing_fraction_nan", "impute_median", "impute_median_discrete", "impute_median_appended", "impute_binary",
     "impute_mode", "one_hot", "clean", "clean_nan",
     "split_hash", "split_exact", "split_exact_fractions", "split_balance", "scale_params", "standardize",
     "anova_f", "anova_f_lineitem", "anova_f_shifted", "top_k_features", "top_k_perfect", "select_top_k",
@@ -20,14 +20,14 @@ _NAMES = [
     "class_balance", "positive_rate", "corr_matrix", "class_kde", "confusion",
     "binary_metrics", "one_class_metrics", "roc_auc", "average_precision", "roc_curve", "pr_curve",
     "kernel_stats", "kernel_blocks", "cos2_features", "cos2_kernel_stats", "cos2_kernel_blocks",
-    "cross_gram", "kernel_sorted", "cos2_spectrum", "cos2_eigenvalues",
+    "cross_gram", "cross_gram_cos2", "kernel_sorted", "cos2_spectrum", "cos2_eigenvalues",
     "rbf_fourier_features", "cos2_fourier_features", "rbf_fourier_blocks",
     "logreg_scores", "logreg_gradient", "platt_gradient", "loss_history", "forest_scores", "svm_rbf_scores", "cos2_svm_scores",
     "benchmark_report",
-    "upsert_results", "flatten_results", "model_ranking", "metric_pivot", "metric_bars",
+    "upsert_results", "results_store", "flatten_results", "model_ranking", "metric_pivot", "metric_bars",
     "readme_table", "results_json",
-    "synthetic_table", "synthetic_label", "csv_roundtrip", "prepared_roundtrip",
-    "gather_rows", "balanced_subsample", "uniform_subsample", "large_subsample", "table_shape",
+    "synthetic_table", "synthetic_label", "csv_roundtrip", "prepared_roundtrip", "source_fallback",
+    "gather_rows", "gather_rows_bucketed", "kernel_test_sample", "balanced_subsample", "uniform_subsample", "large_subsample", "table_shape",
     "confusion_table", "streaming_standardize", "synthetic_prepared", "synthetic_benchmark_report",
 ]
 

@@ -110,6 +110,8 @@ def _prepare_sql(q: dict[str, str]) -> None:
         for c in ["id", "acctbal", "seg", "price", "priority", "y"]))
     q["impute_median"] = (f"with {ENC} select 'acctbal' as feature, round(median(acctbal), 6) as median from enc "
                           "union all select 'price', round(median(price), 6) from enc")
+    q["impute_median_appended"] = " union all ".join(
+        f"select '{c}' as feature, round(cast(median({c}) as double), 6) as median from lineitem" for c in LINE_FEATURES)
     q["impute_mode"] = (f"with {ENC}, c as (select 'seg' f, seg v, count(*) n from enc where seg is not null group by seg "
                         "union all select 'priority', priority, count(*) from enc where priority is not null group by priority), "
                         "r as (select f, v, row_number() over (partition by f order by n desc, v) rn from c) "
@@ -287,6 +289,7 @@ def _kernel_sql(q: dict[str, str]) -> None:
     q["cos2_features"] = f"with {BEST3} select vec_id, cast(i as int) i, round({entry}, 6) x from s, range(27) t(i)"
     q["cross_gram"] = (f"with {VEC} select a.vec_id i, b.vec_id j, round({RBF}, 6) k "
                        "from v a cross join v b where b.vec_id % 20 = 0")
+    q["cross_gram_cos2"] = f"with {BEST3} select a.vec_id i, b.vec_id j, round({cos2}, 6) k from s a cross join s b where b.vec_id % 20 = 0"
     q["kernel_sorted"] = (f"with {VEC}, {LM.format(n=60)}, s as (select *, cast(row_number() over (order by cls, vec_id) - 1 as int) pos from lm) "
                           f"select a.pos pos_i, b.pos pos_j, round({RBF}, 6) k from s a cross join s b")
     q["platt_gradient"] = "select cast(0 as bigint) as missing, 0.0::double as slope, 0.0::double as intercept"
@@ -352,6 +355,7 @@ def _fmt(x: str, d: int) -> str:
 def _results_sql(q: dict[str, str]) -> None:
     q["upsert_results"] = (f"with {RESULTS} select block, model, metric, round(value, 6) as value from res "
                            "where block = 'qsvm' or (block = 'classical' and model = 'punct')")
+    q["results_store"] = q["upsert_results"]
     q["flatten_results"] = f"with {RESULTS} select model, metric, round(value, 6) value from flat"
     q["model_ranking"] = f"with {RESULTS} select model, round(roc_auc, 6) roc_auc, rank from ranked"
     piv = ", ".join(f"round(max(case when metric = '{m}' then value end), 6) as {m}" for m in PIVOT_METRICS + ["train_seconds"])
@@ -479,6 +483,13 @@ def _misc_sql(q: dict[str, str]) -> None:
     q["streaming_standardize"] = q["standardize"]
     q["gather_rows"] = (f"with {ENC} select l_orderkey, l_linenumber, l_quantity from lineitem "
                         f"where l_orderkey in (select id from enc where {SPLIT} = 'test')")
+    q["gather_rows_bucketed"] = q["gather_rows"]
+    q["source_fallback"] = "select c_custkey, c_mktsegment, c_acctbal from customer"
+    # 1000 // 4 rows, half of them positive
+    q["kernel_test_sample"] = (f"with {ENC}, t as (select id, y from enc where {SPLIT} = 'test'), "
+                               "r as (select id, y, row_number() over (partition by y order by md5(cast(id as varchar) || ':43'), id) rn, "
+                               "count(*) over () nt, count(*) filter (y = 1) over () np from t) "
+                               "select id, y from r where nt <= 250 or (y = 1 and rn <= least(125, np)) or (y = 0 and rn <= 250 - least(125, np))")
     q["balanced_subsample"] = (f"with {TOXIC}, c as (select count(*) filter (where toxic = 1) np, count(*) nt from toxic), "
                                "r as (select doc_id, toxic, row_number() over (partition by toxic order by "
                                "md5(cast(doc_id as varchar) || ':42'), doc_id) rn from toxic), "

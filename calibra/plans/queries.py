@@ -23,8 +23,10 @@ from calibra.operators import sparse as SP
 from calibra.operators import spectrum as EV
 from calibra.operators import split as E
 from calibra.operators.order_stats import medians
+from calibra.operators.value_blocks import ValueBlocks
 from calibra.plans.benchmark import Benchmark
 from calibra.session import scratch_path, staged
+from calibra.sources import buckets as B
 from calibra.sources import files as S
 from calibra.sources import synthetic as SY
 from calibra.sources.tables import (ENC_SPEC, TOXIC_SPEC, documents_labeled, encounters,
@@ -88,6 +90,17 @@ def impute_median_discrete(spark: SparkSession, sf: str) -> DataFrame:
                                  F.lit(7).alias("same")), ["parity", "third", "same"]))
 
 
+def impute_median_appended(spark: SparkSession, sf: str) -> DataFrame:
+    """I1 on data that came in three appends: only blocks at the medians are
+    read again."""
+    li = read_table(spark, sf, "lineitem")
+    store = ValueBlocks(spark, _scratch(spark, "blocks"))
+    number = F.col("l_linenumber")
+    for batch in (number <= 2, (number > 2) & (number <= 4), number > 4):
+        store.append(li.where(batch), LINE_FEATURES)
+    return _r6(store.medians())
+
+
 def impute_binary(spark: SparkSession, sf: str) -> DataFrame:
     """A 0/1 column with missing values, filled by its median."""
     keys = read_table(spark, sf, "orders").select("o_orderkey")
@@ -411,6 +424,14 @@ def cross_gram(spark: SparkSession, sf: str) -> DataFrame:
                             K.make_kernel("rbf", gamma=GAMMA)))
 
 
+def cross_gram_cos2(spark: SparkSession, sf: str) -> DataFrame:
+    """The kernel called by name in any case, on the three best
+    dimensions: every row against every one whose id is divisible by 20."""
+    df, cols = selected_vectors(spark, sf)
+    v = df.select("vec_id", F.array(*cols).alias("vec"))
+    return _r6(K.cross_gram(v, "vec_id", "vec", v.where("vec_id % 20 = 0"), "vec_id", "vec", K.make_kernel("Cos2")))
+
+
 def kernel_sorted(spark: SparkSession, sf: str) -> DataFrame:
     """K9: first 60 rows of the hash-shuffled table, class-sorted positions,
     full 60 x 60 Gram."""
@@ -512,6 +533,15 @@ def upsert_results(spark: SparkSession, sf: str) -> DataFrame:
     return _r6(R.upsert(res.where("block <> 'bonus'"), res.where("block = 'classical' AND model = 'punct'")))
 
 
+def results_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs commit their blocks to the store; its latest version."""
+    res = staged(_results(spark, sf), "results")
+    base = _scratch(spark, "store")
+    R.upsert_store(spark, base, res.where("block <> 'bonus'"))
+    R.upsert_store(spark, base, res.where("block = 'classical' AND model = 'punct'"))
+    return _r6(R.load_store(spark, base))
+
+
 def _flat(spark: SparkSession, sf: str) -> DataFrame:
     return R.flatten(_results(spark, sf))
 
@@ -574,6 +604,12 @@ def prepared_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return S.read_prepared(spark, path)
 
 
+def source_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """The first source is absent, so the second is read."""
+    found = S.resolve_source(spark, [_scratch(spark, "absent"), f"{sf.rstrip('/')}/customer.parquet"])
+    return found.select("c_custkey", "c_mktsegment", "c_acctbal")
+
+
 def gather_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Lineitem rows of the orders that fall in the test split (semi join)."""
     test_keys = E.split_hash(encounters(spark, sf).select("id"), "id", seed=SEED).where(
@@ -582,6 +618,25 @@ def gather_rows(spark: SparkSession, sf: str) -> DataFrame:
     return li.join(test_keys, li.l_orderkey == test_keys.id, "left_semi")
 
 
+def gather_rows_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """P7/J2 on bucketed tables: the same rows, joined without a shuffle."""
+    keys = E.split_hash(encounters(spark, sf).select("id"), "id", seed=SEED)
+    # as many buckets as the session's shuffles have partitions
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = B.bucketed(keys, "id", n)
+    li = B.bucketed(read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey", n)
+    test = keys.where("split = 'test'")
+    return li.join(test, li["l_orderkey"] == test["id"], "left_semi")
+
+
+def kernel_test_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """The held-out sample that goes with 1000 training rows of a kernel
+    model, by the next seed, from the test split."""
+    enc = E.split_hash(encounters(spark, sf).select("id", "y"), "id", seed=SEED)
+    test = staged(enc.where("split = 'test'").select("id", "y"), "test")
+    return E.subsample(test, "id", "y", E.test_sample_size(1000), SEED + 1)
+
+
 def balanced_subsample(spark: SparkSession, sf: str) -> DataFrame:
     """100 rows, half toxic, by hash order."""
     d = _toxic(spark, sf).select("doc_id", "toxic")
