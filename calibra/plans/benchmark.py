@@ -8,9 +8,11 @@ persisted, and shared by all stages (the reference re-prepares per stage).
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,9 @@ from calibra.operators import split as E
 from calibra.session import staged
 from calibra.spec import FeatureSpec
 
+#: Scored rows and what each fit left.
+Fits = tuple[DataFrame, list[M.Fitted]]
+
 # Defaults of the workflow.
 SEED = 42
 TOP_FEATURES = 6
@@ -154,28 +159,36 @@ class Benchmark:
 
     # O2
     def baseline(self, models: tuple[str, ...] = ("svm_rbf", "logreg", "random_forest")) -> DataFrame:
-        p = self.data()
-        train, test = (M.assemble(self._split(x), p.features) for x in ("train", "test"))
+        return self._store("classical", *_together([fit() for fit in self._classical(models)]))
+
+    def _classical(self, models: tuple[str, ...]) -> list[Callable[[], Fits]]:
+        """The fits of the classical models, none of which needs another's result."""
         direct = {m: m for m in models if m in ("logreg", "random_forest")}
-        scored, runs = None, []
-        if direct:
-            scored, runs = M.run_models(train, test, direct, p.key, p.label)
-        if "svm_rbf" in models:
-            # M1: RBF SVM through an explicit map
-            began = time.perf_counter()
-            tr = _as_vector(train, p.features).drop("features")
-            te = _as_vector(test, p.features).drop("features")
-            kernel = K.make_kernel("rbf", gamma=K.rbf_gamma_scale(tr, "vec"))  # 'scale': 1 / (p * var of all train entries)
-            if self.rbf_map == "fourier":
-                tr, te = (self._drawn(d, kernel, len(p.features)) for d in (tr, te))
-            else:
-                lm = E.subsample(tr, p.key, p.label, self.n_landmarks, self.seed)
-                ny = M.Nystroem.fit(lm, "vec", kernel, key=p.key)
-                tr, te = (ny.transform(d, "vec") for d in (tr, te))
-            s2, r2 = M.run_models(tr, te, {"svm_rbf": "svm"}, p.key, p.label, began=began,
-                                  max_iter=DRAWN_STEPS if self.rbf_map == "fourier" else None)
-            scored, runs = s2 if scored is None else scored.unionByName(s2), runs + r2
-        return self._store("classical", scored, runs)
+        return [*([lambda: self._direct(direct)] if direct else []), *([self._rbf] if "svm_rbf" in models else [])]
+
+    def _assembled(self) -> tuple[DataFrame, DataFrame]:
+        train, test = (M.assemble(self._split(x), self.data().features) for x in ("train", "test"))
+        return train, test
+
+    def _direct(self, families: dict[str, str]) -> Fits:
+        """Models on the prepared features as they are."""
+        p = self.data()
+        return M.run_models(*self._assembled(), families, p.key, p.label)
+
+    def _rbf(self) -> Fits:
+        """M1: the RBF SVM through an explicit map."""
+        p = self.data()
+        began = time.perf_counter()
+        tr, te = (_as_vector(d, p.features).drop("features") for d in self._assembled())
+        kernel = K.make_kernel("rbf", gamma=K.rbf_gamma_scale(tr, "vec"))  # 'scale': 1 / (p * var of all train entries)
+        if self.rbf_map == "fourier":
+            tr, te = (self._drawn(d, kernel, len(p.features)) for d in (tr, te))
+        else:
+            lm = E.subsample(tr, p.key, p.label, self.n_landmarks, self.seed)
+            ny = M.Nystroem.fit(lm, "vec", kernel, key=p.key)
+            tr, te = (ny.transform(d, "vec") for d in (tr, te))
+        return M.run_models(tr, te, {"svm_rbf": "svm"}, p.key, p.label, began=began,
+                            max_iter=DRAWN_STEPS if self.rbf_map == "fourier" else None)
 
     def _drawn(self, df: DataFrame, kernel: K.Kernel, dims: int) -> DataFrame:
         """Rows with ``features``, the random Fourier features of ``vec``."""
@@ -209,12 +222,14 @@ class Benchmark:
     def kernel_svm(self) -> DataFrame:
         """The SVM of the cos2 kernel on the chosen features, by its explicit
         vector: every training row counts, no landmarks."""
+        return self._store("qsvm", *self._cos2_svm())
+
+    def _cos2_svm(self) -> Fits:
         p = self.data()
         train, test, w = self._kernel_sets()
         began = time.perf_counter()
-        scored, runs = M.run_models(self._cos2(train), self._cos2(test), {"svm_cos2": "svm"}, p.key, p.label,
-                                    weight=w, began=began, max_iter=DRAWN_STEPS if len(p.selected) > EXACT_FEATURES else None)
-        return self._store("qsvm", scored, runs)
+        return M.run_models(self._cos2(train), self._cos2(test), {"svm_cos2": "svm"}, p.key, p.label,
+                            weight=w, began=began, max_iter=DRAWN_STEPS if len(p.selected) > EXACT_FEATURES else None)
 
     # O5
     def report(self) -> DataFrame:
@@ -243,8 +258,39 @@ class Benchmark:
             self._prep = None
 
     # O6
-    def run_all(self) -> DataFrame:
+    def run_all(self, side_by_side: bool = False) -> DataFrame:
+        """All stages.  ``side_by_side`` runs the fits at once, each from a thread
+        and in a scheduler pool of its own: the small jobs of one model's steps
+        fill the cores that another leaves idle.  The results are the same; a
+        model's seconds then hold the time it waited for others."""
         self.data()
-        self.baseline()
-        self.kernel_svm()
+        if not side_by_side:
+            self.baseline()
+            self.kernel_svm()
+            return self.report()
+        fits = [*self._classical(("svm_rbf", "logreg", "random_forest")), self._cos2_svm]
+        *classical, cos2 = at_once(self.spark, fits)
+        self._store("classical", *_together(classical))
+        self._store("qsvm", *cos2)
         return self.report()
+
+
+def _together(fits: list[Fits]) -> Fits:
+    """The scored rows and runs of several fits as one."""
+    scored, runs = fits[0]
+    for more, other in fits[1:]:
+        scored, runs = scored.unionByName(more), runs + other
+    return scored, runs
+
+
+def at_once(spark: SparkSession, fns: list[Callable]) -> list:
+    """Results of functions that start Spark jobs, run at the same time, in
+    order.  The first error is raised when all have ended."""
+    def pooled(i: int, fn: Callable):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"side-{i}")
+        return fn()
+
+    # bounded: one thread per function, a handful
+    with ThreadPoolExecutor(max(1, len(fns))) as pool:
+        run = [pool.submit(inheritable_thread_target(spark)(pooled), i, fn) for i, fn in enumerate(fns)]
+    return [r.result() for r in run]

@@ -1,8 +1,11 @@
+import threading
 from dataclasses import replace
 
+import pytest
 from pyspark.sql import functions as F
 
-from calibra.plans.benchmark import Benchmark, prepare
+from calibra.operators import models as M
+from calibra.plans.benchmark import Benchmark, at_once, prepare
 from calibra.sources.tables import TOXIC_SPEC, ENC_SPEC, documents_labeled, encounters
 
 
@@ -27,6 +30,42 @@ def test_workflow_end_to_end(spark, sf):
     assert b.fitted["svm_rbf"].curve[0] > 0 and b.fitted["svm_cos2"].curve is not None
 
 
+def test_side_by_side_gives_the_same_report(spark, sf, monkeypatch):
+    whole = M.estimator
+    # a few steps are enough to compare
+    monkeypatch.setattr(M, "estimator", lambda name, n, **kw: whole(name, n, **kw | {"max_iter": 3, "num_trees": 5}))
+
+    def report(**kw):
+        b = Benchmark(spark, documents_labeled(spark, sf), replace(TOXIC_SPEC, target="quality"), n=40, landmarks=60)
+        rows = {r.model: r.asDict() for r in b.run_all(**kw).drop("train_seconds").collect()}
+        blocks = {tuple(r) for r in b.results.select("block", "model").distinct().collect()}
+        b.close()
+        return rows, blocks, set(b.fitted), set(b.scored)
+
+    one, many = report(), report(side_by_side=True)
+    assert one[1:] == many[1:]
+    assert one[0].keys() == many[0].keys()
+    for model, row in one[0].items():
+        assert {k: v if isinstance(v, str) else round(v, 6) for k, v in row.items()} == {
+            k: v if isinstance(v, str) else round(v, 6) for k, v in many[0][model].items()}
+
+
+def test_at_once_keeps_order_pools_and_errors(spark):
+    pool = lambda: spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+    met = threading.Barrier(3, timeout=60)
+
+    def job(n):
+        met.wait()  # passes only if all three run at the same time
+        return spark.range(n).count(), pool()
+
+    before = pool()
+    assert at_once(spark, [lambda n=n: job(n) for n in (3, 1, 2)]) == [(3, "side-0"), (1, "side-1"), (2, "side-2")]
+    assert pool() == before
+    with pytest.raises(ZeroDivisionError):
+        at_once(spark, [lambda: 1 // 0, lambda: spark.range(5).count()])
+    assert at_once(spark, []) == []
+
+
 def test_class_weights_balance(spark):
     from calibra.operators.models import class_weights
     df = spark.createDataFrame([(i, 1 if i < 10 else 0) for i in range(40)], "id long, label int")
