@@ -154,3 +154,13 @@ def test_no_own_folder_off_local_mode(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(Unset())
+
+
+def test_each_draw_is_made_once(spark):
+    """One loop per group of draws, with the numbers of ``hash_uniform``."""
+    from calibra.functions.hashing import hash_begin, hash_uniform, uniform
+    df = synthetic_range(spark, 50)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("md5(") <= 5
+    keys = spark.range(50).unionByName(spark.range(1).select(F.lit(None).cast("long").alias("id")))
+    pairs = keys.select(hash_uniform("id", 42, "age:a").alias("a"), uniform(F.concat(hash_begin("id", 42), F.lit("age:a"))).alias("b"))
+    assert all(r.a == r.b for r in pairs.collect())
