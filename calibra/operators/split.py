@@ -76,7 +76,12 @@ def _first_rows(keyed: DataFrame, key: str, n: int) -> DataFrame:
     cut = select_ranks(keyed, [], "_hn", {"cut": lambda _: F.lit(n)}, order_col="_h", tiebreak=(key,)).first()
     if cut is None:
         return keyed
-    return keyed.where(F.struct("_h", key) <= F.struct(F.lit(cut["_h"]), F.lit(cut[key])))
+    # a literal has the type of its value, which need not be the key's
+    at = F.struct(F.lit(cut["_h"]).alias("_h"), F.lit(cut[key]).cast(keyed.schema[key].dataType).alias(key))
+    me = F.struct("_h", key)
+    before = keyed.where(me < at)
+    # keys may repeat: of the rows at the cut only as many as are due
+    return before.unionByName(keyed.where(me == at).limit(n - before.count()))
 
 
 def subsample(df: DataFrame, key: str, label: str, n: int, seed: int = 42,

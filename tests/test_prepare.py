@@ -205,3 +205,19 @@ def test_dummies_of_a_large_vocabulary(spark):
     rows = [(i, f"v{i % 1200:04d}", i % 2) for i in range(2400)]
     out, params = P.clean(spark.createDataFrame(rows, "id long, big string, y int"), FeatureSpec("id", (), ("big",), "y"), return_params=True)
     assert params.encoded_columns == [f"big_v{i:04d}" for i in range(1, 1200)]
+
+
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_subsample_beyond_the_heaps(spark, monkeypatch, kind):
+    """The cut has the key's type, and copies of a key give no row too many."""
+    monkeypatch.setattr(E, "HEAP_ROWS", 10)
+    df = spark.range(200).select(F.col("id").cast(kind).alias("id"), (F.col("id") % 2).cast("int").alias("y"))
+    want = df.withColumn("h", E.hash_hex("id", 42)).orderBy("h", "id").limit(77)
+    got = E.subsample(df, "id", "y", 77, balanced=False)
+    assert got.columns == ["id", "y"] and {r.id for r in got.collect()} == {r.id for r in want.collect()}
+    assert E.subsample(df.unionByName(df).unionByName(df.limit(1).withColumn("id", F.lit(None).cast(kind))), "id", "y", 77, balanced=False).count() == 77
+
+
+def test_impute_binary_draws_its_rows_once(spark, sf):
+    from calibra.plans.queries import impute_binary
+    assert "md5" not in impute_binary(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
