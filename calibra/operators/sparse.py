@@ -26,6 +26,10 @@ from calibra.operators.prepare import category_counts, modes_from_counts
 from calibra.session import staged
 
 
+#: A slot is frequent that has an entry in one of so many rows.
+FREQUENT = 100
+
+
 @dataclass
 class Vocabulary:
     """Slots of the values of string columns, after those of numeric columns."""
@@ -124,8 +128,18 @@ def f_scores(rows: DataFrame, label: str, slots: int) -> DataFrame:
     n, k = sum(sizes.values()), len(sizes)
     mean = moments(rows, slots).select("slot", F.col("mean").alias("grand"))
     entry = rows.select(F.col(label).alias("y"), F.explode("entries").alias("e")).select("y", F.col("e.slot").alias("slot"), F.col("e.x").alias("x"))
-    moved = entry.join(mean, "slot").withColumn("d", F.col("x") - F.col("grand"))
-    part = moved.groupBy("slot", "grand", "y").agg(F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("q"), F.count(F.lit(1)).alias("m"))
+    # entries are summed up before they meet all the means: a slot of very many
+    # would be one task's in a join.  Such slots, which are few, are shifted by
+    # their mean at once; in others nearly all rows are zero, so is the mean
+    # beside an entry, and the shift can follow
+    many = entry.groupBy("slot").count().where(F.col("count") * FREQUENT >= n).select("slot")
+    pivots = F.broadcast(mean.join(F.broadcast(many), "slot").withColumnRenamed("grand", "pivot"))
+    d = F.col("x") - F.col("pivot")
+    own = entry.join(pivots, "slot", "left").na.fill(0.0, ["pivot"]).groupBy("slot", "pivot", "y").agg(
+        F.sum(d).alias("s"), F.sum(d * d).alias("q"), F.count(F.lit(1)).alias("m"))
+    far = F.col("pivot") - F.col("grand")
+    part = own.join(mean, "slot").select("slot", "grand", "y", "m", (F.col("s") + F.col("m") * far).alias("s"),
+                                         (F.col("q") + far * (2 * F.col("s") + F.col("m") * far)).alias("q"))
     rest = F.create_map(*[F.lit(x) for c, size in sizes.items() for x in (c, float(size))])[F.col("y")]
     # the rows of the class without an entry hold a zero, that is minus the mean
     zeros = rest - F.col("m")

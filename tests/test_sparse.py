@@ -124,3 +124,34 @@ def test_eigenvalues_without_the_gram_matrix(spark):
     few = EV.eigenvalue_range(df.limit(3), "vec").first()
     assert few.rank == 3 and few.smallest_of_all == few.smallest > 0
     assert EV.eigenvalue_range(df.limit(0), "vec").first().n == 0
+
+
+def test_entries_are_summed_before_a_shuffled_join(spark):
+    """A numeric slot has an entry in every row: only its sums are joined."""
+    df = spark.range(500).select((F.col("id") % 2).cast("int").alias("y"), F.array(
+        F.struct(F.lit(0).cast("long").alias("slot"), (F.col("id") % 7 + 1e9).alias("x")),
+        F.struct((F.col("id") % 150 + 1).alias("slot"), F.lit(1.0).alias("x"))).alias("entries"))
+    out = SP.f_scores(df, "y", 151)
+
+    def children(node):
+        return [node.children().apply(i) for i in range(node.children().size())]
+
+    def whole(node):
+        return node.nodeName() == "Generate" or node.nodeName() != "Aggregate" and any(map(whole, children(node)))
+
+    def check(node):
+        if node.nodeName() == "Join" and "broadcast" not in node.hint().toString():
+            assert not any(map(whole, children(node)))
+        for c in children(node):
+            check(c)
+
+    check(out._jdf.queryExecution().optimizedPlan())
+    x, y = np.arange(500) % 7, np.arange(500) % 2
+    between = sum((y == c).sum() * (x[y == c].mean() - x.mean()) ** 2 for c in (0, 1))
+    within = sum(((x[y == c] - x[y == c].mean()) ** 2).sum() for c in (0, 1))
+    got = {r.slot: r.f_score for r in out.collect()}
+    assert len(got) == 151 and abs(got[0] - between / (within / 498)) < 1e-6
+    z = (np.arange(500) % 150 == 4).astype(float)
+    between = sum((y == c).sum() * (z[y == c].mean() - z.mean()) ** 2 for c in (0, 1))
+    within = sum(((z[y == c] - z[y == c].mean()) ** 2).sum() for c in (0, 1))
+    assert abs(got[5] - between / (within / 498)) < 1e-9
