@@ -65,3 +65,17 @@ def test_cross_gram(spark, broadcast_rows):
 def test_cross_gram_of_nothing(spark):
     df = _frame(spark, np.zeros((3, 2)))
     assert K.cross_gram(df, "id", "vec", df.limit(0), "id", "vec", K.make_kernel("linear")).count() == 0
+
+
+def test_cross_gram_copies_no_side(spark, monkeypatch):
+    """Each row of a side is shuffled or written once, however many blocks meet."""
+    monkeypatch.setattr(K, "LEFT_ROWS", 5)
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(23, 2)), rng.normal(size=(17, 2))
+    ker = K.make_kernel("rbf", gamma=0.5)
+    out = K.cross_gram(_frame(spark, a), "id", "vec", _frame(spark, b).repartition(3), "id", "vec", ker, broadcast_rows=5, block_rows=4)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "CoGroup" not in plan
+    full = ker.matrix(a, b)
+    assert sorted((r.i, r.j) for r in out.collect()) == [(i, j) for i in range(23) for j in range(17)]
+    assert all(abs(full[r.i, r.j] - r.k) < 1e-12 for r in out.collect())
