@@ -211,12 +211,18 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], min_context: int = M
     return Model(languages, classes, number[-1].astype(np.int32), bits.reshape(states * w, -1))
 
 
+def learned_from(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
+    """``text``, ``lang`` and ``key`` of the documents that have text and label
+    and are not held out."""
+    return (docs.select(col(text).alias("text"), col(lang).cast("string").alias("lang"), col(key).alias("key"))
+            .where((remainder(F.col("key")) != 2) & F.col("text").isNotNull() & F.col("lang").isNotNull()))
+
+
 def sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", train_docs: int = TRAIN_DOCS) -> DataFrame | None:
     """``text`` and ``lang`` of about ``train_docs`` whole documents per label
     that have text and label and are not held out, chosen by a hash of id and
     length; None if there are none."""
-    train = (docs.select(col(text).alias("text"), col(lang).cast("string").alias("lang"), col(key).alias("key"))
-             .where((remainder(F.col("key")) != 2) & F.col("text").isNotNull() & F.col("lang").isNotNull()))
+    train = learned_from(docs, text, lang, key)
     sizes = train.groupBy("lang").count().collect()
     if not sizes:
         return None
@@ -240,12 +246,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     return build(counts)
 
 
-def usual(model: Model, docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
-          train_docs: int = TRAIN_DOCS) -> dict[str, tuple[float, float]]:
-    """By language, the mean bits per byte of its training documents under
-    their own tree and the variance of long documents around it."""
-    train = sample(docs, text, lang, key, train_docs)
-    if train is None:
+def usual(model: Model, docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, tuple[float, float]]:
+    """By language, the mean bits per byte of all its documents that are not
+    held out under their own tree and the variance of long documents around it."""
+    train = learned_from(docs, text, lang, key).select("text", "lang")
+    if not model.languages:
         return {}
     coded = identify(train.withColumn("k", F.lit(0)), model, "text", "k", ["lang"]).where("lang_pred = lang AND n_bytes > 0")
     rate = F.col("bits") / F.col("n_bytes")

@@ -125,3 +125,14 @@ def test_what_is_no_learned_language_is_not_recognised(docs):
     assert stay == {8, 9}
     assert recognised(identify(df, model), known).count() >= 0.99 * len(rows)
     assert recognised(identify(docs([]), fit(docs([]))), {}).count() == 0
+
+
+def test_limits_come_from_all_documents(docs):
+    """Not from the sample that the trees were counted on."""
+    rows = [(i, t, "l0") for i, t in enumerate(_speech(0, 120))]
+    df = docs(rows)
+    model = fit(df, train_docs=30)
+    mean, variance = usual(model, df)["l0"]
+    coded = [r for r in identify(df, model).collect() if not r.held_out]
+    assert math.isclose(mean, sum(r.bits for r in coded) / sum(r.n_bytes for r in coded), rel_tol=1e-9)
+    assert math.isclose(variance, np.var([r.bits / r.n_bytes for r in coded if r.n_bytes >= language.LONG_BYTES], ddof=1), rel_tol=1e-6)
