@@ -2,6 +2,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -121,3 +122,15 @@ def test_overlapping_writers_keep_both_blocks(spark, tmp_path):
         paths = list(pool.map(lambda k: R.upsert_store(spark, base, block(f"b{k}")), range(4)))
     assert sorted(p.rsplit("/", 1)[1] for p in paths) == [f"v={k}" for k in range(1, 5)]
     assert sorted(r.block for r in R.load_store(spark, base).collect()) == ["b0", "b1", "b2", "b3", "first"]
+
+
+def test_long_vectors_are_dealt_to_the_cores(spark, monkeypatch):
+    """A step over few rows of long vectors is not one task's, a small set's is."""
+    rows = spark.range(0, 400, 1, 1).select("id", array_to_vector(F.array(*[F.col("id") * float(j) for j in range(20)])).alias("features")).persist()
+    assert M._dealt(rows, 400, "features", "id").rdd.getNumPartitions() == 1
+    monkeypatch.setattr(M, "TASK_NUMBERS", 2000)
+    got = M._dealt(rows, 400, "features", "id")
+    assert got.rdd.getNumPartitions() == 5 and sorted(r.id for r in got.collect()) == list(range(400))
+    assert got.is_cached
+    got.unpersist()
+    rows.unpersist()
