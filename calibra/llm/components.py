@@ -24,9 +24,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
             .union(low.select("a", F.col("low").alias("b"))).distinct())
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``id``, ``component`` (smallest id of the component) for every id of
-    ``links`` (``a``, ``b``: long) but the smallest of each component.
+    ``links`` (``a``, ``b``: long) but the smallest of each component.  The
+    components of earlier links, ``known``, are joined by the new ones: those
+    links need not come again, and no new ones cost no pass.
 
     Each pass writes its links to the shared folder; a few passes bring any
     graph to stars.  Counts decide when to stop; no link comes to the driver.
@@ -34,6 +36,10 @@ def components(links: DataFrame) -> DataFrame:
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+    if known is not None:
+        if links.isEmpty():
+            return known
+        links = links.select("a", "b").union(known.select("id", "component"))
     edges = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                         .where("a <> b").distinct(), "links")
     now = state(edges)

@@ -283,12 +283,10 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
         draw = F.xxhash64("id", "key")
         others = left.groupBy("key").agg(F.min_by("id", draw).alias("a"), F.min_by("component", draw).alias("ca"))
         pairs = left.join(others, "key").where("component <> ca").select("a", F.col("id").alias("b")).distinct()
-        links = links.union(materialise(_verify(pairs, sets, threshold), "again", PAIRS))
-        groups = components(links)
+        groups = components(materialise(_verify(pairs, sets, threshold), "again", PAIRS), groups)
         left = mixed()
     if not left.isEmpty():
-        links = links.union(_across(left.select("id", "component").distinct(), links, sets, threshold))
-        groups = components(links)
+        groups = components(_across(left.select("id", "component").distinct(), groups, sets, threshold), groups)
     return sk, _labelled(nodes.withColumnRenamed("node", "id"), groups).withColumnRenamed("id", "node")
 
 
@@ -387,9 +385,9 @@ def _prefixes(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return materialise(first.join(meet, "token"), "meetings")
 
 
-def _across(nodes: DataFrame, links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _across(nodes: DataFrame, groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """All further links (a, b) between ``nodes`` (``id``, ``component``) of
-    different components."""
+    different components; ``groups`` (id, component) are those so far."""
     meetings = _prefixes(nodes, sets, threshold)
     few = meetings.where(F.col("many") <= GROUP_ROWS).select("token", "id", "component", "size", "flat")
     side = lambda n: few.select("token", *[F.col(c).alias(c + n) for c in ("id", "component", "size", "flat")])
@@ -402,13 +400,14 @@ def _across(nodes: DataFrame, links: DataFrame, sets: DataFrame, threshold: floa
         return found
     # shingles that many nodes hold, though none of those nodes has rarer ones:
     # first against one drawn node, then what is still apart block by block
-    many = _labelled(many.drop("component"), components(links.union(found)))
+    groups = components(found, groups.toDF("id", "component"))
+    many = _labelled(many.drop("component"), groups)
     draw = F.xxhash64("id", "token")
     one = many.groupBy("token").agg(F.min_by("id", draw).alias("a"), F.min_by("component", draw).alias("ca"))
     pairs = many.join(one, "token").where("component <> ca").select("a", F.col("id").alias("b")).distinct()
-    found = found.union(materialise(_verify(pairs, sets, threshold), "common", PAIRS))
-    many = _labelled(many.drop("component"), components(links.union(found)))
-    return found.union(materialise(_in_blocks(many, sets, threshold), "blocks", PAIRS))
+    common = materialise(_verify(pairs, sets, threshold), "common", PAIRS)
+    many = _labelled(many.drop("component"), components(common, groups))
+    return found.union(common).union(materialise(_in_blocks(many, sets, threshold), "blocks", PAIRS))
 
 
 def _in_blocks(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

@@ -101,8 +101,9 @@ def _superstep(pieces: DataFrame, gaps: DataFrame, many: int, sizes: dict[int, i
                          F.coalesce("gap", F.lit(capacity).cast("long")).alias("gap"), F.col("size").alias("length"))
     inside = Window.partitionBy("seq").orderBy(F.desc("length"), "pid").rowsBetween(Window.unboundedPreceding, 0)
     placed = materialise(taken.withColumn("offset", capacity - F.col("gap") + F.sum("length").over(inside) - F.col("length")), "placed")
-    used = placed.groupBy("seq").agg((F.max("gap") - F.sum("length")).alias("left"))
-    after = (gaps.where(takes_part).join(used, "seq", "full").select("seq", F.coalesce("left", "gap").alias("gap"))
+    # a gap that nothing took has no piece: one sum by sequence, no join
+    taken = placed.select("seq", "gap", "length").unionByName(gaps.where(takes_part).select("seq", "gap", F.lit(0).cast("long").alias("length")))
+    after = (taken.groupBy("seq").agg((F.max("gap") - F.sum("length")).alias("gap"))
              .unionByName(gaps.where(~takes_part)).where("gap > 0"))
     return placed, materialise(after, "gaps")
 

@@ -42,6 +42,14 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_grow_from_known_ones(spark):
+    links = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    known = components(links([(5, 6), (6, 7), (1, 2)]))
+    assert components(links([]), known) is known
+    got = {r.id: r.component for r in components(links([(9, 7), (2, 6), (30, 31)]), known).collect()}
+    assert got == {2: 1, 5: 1, 6: 1, 7: 1, 9: 1, 31: 30}
+
+
 def _shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()

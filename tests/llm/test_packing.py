@@ -5,6 +5,9 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from calibra.llm.common import materialise, running_sum
 from calibra.llm.packing import classes, pack, pack_documents
 from calibra.llm.tokens import load_tokenizer
 
@@ -75,3 +78,29 @@ def test_documents(docs, word_bpe):
 def test_one_length_over_many_partitions(spark):
     out = pack(spark.range(5000).selectExpr("id", "cast(7 AS long) AS length").repartition(9), 100).collect()
     assert _check_layout(out, 100) == -(-5000 // 14)
+
+
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+
+def test_running_sum_shuffles_rows_once(spark):
+    rng = random.Random(2)
+    rows = [(rng.randint(1, 9), i, rng.randint(-5, 5)) for i in range(700)]
+    df = spark.createDataFrame(rows, "size long, id long, step long").repartition(5)
+    out = running_sum(df, [F.desc("size"), F.asc("id")], "step", "depth")
+    want, total = {}, 0
+    for size, i, step in sorted(rows, key=lambda r: (-r[0], r[1])):
+        total += step
+        want[i] = (size, step, total)
+    assert {r.id: (r.size, r.step, r.depth) for r in out.collect()} == want
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert running_sum(df.where("id < 0"), [F.asc("id")], "step", "depth").count() == 0
+
+
+def test_written_steps_leave_no_shuffle_files(spark):
+    before = _shuffle_files(spark)
+    kept = materialise(spark.range(500).groupBy((F.col("id") % 7).alias("k")).count(), "steps")
+    assert _shuffle_files(spark) <= before
+    assert sorted(tuple(r) for r in kept.collect()) == sorted((k, len(range(k, 500, 7))) for k in range(7))
