@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from calibra.operators import models as M
 from calibra.plans.benchmark import Benchmark, at_once, prepare
+from calibra.sources import tables
 from calibra.sources.tables import TOXIC_SPEC, ENC_SPEC, documents_labeled, encounters
 
 
@@ -30,6 +31,39 @@ def test_workflow_end_to_end(spark, sf):
     assert b.fitted["svm_rbf"].curve[0] > 0 and b.fitted["svm_cos2"].curve is not None
 
 
+def test_rows_meet_the_models_once(spark, sf):
+    b = Benchmark(spark, documents_labeled(spark, sf), replace(TOXIC_SPEC, target="quality"), n=40)
+    b.baseline(("logreg",))
+    test = b.data().data.where(F.col("split") == "test")
+    want = M.score(b.fitted["logreg"].model, M.assemble(test, b.data().features), "logreg", "doc_id", "label")
+    scored = b.scored["classical"]
+    # what the metrics read is what the caller gets: no model in its plan
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "UDF" not in plan and "InMemoryTableScan" not in plan
+    assert sorted(map(tuple, scored.collect())) == sorted(map(tuple, want.collect()))
+    b.close()
+
+
+def test_texts_without_a_label_are_not_read_through(spark, tmp_path, monkeypatch):
+    docs = [(1, "a b\n1!", "en", 6), (2, "no label", "en", 8), (3, None, None, None), (3, "twice", "de", 5), (None, "x", "fr", 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(1, 0, 1), (1, 1, 0), (3, None, 1), (None, 1, 1), (9, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def found():
+        d = documents_labeled(spark, str(tmp_path))
+        return d, sorted(map(repr, d.collect()))
+
+    d, rows = found()
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    # counted on what the join with the ids leaves
+    assert "LeftSemi" in plan and plan.index("digit_ratio") < plan.index("LeftSemi")
+    monkeypatch.setattr(tables, "SENT_LABELS", 0)
+    whole, same = found()
+    assert "LeftSemi" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    assert rows == same and len(rows) == 4
+
+
 def test_side_by_side_gives_the_same_report(spark, sf, monkeypatch):
     whole = M.estimator
     # a few steps are enough to compare

@@ -31,6 +31,16 @@ def test_classical_models_scores(toy):
     assert len(rows) == 60 and len(runs) == 2
 
 
+def test_forest_scores_rows_on_all_cores(toy):
+    tr, te = toy.where("id < 90"), toy.where("id >= 60").coalesce(1)
+    scored, runs = M.run_models(tr, te, {"random_forest": "random_forest"}, "id", "label", num_trees=3, max_depth=4)
+    par = toy.sparkSession.sparkContext.defaultParallelism
+    assert sum(1 for part in scored.rdd.glom().map(len).collect() if part) >= par
+    # the rows and their scores are those of the model as it is
+    want = M.score(runs[0].model, te, "random_forest", "id", "label")
+    assert sorted(map(tuple, scored.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_nystroem_svm_and_loss(toy):
     d = toy.withColumn("vec", F.array("a", "b", "c")).drop("features")
     lm = d.where("id < 40")
